@@ -52,7 +52,8 @@ def _(t):
 
 @query(
     "v2_histogram_by_hue",
-    sql(histogram_sql("events", "value", 24, "event_type"), "low high", 'bin "count"'),
+    sql(histogram_sql("events", "value", 24, "event_type"), "low high", 'bin "count"', digits=6),
+    digits=6,
 )
 def _(t):
     return ch.histogram(t.events, "value", 24, "event_type")

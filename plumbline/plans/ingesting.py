@@ -1 +1,301 @@
-"""Queries."""
+"""Source and sink queries. Files are written from the test tables first, then read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.plans.registry import DIRTY, query, sql, union_sql
+from plumbline.session import scratch_path
+from plumbline.sources import markup, names, readers, tables
+from plumbline.sources.delimited import classify_text_tables, detect_delimiter, read_lines
+
+
+def _out(t, name):
+    return scratch_path(t.spark, name)
+
+
+@query("s1_s8_load_parquet", sql("SELECT * FROM orders", "o_totalprice", "o_orderkey o_custkey"))
+def _(t):
+    return readers.load_table(t.spark, f"{t.folder}/orders.parquet")
+
+
+_PART = "p_retailprice", "p_partkey p_size"
+
+
+@query("s2_s24_csv_round_trip", sql("SELECT * FROM part", *_PART))
+def _(t):
+    path = _out(t, "part") + ".csv"
+    tables.write_csv(t.part, path)
+    return readers.load_table(t.spark, path)
+
+
+@query("s2_tsv_round_trip", sql("SELECT * FROM part", *_PART))
+def _(t):
+    path = _out(t, "part") + ".tsv"
+    tables.write_tsv(t.part, path)
+    return readers.load_table(t.spark, path)
+
+
+@query("s2_detected_separator_round_trip", sql("SELECT * FROM customer", "c_acctbal", "c_custkey c_nationkey"))
+def _(t):
+    path = _out(t, "customer") + ".csv"
+    t.customer.write.options(header=True, sep=";").csv(path)
+    return readers.load_table(t.spark, path)
+
+
+_SEPS = {"customer": (";", 5, "c_custkey"), "part": ("|", 6, "p_partkey"), "supplier": ("\t", 4, "s_suppkey")}
+
+
+@query(
+    "s3_detect_delimiter",
+    union_sql(f"SELECT '{n}' AS dataset, '{s}' AS sep, CAST({c} AS BIGINT) AS \"columns\", count(*) > 0 AS found FROM {n}" for n, (s, c, _) in _SEPS.items()),
+)
+def _(t):
+    base = _out(t, "separated")
+    for name, (sep, _, _) in _SEPS.items():
+        getattr(t, name).write.options(header=True, sep=sep).csv(f"{base}/{name}")
+    found = detect_delimiter(read_lines(t.spark, f"{base}/*"))
+    name = F.regexp_extract("file", "/(customer|part|supplier)/", 1).alias("dataset")
+    return found.groupBy(name, "sep", "columns").agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+@query(
+    "s4_classify_text_tables",
+    union_sql(
+        [
+            "SELECT 'customer' AS dataset, TRUE AS is_table, ';' AS sep, count(*) AS n FROM customer",
+            "SELECT 'texts', FALSE, NULL, count(*) FROM (SELECT unnest(string_split(replace(text, chr(13), ''), chr(10))) AS line FROM documents) WHERE trim(line, ' ') <> ''",
+        ]
+    ),
+)
+def _(t):
+    base = _out(t, "texts")
+    t.customer.write.options(sep=";").csv(f"{base}/customer")
+    # one file, so that the lines of all texts are judged together
+    t.documents.select(F.regexp_replace("text", "\r", "")).coalesce(1).write.text(f"{base}/texts")
+    kinds = classify_text_tables(read_lines(t.spark, f"{base}/*"))
+    name = F.regexp_extract("file", "/(customer|texts)/", 1).alias("dataset")
+    return kinds.groupBy(name, "is_table", "sep").agg(F.sum("lines").alias("n"))
+
+
+@query(
+    "s5_json_record_list",
+    sql("SELECT o_orderkey AS \"order\", 'status' AS field, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders", "", '"order"'),
+)
+def _(t):
+    def record(field, column):
+        return F.struct(F.col("o_orderkey").alias("order"), F.lit(field).alias("field"), F.col(column).alias("value"))
+
+    docs = t.orders.select(F.lit(2).alias("size"), F.array(record("status", "o_orderstatus"), record("priority", "o_orderpriority")).alias("records"))
+    return readers.json_records(docs)
+
+
+@query("s6_jsonl_round_trip", sql("SELECT event_id, user_id, event_type, value FROM events", "value", "event_id user_id"))
+def _(t):
+    path = _out(t, "events") + ".jsonl"
+    t.events.select("event_id", "user_id", "event_type", "value").write.json(path)
+    return readers.load_table(t.spark, path).select("event_id", "user_id", "event_type", "value")
+
+
+@query(
+    "s7_flatten_records",
+    sql("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS \"props.k\" FROM events", "", "event_id"),
+)
+def _(t):
+    return names.parse_json_column(t.events.select("event_id", "props"), "props")
+
+
+@query(
+    "s7_flatten_structs",
+    sql('SELECT o_orderkey, o_custkey AS "who.cust", o_orderstatus AS "who.state.code" FROM orders', "", 'o_orderkey "who.cust"'),
+)
+def _(t):
+    who = F.struct(F.col("o_custkey").alias("cust"), F.struct(F.col("o_orderstatus").alias("code")).alias("state"))
+    return names.flatten(t.orders.select("o_orderkey", who.alias("who")))
+
+
+@query(
+    "s9_xml_records",
+    """SELECT CAST(s_suppkey AS VARCHAR) AS "row@key", s_name AS name, CAST(s_nationkey AS VARCHAR) AS place_nation,
+ CASE WHEN s_nationkey % 2 = 0 THEN 'a' || s_suppkey END AS tag_1, CASE WHEN s_nationkey % 2 = 0 THEN 'b' END AS tag_2,
+ CASE WHEN s_nationkey % 2 = 1 THEN 'c' END AS tag FROM supplier""",
+)
+def _(t):
+    s, even = t.supplier, F.col("s_nationkey") % 2 == 0
+    tags = F.when(even, F.array(F.concat(F.lit("a"), F.col("s_suppkey").cast("string")), F.lit("b"))).otherwise(F.array(F.lit("c")))
+    rows = s.select(
+        F.col("s_suppkey").alias("_key"), F.col("s_name").alias("name"), F.struct(F.col("s_nationkey").alias("nation")).alias("place"), tags.alias("tag")
+    )
+    path = _out(t, "supplier") + ".xml"
+    rows.write.format("xml").option("rowTag", "row").option("rootTag", "rows").option("declaration", "").save(path)
+    return markup.read_xml(t.spark, path, "row")
+
+
+@query("s10_reject_dtd", sql("SELECT page_id, NOT regexp_matches(html, '(?i)<!(DOCTYPE|ENTITY)') AS accepted FROM pages", "", "page_id"))
+def _(t):
+    good, bad = markup.split_dtd(t.pages.select("page_id", "html"), "html")
+    keep = good.select("page_id", F.lit(True).alias("accepted"))
+    return keep.unionByName(bad.select("page_id", F.lit(False).alias("accepted")))
+
+
+@query("s11_html_tables_of_pages", sql("SELECT page_id, 'no table' AS status, 0 AS cells FROM pages WHERE NOT contains(lower(html), '<table')", "", "page_id cells"))
+def _(t):
+    found = markup.extract_html_tables(t.pages, "page_id", "html")
+    return found.select("page_id", "status", F.coalesce(F.size("cells"), F.lit(0)).alias("cells"))
+
+
+@query(
+    "s11_html_tables",
+    sql(
+        """SELECT o_orderkey, 'ok' AS status, 1 AS row_no, 'key,key_2,column_2' AS header, o_orderkey::VARCHAR AS a, o_orderstatus AS b, o_orderpriority AS c FROM orders
+UNION ALL SELECT o_orderkey, 'ok', 2, 'key,key_2,column_2', o_custkey::VARCHAR, '', '' FROM orders""",
+        "",
+        "o_orderkey row_no",
+    ),
+)
+def _(t):
+    # a page per order: a small table that is not picked, a repeated header, a short row and a cell over two columns
+    html = F.format_string(
+        "<table><tr><td>x</td></tr><tr><td>y</td></tr></table><p>Order</p><table><tr><th>key</th><th>key</th></tr>"
+        "<tr><td>%s</td><td> %s </td><td>%s</td></tr><tr><td colspan=2>%s</td></tr></table>",
+        F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_custkey"),
+    )
+    found = markup.extract_html_tables(t.orders.select("o_orderkey", html.alias("html")), "o_orderkey", "html")
+    return found.select(
+        "o_orderkey", "status", "row_no", F.array_join("header", ",").alias("header"), *[F.get("cells", i).alias(n) for i, n in enumerate("abc")]
+    )
+
+
+@query(
+    "s12_merge_sources",
+    sql(
+        """SELECT 'customers.csv' AS source_file, c_custkey AS "key", c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, NULL AS nation FROM customer
+UNION ALL SELECT 'suppliers.csv', s_suppkey, s_name, s_acctbal, NULL, s_nationkey FROM supplier""",
+        "balance",
+        '"key" nation',
+    ),
+)
+def _(t):
+    c = t.customer.selectExpr("c_custkey AS key", "c_name AS name", "c_acctbal AS balance", "c_mktsegment AS segment")
+    s = t.supplier.selectExpr("s_suppkey AS key", "s_name AS name", "s_acctbal AS balance", "s_nationkey AS nation")
+    return tables.merge_sources([("customers.csv", c), ("suppliers.csv", s)])
+
+
+@query("s13_catalog", "SELECT 'plumbline_part' AS name, count(*) AS \"rows\", TRUE AS stored FROM part")
+def _(t):
+    t.part.createOrReplaceTempView("plumbline_part")
+    listed = tables.list_tables_with_files(t.spark).filter("name = 'plumbline_part'")
+    rows = t.spark.table("plumbline_part").count()
+    return listed.select("name", F.lit(rows).cast("long").alias("rows"), F.lit(True).alias("stored"))
+
+
+@query("s14_normalize_columns", sql("SELECT s_suppkey AS name, s_name AS name_2, s_nationkey AS unnamed, s_acctbal AS unnamed_2 FROM supplier", "unnamed_2", "name unnamed"))
+def _(t):
+    return names.normalize_columns(t.supplier.toDF(" name ", "name", "  ", "unnamed"))
+
+
+@query(
+    "s15_serialize_nested",
+    sql(
+        """SELECT o_orderkey, '{"a":' || o_custkey || ',"b":"' || o_orderstatus || '"}' AS pair, '["' || o_orderstatus || '",null]' AS list,
+ '{"x":' || o_orderkey || ',"y":' || o_custkey || '}' AS "map" FROM orders""",
+        "",
+        "o_orderkey",
+    ),
+)
+def _(t):
+    o = t.orders
+    nested = o.select(
+        "o_orderkey",
+        F.struct(F.col("o_orderstatus").alias("b"), F.col("o_custkey").alias("a")).alias("pair"),
+        F.array("o_orderstatus", F.lit(None).cast("string")).alias("list"),
+        F.create_map(F.lit("y"), "o_custkey", F.lit("x"), "o_orderkey").alias("map"),
+    )
+    return names.serialize_nested(nested)
+
+
+@query("s16_fingerprint")
+def _(t):
+    return tables.fingerprint(t.lineitem)
+
+
+@query("s17_file_signatures", "SELECT TRUE AS files_found, TRUE AS all_twins, count(*) > 0 AS filled FROM supplier")
+def _(t):
+    base = _out(t, "twins")
+    for name in ("a", "b"):
+        t.supplier.write.csv(f"{base}/{name}")
+    signed = tables.file_signatures(t.spark, base).filter(F.col("name").endswith(".csv"))
+    return signed.agg(
+        (F.count(F.lit(1)) > 0).alias("files_found"), F.bool_and(F.col("copies") % 2 == 0).alias("all_twins"), (F.sum("size") > 0).alias("filled")
+    )
+
+
+@query(
+    "s18_row_counts",
+    sql(union_sql(f"SELECT '{n}' AS dataset, count(*) AS \"rows\" FROM {n}" for n in ("lineitem", "orders", "events", "documents", "pages")), "", '"rows"'),
+)
+def _(t):
+    return tables.row_counts({n: getattr(t, n) for n in ("lineitem", "orders", "events", "documents", "pages")})
+
+
+@query("s19_bounded_read", sql("SELECT count(*) AS \"rows\" FROM (SELECT * FROM orders LIMIT 1000)", "", '"rows"'))
+def _(t):
+    return readers.load_table(t.spark, f"{t.folder}/orders.parquet", max_rows=1000).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query(
+    "s20_shape_guard",
+    sql(
+        """SELECT 'rows' AS rule, count(*) AS value, 1000000 AS "limit", count(*) <= 1000000 AS ok FROM customer
+UNION ALL SELECT 'columns', 5, NULL, TRUE
+UNION ALL SELECT 'cells', count(*) * 5, 5000, count(*) * 5 <= 5000 FROM customer
+UNION ALL SELECT 'high_cardinality_cells', (CASE WHEN count(DISTINCT c_name) >= 0.7 * count(*) THEN count(*) ELSE 0 END)
+ + (CASE WHEN count(DISTINCT c_mktsegment) >= 0.7 * count(*) THEN count(*) ELSE 0 END), 5000000, TRUE FROM customer""",
+        "",
+        'value "limit"',
+    ),
+)
+def _(t):
+    return tables.shape_guard(t.customer, rows=1_000_000, cells=5_000, high_cardinality_cells=5_000_000)
+
+
+_EXTRACT = """SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey
+ WHERE c_mktsegment = 'MACHINERY' GROUP BY o_orderpriority"""
+
+
+@query("s21_sql_extract", sql(_EXTRACT, "total", "n", digits=2), digits=2)
+def _(t):
+    for name in ("orders", "customer"):
+        getattr(t, name).createOrReplaceTempView(name)
+    return readers.sql_extract(t.spark, _EXTRACT)
+
+
+@query("s22_pasted_text", sql("SELECT s_suppkey, s_name, s_acctbal FROM supplier", "s_acctbal", "s_suppkey"))
+def _(t):
+    line = F.concat_ws(";", F.col("s_suppkey"), F.col("s_name"), F.col("s_acctbal").cast("string"))
+    return readers.parse_delimited_text(t.supplier.select(line.alias("line")), "line", "s_suppkey bigint, s_name string, s_acctbal double", ";")
+
+
+_CELL = """CASE o_orderstatus WHEN 'F' THEN '=SUM(' || o_custkey || ')' WHEN 'O' THEN CAST(-o_custkey AS VARCHAR) ELSE ' @' || o_orderpriority END"""
+
+
+@query(
+    "s23_csv_formula_guard",
+    sql(f"SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN cell ELSE '''' || cell END AS cell FROM (SELECT *, {_CELL} AS cell FROM orders)", "", "o_orderkey"),
+)
+def _(t):
+    o = t.orders
+    cust = F.col("o_custkey").cast("string")
+    cell = (
+        F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("=SUM("), cust, F.lit(")")))
+        .when(F.col("o_orderstatus") == "O", F.when(F.col("o_custkey") == 0, "0").otherwise(F.concat(F.lit("-"), cust)))
+        .otherwise(F.concat(F.lit(" @"), "o_orderpriority"))
+    )
+    return tables.sanitize_for_csv(o.select("o_orderkey", cell.alias("cell")))
+
+
+@query("s24_parquet_round_trip", sql(f"WITH {DIRTY};;SELECT * FROM dirty", "c_acctbal", "c_custkey c_nationkey"))
+def _(t):
+    path = _out(t, "dirty") + ".parquet"
+    tables.write_parquet(t.dirty_customer(), path)
+    return readers.load_table(t.spark, path)

@@ -125,13 +125,13 @@ def _(t):
 @query(
     "y5_finding_counts",
     sql(
-        f"""SELECT "group", finding, count(*) AS "rows" FROM (SELECT role AS "group", unnest({_findings('text')}) AS finding FROM conversations) GROUP BY 1, 2""",
+        f"""SELECT "group", finding, count(*) AS "rows" FROM (SELECT lang AS "group", unnest({_findings('text')}) AS finding FROM documents) GROUP BY 1, 2""",
         "",
         '"rows"',
     ),
 )
 def _(t):
-    return pr.finding_counts(t.conversations, "text", "role")
+    return pr.finding_counts(t.documents, "text", "lang")
 
 
 @query(

@@ -63,9 +63,11 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 def parse_json_column(df: DataFrame, column: str, schema: str | T.StructType | None = None) -> DataFrame:
     """Replace a JSON text column by flattened ``column.field`` columns.
 
-    Without a schema it is inferred over all rows (``schema_of_json_agg``-style merge, one pass).
+    Without a schema it is learned from all rows by one aggregation.
     """
     if schema is None:
-        schema = df.sparkSession.read.json(df.select(q(column).cast("string").alias("value"))).schema
-    parsed = df.withColumn(column, F.from_json(q(column), schema))
-    return flatten(parsed)
+        merged = df.agg(F.schema_of_variant_agg(F.try_parse_json(q(column).cast("string"))).alias("s")).first()["s"]
+        if not merged.startswith("OBJECT<"):
+            raise ValueError(f"column {column!r} does not hold JSON objects")
+        schema = merged.replace("OBJECT<", "STRUCT<")
+    return flatten(df.withColumn(column, F.from_json(q(column), schema)))

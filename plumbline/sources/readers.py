@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.exprs import any_of, q
 from plumbline.sources.delimited import detect_delimiter, read_lines
 from plumbline.sources.markup import read_xml
 from plumbline.sources.names import flatten, normalize_columns, serialize_nested
@@ -97,27 +98,28 @@ def _rename(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document as a table: array of records, one record list, columnar lists, or one record."""
-    df = spark.read.option("multiLine", True).json(path)
-    return flatten(json_records(df))
-
-
-def json_records(df: DataFrame) -> DataFrame:
-    """Unfold a document read as rows by its shape."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    lists = [n for n, k in kinds.items() if isinstance(k, T.ArrayType)]
-    record_lists = [n for n in lists if isinstance(kinds[n].elementType, T.StructType)]
-    if len(record_lists) > 1:
-        raise ValueError(f"ambiguous JSON: several record lists ({', '.join(sorted(record_lists))})")
-    if not lists or df.limit(2).count() != 1:
-        return df
-    if len(record_lists) == 1:
-        return df.select(F.inline(F.col(f"`{record_lists[0]}`")))
-    if len(lists) == len(kinds):
-        sizes = df.select(*[F.size(F.col(f"`{n}`")) for n in lists]).first()
-        if len(set(sizes)) == 1 and sizes[0] > 0:
-            return df.select(F.inline(F.arrays_zip(*[F.col(f"`{n}`") for n in lists])))
-    return df
+    """JSON documents as a table: arrays of records, one record list, columnar lists, or one record a file."""
+    docs = spark.read.option("multiLine", True).json(path)
+    lists = any(isinstance(f.dataType, T.ArrayType) for f in docs.schema.fields)
+    if lists and docs.groupBy("_metadata.file_path").count().filter("count > 1").isEmpty():
+        docs = json_records(docs)
+    return flatten(docs)
+
+
+def json_records(docs: DataFrame) -> DataFrame:
+    """Unfold documents by their shape: the records of their one record list, or the rows of columnar lists."""
+    lists = [f for f in docs.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    records = [f.name for f in lists if isinstance(f.dataType.elementType, T.StructType)]
+    if len(records) > 1:
+        raise ValueError(f"ambiguous JSON: several record lists ({', '.join(sorted(records))})")
+    if len(records) == 1:
+        return docs.select(F.inline(q(records[0])))
+    if lists and len(lists) == len(docs.columns):
+        size = F.size(q(lists[0].name))
+        uneven = any_of([F.size(q(f.name)) != size for f in lists]) | (size <= 0)
+        if docs.filter(F.coalesce(uneven, F.lit(True))).isEmpty():
+            return docs.select(F.inline(F.arrays_zip(*[q(f.name) for f in lists])))
+    return docs
 
 
 def sql_extract(spark: SparkSession, query: str, url: str | None = None, **options) -> DataFrame:
