@@ -2,9 +2,9 @@
 
 Two building blocks serve every operator that needs order:
 
-* *cells* - a column is cut at sketch quantiles into cells of similar size. Totals per cell show which
-  cells hold the wanted ranks, and only rows of those cells are shuffled and sorted. The sketch only
-  places the cuts; the answer is exact whatever its error.
+* *cells* - a column is cut into cells of similar size. Totals per cell show which cells hold the
+  wanted ranks, and only rows of those cells are shuffled and sorted. Where the cuts lie is estimated
+  from a sample; the answer is exact whatever the estimate.
 * *ranges* - rows are range partitioned on the full sort key (so one hot value spreads out), written
   to the shared folder once, and worked on range by range with carried totals.
 
@@ -54,12 +54,21 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), valu
     return df.select(*[q(b) for b in by], F.inline(entries)).filter(F.col("value").isNotNull())
 
 
-def cell_bounds(df: DataFrame, cols: Sequence[str], parts: int, value=number) -> dict[str, list[float]]:
-    """Cut points per column from one sketch pass; at most ``parts - 1`` numbers per column."""
+def cell_bounds(df: DataFrame, cols: Sequence[str], parts: int, rows: int, value=number) -> dict[str, list[float]]:
+    """Cut points per column; at most ``parts - 1`` numbers each.
+
+    They come from a seeded sample of a few hundred rows per cell, as range partitioning does it: a
+    sketch of every row would send one large summary per task to a single reducer. The sample only
+    decides where cells begin, never what is counted.
+    """
     probs = [i / parts for i in range(1, parts)]
-    accuracy = min(100_000, max(10_000, 20 * parts))
-    row = df.agg(*[F.percentile_approx(value(df, c), probs, accuracy).alias(f"b{i}") for i, c in enumerate(cols)]).first()
-    return {c: sorted(set(row[i] or [])) for i, c in enumerate(cols)}
+    wanted = max(100_000, 200 * parts)
+    few = df.select(*[value(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    if wanted < rows:
+        few = few.sample(fraction=wanted / rows, seed=17)
+    accuracy = max(10_000, 10 * parts)
+    row = few.agg(*[F.percentile_approx(f"v{i}", probs, accuracy).alias(f"b{i}") for i in range(len(cols))]).first()
+    return {c: sorted(set(row[f"b{i}"] or [])) for i, c in enumerate(cols)}
 
 
 def long_cells(
@@ -115,7 +124,7 @@ def order_statistics(
         hits = hits.filter((F.col("rank") >= F.col("upto") - F.col("cnt")) & (F.col("rank") < F.col("upto")))
         return hits.select(*keys, "label", "n", "rank", "value")
 
-    cells = long_cells(df, cols, cell_bounds(df, cols, parts, value), by, value)
+    cells = long_cells(df, cols, cell_bounds(df, cols, parts, rows, value), by, value)
     w = Window.partitionBy(*keys)
     totals = cells.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("in_cell"))
     totals = totals.select(
@@ -280,7 +289,28 @@ def first_k_by(df: DataFrame, group: str | None, order: Sequence[str], want: dic
     raise ValueError("the order does not tell all rows apart; add a unique key column")
 
 
-def first_k(df: DataFrame, order: Sequence[str], k: int, rows: int | None = None) -> Column:
-    """``first_k_by`` over the whole table."""
+def first_ks(df: DataFrame, order: Sequence[str], wanted: Sequence[int], rows: int | None = None) -> list[Column]:
+    """For each ``k``: a condition true for exactly the first ``k`` rows of the table."""
     rows = df.count() if rows is None else rows
-    return first_k_by(df, None, order, {"all": k}, {"all": rows})
+    inner = sorted({k for k in wanted if 0 < k < rows})
+    done: dict[int, Column] = {}
+    if inner:
+        # all cuts on the leading column at once; only cuts that fall among ties look further
+        name = order[0]
+        ranks = [(str(k), lambda n, k=k: F.lit(k - 1)) for k in inner]
+        cuts = {int(r["label"]): float(r["value"]) for r in order_statistics(df, [name], ranks, rows=rows).collect()}
+        x = number(df, name)
+        upto = df.agg(*[F.count_if(x <= F.lit(cuts[k])).alias(str(k)) for k in inner]).first()
+        done = {k: F.coalesce(x <= F.lit(cuts[k]), F.lit(False)) for k in inner if upto[str(k)] == k}
+    out = []
+    for k in wanted:
+        if k <= 0 or k >= rows:
+            out.append(F.lit(k > 0))
+        else:
+            out.append(done[k] if k in done else first_k_by(df, None, order, {"all": k}, {"all": rows}))
+    return out
+
+
+def first_k(df: DataFrame, order: Sequence[str], k: int, rows: int | None = None) -> Column:
+    """A condition true for exactly the first ``k`` rows of the table."""
+    return first_ks(df, order, [k], rows)[0]

@@ -31,14 +31,21 @@ def column_table(df: DataFrame, entries: Sequence[Sequence[Column]]) -> DataFram
     return union_all(frames)
 
 
-def level_counts(df: DataFrame, cols: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
-    """``(extra..., column, level, cnt)`` for non-missing values as text; counted before the shuffle."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), value_of(df, c).cast("string").alias("level"))
-            for c in cols
-        ]
-    )
+def level_counts(
+    df: DataFrame, cols: Sequence[str], extra: Sequence[str] = (), digest_beyond: int | None = None
+) -> DataFrame:
+    """``(extra..., column, level, cnt)`` for non-missing values as text; counted before the shuffle.
+
+    Texts longer than ``digest_beyond`` characters are replaced by their SHA-256.
+    """
+
+    def level(c):
+        text = value_of(df, c).cast("string")
+        if digest_beyond is None:
+            return text
+        return F.when(F.length(text) > digest_beyond, F.sha2(text, 256)).otherwise(text)
+
+    entries = F.array(*[F.struct(F.lit(c).alias("column"), level(c).alias("level")) for c in cols])
     long = df.select(*[q(e) for e in extra], F.inline(entries)).filter(F.col("level").isNotNull())
     return long.groupBy(*[q(e) for e in extra], "column", "level").agg(F.count(F.lit(1)).alias("cnt"))
 

@@ -146,7 +146,7 @@ def ks_statistics(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = No
         gap = F.abs(F.try_divide("ca", "n_a") - F.try_divide("cb", "n_b"))
         stats = steps.groupBy("column").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max(gap).alias("ks_stat"))
     else:
-        cells = long_cells(both, columns, cell_bounds(both, columns, parts), ["side"])
+        cells = long_cells(both, columns, cell_bounds(both, columns, parts, rows), ["side"])
         totals = cells.groupBy("column", "cell").agg(in_a.alias("a"), in_b.alias("b"))
         before = w.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
         totals = totals.select(
@@ -188,8 +188,9 @@ def category_shift(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = N
         columns = [c for c in common_columns(a, b)[0] if c not in numbers]
     if not columns:
         return a.sparkSession.createDataFrame([], "column string, n_a long, n_b long, tvd double")
-    left = level_counts(a, columns).select("column", "level", F.col("cnt").alias("a"), F.lit(0).cast("long").alias("b"))
-    right = level_counts(b, columns).select("column", "level", F.lit(0).cast("long").alias("a"), F.col("cnt").alias("b"))
+    # only the identity of a level matters here, so long texts travel as their digest
+    left = level_counts(a, columns, digest_beyond=64).select("column", "level", F.col("cnt").alias("a"), F.lit(0).cast("long").alias("b"))
+    right = level_counts(b, columns, digest_beyond=64).select("column", "level", F.lit(0).cast("long").alias("a"), F.col("cnt").alias("b"))
     levels = left.unionByName(right).groupBy("column", "level").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     totals = levels.groupBy("column").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
     # one row per column, so safe to broadcast

@@ -34,7 +34,9 @@ def confusion_matrix(df: DataFrame, classes: Sequence[str], actual: str = "label
     # classes x classes rows
     one = df.sparkSession.range(1)
     grid = one.select(F.explode(names).alias("actual")).select("actual", F.explode(names).alias("predicted"))
-    return grid.join(F.broadcast(confusion_counts(df, actual, predicted)), ["actual", "predicted"], "left").select(
+    listed = [str(c) for c in classes]
+    counts = confusion_counts(df, actual, predicted).filter(F.col("actual").isin(listed) & F.col("predicted").isin(listed))
+    return grid.join(F.broadcast(counts), ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("count", F.lit(0)).alias("count")
     )
 

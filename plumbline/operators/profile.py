@@ -23,8 +23,10 @@ def hygiene_index(df: DataFrame, digest: bool = False) -> DataFrame:
     if cols == 0:
         counted = df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(0).alias("kinds"), F.lit(0).alias("gaps"))
     elif digest:
-        cells = [F.coalesce(F.concat(F.lit("="), value_of(df, c).cast("string")), F.lit("~")) for c in df.columns]
-        sized = [F.concat(F.length(cell).cast("string"), F.lit(":"), cell) for cell in cells]
+        # each cell with its length, so that no two different rows read the same; -0.0 counts as 0.0
+        floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+        plain = [(value_of(df, c) + F.lit(0.0) if c in floats else value_of(df, c)).cast("string") for c in df.columns]
+        sized = [F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~")) for v in plain]
         gaps = total([missing(df, c).cast("int") for c in df.columns])
         marks = df.select(F.unhex(F.sha2(F.concat(*sized), 256)).alias("m"), gaps.alias("g"))
         counted = marks.groupBy("m", "g").agg(F.count(F.lit(1)).alias("c")).agg(

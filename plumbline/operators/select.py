@@ -30,6 +30,7 @@ ID_NAMES = ("id", "uuid", "guid", "index", "row_id", "pk", "key")
 ID_SUFFIXES = ("_id", "_uuid", "_guid", "_pk")
 VISUAL_ROWS = 25_000
 ANALYSIS_ROWS = 50_000
+TOP_ROWS = 100_000
 
 
 def in_range(df: DataFrame, column: str, low: float, high: float) -> Column:
@@ -101,7 +102,7 @@ def sample_rows(
     """
     key = list(key or df.columns)
     hashed, order = with_order(df, key, seed)
-    if n <= task_rows(df):
+    if n <= min(task_rows(df), TOP_ROWS):
         return hashed.orderBy(*order, *[q(k) for k in key]).limit(n).drop(*order)
     return hashed.filter(first_k(hashed, order, n, rows)).drop(*order)
 

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import datetime_columns, q, total
-from plumbline.functions.ranges import first_k, first_k_by, order_statistics
+from plumbline.functions.ranges import first_k, first_k_by, first_ks, order_statistics
 from plumbline.operators.select import with_order
 
 PART = "is_test"
+MAX_CLASSES = 10_000
 
 
 def random_split(df: DataFrame, key: Sequence[str], fraction: float = 0.2, seed: int | None = 42) -> DataFrame:
@@ -24,8 +25,12 @@ def random_split(df: DataFrame, key: Sequence[str], fraction: float = 0.2, seed:
 
 
 def class_counts(df: DataFrame, target: str) -> dict[str, int]:
-    found = df.filter(q(target).isNotNull()).groupBy(q(target).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return {r["k"]: r["n"] for r in found.collect()}
+    """Rows per class; an error when there are too many classes for a classification target."""
+    counts = df.filter(q(target).isNotNull()).groupBy(q(target).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.limit(MAX_CLASSES + 1).collect()
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target!r} has more than {MAX_CLASSES:,} classes; treat it as an identifier or a number")
+    return {r["k"]: r["n"] for r in found}
 
 
 def stratified_sizes(counts: dict[str, int], fraction: float) -> dict[str, int]:
@@ -125,6 +130,6 @@ def add_time_folds(df: DataFrame, k: int, key: Sequence[str], time: str | None =
     rows = df.count()
     ordered, order = _time_order(df, time, key)
     size = rows // (k + 1)
-    marks = [first_k(ordered, order, rows - (k - i) * size, rows) for i in range(k)]
+    marks = first_ks(ordered, order, [rows - (k - i) * size for i in range(k)], rows)
     fold = total([(~m).cast("int") for m in marks])
     return ordered.withColumn(name, fold).drop(*order)
