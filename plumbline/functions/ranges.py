@@ -14,6 +14,7 @@ with a real count) take the plain single-window plan.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -25,7 +26,11 @@ from plumbline.functions.exprs import number, q
 from plumbline.session import materialize
 
 TASK_ROWS = "plumbline.task.rows"
+CELL_ROWS = "plumbline.cell.rows"
 MAX_PARTS = 4096
+SMALL_ROWS = 20_000
+SAMPLE_ROWS = 250_000
+BRACKET = 0.006
 
 
 def task_rows(df: DataFrame) -> int:
@@ -33,10 +38,16 @@ def task_rows(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, rows: int) -> int:
-    """Number of pieces so that one piece fits one task."""
+    """Number of ranges so that one range fits one task."""
     return max(1, min(MAX_PARTS, -(-rows // max(1, task_rows(df)))))
 
 
+def cells_for(df: DataFrame, rows: int) -> int:
+    """Number of cells of a column; cells are only counted at first, so they can be finer than ranges."""
+    size = int(df.sparkSession.conf.get(CELL_ROWS, "100000"))
+    return max(1, min(MAX_PARTS, -(-rows // max(1, min(size, task_rows(df))))))
+
+
 def join_null_safe(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hint: bool = False
 ) -> DataFrame:
@@ -48,9 +59,23 @@ def join_null_safe(
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
+def _numbered(cols: Sequence[str], **fields) -> Column:
+    """One struct per column with its number and the given fields; numbers group faster than names."""
+    return F.array(*[F.struct(F.lit(i).alias("column"), *[fn(i).alias(n) for n, fn in fields.items()]) for i in range(len(cols))])
+
+
+def column_name(cols: Sequence[str]) -> Column:
+    """The column name for a column number."""
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("column") + 1)
+
+
+def named(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.withColumn("column", column_name(cols))
+
+
 def long_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), value=number) -> DataFrame:
-    """``(by..., column, value)`` without missing values."""
-    entries = F.array(*[F.struct(F.lit(c).alias("column"), value(df, c).alias("value")) for c in cols])
+    """``(by..., column, value)`` without missing values; ``column`` is the position in ``cols``."""
+    entries = _numbered(cols, value=lambda i: value(df, cols[i]))
     return df.select(*[q(b) for b in by], F.inline(entries)).filter(F.col("value").isNotNull())
 
 
@@ -74,7 +99,7 @@ def cell_bounds(df: DataFrame, cols: Sequence[str], parts: int, rows: int, value
 def long_cells(
     df: DataFrame, cols: Sequence[str], bounds: dict[str, list[float]], by: Sequence[str] = (), value=number
 ) -> DataFrame:
-    """``(by..., column, cell, value)``: like ``long_values`` plus the cell number of each value."""
+    """``(by..., column, cell, value)``: ``long_values`` plus the cell number of each value."""
     ids = range(len(cols))
     wide = df.select(*[q(b) for b in by], *[value(df, c).alias(f"__v{i}") for i, c in enumerate(cols)])
     wide = Bucketizer(
@@ -83,14 +108,7 @@ def long_cells(
         outputCols=[f"__c{i}" for i in ids],
         handleInvalid="keep",
     ).transform(wide)
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"), F.col(f"__c{i}").cast("int").alias("cell"), F.col(f"__v{i}").alias("value")
-            )
-            for i, c in enumerate(cols)
-        ]
-    )
+    entries = _numbered(cols, cell=lambda i: F.col(f"__c{i}").cast("int"), value=lambda i: F.col(f"__v{i}"))
     return wide.select(*[q(b) for b in by], F.inline(entries)).filter(F.col("value").isNotNull())
 
 
@@ -110,7 +128,7 @@ def order_statistics(
     ``ranks`` pairs a label with a function from the number of values to the wanted rank.
     """
     rows = df.count() if rows is None else rows
-    parts = parts_for(df, rows)
+    parts = cells_for(df, rows)
     keys = [*by, "column"]
     labels = F.array(
         *[F.struct(F.lit(name).alias("label"), fn(F.col("n")).cast("long").alias("rank")) for name, fn in ranks]
@@ -122,7 +140,7 @@ def order_statistics(
         counts = counts.select("*", F.sum("cnt").over(w).alias("n"), F.sum("cnt").over(upto).alias("upto"))
         hits = counts.select("*", F.inline(labels))
         hits = hits.filter((F.col("rank") >= F.col("upto") - F.col("cnt")) & (F.col("rank") < F.col("upto")))
-        return hits.select(*keys, "label", "n", "rank", "value")
+        return named(hits.select(*keys, "label", "n", "rank", "value"), cols)
 
     cells = long_cells(df, cols, cell_bounds(df, cols, parts, rows, value), by, value)
     w = Window.partitionBy(*keys)
@@ -146,7 +164,7 @@ def order_statistics(
     hits = join_null_safe(counts, wanted, cell_keys)
     upto = F.col("before") + F.col("upto")
     hits = hits.filter((F.col("rank") >= upto - F.col("cnt")) & (F.col("rank") < upto))
-    return hits.select(*[q(k) for k in keys], "label", "n", "rank", "value")
+    return named(hits.select(*[q(k) for k in keys], "label", "n", "rank", "value"), cols)
 
 
 def quantile_table(
@@ -159,8 +177,10 @@ def quantile_table(
 ) -> DataFrame:
     """Exact interpolated quantiles: ``(by..., column, quantiles array<double>)`` in the order of ``probs``."""
     rows = df.count() if rows is None else rows
-    keys = [*by, "column"]
-    if parts_for(df, rows) == 1:
+    if not by:
+        found = quantiles(df, cols, probs, value, rows)
+        return df.sparkSession.createDataFrame([(c, found[c]) for c in cols], "column string, quantiles array<double>")
+    if rows <= SMALL_ROWS:
         entries = F.array(
             *[
                 F.struct(
@@ -169,8 +189,12 @@ def quantile_table(
                 for c in cols
             ]
         )
-        grouped = df.groupBy(*[q(b) for b in by]).agg(entries.alias("__t")) if by else df.agg(entries.alias("__t"))
-        return grouped.select(*[q(b) for b in by], F.inline("__t"))
+        return df.groupBy(*[q(b) for b in by]).agg(entries.alias("__t")).select(*[q(b) for b in by], F.inline("__t"))
+    return _quantiles_by_cells(df, cols, probs, by, value, rows)
+
+
+def _quantiles_by_cells(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str], value, rows: int) -> DataFrame:
+    """``quantile_table`` from order statistics."""
 
     def low(p):
         return lambda n: F.floor(F.lit(float(p)) * (n - 1))
@@ -189,19 +213,92 @@ def quantile_table(
         return pos - F.floor(pos)
 
     parts = [at(f"{i}l") + frac(p) * (at(f"{i}h") - at(f"{i}l")) for i, p in enumerate(probs)]
-    return stats.groupBy(*keys).agg(F.array(*parts).alias("quantiles"))
+    return stats.groupBy(*[q(b) for b in by], "column").agg(F.array(*parts).alias("quantiles"))
 
 
 def quantiles(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], value=number, rows: int | None = None
 ) -> dict[str, list[float | None]]:
-    """Exact quantiles of whole columns as plain numbers (columns x probs of them), for use as literals."""
+    """Exact quantiles of whole columns as plain numbers (columns x probs of them), for use as literals.
+
+    A seeded sample gives a narrow bracket around each wanted value, one aggregation counts the rows
+    below and inside the brackets, and only rows inside are looked at. A bracket that misses or holds
+    too much is replaced by the cell search, so the sample never decides the result.
+    """
     if not cols:
         return {}
-    table = quantile_table(df, cols, probs, value=value, rows=rows)
-    found = {r["column"]: list(r["quantiles"] or []) for r in table.collect()}
-    blank = [None] * len(probs)
-    return {c: found.get(c) or list(blank) for c in cols}
+    rows = df.count() if rows is None else rows
+    if rows <= SMALL_ROWS:
+        entries = [F.percentile(value(df, c), F.lit(list(map(float, probs)))).alias(f"q{i}") for i, c in enumerate(cols)]
+        row = df.agg(*entries).first()
+        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
+
+    ids = range(len(cols))
+    wide = df.select(*[value(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
+    share = min(1.0, SAMPLE_ROWS / rows)
+    drawn = wide if share >= 1.0 else wide.sample(fraction=share, seed=29)
+    spans = [(max(0.0, p - BRACKET), min(1.0, p + BRACKET)) for p in probs]
+    edges = drawn.agg(*[F.percentile_approx(f"v{i}", [e for s in spans for e in s], 10_000).alias(f"e{i}") for i in ids]).first()
+    brackets = {
+        (i, j): (edges[f"e{i}"][2 * j], edges[f"e{i}"][2 * j + 1]) for i in ids if edges[f"e{i}"] for j in range(len(probs))
+    }
+    tests = [F.count(f"v{i}").alias(f"n{i}") for i in ids]
+    for (i, j), (lo, hi) in brackets.items():
+        v = F.col(f"v{i}")
+        tests.append(F.count_if(v < F.lit(lo)).alias(f"b{i}_{j}"))
+        tests.append(F.count_if((v >= F.lit(lo)) & (v <= F.lit(hi))).alias(f"k{i}_{j}"))
+    sums = wide.agg(*tests).first()
+
+    wanted: dict[tuple[int, int], tuple[int, int, float]] = {}
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    missed: list[int] = []
+    for i in ids:
+        n = sums[f"n{i}"]
+        for j, p in enumerate(probs):
+            if n == 0:
+                continue
+            place = float(p) * (n - 1)
+            low, high = math.floor(place), math.ceil(place)
+            if (i, j) in brackets:
+                (lo, hi), below, inside = brackets[i, j], sums[f"b{i}_{j}"], sums[f"k{i}_{j}"]
+                if below <= low and high < below + inside:
+                    if lo == hi:
+                        out[cols[i]][j] = lo
+                    else:
+                        wanted[i, j] = (low - below, high - below, place - low)
+                    continue
+            missed.append(i)
+    held = sum(sums[f"k{i}_{j}"] for i, j in wanted)
+    if held > task_rows(df):
+        missed += [i for i, _ in wanted]
+        wanted = {}
+    if wanted:
+        marks = list(wanted)
+        hits = F.array(
+            *[
+                F.when(
+                    F.col(f"v{i}").between(F.lit(brackets[i, j][0]), F.lit(brackets[i, j][1])),
+                    F.struct(F.lit(m).alias("mark"), F.col(f"v{i}").alias("value")),
+                )
+                for m, (i, j) in enumerate(marks)
+            ]
+        )
+        inside = wide.select(F.inline(F.array_compact(hits))).groupBy("mark", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        run = Window.partitionBy("mark").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        ranks = F.array(*[F.array(F.lit(wanted[k][0]), F.lit(wanted[k][1])) for k in marks])
+        spot = inside.withColumn("upto", F.sum("cnt").over(run)).withColumn("r", F.explode(F.element_at(ranks, F.col("mark") + 1)))
+        found = spot.filter((F.col("r") >= F.col("upto") - F.col("cnt")) & (F.col("r") < F.col("upto"))).collect()
+        value_at = {(r["mark"], r["r"]): r["value"] for r in found}
+        for m, (i, j) in enumerate(marks):
+            low, high, part = wanted[i, j]
+            a, b = value_at[m, low], value_at[m, high]
+            out[cols[i]][j] = a + part * (b - a)
+    if missed:
+        names = [f"v{i}" for i in sorted(set(missed))]
+        table = _quantiles_by_cells(wide, names, probs, (), number, rows)
+        for r in table.collect():
+            out[cols[int(r["column"][1:])]] = list(r["quantiles"])
+    return out
 
 
 def split_ranges(df: DataFrame, order: Sequence[str], rows: int) -> tuple[DataFrame, bool]:

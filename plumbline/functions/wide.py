@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.exprs import q, value_of
+from plumbline.functions.exprs import field_type, q, value_of
 
 MAX_AGGREGATES = 120
 
@@ -74,6 +74,33 @@ def spread_lookup(df: DataFrame, key: str, table: DataFrame, heavy: Sequence, sa
     return left.join(right, [key, "__salt"], "left").drop("__salt")
 
 
+def distinct_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, distinct_values)`` without missing values, exact.
+
+    Columns are put in long form by kind of value (numbers, text, ...), so that a distinct pass keys on
+    a column number and one value instead of a row as wide as the table.
+    """
+    kinds: dict[str, list[int]] = {}
+    for i, c in enumerate(columns):
+        kind = field_type(df, c)
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            name = "bigint"
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            name = "double"
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType, T.DecimalType, T.BooleanType)):
+            name = kind.simpleString()
+        else:
+            name = "string"
+        kinds.setdefault(name, []).append(i)
+    frames = []
+    for name, ids in kinds.items():
+        entries = F.array(*[F.struct(F.lit(i).alias("i"), value_of(df, columns[i]).cast(name).alias("v")) for i in ids])
+        kinds_of = df.select(F.inline(entries)).filter(F.col("v").isNotNull()).distinct()
+        frames.append(kinds_of.groupBy("i").agg(F.count(F.lit(1)).alias("d")))
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    return union_all(frames).select(names.alias("column"), F.col("d").alias("distinct_values"))
+
+
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """Each distinct row once with its number of copies; maps are compared by their JSON text."""
     cols = [

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.functions.exprs import field_type, finite, missing, number, numeric_columns, q, value_of
-from plumbline.functions.ranges import cell_bounds, long_cells, join_null_safe, long_values, parts_for
-from plumbline.functions.wide import column_table, level_counts
+from plumbline.functions.ranges import cell_bounds, cells_for, join_null_safe, long_cells, long_values, named
+from plumbline.functions.wide import column_table, distinct_table, level_counts
 from plumbline.operators.profile import column_facts
 from plumbline.operators.select import common_columns, likely_ids
 from plumbline.sources.tables import fingerprint
@@ -129,7 +129,7 @@ def ks_statistics(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = No
         return spark.createDataFrame([], "column string, n_a long, n_b long, ks_stat double, ks_p double")
     both = _sides(a, b, columns)
     rows = a.count() + b.count() if rows is None else rows
-    parts = parts_for(both, rows)
+    parts = cells_for(both, rows)
     in_a, in_b = F.count_if(~F.col("side")), F.count_if("side")
     w = Window.partitionBy("column")
 
@@ -178,7 +178,7 @@ def ks_statistics(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = No
             "column", "n_a", "n_b", F.greatest("coarse", F.coalesce("fine", F.lit(0.0))).alias("ks_stat")
         )
     enough = (F.col("n_a") >= LEAST_VALUES) & (F.col("n_b") >= LEAST_VALUES)
-    return stats.filter(enough).withColumn("ks_p", ks_p_value(F.col("ks_stat"), F.col("n_a"), F.col("n_b")))
+    return named(stats.filter(enough), columns).withColumn("ks_p", ks_p_value(F.col("ks_stat"), F.col("n_a"), F.col("n_b")))
 
 
 def category_shift(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -213,10 +213,12 @@ def distinct_counts(a: DataFrame, b: DataFrame, columns: Sequence[str] | None =
     """``(column, distinct_a, distinct_b)``; nested cells count by their JSON text."""
     columns = list(columns or common_columns(a, b)[0])
 
-    def side(df, name):
-        return column_table(df, [[F.lit(c).alias("column"), F.count_distinct(value_of(df, c)).alias(name)] for c in columns])
-
-    return side(a, "distinct_a").join(F.broadcast(side(b, "distinct_b")), "column")
+    names = a.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    out = names
+    for df, name in ((a, "distinct_a"), (b, "distinct_b")):
+        found = distinct_table(df, columns).withColumnRenamed("distinct_values", name)
+        out = out.join(F.broadcast(found), "column", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
 
 
 def drift_report(a: DataFrame, b: DataFrame) -> DataFrame:

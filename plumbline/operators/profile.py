@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.exprs import missing, number, numeric_columns, present, q, total, value_of
 from plumbline.functions.ranges import quantile_table
-from plumbline.functions.wide import column_table, duplicate_counts, union_all
+from plumbline.functions.wide import column_table, distinct_table, duplicate_counts, union_all
 
 
 def hygiene_index(df: DataFrame, digest: bool = False) -> DataFrame:
@@ -63,11 +63,9 @@ def hygiene_band(column: str = "hygiene_index") -> F.Column:
 
 def column_facts(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """``(position, column, data_type, rows, non_null, missing, distinct_values)``; the base of all profiles."""
-    count = F.approx_count_distinct if approx else F.count_distinct
+    fields = [(i, f) for i, f in enumerate(df.schema.fields, 1) if columns is None or f.name in columns]
     entries = []
-    for i, f in enumerate(df.schema.fields, 1):
-        if columns is not None and f.name not in columns:
-            continue
+    for i, f in fields:
         n = F.count_if(present(df, f.name))
         entries.append(
             [
@@ -77,10 +75,16 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
                 F.count(F.lit(1)).alias("rows"),
                 n.alias("non_null"),
                 (F.count(F.lit(1)) - n).alias("missing"),
-                count(value_of(df, f.name)).alias("distinct_values"),
+                *([F.approx_count_distinct(value_of(df, f.name)).alias("distinct_values")] if approx else []),
             ]
         )
-    return column_table(df, entries)
+    table = column_table(df, entries)
+    if approx:
+        return table
+    # one row per column on both sides
+    distinct = distinct_table(df, [f.name for _, f in fields])
+    joined = table.join(F.broadcast(distinct), "column", "left")
+    return joined.select(*[c for c in table.columns], F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"))
 
 
 def _missing_pct():
