@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from plumbline.functions.exprs import number, q
+from plumbline.functions.exprs import any_of, number, q
 from plumbline.session import materialize
 
 TASK_ROWS = "plumbline.task.rows"
 CELL_ROWS = "plumbline.cell.rows"
 MAX_PARTS = 4096
 SMALL_ROWS = 20_000
-SAMPLE_ROWS = 250_000
+SAMPLE_ROWS = 120_000
 BRACKET = 0.006
 
 
@@ -238,7 +238,7 @@ def quantiles(
     share = min(1.0, SAMPLE_ROWS / rows)
     drawn = wide if share >= 1.0 else wide.sample(fraction=share, seed=29)
     spans = [(max(0.0, p - BRACKET), min(1.0, p + BRACKET)) for p in probs]
-    edges = drawn.agg(*[F.percentile_approx(f"v{i}", [e for s in spans for e in s], 10_000).alias(f"e{i}") for i in ids]).first()
+    edges = drawn.agg(*[F.percentile_approx(f"v{i}", [e for s in spans for e in s], 3_000).alias(f"e{i}") for i in ids]).first()
     brackets = {
         (i, j): (edges[f"e{i}"][2 * j], edges[f"e{i}"][2 * j + 1]) for i in ids if edges[f"e{i}"] for j in range(len(probs))
     }
@@ -283,7 +283,8 @@ def quantiles(
                 for m, (i, j) in enumerate(marks)
             ]
         )
-        inside = wide.select(F.inline(F.array_compact(hits))).groupBy("mark", "value").agg(F.count(F.lit(1)).alias("cnt"))
+        near = any_of([F.col(f"v{i}").between(F.lit(brackets[i, j][0]), F.lit(brackets[i, j][1])) for i, j in marks])
+        inside = wide.filter(near).select(F.inline(F.array_compact(hits))).groupBy("mark", "value").agg(F.count(F.lit(1)).alias("cnt"))
         run = Window.partitionBy("mark").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         ranks = F.array(*[F.array(F.lit(wanted[k][0]), F.lit(wanted[k][1])) for k in marks])
         spot = inside.withColumn("upto", F.sum("cnt").over(run)).withColumn("r", F.explode(F.element_at(ranks, F.col("mark") + 1)))

@@ -127,7 +127,7 @@ def threshold_metrics(
     f1, f0 = _f1(p1, r1), _f1(p0, r0)
     # a class that is neither present nor predicted does not enter the macro mean
     in1, in0 = ((tp + fp + fn) > 0).cast("int"), ((tn + fp + fn) > 0).cast("int")
-    root = F.sqrt(tp + fp) * F.sqrt(pos) * F.sqrt(neg) * F.sqrt(tn + fn)
+    root = F.sqrt((tp + fp) * pos) * F.sqrt(neg * (tn + fn))
     return table.select(
         "threshold",
         "tp",

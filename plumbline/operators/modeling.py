@@ -216,7 +216,8 @@ def make_classifier(name: str, classes: int, rows: int, seed: int = 42, **params
     raise ValueError(f"unknown classification model {name!r}; choose from {', '.join(CLASSIFIERS)}")
 
 
-def make_regressor(name: str, rows: int, seed: int = 42, **params):
+def make_regressor(name: str, rows: int, label_std: float = 1.0, seed: int = 42, **params):
+    """The estimator for a model name; options override its settings."""
     common = {"featuresCol": "features", "labelCol": "__label"}
     if name == "Random Forest":
         base = {"numTrees": 100, "maxDepth": 15, "minInstancesPerNode": 2, "seed": seed}
@@ -225,7 +226,8 @@ def make_regressor(name: str, rows: int, seed: int = 42, **params):
         base = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": seed}
         return mlr.GBTRegressor(**{**common, **base, **params})
     if name == "Ridge Regression":
-        base = {"regParam": 1.0 / rows, "elasticNetParam": 0.0, "standardization": False}
+        # MLlib divides the penalty by the label's deviation, so that a unit penalty on summed squares is:
+        base = {"regParam": label_std / rows, "elasticNetParam": 0.0, "standardization": False}
         return mlr.LinearRegression(**{**common, **base, **params})
     if name in ("Linear Regression", "Default"):
         return mlr.LinearRegression(**{**common, "regParam": 0.0, **params})
@@ -264,7 +266,8 @@ def fit_model(train: DataFrame, target: str, features: Sequence[str], model: str
         if problem == "Classification":
             fitted = make_classifier(model, len(classes), rows, seed, **params).fit(ready)
         else:
-            fitted = make_regressor(model, rows, seed, **params).fit(ready)
+            spread = ready.agg(F.stddev_pop("__label")).first()[0] or 1.0
+            fitted = make_regressor(model, rows, spread, seed, **params).fit(ready)
     finally:
         ready.unpersist()
     return PipelineModel([*stages, fitted]), feature_names(stages, numeric, categorical)

@@ -144,7 +144,9 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def _bounded_r(cov: Column, sx: Column, sy: Column) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(cov, sx * sy)))
+    r = F.try_divide(cov, sx * sy)
+    # least and greatest skip nulls, so an undefined correlation must be kept apart
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

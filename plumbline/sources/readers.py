@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.exprs import any_of, q
+from plumbline.functions.exprs import any_of, q, text_columns
 from plumbline.sources.delimited import detect_delimiter, read_lines
 from plumbline.sources.markup import read_xml
-from plumbline.sources.names import flatten, normalize_columns, serialize_nested
+from plumbline.sources.names import flatten, normalize_columns, serialize_nested, unique_names
 
 # File endings and the reader each one takes.
 FORMATS = {
@@ -29,7 +29,10 @@ FORMATS = {
     ".sql": "text",
 }
 # Encodings tried in this order (a byte order mark is stripped by the reader).
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+ENCODINGS = ("UTF-8", "windows-1252")
+# Spark reads ISO-8859-1, of which windows-1252 differs only in these positions.
+_WESTERN = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+_WESTERN = {k: v for k, v in _WESTERN.items() if v}
 
 
 def load_table(
@@ -58,8 +61,7 @@ def load_table(
 def choose_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line does not decode as UTF-8; then the western single-byte code page."""
     lines = spark.read.text(path)
-    broken = lines.filter(F.col("value").contains("�")).limit(1).count()
-    return ENCODINGS[1] if broken else ENCODINGS[0]
+    return ENCODINGS[0] if lines.filter(~F.is_valid_utf8("value")).isEmpty() else ENCODINGS[1]
 
 
 def read_delimited(
@@ -77,23 +79,21 @@ def read_delimited(
         if len(found) > 1:
             raise ValueError(f"the files under {path!r} use different separators: {sorted(found)}; read them one by one")
         sep = found.pop() if found else ","
-    base = {"sep": sep, "encoding": encoding, "quote": '"', "escape": '"', **options}
+    western = encoding.lower() in ("windows-1252", "cp1252")
+    base = {"sep": sep, "encoding": "ISO-8859-1" if western else encoding, "quote": '"', "escape": '"', **options}
     # Names are taken from a headerless look at the first line: the reader itself would rename repeats.
     head = spark.read.options(**base).option("header", False).csv(path).limit(1).collect()
     if not head:
         return spark.createDataFrame([], T.StructType([]))
-    names = [(v or "").lstrip("﻿") for v in head[0]]
-    reader = spark.read.options(**base).option("header", True).option("enforceSchema", True)
-    if schema is not None:
-        df = reader.schema(schema).csv(path)
-    else:
-        df = reader.option("inferSchema", True).csv(path)
-    return df.toDF(*names) if len(set(names)) == len(df.columns) else normalize_columns(_rename(df, names))
-
-
-def _rename(df: DataFrame, names: list[str]) -> DataFrame:
-    from plumbline.sources.names import unique_names
-
+    names = [(v or "").lstrip("\ufeff") for v in head[0]]
+    reader = spark.read.options(**base).option("header", True)
+    reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
+    df = reader.csv(path)
+    if western:
+        names = ["".join(_WESTERN.get(ch, ch) for ch in n) for n in names]
+        old, new = "".join(_WESTERN), "".join(_WESTERN.values())
+        texts = set(text_columns(df))
+        df = df.select(*[F.translate(q(c), old, new).alias(c) if c in texts else q(c) for c in df.columns])
     return df.toDF(*unique_names(names))
 
 

@@ -1,0 +1,192 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline import score as job
+from plumbline.operators import metrics as mx
+from plumbline.operators import modeling as ml
+from plumbline.operators import splits as sp
+from tests.conftest import rows
+
+QUICK = {"numTrees": 5, "maxDepth": 4}
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    r = random.Random(42)
+    data = []
+    for i in range(120):
+        f1, f2 = r.gauss(0, 1), r.gauss(0, 1)
+        data.append((i, f1 if i % 20 else None, f2, r.choice(["US", "UK", None]), int(f1 + 0.3 * f2 > 0), 3 * f1 - f2 + 1))
+    return spark.createDataFrame(data, "id long, f1 double, f2 double, country string, target int, y double").cache()
+
+
+def test_perfect_threshold(spark):
+    df = spark.createDataFrame([("No", 0.1), ("No", 0.4), ("Yes", 0.6), ("Yes", 0.8)], "label string, probability double")
+    r = mx.threshold_metrics(df, "Yes", thresholds=[0.5]).first()
+    assert (r["accuracy"], r["mcc"], r["positive_support"]) == (1.0, 1.0, 2)
+
+
+def test_threshold_with_an_empty_cell(spark):
+    df = spark.createDataFrame([(0, 0.1), (0, 0.2), (0, 0.3), (0, 0.7), (1, 0.9)], "label int, probability double")
+    high, low = mx.threshold_metrics(df, "1", thresholds=[0.8, 0.2]).orderBy(F.desc("threshold")).collect()
+    assert high["mcc"] == pytest.approx(1.0) and low["mcc"] == pytest.approx(0.25)
+    none = mx.threshold_metrics(df, "1", thresholds=[0.95]).first()
+    assert none["mcc"] == 0.0 and none["positive_precision"] == 0.0
+    single = spark.createDataFrame([(1, 0.9)], "label int, probability double")
+    assert mx.threshold_metrics(single, "1", thresholds=[0.5]).first()["f1_macro"] == 1.0
+
+
+def test_positive_class_by_name():
+    assert mx.positive_class(["Yes", "No"]) == "Yes" and mx.positive_class(["a", "b"]) == "b"
+    assert mx.positive_class(["a", "b", "c"]) is None
+    assert (mx.baseline_verdict(0.6, 0.7), mx.baseline_verdict(0.81, 0.8), mx.baseline_verdict(0.6, 0.5)) == ("below", "parity", "above")
+
+
+def test_confusion_ignores_other_levels(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("z", "a")], "label string, prediction string")
+    got = {(r["actual"], r["predicted"]): r["count"] for r in mx.confusion_matrix(df, ["a", "b"]).collect()}
+    assert got == {("a", "a"): 1, ("a", "b"): 1, ("b", "a"): 0, ("b", "b"): 0}
+
+
+def test_split_sizes(spark, split_small):
+    df = spark.range(203).withColumn("k", F.when(F.col("id") % 5 == 0, "rare").otherwise("common"))
+    assert sp.random_split(df, ["id"], 0.2).filter("is_test").count() == 41
+    parted, warning = sp.stratified_split(df, "k", ["id"], 0.2)
+    assert warning is None
+    sizes = {r["k"]: r["count"] for r in parted.filter("is_test").groupBy("k").count().collect()}
+    assert sum(sizes.values()) == 41 and sizes == sp.stratified_sizes({"rare": 41, "common": 162}, 0.2)
+    alone = spark.range(10).withColumn("k", (F.col("id") == 0).cast("string"))
+    assert "smallest class 1" in sp.stratified_split(alone, "k", ["id"], 0.2)[1]
+
+
+def test_folds_are_even(spark, split_small):
+    df = spark.range(203).withColumn("k", (F.col("id") % 5 == 0).cast("string"))
+    sizes = [r["count"] for r in sp.add_folds(df, 5, ["id"]).groupBy("fold").count().collect()]
+    assert len(sizes) == 5 and sum(sizes) == 203 and max(sizes) - min(sizes) <= 1
+    per = sp.add_folds(df, 4, ["id"], stratify="k").groupBy("k", "fold").count().collect()
+    for k in ("true", "false"):
+        found = [r["count"] for r in per if r["k"] == k]
+        assert len(found) == 4 and max(found) - min(found) <= 1
+
+
+def test_time_split_and_folds_follow_the_clock(spark, split_small):
+    df = spark.range(60).withColumn("t", F.timestamp_seconds(F.col("id") % 7))
+    parted = sp.chronological_split(df, ["id"], 0.25)
+    order = sorted(range(60), key=lambda i: (i % 7, i))
+    assert {r["id"] for r in parted.filter("is_test").collect()} == set(order[45:])
+    folds = {r["id"]: r["fold"] for r in sp.add_time_folds(df, 5, ["id"]).collect()}
+    assert [folds[i] for i in order] == [f for f in range(6) for _ in range(10)]
+    with pytest.raises(ValueError, match="date column"):
+        sp.chronological_split(spark.range(5), ["id"])
+
+
+@pytest.mark.parametrize(
+    "change,message",
+    [
+        ({"target": "none"}, "target column not found"),
+        ({"features": []}, "at least one feature"),
+        ({"features": ["target"]}, "leak"),
+        ({"features": ["zz"]}, "feature columns not found"),
+        ({"problem": "Other"}, "problem type"),
+        ({"target": "country", "problem": "Regression"}, "only numbers"),
+    ],
+)
+def test_training_requests_are_checked(table, change, message):
+    args = {"target": "target", "features": ["f1"], "problem": "Classification", **change}
+    with pytest.raises(ValueError, match=message):
+        ml.validate_training(table, args["target"], args["features"], args["problem"])
+
+
+def test_more_request_checks(spark, table):
+    with pytest.raises(ValueError, match="infinite"):
+        ml.validate_training(table.withColumn("f1", F.lit(float("inf"))), "target", ["f1"], "Classification")
+    with pytest.raises(ValueError, match="two classes"):
+        ml.validate_training(table.withColumn("target", F.lit(1)), "target", ["f1"], "Classification")
+    with pytest.raises(ValueError, match="unknown classification model"):
+        ml.make_classifier("Magic", 2, 10)
+    with pytest.raises(ValueError, match="cells"):
+        ml.check_width(table, ["f1", "country"], 10)
+
+
+def test_preprocessing_is_learned_from_training_rows(spark):
+    train = spark.createDataFrame([(1.0, "a"), (3.0, "a"), (None, "b")], "x double, c string")
+    stages = ml.fit_preprocessor(train, ["x"], ["c"])
+    new = spark.createDataFrame([(None, "z"), (2.0, None)], "x double, c string")
+    out = ml.PipelineModel(stages).transform(new).select(ml.vector_to_array("features").alias("f")).collect()
+    assert out[0]["f"] == pytest.approx([0.0, 0.0, 0.0])  # median is the mean here; unseen level is all zeros
+    assert out[1]["f"] == pytest.approx([0.0, 1.0, 0.0])  # a gap takes the most frequent level
+
+
+def test_quotes_in_levels_and_names(spark):
+    train = spark.createDataFrame([(1.0, "it's \\ odd")] * 3 + [(2.0, None)], "`x y` double, `c.d` string")
+    out = ml.PipelineModel(ml.fit_preprocessor(train, ["x y"], ["c.d"])).transform(train)
+    assert [r[0][1] for r in out.select(ml.vector_to_array("features")).collect()] == [1.0] * 4
+
+
+def test_classifier_end_to_end(spark, table, tmp_path):
+    trained = ml.train_model(table, "target", ["f1", "f2", "country"], "Logistic Regression", "Classification", ["id"])
+    s = trained.scores
+    assert s["accuracy"] > s["baseline_accuracy"] and s["verdict"] == "above"
+    assert s["cv_folds"] == 5 and 0.5 < s["cv_accuracy_mean"] <= 1 and s["train_rows"] + s["test_rows"] == 120
+    assert trained.out_of_fold.count() == s["train_rows"] == trained.out_of_fold.select("id").distinct().count()
+    assert {r["source"] for r in ml.grouped_importances(trained.importances).collect()} == {"f1", "f2", "country"}
+    assert 0.05 <= ml.tune_threshold(trained) <= 0.95
+
+    path = ml.save_model(trained, str(tmp_path / "models" / "m1"))
+    loaded = ml.load_model(spark, path)
+    assert loaded.contract["classes"] == ["0", "1"] and loaded.contract["positive_class"] == "1"
+    assert rows(ml.score(loaded, table).select("id", "prediction")) == rows(ml.score(trained, table).select("id", "prediction"))
+    assert ml.list_models(spark, str(tmp_path / "models")).first()["model"] == "Logistic Regression"
+    few, many = (ml.score(loaded, table, t).filter("prediction = '1'").count() for t in (0.95, 0.10))
+    assert few < many
+
+    odd = table.withColumn("country", F.lit("FR")).withColumn("prediction", F.lit("mine"))
+    scored = ml.score(loaded, odd)
+    assert {"prediction", "prediction_2", "probability"} <= set(scored.columns)
+    drift = ml.category_drift_from_contract(loaded, odd).first()
+    assert (drift["column"], drift["unseen_levels"], drift["unseen_rows"]) == ("country", 1, 120)
+    with pytest.raises(ValueError, match="lacks features"):
+        ml.score(loaded, table.drop("f2"))
+    with pytest.raises(ValueError, match="not a number"):
+        ml.score(loaded, table.withColumn("f1", F.lit("NOT_A_NUMBER")))
+    text = ml.score(loaded, table.withColumn("f1", F.col("f1").cast("string")))
+    assert dict(text.dtypes)["f1"] == "string" and text.count() == 120
+
+    table.limit(20).write.parquet(str(tmp_path / "in.parquet"))
+    job.main(["--model", path, "--input", str(tmp_path / "in.parquet"), "--output", str(tmp_path / "out.csv"), "--threshold", "0.4"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "out.csv")).count() == 20
+
+    part = next((tmp_path / "models" / "m1" / "pipe").rglob("part-*"))
+    part.write_bytes(part.read_bytes() + b" ")
+    crc = part.with_name(f".{part.name}.crc")
+    crc.rename(crc.with_name("unused"))
+    with pytest.raises(ValueError, match="checksums"):
+        ml.load_model(spark, path)
+
+
+def test_regressor_and_time_folds(spark, table):
+    timed = table.withColumn("t", F.timestamp_seconds(F.col("id") * 3600))
+    trained = ml.train_model(timed, "y", ["f1", "f2", "t"], "Linear Regression", "Regression", ["id"], chronological=True)
+    assert trained.scores["r2"] > trained.scores["baseline_r2"] and trained.scores["cv_strategy"] == "time blocks"
+    assert trained.folds.count() == 5 and trained.test.agg(F.min("id")).first()[0] == 96
+
+
+def test_ridge_matches_its_closed_form(spark):
+    data = [(float(i), 2.0 * i + (i % 3)) for i in range(30)]
+    df = spark.createDataFrame(data, "x double, y double")
+    pipe, _ = ml.fit_model(df, "y", ["x"], "Ridge Regression", "Regression")
+    n, mx_, my = 30, sum(x for x, _ in data) / 30, sum(y for _, y in data) / 30
+    sd = (sum((x - mx_) ** 2 for x, _ in data) / n) ** 0.5
+    beta = sum((x - mx_) / sd * (y - my) for x, y in data) / (n + 1.0)
+    assert pipe.stages[-1].coefficients[0] == pytest.approx(beta, rel=1e-6)
+
+
+@pytest.mark.parametrize("name", ["Random Forest", "Decision Tree", "Gradient Boosting"])
+def test_tree_classifiers_with_three_classes(spark, table, name):
+    params = {"Random Forest": QUICK, "Decision Tree": {"maxDepth": 4}, "Gradient Boosting": {"maxIter": 3}}[name]
+    three = table.withColumn("k", F.when(F.col("y") < 0, "low").when(F.col("y") < 2, "mid").otherwise("high"))
+    trained = ml.train_model(three, "k", ["f1", "f2"], name, "Classification", ["id"], validate=False, **params)
+    assert trained.scores["accuracy"] > 0.6 and trained.contract["positive_class"] is None
+    assert ml.score(trained, three).filter("prediction IN ('low', 'mid', 'high')").count() == 120
