@@ -27,7 +27,8 @@ from plumbline.session import materialize
 
 TASK_ROWS = "plumbline.task.rows"
 CELL_ROWS = "plumbline.cell.rows"
-MAX_PARTS = 4096
+MAX_RANGES = 50_000
+MAX_CELLS = 20_000
 SMALL_ROWS = 20_000
 SAMPLE_ROWS = 120_000
 BRACKET = 0.006
@@ -39,13 +40,13 @@ def task_rows(df: DataFrame) -> int:
 
 def parts_for(df: DataFrame, rows: int) -> int:
     """Number of ranges so that one range fits one task."""
-    return max(1, min(MAX_PARTS, -(-rows // max(1, task_rows(df)))))
+    return max(1, min(MAX_RANGES, -(-rows // max(1, task_rows(df)))))
 
 
 def cells_for(df: DataFrame, rows: int) -> int:
     """Number of cells of a column; cells are only counted at first, so they can be finer than ranges."""
     size = int(df.sparkSession.conf.get(CELL_ROWS, "100000"))
-    return max(1, min(MAX_PARTS, -(-rows // max(1, min(size, task_rows(df))))))
+    return max(1, min(MAX_CELLS, -(-rows // max(1, min(size, task_rows(df))))))
 
 
 def join_null_safe(
@@ -233,6 +234,11 @@ def quantiles(
         row = df.agg(*entries).first()
         return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(cols)}
 
+    if rows * 2 * BRACKET * len(cols) * len(probs) > max(task_rows(df), SMALL_ROWS):
+        # so many rows that even the brackets are too full: search cells right away
+        found = {r["column"]: list(r["quantiles"]) for r in _quantiles_by_cells(df, cols, probs, (), value, rows).collect()}
+        return {c: found.get(c, [None] * len(probs)) for c in cols}
+
     ids = range(len(cols))
     wide = df.select(*[value(df, c).alias(f"v{i}") for i, c in enumerate(cols)])
     share = min(1.0, SAMPLE_ROWS / rows)

@@ -18,8 +18,12 @@ TARGET_NAMES = ("churned", "churn", "target", "label", "is_churned")
 
 
 def _medians(fit: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    found = quantiles(fit, columns, [0.5])
-    return {c: found[c][0] if found[c][0] is not None else 0.0 for c in columns}
+    """Fill value of each column; medians are only worked out for columns with gaps."""
+    counts = fit.agg(F.count(F.lit(1)).alias("rows"), *[F.count(number(fit, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    rows = counts["rows"]
+    gaps = [c for i, c in enumerate(columns) if counts[f"n{i}"] < rows]
+    found = quantiles(fit, gaps, [0.5], rows=rows)
+    return {c: found[c][0] if c in gaps and found[c][0] is not None else 0.0 for c in columns}
 
 
 def scale(df: DataFrame, columns: Sequence[str], method: str = "standard", fit_on: DataFrame | None = None) -> DataFrame:

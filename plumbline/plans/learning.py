@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline import score
 from plumbline.operators import metrics as mx
 from plumbline.operators import modeling as ml
 from plumbline.operators import splits as sp
 from plumbline.plans.registry import query, sql, union_sql
 from plumbline.session import scratch_path
+from plumbline.sources import readers
 
 # predictions made by a plain rule, so that metrics can be checked without a model
 GUESSES = """g AS (SELECT doc_id, CASE quality WHEN 1 THEN 'yes' ELSE 'no' END AS label,
@@ -399,3 +401,12 @@ def _(t):
     trained = ml.train_model(docs, "quality", _FEATURES, "Logistic Regression", "Classification", ["doc_id"], validate=False)
     out = ml.score(trained, docs, threshold=0.7)
     return out.select("doc_id", ((F.col("probability") >= 0.7) == (F.col("prediction") == "yes")).alias("consistent"))
+
+
+@query("m22_scoring_job", sql("SELECT o_orderkey, TRUE AS scored FROM orders", "", "o_orderkey"))
+def _(t):
+    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Ridge Regression", "Regression", ["o_orderkey"], validate=False)
+    model, out = ml.save_model(trained, scratch_path(t.spark, "model")), scratch_path(t.spark, "scored") + ".csv"
+    score.main(["--model", model, "--input", f"{t.folder}/orders.parquet", "--output", out])
+    done = readers.read_delimited(t.spark, out, sep=",", encoding="UTF-8")
+    return done.select("o_orderkey", F.col("prediction").isNotNull().alias("scored"))

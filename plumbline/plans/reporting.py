@@ -46,7 +46,7 @@ def _(t):
 
 
 @query(
-    "r1_outliers",
+    "t15_r1_report_outliers",
     sql(
         f"""SELECT "column", q1, q3, iqr, lower_fence, upper_fence, outliers, outlier_pct FROM ({tukey_sql("lineitem", ("l_quantity", "l_extendedprice", "l_linenumber"), flat=True)})""",
         "q1 q3 iqr lower_fence upper_fence outlier_pct",
