@@ -44,7 +44,10 @@ def parts_for(df: DataFrame, rows: int) -> int:
 
 
 def cells_for(df: DataFrame, rows: int) -> int:
-    """Number of cells of a column; cells are only counted at first, so they can be finer than ranges."""
+    """Number of cells of a column: one where a task can order the rows by itself, else finer than
+    ranges, as cells are only counted at first."""
+    if rows <= task_rows(df):
+        return 1
     size = int(df.sparkSession.conf.get(CELL_ROWS, "100000"))
     return max(1, min(MAX_CELLS, -(-rows // max(1, min(size, task_rows(df))))))
 

@@ -18,6 +18,10 @@ from plumbline.functions.ranges import join_null_safe, quantile_table, quantiles
 from plumbline.functions.wide import column_table, level_counts, spread_lookup, top_of, union_all
 
 
+# more numeric columns than this are correlated through matrix products per batch
+PAIRWISE_COLUMNS = 8
+
+
 def corrected_skew(x: Column) -> Column:
     """Sample skewness with bias correction; null below three values, zero for a constant."""
     n, m2 = F.count(x).cast("double"), F.var_pop(x)
@@ -150,8 +154,13 @@ def _bounded_r(cov: Column, sx: Column, sy: Column) -> Column:
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """``(feature_a, feature_b, i, j, n, r)`` for every pair i < j over pairwise complete rows."""
+    """``(feature_a, feature_b, i, j, n, r)`` for every pair i < j over pairwise complete rows.
+
+    A few columns are plain aggregates per pair; many columns go through block products.
+    """
     columns = list(columns or numeric_columns(df))
+    if len(columns) > PAIRWISE_COLUMNS:
+        return _pearson_by_products(df, columns)
     entries = []
     for (i, a), (j, b) in combinations(enumerate(columns), 2):
         x, y = number(df, a), number(df, b)
@@ -169,6 +178,53 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     return column_table(df, entries)
 
 
+def _pearson_by_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``pearson_pairs`` with one matrix product per Arrow batch instead of an aggregate per pair.
+
+    Each task returns columns x columns sums of its rows, taken around the column means so that no
+    digits are lost; Spark adds them up.
+    """
+    ids = [f"v{i}" for i in range(len(columns))]
+    wide = df.select(*[number(df, c).alias(v) for c, v in zip(columns, ids)])
+    means = wide.agg(*[F.avg(v).alias(v) for v in ids]).first()
+    centre = np.array([0.0 if means[v] is None or not math.isfinite(means[v]) else means[v] for v in ids])
+    upper = np.triu_indices(len(ids), k=1)
+
+    def work(batches):
+        sums = np.zeros((4, len(ids), len(ids)))
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64", na_value=np.nan) - centre
+            here = ~np.isnan(x)
+            x = np.where(here, x, 0.0)
+            mark = here.astype("float64")
+            sums += np.stack([mark.T @ mark, x.T @ mark, (x * x).T @ mark, x.T @ x])
+        n, s, ss, xy = sums
+        i, j = upper
+        yield pd.DataFrame(
+            {"i": i, "j": j, "n": n[i, j], "sx": s[i, j], "sy": s[j, i], "sxx": ss[i, j], "syy": ss[j, i], "sxy": xy[i, j]}
+        )
+
+    parts = wide.mapInPandas(work, "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double")
+    t = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+    def spread(sq, s):
+        # what is left of a constant column is rounding noise, not variance
+        v = F.col("n") * F.col(sq) - F.col(s) * F.col(s)
+        return F.when(v > F.col("n") * F.col(sq) * 1e-12, v)
+
+    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+    r = _bounded_r(cov, F.sqrt(spread("sxx", "sx")), F.sqrt(spread("syy", "sy")))
+    names = F.array(*[F.lit(c) for c in columns])
+    return t.select(
+        F.element_at(names, F.col("i") + 1).alias("feature_a"),
+        F.element_at(names, F.col("j") + 1).alias("feature_b"),
+        "i",
+        "j",
+        F.col("n").cast("long").alias("n"),
+        F.nanvl(r, F.lit(None).cast("double")).alias("r"),
+    )
+
+
 def full_matrix(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Both triangles and the diagonal as ``(feature_a, feature_b, r)``."""
     names = pairs.sparkSession.createDataFrame([(c, c, 1.0) for c in columns], "feature_a string, feature_b string, r double")

@@ -92,6 +92,19 @@ def test_spearman_with_ties_and_gaps(spark, split_small):
         assert p["r"] == pytest.approx(want) and p["n"] == len(both)
 
 
+def test_both_ways_to_correlate_agree(spark, monkeypatch):
+    r = random.Random(8)
+    data = [tuple([None if r.random() < 0.2 else 1e6 + r.gauss(0, 1) for _ in range(4)] + [7.3]) for _ in range(200)]
+    df = spark.createDataFrame(data, "a double, b double, c double, d double, e double").repartition(5)
+    plain = {(x["feature_a"], x["feature_b"]): (x["n"], x["r"]) for x in st.pearson_pairs(df).collect()}
+    monkeypatch.setattr(st, "PAIRWISE_COLUMNS", 2)
+    blocks = {(x["feature_a"], x["feature_b"]): (x["n"], x["r"]) for x in st.pearson_pairs(df).collect()}
+    assert plain.keys() == blocks.keys()
+    for k in plain:
+        assert plain[k][0] == blocks[k][0] and blocks[k][1] == pytest.approx(plain[k][1], abs=1e-7)
+    assert blocks["a", "e"][1] is None
+
+
 def test_vif(spark):
     a, b = gauss(200, seed=1), gauss(200, seed=2)
     df = spark.createDataFrame([(x, y, x + y, 1.0, z) for x, y, z in zip(a, b, gauss(200, seed=3))], "a double, b double, s double, one double, z double")
