@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,7 @@ def hygiene_index(df: DataFrame, digest: bool = False) -> DataFrame:
     return out.withColumn("hygiene_index", (F.col("completeness") + F.col("uniqueness")) / 2)
 
 
-def hygiene_band(column: str = "hygiene_index") -> F.Column:
+def hygiene_band(column: str = "hygiene_index") -> Column:
     """Band of an index value on its 0 to 100 scale."""
     return F.when(F.col(column) < 50, "poor").when(F.col(column) < 80, "fair").otherwise("good")
 
