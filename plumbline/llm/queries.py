@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import quality_rules, token_counts
+from plumbline.llm import decontaminate, packing, quality_rules, token_counts, toxicity, url_templates
 from plumbline.llm.common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,45 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & F.col("kept")).alias("kept"), "quality",
     )
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+#: a page's url ends in the number of the document it shows, whose quality label marks the page
+URL_RULES = (
+    url_templates.Rule("block", "net/"),
+    url_templates.Rule("allow", "example.net/en/"),
+    url_templates.Rule("block", "example.com/de/"),
+    url_templates.Rule("allow", "org/fr/"),
+)
+
+
+@query("op10_url_filters")
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
+    known = pages.select(
+        url_templates.host_of(F.col("url")).alias("host"),
+        url_templates.path_of(F.col("url")).alias("path"),
+    ).withColumn("doc_id", F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1).try_cast("long"))
+    examples = known.join(labels, "doc_id", "left").select("host", "path", "bad")
+    judged = url_templates.judge_urls(pages, examples, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "bad_share")
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    held = toxicity.held_out(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs.filter(~held).join(labels, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

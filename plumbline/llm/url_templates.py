@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower
+from plumbline.llm.common import ascii_lower, staged
 
 #: path segments that are told apart; what lies deeper counts as one wildcard
 DEPTH = 4
@@ -84,7 +84,8 @@ def templates(examples: DataFrame, depth: int = DEPTH) -> DataFrame:
     tree = shaped.groupBy("host", *names).agg(
         F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad")
     )
-    tree = tree.withColumn("template", F.lit(""))
+    # small tables, written at every level: each level reads its own twice
+    tree = staged(tree.withColumn("template", F.lit("")), "url-tree")
     totals = [F.sum(c).alias(c) for c in ("n", "labelled", "bad")]
     for name in names:
         child = tree.filter(F.col(name).isNotNull()).groupBy("host", "template", name).agg(*totals)
@@ -106,6 +107,7 @@ def templates(examples: DataFrame, depth: int = DEPTH) -> DataFrame:
             .withColumn("template", F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")))
             .drop("branch")
         )
+        tree = staged(tree, "url-tree")
     overall = examples.agg(F.avg(F.col("bad").cast("double"))).first()[0]  # one number
     hosts = tree.groupBy("host").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l"))
     hosts = hosts.select("host", ((F.col("b") + PRIOR * (0.5 if overall is None else overall)) / (F.col("l") + PRIOR)).alias("host_share"))
