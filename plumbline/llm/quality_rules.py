@@ -83,41 +83,52 @@ class Rule:
     good: str
 
 
-#: the production rules, over the measured columns
+#: the production rules, over the measured columns; each looks at another kind of defect, so that votes are
+#: about independent given the class, as the estimate assumes
 RULES = (
     Rule("length", "n_words < 50", "n_words >= 100"),
     Rule("symbols", "n_symbols * 10 > n_words", "n_symbols * 50 <= n_words"),
-    Rule("repeated_lines", "n_lines > 3 and n_dup_lines * 10 > n_lines * 3", "n_lines > 3 and n_dup_lines * 10 <= n_lines"),
-    Rule("repeated_words", "n_repeat_words * 3 > n_words", "n_words >= 50 and n_repeat_words * 5 <= n_words"),
-    Rule("capitals", "n_upper * 10 > word_chars * 3", "n_upper * 10 <= word_chars"),
-    Rule("shouting", "n_marks * 10 > n_words", "n_marks * 100 <= n_words"),
+    Rule(
+        "repetition",
+        "n_repeat_words * 5 > n_words * 2 or (n_lines > 3 and n_dup_lines * 10 > n_lines * 3)"
+        " or (n_words between 50 and 2000 and n_distinct_words * 6 < n_words)",
+        "n_repeat_words * 5 <= n_words and n_dup_lines * 10 <= n_lines",
+    ),
+    Rule("shouting", "n_upper * 10 > word_chars * 3 or n_marks * 10 > n_words", "n_upper * 10 <= word_chars and n_marks * 100 <= n_words"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    Rule("few_words", "n_words >= 50 and n_distinct_words * 6 < n_words and n_words < 2000", "n_distinct_words * 3 >= n_words"),
 )
 
+#: texts that no vote can save
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
-    """EM for two hidden classes: the share of good, and ``p[class, rule, vote + 1]`` with class 1 good.
+#: what is presumed of a rule's accuracy: on good texts it rarely votes bad, and as every rule knows one kind of
+#: defect only, it finds at most about a third of the bad texts
+GOOD_ACCURACY, BAD_ACCURACY = (0.995, 0.9999), (0.05, 0.35)
 
-    Starts from "good unless a rule votes bad"; counts get a pseudo count of a half, so no probability is 0.
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray, np.ndarray]:
+    """EM for two hidden classes: the share of good texts and every rule's accuracy on good and on bad texts.
+
+    An abstaining rule says nothing. The start is "good unless a rule votes bad"; accuracies stay within their
+    presumed ranges, which also settles which class is the good one.
     """
-    n_rules = patterns.shape[1] if patterns.size else 0
-    chosen = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float) if n_rules else np.zeros((0, 0, 3))
-    good = np.where((patterns < 0).any(axis=1), 0.05, 0.98) if n_rules else np.zeros(0)
-    share, p = 0.5, np.full((2, n_rules, 3), 1 / 3)
+    good = np.where((patterns < 0).any(axis=1), 0.02, 0.99)
+    for_, against = (patterns > 0).astype(float), (patterns < 0).astype(float)
+    share, on_good, on_bad = 0.5, np.full(patterns.shape[1], GOOD_ACCURACY[0]), np.full(patterns.shape[1], BAD_ACCURACY[1])
     for _ in range(rounds):
-        weight = np.stack([counts * (1 - good), counts * good])
-        share = float((weight[1].sum() + 1) / (counts.sum() + 2))
-        p = np.einsum("cp,prv->crv", weight, chosen) + 0.5
-        p /= p.sum(axis=2, keepdims=True)
-        logs = np.einsum("prv,crv->cp", chosen, np.log(p))
-        good = 1 / (1 + np.exp(np.clip(np.log(1 - share) - np.log(share) + logs[0] - logs[1], -700, 700)))
-    return share, p
+        w1, w0 = counts * good, counts * (1 - good)
+        share = float((w1.sum() + 1) / (counts.sum() + 2))
+        on_good = np.clip((w1 @ for_ + 1) / (w1 @ (for_ + against) + 1), *GOOD_ACCURACY)
+        on_bad = np.clip((w0 @ against + 0.5) / (w0 @ (for_ + against) + 1), *BAD_ACCURACY)
+        odds = np.log(share / (1 - share)) + for_ @ np.log(on_good / (1 - on_bad)) + against @ np.log((1 - on_good) / on_bad)
+        good = 1 / (1 + np.exp(-odds))
+    return share, on_good, on_bad
 
 
 def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """Adds ``quality`` (posterior probability of good) and ``kept`` (``quality >= threshold``) to measured rows.
+    """Adds ``quality`` (posterior probability of good), ``base_failed`` and ``kept`` to measured rows.
 
+    Kept is what does not fail the base and has ``quality >= threshold``.
     The rows are written once to the shared folder, so texts are measured only once although the estimate and
     the verdict both need them. Rows with equal measures get equal verdicts; an empty table stays empty.
     """
@@ -125,16 +136,12 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float
     voted = staged(measured.withColumns(votes), "quality-votes")
     table = voted.groupBy(*votes).count().collect()  # at most 3 ** len(rules) rows
     patterns = np.array([[r[v] for v in votes] for r in table], dtype=int).reshape(len(table), len(rules))
-    share, p = estimate(patterns, np.array([r["count"] for r in table], dtype=float))
+    share, on_good, on_bad = estimate(patterns, np.array([r["count"] for r in table], dtype=float))
     odds = F.lit(float(np.log(share / (1 - share))))
-    for i, v in enumerate(votes):
-        bad, none, good = (float(np.log(p[1, i, k] / p[0, i, k])) for k in range(3))
-        odds = odds + F.when(F.col(v) < 0, bad).when(F.col(v) > 0, good).otherwise(none)
-    return (
-        voted.withColumn("quality", 1 / (1 + F.exp(-odds)))
-        .withColumn("kept", F.col("quality") >= threshold)
-        .drop(*votes)
-    )
+    for v, g, b in zip(votes, on_good.tolist(), on_bad.tolist(), strict=True):
+        odds = odds + F.when(F.col(v) < 0, float(np.log((1 - g) / b))).when(F.col(v) > 0, float(np.log(g / (1 - b)))).otherwise(0.0)
+    judged = voted.withColumns({"quality": 1 / (1 + F.exp(-odds)), "base_failed": F.expr(BASE_FAILED)})
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold)).drop(*votes)
 
 
 def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
