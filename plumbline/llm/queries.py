@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, ngram_model, packing, quality_rules, substring_dedup, token_counts, toxicity, url_templates
+from plumbline.llm import decontaminate, jaccard_join, ngram_model, packing, quality_rules, substring_dedup, token_counts, toxicity, url_templates
 from plumbline.llm.common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring_dedup.remove_repeats(docs)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = jaccard_join.classes(docs, jaccard_join.Likeness(words=3, percent=90))
+    return found.select("doc_id", "n_shingles", "component_id", "set_id", "n_links")
