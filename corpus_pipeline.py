@@ -2,31 +2,56 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import quality_rules
-from plumbline.llm.common import table
-from plumbline.session import scratch_path
+from plumbline.llm import decontaminate, jaccard_join, line_templates, packing, quality_rules
+from plumbline.llm.common import staged, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior quality reaches one half."""
+    """Documents that do not fail the base rules and whose posterior quality reaches one half."""
     return quality_rules.filter_documents(docs)
 
 
-STAGES = [("quality rules", keep_good)]
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines whose template recurs across documents; ``n_chars`` follows the text."""
+    cut = line_templates.drop_lines(docs)
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return cut.withColumn("n_chars", n_chars).select(*docs.columns)
 
-#: the estimate, the template merging and the packing are iterative, so SQL cannot give these rows
+
+def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.keep_one(docs, jaccard_join.Likeness(words=5, percent=80))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", keep_good),
+    ("line dedup", drop_boilerplate),
+    ("n-gram Jaccard join", keep_one_copy),
+    ("benchmark decontamination", drop_leaks),
+    ("best-fit packing", pack_sequences),
+]
+
+#: the estimate, the similarity components and the packing are iterative: SQL cannot give these rows
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            path = scratch_path(spark, f"stage-{k}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

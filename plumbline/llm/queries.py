@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard_join, ngram_model, packing, quality_rules, substring_dedup, token_counts, toxicity, url_templates
+from plumbline.llm import (
+    decontaminate,
+    jaccard_join,
+    line_templates,
+    ngram_model,
+    packing,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+    toxicity,
+    url_templates,
+)
 from plumbline.llm.common import table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +121,9 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = jaccard_join.classes(docs, jaccard_join.Likeness(words=3, percent=90))
     return found.select("doc_id", "n_shingles", "component_id", "set_id", "n_links")
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_templates.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
