@@ -78,7 +78,7 @@ def _counts(train: DataFrame, blocks: int) -> DataFrame:
             order = np.argsort(block, kind="stable")
             keys, counts, block = keys[order], counts[order], block[order]
             cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() if len(keys) else []
-            ends = [*cuts[1:], len(keys)]
+            ends = [*cuts[1:], len(keys)][: len(cuts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([kind] * len(cuts), pa.int32()), pa.array([int(block[c]) for c in cuts], pa.int32()),
                  pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),

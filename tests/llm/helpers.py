@@ -15,14 +15,23 @@ def words(text):
 
 def prose(seed: int, n: int, size: int = 400) -> str:
     rng = random.Random(seed)
-    return " ".join(f"w{rng.randrange(size)}" for _ in range(n))
+    return " ".join(named(rng.randrange(size)) for _ in range(n))
+
+
+def named(n: int) -> str:
+    """A word of letters for a number."""
+    out = "w"
+    while n:
+        n, digit = divmod(n, 20)
+        out += "abcdefghijklmnopqrst"[digit]
+    return out
 
 
 def edited(text: str, seed: int, edits: int) -> str:
     rng = random.Random(seed)
     out = text.split(" ")
     for _ in range(edits):
-        out[rng.randrange(len(out))] = f"x{rng.randrange(10**9)}"
+        out[rng.randrange(len(out))] = "x" + named(rng.randrange(10**9))
     return " ".join(out)
 
 
