@@ -10,7 +10,7 @@ the pieces of that length; ranks are counted in salted groups, so a frequent len
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,57 +23,58 @@ from pyspark.sql import types as T
 from plumbline.llm.common import staged, text_of
 
 CAPACITY = 2048
-#: remembered pre-tokens per Python worker; the memory is emptied when full
-REMEMBERED = 400_000
 #: steps of the multiplicative weights, and the share of a length that one step may cover
 ROUNDS, STEP = 1200, 0.5
 #: pieces of one length and salt that one task ranks, about
-RANK_ROWS = 100_000
+RANK_ROWS = 20_000
 
-# a blank between two other white space characters: only there words depend on both sides
-_TIED = re.compile(r"\s \s")
+
+# fixed value: how byte-level tokenizers of this family cut text into words
+WORD_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable bytes themselves, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, its special strings, and a faster encoder of the same ids where the file allows one.
+
+    That needs plain byte-level merges whose order is the order of ids; then merging by id is the same.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return tokenizer, list(tokenizer.get_added_tokens_decoder().values()), {}, {}
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+    if not plain or spec.get("normalizer") or model.get("ignore_merges") or model.get("dropout"):
+        return tokenizer, special, None
+    vocab, byte = model["vocab"], _byte_of()
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    words = {w: k for w, k in vocab.items() if w not in special}
+    if None in made or made != sorted(made) or len(words) != len(made) + 256 or min(made) < 256:
+        return tokenizer, special, None
+    import tiktoken
+
+    ranks = {bytes(byte[c] for c in w): k for w, k in words.items()}
+    return tokenizer, special, tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def _encoded(texts: list[str], path: str) -> Iterator[bytes]:
-    """Little-endian 32-bit ids of every text. Words (each with the blank before it) are encoded once and remembered."""
-    tokenizer, special, inner, first = _tokenizer(path)
-    special = [t.content for t in special]
-    if len(inner) > REMEMBERED or len(first) > REMEMBERED:
-        inner.clear()
-        first.clear()
-
-    def learn(met: dict, words: set[str], lead: str) -> None:
-        new = list(words.difference(met))
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            ids = tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False)
-            met.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, ids, strict=True))
-
-    cut, words, heads = [], set(), set()
+    """Little-endian 32-bit ids of every text, as the tokenizer gives them without added tokens."""
+    tokenizer, special, fast = _tokenizer(path)
     for text in texts:
-        if any(s in text for s in special) or _TIED.search(text):
-            cut.append(None)
-            continue
-        head, *rest = text.split(" ")
-        words.update(rest)
-        heads.add(head)
-        cut.append((head, rest))
-    learn(inner, words, " ")
-    learn(first, heads, "")
-    look = inner.__getitem__
-    for text, parts in zip(texts, cut, strict=True):
-        if parts is None:
+        if fast is None or any(s in text for s in special):
             yield np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         else:
-            yield first[parts[0]] + b"".join(map(look, parts[1]))
+            yield fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,7 +109,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     high = total - capacity * ((total - 1) // capacity)
                     while low < total:
                         row.append(k)
-                        piece.append((high - 1) // capacity if low == 0 else piece[-1] + 1)
+                        piece.append(0 if low == 0 else piece[-1] + 1)
                         start.append(low)
                         length.append(high - low)
                         ids.append(data[4 * low : 4 * high])
