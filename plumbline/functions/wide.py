@@ -18,9 +18,11 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def column_table(df: DataFrame, entries: Sequence[Sequence[Column]]) -> DataFrame:
+def column_table(df: DataFrame, entries: Sequence[Sequence[Column]], empty: str | None = None) -> DataFrame:
     """One row per entry from a single aggregation; wide tables are cut into several so generated code
-    stays small (each reads only its own columns)."""
+    stays small (each reads only its own columns). Without entries: no rows, of the schema ``empty``."""
+    if not entries and empty:
+        return df.sparkSession.createDataFrame([], empty)
     per_entry = max(1, len(entries[0]))
     step = max(1, MAX_AGGREGATES // per_entry)
     frames = []
@@ -97,6 +99,8 @@ def distinct_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         entries = F.array(*[F.struct(F.lit(i).alias("i"), value_of(df, columns[i]).cast(name).alias("v")) for i in ids])
         kinds_of = df.select(F.inline(entries)).filter(F.col("v").isNotNull()).distinct()
         frames.append(kinds_of.groupBy("i").agg(F.count(F.lit(1)).alias("d")))
+    if not frames:
+        return df.sparkSession.createDataFrame([], "column string, distinct_values long")
     names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
     return union_all(frames).select(names.alias("column"), F.col("d").alias("distinct_values"))
 

@@ -14,6 +14,7 @@ from plumbline.functions.exprs import (
     datetime_columns,
     field_type,
     finite,
+    free_name,
     numeric_columns,
     present,
     q,
@@ -28,8 +29,23 @@ CATEGORICAL_STRATEGIES = ("mode", "unknown")
 DATETIME_STRATEGIES = ("ffill", "ffill_bfill", "none")
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    """Whether cells of the type cannot be compared as they are, because maps or variants are somewhere in them."""
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def remove_duplicates(df: DataFrame) -> DataFrame:
-    return df.dropDuplicates()
+    """One of each set of equal rows; maps are equal if they hold the same entries in any order."""
+    maps = [f.name for f in df.schema.fields if _holds_map(f.dataType)]
+    if not maps:
+        return df.dropDuplicates()
+    marks = {free_name(f"__text_{i}", df.columns): value_of(df, c) for i, c in enumerate(maps)}
+    keys = [c for c in df.columns if c not in maps] + list(marks)
+    return df.withColumns(marks).dropDuplicates(keys).select(*[q(c) for c in df.columns])
 
 
 def _numeric_fills(df: DataFrame, columns: Sequence[str], strategy: str, fit: DataFrame) -> dict[str, float]:

@@ -333,17 +333,15 @@ def pair_summary(a: DataFrame, b: DataFrame, report: DataFrame | None = None) ->
     )
 
 
-def unseen_levels(train: DataFrame, scored: DataFrame, columns: Sequence[str], record_limit: int = 500) -> DataFrame:
-    """``(column, unseen_levels, unseen_rows)`` of levels that training did not hold.
+def unseen_level_rows(known: DataFrame, scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, level, rows)`` of every level of ``scored`` that the table ``known`` (column, level) lacks."""
+    fresh = level_counts(scored, columns).join(known.select("column", "level"), ["column", "level"], "left_anti")
+    return fresh.withColumnRenamed("cnt", "rows")
 
-    As training records levels only up to ``record_limit`` per column, wider columns report nothing.
-    """
-    known = level_counts(train, columns)
-    narrow = known.groupBy("column").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= record_limit).select("column")
-    known = known.join(F.broadcast(narrow), "column", "left_semi")
-    fresh = level_counts(scored, columns).join(F.broadcast(narrow), "column", "left_semi")
-    # at most record_limit levels for each column are left on the right side
-    fresh = fresh.join(F.broadcast(known.select("column", "level")), ["column", "level"], "left_anti")
+
+def unseen_levels(train: DataFrame, scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, unseen_levels, unseen_rows)`` of levels that training did not hold, however many it held."""
+    fresh = unseen_level_rows(level_counts(train, columns), scored, columns).withColumnRenamed("rows", "cnt")
     found = fresh.groupBy("column").agg(F.count(F.lit(1)).alias("unseen_levels"), F.sum("cnt").alias("unseen_rows"))
     names = train.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(found, "column", "left").select(

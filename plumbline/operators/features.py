@@ -56,11 +56,12 @@ def _level(df: DataFrame, column: str) -> Column:
     return F.coalesce(q(column).cast("string"), F.lit(NULL_LEVEL))
 
 
-def onehot_levels(df: DataFrame, column: str, most: int = 15) -> list[str]:
-    """Levels that get a column: all of them, or the ``most`` frequent plus ``Other``, in text order."""
+def onehot_levels(df: DataFrame, column: str, most: int = 15) -> tuple[list[str], bool]:
+    """Levels that get a column, in text order, and whether ``Other`` among them stands for a remainder: all levels,
+    or the ``most`` frequent and ``Other``. A table may also have a level of that name, which is no remainder."""
     counts = df.groupBy(_level(df, column).alias("level")).agg(F.count(F.lit(1)).alias("cnt"))
     top = [r["level"] for r in counts.orderBy(F.col("cnt").desc(), "level").limit(most + 1).collect()]
-    return sorted(top) if len(top) <= most else sorted({*top[:most], "Other"})
+    return (sorted(top), False) if len(top) <= most else (sorted({*top[:most], "Other"}), True)
 
 
 def onehot(df: DataFrame, columns: Sequence[str], most: int = 15, fit_on: DataFrame | None = None) -> DataFrame:
@@ -68,11 +69,10 @@ def onehot(df: DataFrame, columns: Sequence[str], most: int = 15, fit_on: DataFr
     fit = df if fit_on is None else fit_on
     added = {}
     for c in [c for c in columns if c in df.columns]:
-        levels = onehot_levels(fit, c, most)
-        named = [v for v in levels if v != "Other"]
+        levels, remainder = onehot_levels(fit, c, most)
         cell = _level(df, c)
-        if "Other" in levels:
-            cell = F.when(cell.isin(named), cell).otherwise("Other")
+        if remainder:
+            cell = F.when(cell.isin([v for v in levels if v != "Other"]), cell).otherwise("Other")
         for v in levels[1:]:
             added[f"{c}_{v}"] = (cell == v).cast("int")
     return df.withColumns(added) if added else df

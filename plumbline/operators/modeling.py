@@ -20,17 +20,16 @@ from pyspark.sql import types as T
 
 from plumbline.functions.exprs import field_type, free_name, is_temporal, number, numeric_columns, q
 from plumbline.functions.ranges import quantiles
-from plumbline.functions.wide import union_all
+from plumbline.functions.wide import level_counts, union_all
 from plumbline.operators import metrics as mx
 from plumbline.operators import splits as sp
 from plumbline.operators.clean import mode_fills
-from plumbline.operators.drift import unseen_levels
+from plumbline.operators.drift import unseen_level_rows, unseen_levels
 from plumbline.operators.select import non_finite_columns, require_numeric
 from plumbline.sources.tables import fingerprint, file_signatures
 
 FORMAT_VERSION = 1
 TRAIN_CELLS = 5_000_000
-RECORDED_LEVELS = 500
 WIDE_LEVELS = 50
 TOP_FEATURES = 15
 CLASSIFIERS = ("Random Forest", "Decision Tree", "Gradient Boosting", "Logistic Regression")
@@ -298,6 +297,7 @@ class TrainedModel:
     folds: DataFrame | None = None
     out_of_fold: DataFrame | None = None
     importances: DataFrame | None = None
+    levels: DataFrame | None = None
 
 
 def cross_validate(
@@ -462,7 +462,6 @@ def train_model(
         "categorical_features": categorical,
         "feature_types": {c: field_type(known, c).simpleString() for c in features},
         "nullable": _nullable(known, features),
-        "levels": _recorded_levels(known, categorical),
         "classes": classes,
         "positive_class": positive,
         "threshold": 0.5,
@@ -471,7 +470,8 @@ def train_model(
         "training_fingerprint": fingerprint(df).first()["fingerprint"],
         "parameters": {k: v for k, v in params.items() if isinstance(v, (int, float, str, bool))},
     }
-    return TrainedModel(pipe, contract, scores, scored, folds, out_of_fold, feature_importance(pipe, names, df.sparkSession))
+    levels = level_counts(known, categorical).select("column", "level") if categorical else None
+    return TrainedModel(pipe, contract, scores, scored, folds, out_of_fold, feature_importance(pipe, names, df.sparkSession), levels)
 
 
 def _nullable(df: DataFrame, features: Sequence[str]) -> dict[str, bool]:
@@ -479,16 +479,6 @@ def _nullable(df: DataFrame, features: Sequence[str]) -> dict[str, bool]:
     return {c: row[f"n{i}"] for i, c in enumerate(features)}
 
 
-def _recorded_levels(df: DataFrame, categorical: Sequence[str]) -> dict[str, list[str]]:
-    """Levels of columns with at most ``RECORDED_LEVELS`` of them."""
-    out = {}
-    for c in categorical:
-        found = df.filter(q(c).isNotNull()).select(q(c).cast("string").alias("v")).distinct().limit(RECORDED_LEVELS + 1).collect()
-        if len(found) <= RECORDED_LEVELS:
-            out[c] = sorted(r["v"] for r in found)
-    return out
-
-
 def tune_threshold(trained: TrainedModel, measure: str = "mcc") -> float:
     """Pick the threshold with the best out-of-fold measure (ties: lowest) and store it in the contract."""
     if trained.out_of_fold is None:
@@ -512,11 +502,13 @@ def _manifest(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def save_model(trained: TrainedModel, path: str) -> str:
-    """Store the pipeline, its contract, its scores and a SHA-256 list of its files."""
+    """Store the pipeline, its contract, its scores, a SHA-256 list of its files, and all training levels as a table."""
     spark = SparkSession.active()
     path = path.rstrip("/")
     trained.pipe.write().overwrite().save(f"{path}/pipe")
     body = {"contract": trained.contract, "scores": trained.scores, "files": _manifest(spark, path)}
+    levels = trained.levels if trained.levels is not None else spark.createDataFrame([], "column string, level string")
+    levels.write.mode("overwrite").parquet(f"{path}/levels")
     _write_text(spark, json.dumps(body, sort_keys=True, default=str), f"{path}/metadata")
     return path
 
@@ -534,7 +526,8 @@ def load_model(spark: SparkSession, path: str) -> TrainedModel:
         raise ValueError(f"model format {version} is not supported (expected {FORMAT_VERSION})")
     if _manifest(spark, path) != body["files"]:
         raise ValueError("the stored model files do not match their checksums; not loading them")
-    return TrainedModel(PipelineModel.load(f"{path}/pipe"), body["contract"], body["scores"])
+    levels = spark.read.schema("column string, level string").parquet(f"{path}/levels")
+    return TrainedModel(PipelineModel.load(f"{path}/pipe"), body["contract"], body["scores"], levels=levels)
 
 
 def list_models(spark: SparkSession, folder: str) -> DataFrame:
@@ -582,18 +575,13 @@ def _checked(df: DataFrame, column: str, dates: Sequence[str], contract: dict) -
 
 def category_drift(trained: TrainedModel, train: DataFrame, scored: DataFrame) -> DataFrame:
     """Unseen levels per categorical feature of a model."""
-    return unseen_levels(train, scored, trained.contract["categorical_features"], RECORDED_LEVELS)
+    return unseen_levels(train, scored, trained.contract["categorical_features"])
 
 
 def category_drift_from_contract(trained: TrainedModel, df: DataFrame) -> DataFrame:
     """``(column, unseen_levels, unseen_rows)`` against the levels stored with the model."""
-    levels = trained.contract["levels"]
-    cols = [c for c in levels if c in df.columns]
-    spark = df.sparkSession
-    if not cols:
-        return spark.createDataFrame([], "column string, unseen_levels long, unseen_rows long")
-    from plumbline.functions.wide import level_counts
-
-    known = spark.createDataFrame([(c, v) for c in cols for v in levels[c]], "column string, level string")
-    fresh = level_counts(df, cols).join(F.broadcast(known), ["column", "level"], "left_anti")
-    return fresh.groupBy("column").agg(F.count(F.lit(1)).alias("unseen_levels"), F.sum("cnt").alias("unseen_rows"))
+    cols = [c for c in trained.contract["categorical_features"] if c in df.columns]
+    if not cols or trained.levels is None:
+        return df.sparkSession.createDataFrame([], "column string, unseen_levels long, unseen_rows long")
+    fresh = unseen_level_rows(trained.levels, df, cols)
+    return fresh.groupBy("column").agg(F.count(F.lit(1)).alias("unseen_levels"), F.sum("rows").alias("unseen_rows"))

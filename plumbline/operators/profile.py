@@ -78,7 +78,8 @@ def column_facts(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
                 *([F.approx_count_distinct(value_of(df, f.name)).alias("distinct_values")] if approx else []),
             ]
         )
-    table = column_table(df, entries)
+    empty = "position int, column string, data_type string, rows long, non_null long, missing long"
+    table = column_table(df, entries, empty + ", distinct_values long" * approx)
     if approx:
         return table
     # one row per column on both sides
@@ -117,7 +118,7 @@ def missing_columns(df: DataFrame) -> DataFrame:
                 F.count_if(missing(df, c)).alias("missing"),
             ]
         )
-    table = column_table(df, entries).filter("missing > 0").withColumn("missing_pct", _missing_pct())
+    table = column_table(df, entries, "column string, rows long, missing long").filter("missing > 0").withColumn("missing_pct", _missing_pct())
     severity = F.when(F.col("missing_pct") > 15, "high").otherwise("some")
     return table.select("column", "missing", "missing_pct", severity.alias("severity"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import datetime_columns, q, total
 from plumbline.functions.ranges import first_k, first_k_by, first_ks, order_statistics
-from plumbline.operators.select import with_order
+from plumbline.operators.select import halves, with_order
 
 PART = "is_test"
 MAX_CLASSES = 10_000
@@ -72,9 +72,9 @@ def stratified_split(
 
 def _time_order(df: DataFrame, time: str, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Number columns in time order, ties by key; rows without a time come last."""
-    micros = F.unix_micros(q(time).cast("timestamp")).cast("double")
-    ordered, rest = with_order(df.withColumn("__t", F.coalesce(micros, F.lit(9e18))), key, None)
-    return ordered, ["__t", *rest]
+    high, low = halves(F.unix_micros(q(time).cast("timestamp")))
+    ordered, rest = with_order(df.withColumns({"__t0": F.coalesce(high, F.lit(9e18)), "__t1": F.coalesce(low, F.lit(0.0))}), key, None)
+    return ordered, ["__t0", "__t1", *rest]
 
 
 def chronological_split(df: DataFrame, key: Sequence[str], fraction: float = 0.2, time: str | None = None) -> DataFrame:

@@ -63,7 +63,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 corrected_kurtosis(x).alias("kurtosis"),
             ]
         )
-    return column_table(df, entries)
+    return column_table(df, entries, "column string, n long, mean double, std double, min double, max double, skew double, kurtosis double")
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, redact: Sequence[str] = ()) -> DataFrame:
@@ -72,8 +72,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, redact: Sequen
     Columns without values are left out; values of redacted columns are replaced by nulls and a flag.
     """
     columns = list(columns or numeric_columns(df))
-    rows = df.count()
-    table = moments(df, columns).join(F.broadcast(_quartile_columns(df, columns, rows)), "column", "left")
+    quartiles = _quartile_columns(df, columns, df.count()) if columns else column_table(df, [], "column string, q1 double, median double, q3 double")
+    table = moments(df, columns).join(F.broadcast(quartiles), "column", "left")
     hide = F.col("column").isin(list(redact)) if redact else F.lit(False)
     shown = [F.when(~hide, F.col(c)).alias(c) for c in ("mean", "std", "min", "q1", "median", "q3", "max", "skew", "kurtosis")]
     return table.filter("n > 0").select("column", "n", *shown, hide.alias("redacted"))
@@ -118,7 +118,7 @@ def normality(df: DataFrame, columns: Sequence[str] | None = None, alpha: float
                 F.var_pop(x).alias("m2"),
             ]
         )
-    table = column_table(df, entries).filter("n > 0")
+    table = column_table(df, entries, "column string, n long, g1 double, g2 double, m2 double").filter("n > 0")
     usable = (F.col("n") >= 8) & (F.col("m2") > 0)
     n = F.when(usable, F.col("n").cast("double"))
     z_skew, z_kurt = _normal_terms(n, F.col("g1"), F.col("g2"))
@@ -148,7 +148,8 @@ def categorical_summary(df: DataFrame, columns: Sequence[str] | None = None) ->
 
 
 def _bounded_r(cov: Column, sx: Column, sy: Column) -> Column:
-    r = F.try_divide(cov, sx * sy)
+    # infinite cells make it NaN, which is no correlation and would pass the bounds as 1
+    r = F.nanvl(F.try_divide(cov, sx * sy), F.lit(None).cast("double"))
     # least and greatest skip nulls, so an undefined correlation must be kept apart
     return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
@@ -175,7 +176,7 @@ def pearson_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
                 _bounded_r(F.covar_pop(x, y), F.stddev_pop(xm), F.stddev_pop(ym)).alias("r"),
             ]
         )
-    return column_table(df, entries)
+    return column_table(df, entries, "feature_a string, feature_b string, i int, j int, n long, r double")
 
 
 def _pearson_by_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -221,7 +222,7 @@ def _pearson_by_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "i",
         "j",
         F.col("n").cast("long").alias("n"),
-        F.nanvl(r, F.lit(None).cast("double")).alias("r"),
+        r.alias("r"),
     )
 
 
@@ -329,7 +330,7 @@ def correlation_insights(pairs: DataFrame, least: float = 0.3, k: int = 12) -> D
 
 def variance_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     entries = [[F.lit(c).alias("column"), F.var_samp(number(df, c)).alias("variance")] for c in columns or numeric_columns(df)]
-    return column_table(df, entries)
+    return column_table(df, entries, "column string, variance double")
 
 
 def top_variance(df: DataFrame, k: int = 30, columns: Sequence[str] | None = None) -> DataFrame:
@@ -393,6 +394,12 @@ def tukey_outliers(df: DataFrame, columns: Sequence[str] | None = None, k: float
     column whose quartiles coincide counts no outliers (the report's rule).
     """
     columns = list(columns or numeric_columns(df))
+    empty = (
+        "column string, n long, q1 double, q3 double, iqr double, lower_fence double, upper_fence double, "
+        "outliers long, outlier_pct double, z_outliers long"
+    )
+    if not columns:
+        return column_table(df, [], empty)
     rows = df.count()
     quarts = quantiles(df, columns, [0.25, 0.75], rows=rows)
     scale = df.agg(

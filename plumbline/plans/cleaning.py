@@ -126,3 +126,16 @@ s AS (SELECT 'before' AS stage, count(*) AS n, (SELECT count(*) FROM done) AS k,
 def _(t):
     dirty = t.dirty_customer()
     return cl.cleaning_audit(dirty, cl.clean(dirty, recipe="median_mode"))
+
+
+@query(
+    "c1_duplicates_with_map",
+    sql("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer", "", "c_nationkey"),
+)
+def _(t):
+    nation, segment = F.col("c_nationkey").cast("string"), F.col("c_mktsegment")
+    # the same two entries, written in either order
+    one, two = F.create_map(F.lit("n"), nation, F.lit("s"), segment), F.create_map(F.lit("s"), segment, F.lit("n"), nation)
+    facts = t.customer.select(F.when(F.col("c_custkey") % 2 == 0, one).otherwise(two).alias("facts"))
+    found = cl.remove_duplicates(facts)
+    return found.select(F.col("facts")["n"].cast("long").alias("c_nationkey"), F.col("facts")["s"].alias("c_mktsegment"))

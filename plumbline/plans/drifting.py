@@ -224,3 +224,20 @@ def _(t):
 @query("d15_training_overlap", "SELECT count(*) >= 0 AS same_content, 'overlap' AS verdict FROM customer")
 def _(t):
     return dr.training_overlap(t.customer, t.customer.orderBy("c_name"))
+
+
+@query(
+    "d14_unseen_many_levels",
+    sql(
+        """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS k, o_orderkey % 2 AS h FROM orders),
+s AS (SELECT k FROM o WHERE h = 1 UNION ALL SELECT 'new ' || k FROM o WHERE h = 1 AND length(k) = 2)
+;;SELECT 'k' AS "column", count(DISTINCT k) AS unseen_levels, count(*) AS unseen_rows FROM s WHERE k NOT IN (SELECT k FROM o WHERE h = 0)""",
+        "",
+        "unseen_levels unseen_rows",
+    ),
+)
+def _(t):
+    o = t.orders.select(F.col("o_custkey").cast("string").alias("k"), (F.col("o_orderkey") % 2).alias("h"))
+    odd = o.filter("h = 1").select("k")
+    fresh = odd.filter(F.length("k") == 2).select(F.concat(F.lit("new "), "k").alias("k"))
+    return dr.unseen_levels(o.filter("h = 0").select("k"), odd.unionByName(fresh), ["k"])

@@ -187,3 +187,19 @@ def _(t):
     d = t.documents.join(t.labels, "doc_id").select("doc_id", "n_chars", "quality", (F.col("n_chars") / 7.0).alias("quality_score"), F.col("toxic").alias("label"))
     names = fe.default_scaling_columns(d)
     return t.spark.createDataFrame([(n,) for n in names], "column string")
+
+
+@query(
+    "f4_onehot_level_other",
+    sql(
+        """SELECT c_custkey, (c_mktsegment = 'FURNITURE')::BIGINT AS "s_FURNITURE", (c_mktsegment = 'HOUSEHOLD')::BIGINT AS "s_HOUSEHOLD",
+(c_mktsegment = 'BUILDING')::BIGINT AS "s_Other" FROM customer""",
+        "",
+        'c_custkey "s_FURNITURE" "s_HOUSEHOLD" "s_Other"',
+    ),
+)
+def _(t):
+    # one real level is named Other, and one level is new to the fitted table
+    s = F.when(F.col("c_mktsegment") == "BUILDING", "Other").otherwise(F.col("c_mktsegment"))
+    c = t.customer.select("c_custkey", s.alias("s"))
+    return fe.onehot(c, ["s"], fit_on=c.filter("s <> 'MACHINERY'")).drop("s")

@@ -410,3 +410,29 @@ def _(t):
     score.main(["--model", model, "--input", f"{t.folder}/orders.parquet", "--output", out])
     done = readers.read_delimited(t.spark, out, sep=",", encoding="UTF-8")
     return done.select("o_orderkey", F.col("prediction").isNotNull().alias("scored"))
+
+
+@query(
+    "m5_chronological_text_key",
+    sql(
+        """WITH o AS (SELECT 'order ' || o_orderkey AS k, o_orderdate FROM orders)
+;;SELECT k, row_number() OVER (ORDER BY o_orderdate, k) > count(*) OVER () - ceil(count(*) OVER () * 0.2) AS is_test FROM o"""
+    ),
+)
+def _(t):
+    o = t.orders.select(F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("k"), "o_orderdate")
+    return sp.chronological_split(o, ["k"], 0.2).select("k", "is_test")
+
+
+@query(
+    "m5_chronological_big_key",
+    sql(
+        """WITH o AS (SELECT o_orderkey + 1152921504606846976 AS k, o_orderdate FROM orders)
+;;SELECT k, row_number() OVER (ORDER BY o_orderdate, k) > count(*) OVER () - ceil(count(*) OVER () * 0.2) AS is_test FROM o""",
+        "",
+        "k",
+    ),
+)
+def _(t):
+    o = t.orders.select((F.col("o_orderkey") + F.lit(1 << 60)).alias("k"), "o_orderdate")
+    return sp.chronological_split(o, ["k"], 0.2).select("k", "is_test")

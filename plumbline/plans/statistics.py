@@ -363,3 +363,18 @@ def _(t):
 )
 def _(t):
     return st.group_breakdown(t.part, "p_brand", "p_retailprice")
+
+
+@query(
+    "t5_pearson_with_infinity",
+    sql(
+        """SELECT 'a' AS feature_a, 'b' AS feature_b, 0 AS i, 1 AS j, count(*) AS n, CAST(NULL AS DOUBLE) AS r FROM lineitem
+UNION ALL SELECT 'a', 'c', 0, 2, count(*), corr(l_quantity, l_extendedprice) FROM lineitem
+UNION ALL SELECT 'b', 'c', 1, 2, count(*), CAST(NULL AS DOUBLE) FROM lineitem""",
+        "r",
+        "i j n",
+    ),
+)
+def _(t):
+    b = F.when(F.col("l_orderkey") % 100 == 0, float("inf")).otherwise(F.col("l_tax"))
+    return st.pearson_pairs(t.lineitem.select(F.col("l_quantity").alias("a"), b.alias("b"), F.col("l_extendedprice").alias("c")))

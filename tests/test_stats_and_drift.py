@@ -11,6 +11,7 @@ from plumbline.operators import charts as ch
 from plumbline.operators import drift as dr
 from plumbline.operators import features as fe
 from plumbline.operators import select as se
+from plumbline.operators import profile as pf
 from plumbline.operators import stats as st
 from tests.conftest import rows
 
@@ -322,3 +323,26 @@ def test_grouping_columns(spark):
     df = spark.range(60).select("id", (F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 2).alias("n"), F.concat(F.lit("u"), "id").alias("u"))
     got = [r["column"] for r in se.rank_grouping_columns(df).orderBy("position").collect()]
     assert got == ["g", "n", "id", "u"]
+
+
+def test_tables_without_numbers_or_columns(spark):
+    text = spark.createDataFrame([("a",), ("b",)], "t string")
+    for table in (st.describe(text), st.normality(text), st.pearson_pairs(text), st.tukey_outliers(text), st.variance_table(text)):
+        assert table.count() == 0
+    assert st.pearson_pairs(spark.range(3)).count() == 0
+    bare = spark.createDataFrame([()], "struct<>")
+    assert pf.column_facts(bare).count() == 0 and pf.missing_columns(bare).count() == 0
+
+
+def test_keys_of_every_type_order_like_themselves(spark):
+    from pyspark.sql import functions as F
+
+    from plumbline.operators.select import order_numbers
+
+    values = ["", "a", "ab", "a\0", "abcdefg", "abcdefgh", "é", "日本", "z" * 30]
+    df = spark.createDataFrame([(v,) for v in values], "k string")
+    assert [r["k"] for r in df.orderBy(*order_numbers(df, "k")).collect()] == sorted(values, key=lambda v: v.encode())
+    big = spark.createDataFrame([(v,) for v in (-(2**62), -1, 0, 2**53, 2**53 + 1, 2**62 + 3, 2**62 + 2)], "k long")
+    assert [r["k"] for r in big.orderBy(*order_numbers(big, "k")).collect()] == sorted(r["k"] for r in big.collect())
+    money = big.select((F.col("k") % 1000 / 8).cast("decimal(12,3)").alias("k"))
+    assert [r["k"] for r in money.orderBy(*order_numbers(money, "k")).collect()] == sorted(r["k"] for r in money.collect())
