@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -23,24 +25,49 @@ def split_dtd(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(~bad), df.filter(bad)
 
 
-def find_row_tag(spark: SparkSession, path: str) -> str:
-    """Name of the second element that opens in the file, i.e. the first child of the root."""
-    opens = r"<([A-Za-z_][\w.:-]*)"
-    tags = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(opens), 1)).alias("tag")).limit(2)
-    found = [r["tag"] for r in tags.collect()]
+def find_row_tags(spark: SparkSession, path: str) -> list[str]:
+    """Names of all children of the root elements, in text order. A file is parsed as a stream by one task."""
+
+    def children(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.parsers import expat
+
+        for batch in batches:
+            found: set[str] = set()
+            for text in batch["value"]:
+                depth = [0]
+                parser = expat.ParserCreate()
+
+                def opened(name, _, depth=depth):
+                    depth[0] += 1
+                    if depth[0] == 2:
+                        found.add(name)
+
+                def closed(_, depth=depth):
+                    depth[0] -= 1
+
+                parser.StartElementHandler, parser.EndElementHandler = opened, closed
+                parser.Parse(text.encode(), True)
+            yield pd.DataFrame({"tag": sorted(found)}, dtype=object)
+
+    # a declared encoding no longer holds: the text is read already
+    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\s*<\?xml[^>]*\?>", "").alias("value"))
+    found = sorted(r["tag"] for r in whole.mapInPandas(children, "tag string").distinct().collect())
     if not found:
-        raise ValueError(f"no XML element found in {path!r}")
-    return found[-1]
+        raise ValueError(f"no XML record found in {path!r}")
+    return found
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
-    """Each ``row_tag`` element as a row of text columns (default: children of the root)."""
+    """Each ``row_tag`` element as a row of text columns; by default every child of the root, whatever its name
+    (columns are joined by name)."""
     if not spark.read.text(path).filter(F.col("value").rlike(DTD_PATTERN)).isEmpty():
         raise ValueError("XML with DTD or entity declarations is not read; export plain elements")
-    tag = row_tag or find_row_tag(spark, path)
-    reader = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False)
-    reader = reader.option("attributePrefix", "@").option("valueTag", "#text")
-    return flatten_xml(reader.load(path), tag)
+    frames = []
+    for tag in [row_tag] if row_tag else find_row_tags(spark, path):
+        reader = spark.read.format("xml").option("rowTag", tag).option("inferSchema", False)
+        reader = reader.option("attributePrefix", "@").option("valueTag", "#text")
+        frames.append(flatten_xml(reader.load(path), tag))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def flatten_xml(df: DataFrame, tag: str = "") -> DataFrame:
@@ -89,68 +116,64 @@ def _xml_value(df: DataFrame, col: Column, kind: T.DataType, name: str, depth: i
         yield col, name
 
 
-class _Tables(HTMLParser):
-    """Collects the tables of one page as lists of rows of cell texts."""
+class _Marks(HTMLParser):
+    """Writes a page down as one mark per table event (T t: table, R r: row, D d: cell) with what each cell holds."""
+
+    CODES = {"table": "T", "tr": "R", "td": "D", "th": "D"}
 
     def __init__(self):
         super().__init__()
-        self.done, self.open, self.row, self.cell, self.span = [], None, None, None, 1
-        self.spanning_rows = False
+        self.marks, self.cells, self.rowspan = [], [], False
 
     def handle_starttag(self, tag, attrs):
-        if tag == "table":
-            self.open, self.row, self.cell = [], None, None
-        elif tag == "tr" and self.open is not None:
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            spans = dict(attrs)
-            self.cell = []
-            self.span = min(max(_whole(spans.get("colspan")), 1), 100)
-            self.spanning_rows = self.spanning_rows or _whole(spans.get("rowspan")) > 1
+        code = self.CODES.get(tag)
+        if code:
+            self.marks.append(code)
+            wide, tall = ([int(v) for k, v in attrs if k == name and v and v.strip().isdecimal()] or [1] for name in ("colspan", "rowspan"))
+            self.cells.append([min(max(wide[-1], 1), 100), ""])
+            self.rowspan |= code == "D" and tall[-1] > 1
+
+    def handle_endtag(self, tag):
+        if tag in self.CODES:
+            self.marks.append(self.CODES[tag].lower())
+            self.cells.append([0, ""])
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell.append(data)
+        if self.marks and self.marks[-1] == "D":
+            self.cells[-1][1] += data
 
-    def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            text = " ".join("".join(self.cell).split())
-            self.row += [text] + [""] * (self.span - 1)
-            self.cell, self.span = None, 1
-        elif tag == "tr" and self.row is not None:
-            if self.row:
-                self.open.append(self.row)
-            self.row = None
-        elif tag == "table" and self.open is not None:
-            if len(self.open) > 1:
-                self.done.append(self.open)
-            self.open = None
-
-
-def _whole(text) -> int:
-    try:
-        return int(text or 1)
-    except ValueError:
-        return 1
+
+# a table that closes before another opens, its closed rows, and their closed cells
+_TABLE, _ROW, _CELL = re.compile("T[^Tt]*t"), re.compile("R[^Rr]*r"), re.compile("Dd")
 
 
 def largest_table(html: str | None) -> tuple[str, list[list[str]]]:
-    """``(status, rows)`` of a page: header first, rows padded; status tells why there is none."""
-    parser = _Tables()
-    parser.feed(html or "")
-    if parser.spanning_rows:
+    """``(status, rows)`` of a page: header first, rows padded; status tells why there is none.
+
+    The table with most rows is taken, then with the widest first row, then the first one; a table has two rows.
+    """
+    page = _Marks()
+    page.feed(html or "")
+    if page.rowspan:
         return "rowspan", []
-    if not parser.done:
+    marks = "".join(page.marks)
+    tables = []
+    for table in _TABLE.finditer(marks):
+        rows = []
+        for row in _ROW.finditer(marks, *table.span()):
+            found = [page.cells[m.start()] for m in _CELL.finditer(marks, *row.span())]
+            rows.append([text for span, raw in found for text in [" ".join(raw.split())] + [""] * (span - 1)])
+        rows = [r for r in rows if r]
+        if len(rows) > 1:
+            tables.append(rows)
+    if not tables:
         return "no table", []
-    table = max(parser.done, key=lambda t: (len(t), len(t[0])))
-    width = max(map(len, table))
-    header = table[0] + [f"column_{i}" for i in range(len(table[0]), width)]
-    seen: dict[str, int] = {}
-    names = []
-    for name in header:
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
-    return "ok", [names] + [row + [""] * (width - len(row)) for row in table[1:]]
+    head, *body = max(tables, key=lambda t: (len(t), len(t[0])))
+    width = max(map(len, (head, *body)))
+    names = pd.Series([*head, *(f"column_{i}" for i in range(len(head), width))])
+    again = names.groupby(names).cumcount() + 1
+    header = names.where(again == 1, names + "_" + again.astype(str)).tolist()
+    return "ok", [header, *(row + [""] * (width - len(row)) for row in body)]
 
 
 def extract_html_tables(df: DataFrame, key: str, html: str) -> DataFrame:

@@ -8,26 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.exprs import field_type, nested_columns, nested_json, q
+from plumbline.functions.exprs import field_type, free_name, nested_columns, nested_json, q
 
 
 def unique_names(names: Sequence) -> list[str]:
     """Trimmed, non-empty, unique names; a repeat takes the next free ``_2``, ``_3`` ... ending."""
-    taken: set[str] = set()
-    last: dict[str, int] = {}
-    out = []
+    out: list[str] = []
     for raw in names:
-        base = str(raw).strip() or "unnamed"
-        name = base
-        if base in taken:
-            n = last.get(base, 1) + 1
-            while f"{base}_{n}" in taken:
-                n += 1
-            name, last[base] = f"{base}_{n}", n
-        else:
-            last[base] = 1
-        taken.add(name)
-        out.append(name)
+        out.append(free_name(str(raw).strip() or "unnamed", out))
     return out
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.exprs import any_of, q, text_columns
-from plumbline.sources.delimited import detect_delimiter, read_lines
-from plumbline.sources.markup import read_xml
+from plumbline.sources.delimited import classify_text_tables, detect_delimiter, read_lines
+from plumbline.sources.markup import extract_html_tables, read_xml
 from plumbline.sources.names import flatten, normalize_columns, serialize_nested, unique_names
 
 # File endings and the reader each one takes.
@@ -22,6 +24,8 @@ FORMATS = {
     ".ndjson": "jsonl",
     ".parquet": "parquet",
     ".xml": "xml",
+    ".html": "html",
+    ".htm": "html",
     ".txt": "text",
     ".log": "text",
     ".md": "text",
@@ -40,8 +44,12 @@ def load_table(
 ) -> DataFrame:
     """Read a file or folder of files as one table with clean column names and no nested cells."""
     fmt = fmt or FORMATS.get(os.path.splitext(path.rstrip("/"))[1].lower())
-    if fmt in ("csv", "text"):
+    if fmt == "csv":
         df = read_delimited(spark, path, **options)
+    elif fmt == "text":
+        df = read_text_table(spark, path, **options)
+    elif fmt == "html":
+        df = read_html(spark, path)
     elif fmt == "tsv":
         df = read_delimited(spark, path, sep="\t", **options)
     elif fmt == "json":
@@ -72,13 +80,32 @@ def read_delimited(
     schema: T.StructType | str | None = None,
     **options,
 ) -> DataFrame:
-    """Delimited text with a header line. Give a schema to skip inference on large inputs."""
+    """Delimited text with a header line. Give a schema to skip inference on large inputs.
+
+    Files of a folder whose header lines differ are read apart and joined by column name. Line breaks inside
+    quotes belong to the cell; where a line ends inside quotes, files are read whole, a task each.
+    """
     encoding = encoding or choose_encoding(spark, path)
+    lines = read_lines(spark, path)
     if sep is None:
-        found = {r["sep"] for r in detect_delimiter(read_lines(spark, path)).select("sep").distinct().collect()}
+        found = {r["sep"] for r in detect_delimiter(lines).select("sep").distinct().collect()}
         if len(found) > 1:
             raise ValueError(f"the files under {path!r} use different separators: {sorted(found)}; read them one by one")
         sep = found.pop() if found else ","
+    if "multiLine" not in options:
+        open_quote = F.col("line").rlike(r'(?:^|\Q' + sep + r'\E)"(?:[^"]|"")*$')
+        options["multiLine"] = not lines.filter(open_quote).isEmpty()
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("line", "line_id").alias("head"))
+    heads = first.groupBy("head").agg(F.count(F.lit(1)).alias("files")).orderBy("head").limit(2).collect()
+    if len(heads) < 2:
+        return _read_alike(spark, path, sep, encoding, schema, options)
+    groups = first.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
+    frames = [_read_alike(spark, [unquote(f) for f in g["files"]], sep, encoding, schema, options) for g in groups]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def _read_alike(spark: SparkSession, path, sep: str, encoding: str, schema, options: dict) -> DataFrame:
+    """Files with one header line."""
     western = encoding.lower() in ("windows-1252", "cp1252")
     base = {"sep": sep, "encoding": "ISO-8859-1" if western else encoding, "quote": '"', "escape": '"', **options}
     # Names are taken from a headerless look at the first line: the reader itself would rename repeats.
@@ -97,6 +124,34 @@ def read_delimited(
     return df.toDF(*unique_names(names))
 
 
+def read_text_table(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Text files that are tables; prose and other text is refused with the reason."""
+    if "sep" in options:
+        return read_delimited(spark, path, **options)
+    judged = classify_text_tables(read_lines(spark, path))
+    bad = judged.filter(~F.col("is_table")).orderBy("file").limit(3).collect()
+    if bad:
+        raise ValueError("not a table: " + "; ".join(f"{os.path.basename(r['file'])}: {r['reason']}" for r in bad))
+    seps = [r["sep"] for r in judged.select("sep").distinct().limit(2).collect()]
+    if len(seps) > 1:
+        raise ValueError(f"the files under {path!r} use different separators: {sorted(seps)}; read them one by one")
+    return read_delimited(spark, path, sep=seps[0] if seps else ",", **options)
+
+
+def read_html(spark: SparkSession, path: str) -> DataFrame:
+    """The largest table of every HTML file, joined by column name; a file without a usable table is an error."""
+    pages = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    found = extract_html_tables(pages, "file", "value")
+    bad = found.filter("status <> 'ok'").orderBy("file").limit(3).collect()
+    if bad:
+        raise ValueError("no table read: " + "; ".join(f"{os.path.basename(r['file'])}: {r['status']}" for r in bad))
+    frames = []
+    for header in [r["header"] for r in found.select("header").distinct().orderBy("header").collect()]:
+        own = found.filter(F.col("header") == F.array(*map(F.lit, header)))
+        frames.append(own.select(*[F.get("cells", i).alias(n) for i, n in enumerate(unique_names(header))]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON documents as a table: arrays of records, one record list, columnar lists, or one record a file."""
     docs = spark.read.option("multiLine", True).json(path)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions.exprs import missing, q, text_columns, total, value_of
+from plumbline.functions.exprs import free_name, missing, q, text_columns, total, value_of
 from plumbline.functions.wide import union_all
 
 # Bounds a single-machine user would check a table against (all optional here).
@@ -22,15 +23,14 @@ NUMBER_TEXT = (
 )
 
 
+# Names of the column that says where a row comes from, the first free one is used.
+PROVENANCE = ("source_file", "uploaded_file")
+
+
 def provenance_name(taken: Sequence[str]) -> str:
-    used = set(taken)
-    for name in ("source_file", "uploaded_file"):
-        if name not in used:
-            return name
-    n = 2
-    while f"source_file_{n}" in used:
-        n += 1
-    return f"source_file_{n}"
+    """The first of the fixed names that no data column has, else the first one with a free number."""
+    open_ = [n for n in PROVENANCE if n not in set(taken)]
+    return open_[0] if open_ else free_name(PROVENANCE[0], taken)
 
 
 def merge_sources(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
@@ -38,11 +38,8 @@ def merge_sources(frames: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     if not frames:
         raise ValueError("nothing to merge: no source was given")
     name = provenance_name([c for _, df in frames for c in df.columns])
-    merged = None
-    for label, df in frames:
-        part = df.select(F.lit(str(label)).alias(name), *[q(c) for c in df.columns])
-        merged = part if merged is None else merged.unionByName(part, allowMissingColumns=True)
-    return merged
+    named = (df.select(F.lit(str(label)).alias(name), *map(q, df.columns)) for label, df in frames)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
@@ -167,7 +164,10 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite",
 
     flat = serialize_nested(df)
     out = sanitize_for_csv(flat) if safe else flat
-    out.write.mode(mode).options(header=True, sep=sep, quote='"', escape='"').csv(path)
+    out.write.mode(mode).options(
+        # blanks at the ends of a cell are part of it
+        header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

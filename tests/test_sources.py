@@ -118,12 +118,12 @@ def test_html_tables(html, status, table):
 
 
 def test_merge_keeps_data_columns(spark):
-    a = spark.createDataFrame([("q", 2001)], "question_text string, year long")
-    b = spark.createDataFrame([("r", 5)], "question_text string, marks long")
-    merged = tables.merge_sources([("a.csv", a), ("b.csv", b)])
-    assert merged.columns == ["source_file", "question_text", "year", "marks"]
-    assert rows(merged) == [("a.csv", "q", 2001, None), ("b.csv", "r", None, 5)]
-    taken = spark.createDataFrame([("x", 1)], "source_file string, value long")
+    a = spark.createDataFrame([("oak", 31)], "tree string, height long")
+    b = spark.createDataFrame([("elm", 4)], "tree string, rings long")
+    merged = tables.merge_sources([("north.csv", a), ("south.csv", b)])
+    assert merged.columns == ["source_file", "tree", "height", "rings"]
+    assert rows(merged) == [("north.csv", "oak", 31, None), ("south.csv", "elm", None, 4)]
+    taken = spark.createDataFrame([("x", 1)], "source_file string, rings long")
     assert tables.merge_sources([("f", taken)]).columns[0] == "uploaded_file"
     assert tables.provenance_name(["source_file", "uploaded_file", "source_file_2"]) == "source_file_3"
     with pytest.raises(ValueError):
@@ -131,8 +131,8 @@ def test_merge_keeps_data_columns(spark):
 
 
 def test_formula_guard(spark):
-    cells = ["=SUM(A1:A2)", "clean", "-5", "+1.5e3", " @x", "\tx", "  ", "", "-5d", "-inf", None, " \tx", "-", "--1"]
-    want = ["'=SUM(A1:A2)", "clean", "-5", "+1.5e3", "' @x", "'\tx", "  ", "", "'-5d", "-inf", None, " \tx", "'-", "'--1"]
+    cells = ["=B7*2", "plain", "-8", "+2.5e4", " @y", "\ty", "  ", "", "-7q", "-inf", None, " \ty", "-", "--3"]
+    want = ["'=B7*2", "plain", "-8", "+2.5e4", "' @y", "'\ty", "  ", "", "'-7q", "-inf", None, " \ty", "'-", "'--3"]
     df = spark.createDataFrame(list(enumerate(cells)), "i int, `=c` string")
     out = tables.sanitize_for_csv(df)
     assert out.columns == ["i", "'=c"]
@@ -170,3 +170,58 @@ def test_catalog(spark):
 def test_pasted_text(spark):
     df = spark.createDataFrame([("1;a",), ("2;b",)], "line string")
     assert rows(readers.parse_delimited_text(df, "line", "n int, s string", ";")) == [(1, "a"), (2, "b")]
+
+
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    texts = ["one\ntwo", 'say "hi"\n\nthere', " blanks ", "a,b", "", "last"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    tables.write_csv(df, str(tmp_path / "t.csv"), safe=False)
+    got = readers.load_table(spark, str(tmp_path / "t.csv"))
+    assert got.dtypes == [("i", "bigint"), ("t", "string")] or got.dtypes == [("i", "int"), ("t", "string")]
+    assert sorted((r["i"], r["t"] or "") for r in got.collect()) == list(enumerate(texts))
+
+
+def test_files_with_other_headers_join_by_name(spark, tmp_path):
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    (folder / "one file.csv").write_text("x,y\n1,2\n")
+    (folder / "two.csv").write_text("y,x\n20,10\n")
+    (folder / "three.csv").write_text("x,z\n100,7\n")
+    got = readers.load_table(spark, str(folder)).select("x", "y", "z")
+    assert sorted(map(tuple, got.collect())) == [(1, 2, None), (10, 20, None), (100, None, 7)]
+
+
+def test_prose_is_no_table(spark, tmp_path):
+    (tmp_path / "prose.txt").write_text("Once upon a time.\nThere was, so they say, a king.\n")
+    with pytest.raises(ValueError, match="not a table: prose.txt"):
+        readers.load_table(spark, str(tmp_path / "prose.txt"))
+    (tmp_path / "table.txt").write_text("a;b\n1;2\n3;4\n")
+    assert rows(readers.load_table(spark, str(tmp_path / "table.txt"))) == [(1, 2), (3, 4)]
+
+
+def test_every_child_of_the_xml_root_is_a_record(spark, tmp_path):
+    (tmp_path / "x.xml").write_text("<?xml version='1.0' encoding='utf-8'?><all><item><a>1</a></item><other><b>2</b></other><item><a>3</a></item></all>")
+    got = readers.load_table(spark, str(tmp_path / "x.xml")).select("a", "b")
+    assert sorted(map(tuple, got.collect()), key=repr) == [("1", None), ("3", None), (None, "2")]
+
+
+def test_html_files(spark, tmp_path):
+    (tmp_path / "p.html").write_text("<table><tr><th>a<th>b</tr></table><table><tr><th>k</th><th>v</th></tr><tr><td>x</td><td>1</td></tr></table>")
+    assert rows(readers.load_table(spark, str(tmp_path / "p.html"))) == [("x", "1")]
+    (tmp_path / "none.htm").write_text("<p>nothing</p>")
+    with pytest.raises(ValueError, match="no table"):
+        readers.load_table(spark, str(tmp_path / "none.htm"))
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ('[{"a": 1}, {"a": 2}]', [(1,), (2,)]),
+        ('{"rows": [{"a": 1}, {"a": 2}]}', [(1,), (2,)]),
+        ('{"a": [1, 2]}', [(1,), (2,)]),
+        ('{"a": 5}', [(5,)]),
+    ],
+)
+def test_json_files_of_every_shape(spark, tmp_path, text, want):
+    (tmp_path / "d.json").write_text(text)
+    assert rows(readers.load_table(spark, str(tmp_path / "d.json"))) == want
