@@ -201,7 +201,7 @@ def _signed(rows: DataFrame, like: Likeness, cells, repeated=None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        freq, seen = cells.value, None if repeated is None else repeated.value
+        freq, seen, sent = cells.value, None if repeated is None else repeated.value, set()
         for batch in batches:
             sig, node, size, blob = [], [], [], []
             held = 0
@@ -227,7 +227,9 @@ def _signed(rows: DataFrame, like: Likeness, cells, repeated=None) -> DataFrame:
                 node.append(_node(tokens))
                 size.append(len(tokens))
                 # the set itself goes with its first signature
-                blob.append([tokens.tobytes() if seen is not None else None] + [None] * (len(own) - 1))
+                fresh = seen is not None and node[-1] not in sent
+                sent.add(node[-1])
+                blob.append([_packed(tokens) if fresh else None] + [None] * (len(own) - 1))
                 held += len(own) + (len(tokens) if seen is not None else 0)
                 if held > 1_000_000:
                     yield made()
@@ -238,11 +240,26 @@ def _signed(rows: DataFrame, like: Likeness, cells, repeated=None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "sig long, node long, n int, tokens binary")
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """Sorted tokens as their high 48 bits, which is what sets are compared by: two sets of a thousand tokens have
+    a chance of about 4e-9 that two different ones look equal."""
+    return np.ascontiguousarray((tokens >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data) -> np.ndarray:
+    own = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(own), 8), dtype=np.uint8)
+    out[:, 2:] = own
+    return out.view("<u8").ravel()
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, like: Likeness, cells, deltas: bool) -> DataFrame:
     """Exact comparison of ``leader`` and ``member``: ``linked``, and the first tokens of their difference if asked for."""
-    left = sets.select(F.col("node").alias("leader"), F.col("tokens").alias("leader_tokens"))
-    right = sets.select(F.col("node").alias("member"), F.col("tokens").alias("member_tokens"))
-    both = pairs.select("leader", "member").join(right, "member").join(left, "leader")
+    # a member has at most as many leaders as it has signatures, so its set travels to their place only
+    leaders = pairs.groupBy("member").agg(F.collect_set("leader").alias("leaders"))
+    own = sets.join(leaders, F.col("node") == F.col("member")).select("member", F.col("tokens").alias("member_tokens"), F.explode("leaders").alias("leader"))
+    lead = sets.join(pairs.select("leader").distinct(), F.col("node") == F.col("leader")).select("leader", F.col("tokens").alias("leader_tokens"))
+    both = own.join(lead, "leader")
 
     def run(batches):
         import pyarrow as pa
@@ -252,7 +269,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, like: Likeness, cells, deltas: b
         for batch in batches:
             linked, size, apart, prefix = [], [], [], []
             for one, two in zip(batch.column("leader_tokens"), batch.column("member_tokens"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype="<u8") for x in (one, two))
+                a, b = _unpacked(one.as_buffer()), _unpacked(two.as_buffer())
                 new = np.setdiff1d(b, a, assume_unique=True)
                 shared = len(b) - len(new)
                 linked.append(bool(like.linked(shared, len(a), len(b))))
@@ -346,7 +363,11 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id"
     pairs = signed.select("sig", "node").join(leaders, "sig").filter("node != leader").select("leader", F.col("node").alias("member")).distinct()
     tokens = signed.filter("tokens is not null").groupBy("node").agg(F.min("tokens").alias("tokens"))
     stars = staged(_compare(pairs, tokens, like, cells, True), "stars")
-    more = _compare(_through_differences(stars, like), tokens, like, cells, False)
+    rest = staged(_through_differences(stars, like), "rest")
+    ends = rest.select(F.explode(F.array("leader", "member")).alias("node")).distinct()
+    # 8 bytes each: few enough to send to all tasks, or a join
+    ends = F.broadcast(ends) if ends.count() <= 1_000_000 else ends
+    more = _compare(rest, signed.filter("tokens is not null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens")), like, cells, False)
     links = staged(stars.unionByName(more).filter("linked").select("leader", "member"), "links")
     roots = components(links)
     degree = links.select(F.explode(F.array("leader", "member")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
