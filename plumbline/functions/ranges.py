@@ -30,6 +30,8 @@ CELL_ROWS = "plumbline.cell.rows"
 MAX_RANGES = 50_000
 MAX_CELLS = 20_000
 SMALL_ROWS = 20_000
+# rows of a few numbers each that may be sent to every task
+BROADCAST_ROWS = 200_000
 SAMPLE_ROWS = 120_000
 BRACKET = 0.006
 
@@ -56,10 +58,12 @@ def join_null_safe(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hint: bool = False
 ) -> DataFrame:
     """Equi-join in which a null key matches a null key; each key column appears once, from the left."""
+    if not keys:
+        raise ValueError("a join needs at least one key column")
     names = {k: f"__right_{i}" for i, k in enumerate(keys)}
     renamed = right.withColumnsRenamed(names)
     on = [q(k).eqNullSafe(F.col(n)) for k, n in names.items()]
-    joined = left.join(F.broadcast(renamed) if hint else renamed, on if on else F.lit(True), how)
+    joined = left.join(F.broadcast(renamed) if hint else renamed, on, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*names.values())
 
 
@@ -160,12 +164,16 @@ def order_statistics(
         (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("in_cell"))
     )
     cell_keys = [*keys, "cell"]
+    # one row per rank, column and group: without groups few by construction, with groups counted first
+    if by:
+        wanted = materialize(wanted)
+    few = not by or wanted.count() <= BROADCAST_ROWS
     hot = wanted.select(*cell_keys).distinct()
-    picked = join_null_safe(cells, hot, cell_keys, "left_semi")
+    picked = join_null_safe(cells, hot, cell_keys, "left_semi", hint=few)
     counts = picked.groupBy(*cell_keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     inside = Window.partitionBy(*cell_keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("upto", F.sum("cnt").over(inside))
-    hits = join_null_safe(counts, wanted, cell_keys)
+    hits = join_null_safe(counts, wanted, cell_keys, hint=few)
     upto = F.col("before") + F.col("upto")
     hits = hits.filter((F.col("rank") >= upto - F.col("cnt")) & (F.col("rank") < upto))
     return named(hits.select(*[q(k) for k in keys], "label", "n", "rank", "value"), cols)

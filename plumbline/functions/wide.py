@@ -105,6 +105,12 @@ def distinct_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return union_all(frames).select(names.alias("column"), F.col("d").alias("distinct_values"))
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """The numbers of ``distinct_table``, for conditions that need them: one per column."""
+    found = {r["column"]: r["distinct_values"] for r in distinct_table(df, columns).collect()} if columns else {}
+    return {c: found.get(c, 0) for c in columns}
+
+
 def duplicate_counts(df: DataFrame) -> DataFrame:
     """Each distinct row once with its number of copies; maps are compared by their JSON text."""
     cols = [

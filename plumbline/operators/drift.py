@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.functions.exprs import field_type, finite, missing, number, numeric_columns, q, value_of
-from plumbline.functions.ranges import cell_bounds, cells_for, join_null_safe, long_cells, long_values, named
+from plumbline.functions.ranges import BROADCAST_ROWS, cell_bounds, cells_for, join_null_safe, long_cells, long_values, named
 from plumbline.functions.wide import column_table, distinct_table, level_counts
 from plumbline.operators.profile import column_facts
 from plumbline.operators.select import common_columns, likely_ids
+from plumbline.session import materialize
 from plumbline.sources.tables import fingerprint
 
 # The thresholds at which a change is reported.
@@ -159,10 +160,12 @@ def ks_statistics(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = No
         here = F.try_divide("pa", "n_a") - F.try_divide("pb", "n_b")
         edge = F.abs(F.try_divide(F.col("pa") + F.col("a"), "n_a") - F.try_divide(F.col("pb") + F.col("b"), "n_b"))
         reach = F.greatest(here + F.try_divide("a", "n_a"), F.try_divide("b", "n_b") - here)
-        totals = totals.select("*", edge.alias("edge"), reach.alias("reach")).withColumn("best", F.max("edge").over(w))
+        # cells x columns rows, used three times: computed once
+        totals = materialize(totals.select("*", edge.alias("edge"), reach.alias("reach")).withColumn("best", F.max("edge").over(w)))
         open_cells = totals.filter(F.col("reach") > F.col("best"))
         keys = ["column", "cell"]
         marks = open_cells.select(*keys)
+        marks = F.broadcast(marks) if parts * len(columns) <= BROADCAST_ROWS else marks
         inner = cells.join(marks, keys, "left_semi").groupBy(*keys, "value").agg(in_a.alias("va"), in_b.alias("vb"))
         run = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
         inner = inner.select(*keys, F.sum("va").over(run).alias("ra"), F.sum("vb").over(run).alias("rb"))

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.exprs import field_type, free_name, is_temporal, number, numeric_columns, q
 from plumbline.functions.ranges import quantiles
-from plumbline.functions.wide import level_counts, union_all
+from plumbline.functions.wide import distinct_counts, level_counts, union_all
 from plumbline.operators import metrics as mx
 from plumbline.operators import splits as sp
 from plumbline.operators.clean import mode_fills
@@ -105,7 +105,8 @@ def validate_training(df: DataFrame, target: str, features: Sequence[str], probl
 def encoded_width(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """One row ``(rows, numeric, levels, width, cells, wide_columns)``: size of the encoded training matrix."""
     numeric, categorical = split_features(df, features)
-    counts = [F.greatest(F.count_distinct(q(c)), F.lit(1)).alias(f"k{i}") for i, c in enumerate(categorical)]
+    found = distinct_counts(df, categorical)
+    counts = [F.lit(max(found[c], 1)).alias(f"k{i}") for i, c in enumerate(categorical)]
     facts = df.agg(F.count(F.lit(1)).alias("rows"), *counts)
     levels = sum((F.col(f"k{i}") for i in range(len(categorical))), F.lit(0)).cast("long")
     wide = [F.when(F.col(f"k{i}") > WIDE_LEVELS, F.lit(c)) for i, c in enumerate(categorical)]

@@ -23,7 +23,7 @@ from plumbline.functions.exprs import (
     value_of,
 )
 from plumbline.functions.ranges import first_k, task_rows
-from plumbline.functions.wide import column_table
+from plumbline.functions.wide import column_table, distinct_counts
 
 # Column names and endings that mark an identifier.
 ID_NAMES = ("id", "uuid", "guid", "index", "row_id", "pk", "key")
@@ -153,11 +153,12 @@ def named_like_id(name: str) -> bool:
 
 def id_columns_table(df: DataFrame) -> DataFrame:
     """``(column, by_name, non_null, distinct_values, likely_id)`` for every column."""
+    # only text can be an ID by its values, so only text is counted
+    kinds = (T.StringType, T.ArrayType, T.MapType, T.StructType)
+    levels = distinct_counts(df, [c for c in df.columns if isinstance(field_type(df, c), kinds)])
     entries = []
     for c in df.columns:
-        texty = isinstance(field_type(df, c), (T.StringType, T.ArrayType, T.MapType, T.StructType))
-        # only text can be an ID by its values, so only text is counted
-        distinct = F.count_distinct(value_of(df, c)) if texty else F.lit(None).cast("long")
+        distinct = F.lit(levels.get(c)).cast("long")
         entries.append(
             [
                 F.lit(c).alias("column"),
@@ -184,6 +185,7 @@ def likely_ids(df: DataFrame) -> list[str]:
 
 def problem_type_table(df: DataFrame, targets: Sequence[str]) -> DataFrame:
     """``(column, non_null, distinct_values, integer_like, problem_type)`` per target column."""
+    levels = distinct_counts(df, [c for c in targets if c in df.columns])
     entries = []
     for c in targets:
         if c not in df.columns:
@@ -198,7 +200,7 @@ def problem_type_table(df: DataFrame, targets: Sequence[str]) -> DataFrame:
             )
             continue
         numeric = c in numeric_columns(df)
-        n, d = F.count_if(present(df, c)), F.count_distinct(value_of(df, c))
+        n, d = F.count_if(present(df, c)), F.lit(levels.get(c, 0)).cast("long")
         if numeric:
             x = number(df, c)
             near = F.abs(x - F.rint(x)) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(F.rint(x))
@@ -282,9 +284,10 @@ def rank_grouping_columns(df: DataFrame, columns: Sequence[str] | None = None) -
     columns = list(columns or df.columns)
     numbers = set(numeric_columns(df))
     entries = []
+    levels = distinct_counts(df, columns)
     for i, c in enumerate(columns):
         texty = isinstance(field_type(df, c), T.StringType)
-        d, n = F.count_distinct(value_of(df, c)), F.count_if(present(df, c))
+        d, n = F.lit(levels[c]).cast("long"), F.count_if(present(df, c))
         dense = ((n >= 20) & (d > 0.5 * n)) if texty else F.lit(False)
         identifier = F.lit(True) if named_like_id(c) else dense
         tier = F.when(identifier, 4).when(d.between(2, 30), 0).when(d.between(31, 100), 1).otherwise(2)

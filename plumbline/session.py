@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -28,10 +29,13 @@ def build_session(master: str | None = None, app: str = "plumbline", **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as named by ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, one machine) a temporary folder is set instead.
+    Where none is named, a temporary folder is set on a single machine; on a cluster that is an error, as executors
+    would each write to a disk of their own.
     """
     context = spark.sparkContext
     base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="plumbline-")
     if not context.getCheckpointDir():

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import free_name, missing, q, text_columns, total, value_of
-from plumbline.functions.wide import union_all
+from plumbline.functions.wide import distinct_counts, union_all
 
 # Bounds a single-machine user would check a table against (all optional here).
 GUARD_LIMITS = {"rows": 1_000_000, "columns": 200, "cells": 20_000_000, "high_cardinality_cells": 5_000_000}
@@ -77,13 +77,10 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 def shape_guard(df: DataFrame, **limits: int) -> DataFrame:
     """``(rule, value, limit, ok)``; rules without a limit in the call always hold."""
-    cols, texts = len(df.columns), text_columns(df)
+    cols, levels = len(df.columns), distinct_counts(df, text_columns(df))
     share = [
-        F.when(
-            F.count_distinct(q(c)) >= HIGH_CARDINALITY_SHARE * F.greatest(F.count(F.lit(1)), F.lit(1)),
-            F.count(F.lit(1)),
-        ).otherwise(0)
-        for c in texts
+        F.when(F.lit(n) >= HIGH_CARDINALITY_SHARE * F.greatest(F.count(F.lit(1)), F.lit(1)), F.count(F.lit(1))).otherwise(0)
+        for n in levels.values()
     ]
     facts = df.agg(F.count(F.lit(1)).alias("rows"), total(share).cast("long").alias("risky"))
     values = {
