@@ -7,8 +7,8 @@ prefix is extended, and pairs of frequent tokens of one group are the signatures
 common pair until ``g - 1`` of them differ, so a prefix whose rare tokens and ``g - 1`` of every group add up to
 one more than the allowed differences cannot miss a similar set. Nothing is capped.
 
-Equal sets are one node throughout. Nodes with a common signature are first compared with the smallest of them
-only (the leader), which costs one pair per node and signature. Two nodes of one leader that are not both linked
+Equal sets are one node throughout. Nodes with a common signature are first compared with one of them only
+(the leader), which costs one pair per node and signature. Two nodes of one leader that are not both linked
 to it are found from their differences to the leader: similar nodes have mostly the same difference, so their
 difference prefixes meet, while nodes that differ from the leader in other places never do. So a family of
 thousands of near copies does not become all its pairs, and no link between parts of the graph is lost.
@@ -253,6 +253,17 @@ def _unpacked(data) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _stars(held: DataFrame) -> DataFrame:
+    """``leader, member``: every holder of a signature (``sig, node, size``) with the best connected of its holders.
+
+    That is the node whose signatures have most holders in all, so a family of near copies has few leaders, from
+    its own middle, and a chance meeting with another text does not move them.
+    """
+    weight = held.groupBy("node").agg(F.sum("size").alias("weight"))
+    leaders = held.select("sig", "node").join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    return held.join(leaders, "sig").filter("node != leader").select("leader", F.col("node").alias("member")).distinct()
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, like: Likeness, cells, deltas: bool) -> DataFrame:
     """Exact comparison of ``leader`` and ``member``: ``linked``, and the first tokens of their difference if asked for."""
     # a member has at most as many leaders as it has signatures, so its set travels to their place only
@@ -356,11 +367,11 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id"
     sets = first.filter("chunk is null").select("doc_id", "node", "n")
     cells = spark.sparkContext.broadcast(_cells(first.filter("chunk is not null").select("part", "chunk", "cells"), bits))
 
-    seen = _signed(rows, like, cells).groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
-    leaders = staged(seen.filter("leader < other").select("sig", "leader"), "signatures")
-    repeated = spark.sparkContext.broadcast(build(leaders, "sig", BitFilter.sized(leaders.count())))
+    seen = _signed(rows, like, cells).groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size"))
+    shared = staged(seen.filter("a < b").select("sig", "size"), "signatures")
+    repeated = spark.sparkContext.broadcast(build(shared, "sig", BitFilter.sized(shared.count())))
     signed = staged(_signed(rows, like, cells, repeated), "candidates")
-    pairs = signed.select("sig", "node").join(leaders, "sig").filter("node != leader").select("leader", F.col("node").alias("member")).distinct()
+    pairs = staged(_stars(signed.select("sig", "node").distinct().join(shared, "sig")), "pairs")
     tokens = signed.filter("tokens is not null").groupBy("node").agg(F.min("tokens").alias("tokens"))
     stars = staged(_compare(pairs, tokens, like, cells, True), "stars")
     rest = staged(_through_differences(stars, like), "rest")
