@@ -58,7 +58,35 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op3_decontamination")
+_WORDS = "'[^\\x20\\x09-\\x0D]+'"
+
+DECONTAMINATION_SQL = f"""WITH iw AS (SELECT item_id, regexp_extract_all(lower(text), {_WORDS}) AS w FROM benchmark),
+ig AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw) AS t),
+n AS (SELECT item_id, count(*) AS n_shingles FROM ig GROUP BY item_id),
+dw AS (SELECT doc_id, regexp_extract_all(lower(text), {_WORDS}) AS w FROM documents),
+dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw) AS t)
+SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, count(*) / n_shingles AS containment
+FROM dg JOIN ig USING (g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= n_shingles * 0.8 - 1e-9"""
+
+JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g
+ FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0) AS t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g AS a JOIN g AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+r(a, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.a, r.c FROM l JOIN r ON l.b = r.a)
+SELECT r.a AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
+
+SUBSTRING_SQL = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+x AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w) AS t),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS f FROM x) AS t WHERE f < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM rep),
+o AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM w),
+k AS (SELECT o.doc_id, string_agg(word, ' ' ORDER BY o.p) AS kept, count(*) AS n FROM o LEFT JOIN gone ON gone.doc_id = o.doc_id AND gone.p = o.p WHERE gone.p IS NULL GROUP BY 1)
+SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
+
+
+@query("op3_decontamination", DECONTAMINATION_SQL)
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -109,18 +137,18 @@ def op5_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", SUBSTRING_SQL)
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = substring_dedup.remove_repeats(docs)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op6_jaccard_join")
+@query("op6_jaccard_join", JACCARD_SQL)
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = jaccard_join.classes(docs, jaccard_join.Likeness(words=3, percent=90))
-    return found.select("doc_id", "n_shingles", "component_id", "set_id", "n_links")
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 @query("op1_line_dedup")
