@@ -45,6 +45,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batch, most: int = 4_000_000):
+    """An Arrow batch cut into slices of a few MB of ``text``, so that its Python strings never exist all at once."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // most
+    start = 0
+    for end in [*(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]:
+        if end > start:
+            yield batch.slice(start, end - start)
+        start = end
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name the table does not have yet."""
     taken, name = {c.lower() for c in df.columns}, wanted

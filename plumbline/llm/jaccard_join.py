@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bitfilter import BitFilter, build, mix
-from plumbline.llm.common import staged, text_of
+from plumbline.llm.common import slices, staged, text_of
 
 #: cells with more documents than this hold frequent tokens
 FREQUENT = 64
@@ -97,7 +97,7 @@ def _sets_and_cells(rows: DataFrame, like: Likeness, bits: int) -> DataFrame:
 
         counts = np.zeros(1 << bits, dtype=np.uint16)
         empty = None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             nodes, sizes, held, size = [], [], [], 0
             empty = batch.column("doc_id").slice(0, 0)
 
@@ -202,7 +202,7 @@ def _signed(rows: DataFrame, like: Likeness, cells, repeated=None) -> DataFrame:
         import pyarrow as pa
 
         freq, seen, sent = cells.value, None if repeated is None else repeated.value, set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sig, node, size, blob = [], [], [], []
             held = 0
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bitfilter import MOST_BYTES, BitFilter, build, mix
-from plumbline.llm.common import staged, text_of
+from plumbline.llm.common import slices, staged, text_of
 
 #: ratio of neighbouring count levels
 RATIO = 1.5
@@ -56,16 +56,6 @@ def _pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(before * _P ^ mix(words + _Q))
 
 
-def _chunks(texts: list[str], most: int = 4_000_000):
-    """Ranges of a few MB of text."""
-    start = size = 0
-    for end, text in enumerate(texts, 1):
-        size += len(text)
-        if size >= most or end == len(texts):
-            yield start, end
-            start, size = end, 0
-
-
 def _counts(train: DataFrame, blocks: int) -> DataFrame:
     """``kind`` (1 words, 2 pairs), ``block``, and the sorted distinct ``keys`` with their ``counts`` as packed numbers."""
 
@@ -87,10 +77,9 @@ def _counts(train: DataFrame, blocks: int) -> DataFrame:
             )
 
         held: dict[int, list] = {1: [], 2: []}
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _chunks(texts):
-                words, _, before = _hashed(texts[a:b])
+        for whole in batches:
+            for batch in slices(whole):
+                words, _, before = _hashed(batch.column("text").to_pylist())
                 for kind, keys in ((1, words), (2, _pairs(before, words))):
                     held[kind].append(np.unique(keys, return_counts=True))
                     if sum(len(k) for k, _ in held[kind]) > GATHERED:
@@ -200,10 +189,10 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
         m, frequent, frequent_logs = sent.value
         floor = m.tokens + m.distinct + 1
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in _chunks(texts):
-                words, sizes, before = _hashed(texts[a:b])
+        for whole in batches:
+            for batch in slices(whole):
+                rows_here = batch.num_rows
+                words, sizes, before = _hashed(batch.column("text").to_pylist())
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
                 unique, where = np.unique(words, return_inverse=True)
                 rough = m.count(unique, 1)
@@ -215,16 +204,16 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 context[starts] = m.docs
                 pair = m.count(_pairs(before, words), 2)
                 p = (1 - m.weight) * (single + 1) / floor + m.weight * np.minimum(pair / np.maximum(context, 1), 1)
-                doc = np.repeat(np.arange(b - a), sizes)
+                doc = np.repeat(np.arange(rows_here), sizes)
                 rare = np.flatnonzero(~is_top[where])
                 main = [sizes, np.add.reduceat(is_top[where].astype(np.int64), starts), np.add.reduceat(exact[where], starts),
                         np.add.reduceat(np.log10(p), starts)]
-                pick = np.r_[np.arange(b - a), doc[rare]] + a
+                pick = np.r_[np.arange(rows_here), doc[rare]]
                 more = np.zeros(len(rare))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(pick)), batch.column("version").take(pa.array(pick)),
-                     pa.array(np.r_[np.zeros(b - a, np.int64), words[rare].view(np.int64)]),
-                     pa.array(np.r_[np.ones(b - a, bool), np.zeros(len(rare), bool)])]
+                     pa.array(np.r_[np.zeros(rows_here, np.int64), words[rare].view(np.int64)]),
+                     pa.array(np.r_[np.ones(rows_here, bool), np.zeros(len(rare), bool)])]
                     + [pa.array(np.r_[c, more].astype(t)) for c, t in zip(main, (np.int64, np.int64, float, float), strict=True)],
                     names=["doc_id", "version", "key", "main", "n_tokens", "n_known", "base", "score"],
                 )
