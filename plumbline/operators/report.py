@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +21,8 @@ from plumbline.operators.stats import (
     widest_columns,
 )
 
-MOST_COLUMNS = 100
-CORRELATED_COLUMNS = 50
-CHART_COLUMNS = 4
-SAMPLE_ROWS, SAMPLE_COLUMNS, SAMPLE_CHARS = 8, 8, 28
-TOP_VALUE_CHARS = 38
+# the sample is a look at the first cells, not an audit of them
+SAMPLE_ROWS, SAMPLE_COLUMNS = 8, 8
 
 
 def report_summary(df: DataFrame) -> DataFrame:
@@ -53,7 +50,7 @@ def report_outliers(df: DataFrame, columns: Sequence[str], redact: Sequence[str]
 def report_categories(df: DataFrame, columns: Sequence[str], redact: Sequence[str] = ()) -> DataFrame:
     hide = F.col("column").isin(list(redact)) if redact else F.lit(False)
     table = categorical_summary(df, columns)
-    top = F.when(hide, REDACTED).otherwise(F.substring("top_level", 1, TOP_VALUE_CHARS))
+    top = F.when(hide, REDACTED).otherwise(F.col("top_level"))
     return table.withColumn("top_level", top)
 
 
@@ -62,14 +59,26 @@ def report_sample(df: DataFrame, sensitive: Sequence[str] = (), key: Sequence[st
     cols = df.columns[:SAMPLE_COLUMNS]
     ordered = df.orderBy(*[q(k) for k in key]) if key else df
     few = ordered.limit(SAMPLE_ROWS).select(*[q(c) for c in cols])
-    texts = few.select(*[F.substring(q(c).cast("string"), 1, SAMPLE_CHARS).alias(c) for c in cols])
+    texts = few.select(*[q(c).cast("string").alias(c) for c in cols])
     return mask(texts, [c for c in cols if c in set(sensitive)])
 
 
-def audit_report(df: DataFrame, excluded: Sequence[str] = (), key: Sequence[str] = (), charts: bool = True) -> dict[str, DataFrame]:
-    """All report tables by name. Columns found or named as sensitive show no values."""
+def audit_report(
+    df: DataFrame,
+    excluded: Sequence[str] = (),
+    key: Sequence[str] = (),
+    charts: bool = True,
+    most_columns: int | None = None,
+    correlated_columns: int | None = None,
+    chart_columns: int | None = None,
+) -> dict[str, DataFrame]:
+    """All report tables by name. Columns found or named as sensitive show no values.
+
+    Every column is reported on. A display may ask for the first ``most_columns`` numeric and other columns, for
+    correlations among the ``correlated_columns`` of largest variance, and for charts of the first ``chart_columns``.
+    """
     hidden = {r["column"] for r in sensitive_columns(df).select("column").collect()} | {c for c in excluded if c in df.columns}
-    numbers, others = numeric_columns(df)[:MOST_COLUMNS], other_columns(df)[:MOST_COLUMNS]
+    numbers, others = numeric_columns(df)[:most_columns], other_columns(df)[:most_columns]
     out = {"summary": report_summary(df), "structure": column_structure(df)}
     if numbers:
         out["numeric"] = describe(df, numbers, redact=[c for c in numbers if c in hidden])
@@ -78,13 +87,13 @@ def audit_report(df: DataFrame, excluded: Sequence[str] = (), key: Sequence[str]
         out["categorical"] = report_categories(df, others, [c for c in others if c in hidden])
     safe = [c for c in numeric_columns(df) if c not in hidden]
     if len(safe) > 1:
-        out["correlation"] = correlation_insights(pearson_pairs(df, widest_columns(df, CORRELATED_COLUMNS, safe)))
-    first = df.select(*[q(c) for c in df.columns[:MOST_COLUMNS]])
+        out["correlation"] = correlation_insights(pearson_pairs(df, widest_columns(df, correlated_columns or len(safe), safe)))
+    first = df.select(*[q(c) for c in df.columns[:most_columns]])
     out["quality"] = quality_flags(first)
     out["review"] = review_list(first)
     out["sample"] = report_sample(df, sorted(hidden), key)
     if charts and safe:
-        few = safe[:CHART_COLUMNS]
+        few = safe[:chart_columns]
         out["histograms"] = histograms(df, few)
         out["boxes"] = union_all([box_stats(df, c).withColumn("column", F.lit(c)).drop("x", "hue") for c in few])
         if len(safe) > 1:
@@ -118,6 +127,15 @@ def catalog_report(tables: dict[str, DataFrame]) -> tuple[DataFrame, list[tuple[
     return spark.createDataFrame(rows, schema), failed
 
 
+def full_reports(tables: dict[str, DataFrame]) -> Iterator[tuple[str, dict[str, DataFrame] | None, str | None]]:
+    """``(name, report, reason)`` of every table in turn: its whole ``audit_report``, or why there is none."""
+    for name, df in tables.items():
+        try:
+            yield name, audit_report(df), None
+        except Exception as error:
+            yield name, None, f"{type(error).__name__}: {str(error).splitlines()[0]}"
+
+
 def report_all(spark: SparkSession) -> tuple[DataFrame, list[tuple[str, str]]]:
     """``catalog_report`` over all tables and views of the current catalog."""
     tables, failed = {}, []

@@ -299,3 +299,57 @@ def _(t):
     path = _out(t, "dirty") + ".parquet"
     tables.write_parquet(t.dirty_customer(), path)
     return readers.load_table(t.spark, path)
+
+
+@query("s5_json_files", sql("SELECT c_custkey, c_name, c_nationkey FROM customer", "", "c_custkey c_nationkey"))
+def _(t):
+    # one file per nation, each a list of records
+    record = F.struct("c_custkey", "c_name", "c_nationkey")
+    files = t.customer.groupBy("c_nationkey").agg(F.to_json(F.collect_list(record)).alias("value")).select("value")
+    path = _out(t, "customers") + ".json"
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    return readers.load_table(t.spark, path).select("c_custkey", "c_name", "c_nationkey")
+
+
+@query("s2_csv_text_round_trip", sql("SELECT doc_id, md5(text) AS digest, length(text) AS n FROM documents", "", "doc_id n"))
+def _(t):
+    path = _out(t, "texts") + ".csv"
+    tables.write_csv(t.documents.select("doc_id", "text"), path, safe=False)
+    found = readers.load_table(t.spark, path)
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.md5(text).alias("digest"), F.length(text).alias("n"))
+
+
+@query(
+    "s2_csv_headers_differ",
+    sql(
+        """SELECT c_custkey AS "key", c_name AS name, c_acctbal AS balance, NULL AS nation FROM customer
+UNION ALL SELECT s_suppkey, s_name, NULL, s_nationkey FROM supplier""",
+        "balance",
+        '"key" nation',
+    ),
+)
+def _(t):
+    path = _out(t, "partners") + ".csv"
+    tables.write_csv(t.customer.selectExpr("c_custkey AS key", "c_name AS name", "c_acctbal AS balance"), path)
+    tables.write_csv(t.supplier.selectExpr("s_nationkey AS nation", "s_name AS name", "s_suppkey AS key"), path, mode="append")
+    return readers.load_table(t.spark, path).select("key", "name", "balance", "nation")
+
+
+@query(
+    "s9_xml_all_children",
+    """SELECT CAST(c_custkey AS VARCHAR) AS customer_key, NULL::VARCHAR AS supplier_key FROM customer
+UNION ALL SELECT NULL, CAST(s_suppkey AS VARCHAR) FROM supplier""",
+)
+def _(t):
+    def records(table, tag, field, column):
+        start, end = f"<{tag}><{field}>", f"</{field}></{tag}>"
+        return table.select(F.col(column).alias("nation"), F.concat(F.lit(start), F.col(key_of[tag]).cast("string"), F.lit(end)).alias("x"))
+
+    key_of = {"customer": "c_custkey", "supplier": "s_suppkey"}
+    both = records(t.customer, "customer", "customer_key", "c_nationkey").unionByName(records(t.supplier, "supplier", "supplier_key", "s_nationkey"))
+    # one file per nation, with both kinds of records below its root
+    files = both.groupBy("nation").agg(F.concat(F.lit("<all>"), F.array_join(F.collect_list("x"), ""), F.lit("</all>")).alias("value")).select("value")
+    path = _out(t, "partners") + ".xml"
+    files.write.option("maxRecordsPerFile", 1).text(path)
+    return readers.load_table(t.spark, path).select("customer_key", "supplier_key")

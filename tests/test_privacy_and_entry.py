@@ -100,3 +100,12 @@ def test_a_query_of_each_kind_against_sql(spark, name):
     assert sorted(names) == sorted(df.columns)
     want = sorted((tuple(dict(zip(names, r))[c] for c in df.columns) for r in res.fetchall()), key=repr)
     assert rows(df) == want
+
+
+def test_wide_tables_are_reported_whole(spark):
+    df = spark.range(30).selectExpr("id", *[f"id * {i} + rand({i}) as n{i}" for i in range(130)], "repeat('long text ', 20) as t")
+    report = rp.audit_report(df.select("n1", *[f"n{i}" for i in range(2, 130)], "t"), charts=False)
+    assert report["numeric"].count() == 129 and report["structure"].count() == 130
+    assert report["categorical"].first()["top_level"] == "long text " * 20
+    name, whole, reason = next(rp.full_reports({"small": df.select("id", "t")}))
+    assert name == "small" and "summary" in whole and reason is None
