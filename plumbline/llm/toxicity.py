@@ -1,6 +1,7 @@
 """Toxicity as multiple-instance learning: a document is toxic if at least one of its sentences is.
 
-Labels exist for documents only. A sentence's score is a logistic function of the marked words in it, and a
+Labels exist for documents only. A sentence's score is a logistic function of the marked words and word beginnings
+in it, and a
 document's score joins its sentences by noisy-or, ``1 - prod(1 - p)``. The weights are trained from document
 labels alone; afterwards the same sentence scores say where the offending sentences are.
 """
@@ -36,23 +37,29 @@ class Model:
     bias: float
 
 
+def _features(words) -> set[str]:
+    """Distinct words and their beginnings of four and five letters, which stand for a word's unseen forms."""
+    distinct = set(words)
+    return distinct | {f"{w[:n]}-" for w in distinct for n in (4, 5) if len(w) > n}
+
+
 def _sentences(text: str, marked) -> tuple[int, list[tuple[int, int, list[str]]]]:
     """Number of sentences, and place and marked words (each once) of those that have any."""
     if not text:
         return 0, []
     low = text.lower()
     n = sum(1 for _ in _SENTENCE.finditer(text))
-    if marked.isdisjoint(_WORD.findall(low)):
+    if marked.isdisjoint(_features(_WORD.findall(low))):
         return n, []
     found = []
     for m in _SENTENCE.finditer(text):
-        if words := marked.intersection(_WORD.findall(m.group().lower())):
+        if words := marked.intersection(_features(_WORD.findall(m.group().lower()))):
             found.append((m.start(), m.end(), sorted(words)))
     return n, found
 
 
 def _word_counts(sample: DataFrame) -> DataFrame:
-    """Documents and toxic documents of every word, counted per task before they are shuffled."""
+    """Documents and toxic documents of every word and beginning, counted per batch before they are shuffled."""
 
     def count(batches):
         import pyarrow as pa
@@ -60,7 +67,7 @@ def _word_counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             docs, toxic = Counter(), Counter()
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                words = set(_WORD.findall(text.lower()))
+                words = _features(_WORD.findall(text.lower()))
                 docs.update(words)
                 if y:
                     toxic.update(words)
