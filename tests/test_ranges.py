@@ -94,3 +94,18 @@ def test_order_statistics_match_sorting(spark, xs):
     spark.conf.unset(rg.TASK_ROWS)
     assert got["value"] == sorted(xs)[math.floor((len(xs) - 1) / 2)]
     assert got["column"] == "x" and got["n"] == len(xs)
+
+
+def test_wanted_cells_do_not_move_the_rows(spark, split_small):
+    """However small the broadcast threshold, exploded values meet the wanted cells where they are."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        df = spark.range(2000).selectExpr("id % 37 as a", "id * 1.5 as b", "id % 3 as g")
+        for by in ([], ["g"]):
+            found = rg.order_statistics(df, ["a", "b"], [("m", lambda n: F.floor(n / 2))], by)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+            assert found.count() == 2 * max(1, 3 * len(by))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
