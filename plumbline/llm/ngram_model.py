@@ -27,7 +27,7 @@ PAIR_SUPPORT = 2
 #: the most frequent words, whose exact counts are broadcast; all others are joined
 FREQUENT = 1 << 16
 #: pairs that a task gathers before it hands them on
-GATHERED = 3_000_000
+GATHERED = 1_000_000
 
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _P, _Q = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -64,15 +64,16 @@ def _counts(train: DataFrame, blocks: int) -> DataFrame:
 
         def packed(kind: int, held: list):
             keys, counts = _summed(held)
+            held.clear()
             block = (keys >> np.uint64(40)) % np.uint64(blocks)
             order = np.argsort(block, kind="stable")
-            keys, counts, block = keys[order], counts[order], block[order]
+            keys, counts, block = keys[order], counts[order].astype("<u4"), block[order]
             cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() if len(keys) else []
             ends = [*cuts[1:], len(keys)][: len(cuts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([kind] * len(cuts), pa.int32()), pa.array([int(block[c]) for c in cuts], pa.int32()),
                  pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                 pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())],
+                 pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())],
                 names=["kind", "block", "keys", "counts"],
             )
 
@@ -81,10 +82,10 @@ def _counts(train: DataFrame, blocks: int) -> DataFrame:
             for batch in slices(whole):
                 words, _, before = _hashed(batch.column("text").to_pylist())
                 for kind, keys in ((1, words), (2, _pairs(before, words))):
-                    held[kind].append(np.unique(keys, return_counts=True))
+                    unique, n = np.unique(keys, return_counts=True)
+                    held[kind].append((unique, n.astype(np.uint32)))
                     if sum(len(k) for k, _ in held[kind]) > GATHERED:
                         yield from packed(kind, held[kind])
-                        held[kind] = []
         for kind in held:
             yield from packed(kind, held[kind])
 

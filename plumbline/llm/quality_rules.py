@@ -125,15 +125,17 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tup
     return share, on_good, on_bad
 
 
-def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, store: bool = True) -> DataFrame:
     """Adds ``quality`` (posterior probability of good), ``base_failed`` and ``kept`` to measured rows.
 
     Kept is what does not fail the base and has ``quality >= threshold``.
-    The rows are written once to the shared folder, so texts are measured only once although the estimate and
-    the verdict both need them. Rows with equal measures get equal verdicts; an empty table stays empty.
+    The estimate and the verdict both need the measures. With ``store`` the rows are written once to the shared
+    folder in between, which suits rows without their texts; otherwise texts are measured twice and nothing is
+    moved or written. Rows with equal measures get equal verdicts; an empty table stays empty.
     """
     votes = {f"__v{i}": F.expr(f"case when {r.bad} then -1 when {r.good} then 1 else 0 end") for i, r in enumerate(rules)}
-    voted = staged(measured.withColumns(votes), "quality-votes")
+    voted = measured.withColumns(votes)
+    voted = staged(voted, "quality-votes") if store else voted
     table = voted.groupBy(*votes).count().collect()  # at most 3 ** len(rules) rows
     patterns = np.array([[r[v] for v in votes] for r in table], dtype=int).reshape(len(table), len(rules))
     share, on_good, on_bad = estimate(patterns, np.array([r["count"] for r in table], dtype=float))
@@ -148,5 +150,5 @@ def filter_documents(docs: DataFrame, text: str = "text", threshold: float = 0.5
     """The rows whose posterior quality reaches the threshold, with the columns they came with."""
     names = docs.columns
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    judged = judge(measure(inner, f"c{names.index(text)}"), threshold=threshold)
+    judged = judge(measure(inner, f"c{names.index(text)}"), threshold=threshold, store=False)
     return judged.filter("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
