@@ -195,8 +195,37 @@ def _signatures(tokens: np.ndarray, cells: np.ndarray, like: Likeness) -> np.nda
     return np.unique(np.concatenate(out)) if out else tokens[:0]
 
 
-def _signed(rows: DataFrame, like: Likeness, cells, repeated=None) -> DataFrame:
-    """Signatures of all sets; with a filter of ``repeated`` ones only those, and then also the tokens of these sets."""
+def _signature_cells(rows: DataFrame, like: Likeness, cells, bits: int) -> DataFrame:
+    """Per task the packed counts (up to 2) of documents by cell of their signatures."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        counts, any_row = np.zeros(1 << bits, dtype=np.uint8), False
+        for batch in (part for whole in batches for part in slices(whole)):
+            any_row = True
+            sets = (_shingles(text, like.words) for text in batch.column("text").to_pylist())
+            own = [_signatures(tokens, cells.value, like) >> np.uint64(64 - bits) for tokens in sets if len(tokens)]
+            if own:
+                cell, n = np.unique(np.concatenate(own), return_counts=True)
+                cell = cell.astype(np.int64)
+                counts[cell] = np.minimum(counts[cell] + np.minimum(n, 2), 2)
+        chunk = min(CHUNK_BITS, bits)
+        for k in range(1 << (bits - chunk) if any_row else 0):
+            own = counts[k << chunk : (k + 1) << chunk]
+            if own.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())],
+                    names=["part", "chunk", "cells"],
+                )
+
+    return rows.select("text").mapInArrow(run, "part int, chunk int, cells binary")
+
+
+def _signed(rows: DataFrame, like: Likeness, cells, repeated=None, sifted=None) -> DataFrame:
+    """Signatures of all sets (without those alone in their cell, if cells are ``sifted``); with a filter of
+    ``repeated`` ones only those, and then also the tokens of these sets."""
 
     def run(batches):
         import pyarrow as pa
@@ -219,6 +248,9 @@ def _signed(rows: DataFrame, like: Likeness, cells, repeated=None) -> DataFrame:
                 if len(tokens) < 1:
                     continue
                 own = _signatures(tokens, freq, like)
+                if sifted is not None:
+                    held_by = sifted.value
+                    own = own[held_by[(own >> np.uint64(64 - (len(held_by).bit_length() - 1))).astype(np.int64)] > 1]
                 if seen is not None:
                     own = own[seen.holds(own)]
                 if not len(own):
@@ -325,6 +357,10 @@ def _through_differences(stars: DataFrame, like: Likeness) -> DataFrame:
     return a.join(b, near).select(*ends).distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("leader").alias("node")).unionByName(pairs.select(F.col("member").alias("node")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reachable, for every node that has a link (``leader``, ``member``).
 
@@ -350,13 +386,14 @@ def components(links: DataFrame) -> DataFrame:
             )
 
 
-def classes(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id", text: str = "text", sift: bool = False) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, set_id, n_links, component_id``.
 
     ``component_id`` is the smallest id reachable by links, its own included; ``n_links`` counts the confirmed
     links of the document's set that the search needed (a spanning part of all links). Words are lower-cased A-Z
     and blank-separated. A text with fewer words than a shingle is one shingle; without words (or null) a set is
-    empty and linked with nothing. Ids may repeat: equal ids do not link different texts. A null id is never the
+    empty and linked with nothing. With ``sift`` signatures are first counted in cells, and those alone in theirs
+    are not shuffled: one more pass over the texts for less disk, with the same result. Ids may repeat: equal ids do not link different texts. A null id is never the
     smallest; a component of null ids alone has a null id. Other columns are not carried.
     """
     spark = docs.sparkSession
@@ -367,7 +404,11 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id"
     sets = first.filter("chunk is null").select("doc_id", "node", "n")
     cells = spark.sparkContext.broadcast(_cells(first.filter("chunk is not null").select("part", "chunk", "cells"), bits))
 
-    seen = _signed(rows, like, cells).groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size"))
+    sifted = None
+    if sift:
+        wide = min(bits + 3, CELL_BITS)
+        sifted = spark.sparkContext.broadcast(_cells(staged(_signature_cells(rows, like, cells, wide), "signature-cells"), wide))
+    seen = _signed(rows, like, cells, sifted=sifted).groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("size"))
     shared = staged(seen.filter("a < b").select("sig", "size"), "signatures")
     repeated = spark.sparkContext.broadcast(build(shared, "sig", BitFilter.sized(shared.count())))
     signed = staged(_signed(rows, like, cells, repeated), "candidates")
@@ -375,13 +416,13 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id"
     tokens = signed.filter("tokens is not null").groupBy("node").agg(F.min("tokens").alias("tokens"))
     stars = staged(_compare(pairs, tokens, like, cells, True), "stars")
     rest = staged(_through_differences(stars, like), "rest")
-    ends = rest.select(F.explode(F.array("leader", "member")).alias("node")).distinct()
+    ends = staged(_ends(rest).distinct(), "ends")
     # 8 bytes each: few enough to send to all tasks, or a join
     ends = F.broadcast(ends) if ends.count() <= 1_000_000 else ends
     more = _compare(rest, signed.filter("tokens is not null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens")), like, cells, False)
     links = staged(stars.unionByName(more).filter("linked").select("leader", "member"), "links")
     roots = components(links)
-    degree = links.select(F.explode(F.array("leader", "member")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    degree = _ends(links).groupBy("node").agg(F.count("*").alias("n_links"))
 
     kinds = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = kinds.join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -397,7 +438,7 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id
 
     Rows that repeat an id and a set count as copies, and one of them stays.
     """
-    found = classes(docs, like, doc_id, text)
+    found = classes(docs, like, doc_id, text, sift=True)
     stay = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(stay, docs[f"`{doc_id}`"].eqNullSafe(stay["__id"]), "left_semi")
     again = found.filter("n_shingles > 0").groupBy("doc_id", "set_id").count().filter("count > 1").limit(1).count()

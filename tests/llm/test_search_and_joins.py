@@ -175,3 +175,9 @@ def test_filter_built_in_blocks_equals_one_built_at_once(spark):
     keys = np.array([r["key"] for r in rows.collect()], dtype=np.int64).view(np.uint64)
     assert (built.levels(keys) >= np.arange(20_000) % 3 + 1).all()
     assert built.holds(keys ^ np.uint64(0x5555), 0).mean() < 0.02
+
+
+def test_sifting_changes_nothing(spark):
+    docs, like = documents(spark, families()), jaccard_join.Likeness(5, 80)
+    plain, sifted = (sorted(map(tuple, jaccard_join.classes(docs, like, sift=s).select("doc_id", "component_id").collect())) for s in (False, True))
+    assert plain == sifted and len(plain) > len({c for _, c in plain})
