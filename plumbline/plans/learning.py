@@ -315,24 +315,24 @@ def _metric_rows(t, scores):
 
 @query("m8_logistic_regression_scores")
 def _(t):
-    return _metric_rows(t, ml.train_model(_documents(t), "quality", _FEATURES, "Logistic Regression", "Classification", ["doc_id"], validate=False).scores)
+    return _metric_rows(t, ml.train_model(_documents(t), "quality", _FEATURES, "Logistic Regression", "Classification", ["doc_id"]).scores)
 
 
 @query("m8_random_forest_scores")
 def _(t):
-    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Random Forest", "Classification", ["doc_id"], validate=False, numTrees=20, maxDepth=6)
+    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Random Forest", "Classification", ["doc_id"], validate=False)
     return _metric_rows(t, trained.scores)
 
 
 @query("m8_decision_tree_scores")
 def _(t):
-    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Decision Tree", "Classification", ["doc_id"], validate=False, maxDepth=8)
+    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Decision Tree", "Classification", ["doc_id"])
     return _metric_rows(t, trained.scores)
 
 
 @query("m8_gradient_boosting_scores")
 def _(t):
-    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Gradient Boosting", "Classification", ["doc_id"], validate=False, maxIter=10)
+    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Gradient Boosting", "Classification", ["doc_id"], validate=False)
     return _metric_rows(t, trained.scores)
 
 
@@ -341,18 +341,18 @@ _ORDER_FEATURES = ["o_orderstatus", "o_orderpriority", "o_orderdate", "o_custkey
 
 @query("m9_ridge_regression_scores")
 def _(t):
-    return _metric_rows(t, ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Ridge Regression", "Regression", ["o_orderkey"], validate=False).scores)
+    return _metric_rows(t, ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Ridge Regression", "Regression", ["o_orderkey"]).scores)
 
 
 @query("m9_random_forest_scores")
 def _(t):
-    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Random Forest", "Regression", ["o_orderkey"], validate=False, numTrees=10, maxDepth=6)
+    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Random Forest", "Regression", ["o_orderkey"], validate=False)
     return _metric_rows(t, trained.scores)
 
 
 @query("m9_gradient_boosting_scores")
 def _(t):
-    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Gradient Boosting", "Regression", ["o_orderkey"], validate=False, maxIter=10)
+    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Gradient Boosting", "Regression", ["o_orderkey"], validate=False)
     return _metric_rows(t, trained.scores)
 
 
@@ -379,7 +379,7 @@ def _(t):
 
 @query("m19_feature_importance")
 def _(t):
-    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Random Forest", "Classification", ["doc_id"], validate=False, numTrees=20, maxDepth=6)
+    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Random Forest", "Classification", ["doc_id"], validate=False)
     return ml.grouped_importances(trained.importances)
 
 
