@@ -239,8 +239,9 @@ def _signed(rows: DataFrame, like: Likeness, cells, repeated=None, sifted=None)
                 lens = [len(s) for s in sig]
                 return pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(node, np.int64), lens)),
-                     pa.array(np.repeat(np.array(size, np.int32), lens)), pa.array([b for own in blob for b in own], pa.binary())],
-                    names=["sig", "node", "n", "tokens"],
+                     pa.array(np.repeat(np.array(size, np.int32), lens)), pa.array([b[0] for own in blob for b in own], pa.binary()),
+                     pa.array([b[1] for own in blob for b in own], pa.binary())],
+                    names=["sig", "node", "n", "tokens", "shape"],
                 )
 
             for text in batch.column("text").to_pylist():
@@ -261,7 +262,7 @@ def _signed(rows: DataFrame, like: Likeness, cells, repeated=None, sifted=None)
                 # the set itself goes with its first signature
                 fresh = seen is not None and node[-1] not in sent
                 sent.add(node[-1])
-                blob.append([_packed(tokens) if fresh else None] + [None] * (len(own) - 1))
+                blob.append([(_packed(tokens), _shape(tokens)) if fresh else (None, None)] + [(None, None)] * (len(own) - 1))
                 held += len(own) + (len(tokens) if seen is not None else 0)
                 if held > 1_000_000:
                     yield made()
@@ -269,7 +270,7 @@ def _signed(rows: DataFrame, like: Likeness, cells, repeated=None, sifted=None)
             if sig:
                 yield made()
 
-    return rows.select("text").mapInArrow(run, "sig long, node long, n int, tokens binary")
+    return rows.select("text").mapInArrow(run, "sig long, node long, n int, tokens binary, shape binary")
 
 
 def _packed(tokens: np.ndarray) -> bytes:
@@ -293,7 +294,37 @@ def _stars(held: DataFrame) -> DataFrame:
     """
     weight = held.groupBy("node").agg(F.sum("size").alias("weight"))
     leaders = held.select("sig", "node").join(weight, "node").groupBy("sig").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-    return held.join(leaders, "sig").filter("node != leader").select("leader", F.col("node").alias("member")).distinct()
+    met = held.join(leaders, "sig").filter("node != leader").select("leader", F.col("node").alias("member"), (F.col("size") > 2).alias("wide"))
+    return met.groupBy("leader", "member").agg(F.max("wide").alias("wide"))
+
+
+def _shape(tokens: np.ndarray) -> bytes:
+    """Tokens by the low byte of their hash, counted up to 255."""
+    return np.minimum(np.bincount((tokens & np.uint64(0xFF)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def _near_enough(pairs: DataFrame, shapes: DataFrame, like: Likeness) -> DataFrame:
+    """Without the pairs that only met in signatures of two holders and cannot be linked.
+
+    The summed difference of two shapes is at most the number of tokens that the sets do not share. A signature of
+    two holders is about this one pair, so nothing else depends on it.
+    """
+    left = shapes.select(F.col("node").alias("leader"), F.col("n").alias("n_a"), F.col("shape").alias("a"))
+    right = shapes.select(F.col("node").alias("member"), F.col("n").alias("n_b"), F.col("shape").alias("b"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 256).astype(np.int32) for c in "ab")
+                most = like.apart(batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy())
+                near = pa.array(np.abs(a - b).sum(axis=1) <= most)
+                yield pa.RecordBatch.from_arrays([batch.column("leader").filter(near), batch.column("member").filter(near)], names=["leader", "member"])
+
+    narrow = pairs.filter(~F.col("wide")).select("leader", "member").join(left, "leader").join(right, "member")
+    near = narrow.select("leader", "member", "n_a", "n_b", "a", "b").mapInArrow(run, "leader long, member long")
+    return pairs.filter("wide").select("leader", "member").unionByName(near)
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, like: Likeness, cells, deltas: bool) -> DataFrame:
@@ -361,6 +392,14 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("leader").alias("node")).unionByName(pairs.select(F.col("member").alias("node")))
 
 
+def _tokens_of(signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``node, tokens`` of all sets that occur in the pairs."""
+    ends = staged(_ends(pairs).distinct(), "ends")
+    # 8 bytes each: few enough to send to all tasks, or a join
+    ends = F.broadcast(ends) if ends.count() <= 1_000_000 else ends
+    return signed.filter("tokens is not null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root``: the smallest node reachable, for every node that has a link (``leader``, ``member``).
 
@@ -412,14 +451,13 @@ def classes(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id"
     shared = staged(seen.filter("a < b").select("sig", "size"), "signatures")
     repeated = spark.sparkContext.broadcast(build(shared, "sig", BitFilter.sized(shared.count())))
     signed = staged(_signed(rows, like, cells, repeated), "candidates")
-    pairs = staged(_stars(signed.select("sig", "node").distinct().join(shared, "sig")), "pairs")
-    tokens = signed.filter("tokens is not null").groupBy("node").agg(F.min("tokens").alias("tokens"))
+    met = staged(_stars(signed.select("sig", "node").distinct().join(shared, "sig")), "met")
+    shapes = signed.filter("shape is not null").groupBy("node", "n").agg(F.min("shape").alias("shape"))
+    pairs = staged(_near_enough(met, shapes, like), "pairs")
+    tokens = _tokens_of(signed, pairs)
     stars = staged(_compare(pairs, tokens, like, cells, True), "stars")
     rest = staged(_through_differences(stars, like), "rest")
-    ends = staged(_ends(rest).distinct(), "ends")
-    # 8 bytes each: few enough to send to all tasks, or a join
-    ends = F.broadcast(ends) if ends.count() <= 1_000_000 else ends
-    more = _compare(rest, signed.filter("tokens is not null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens")), like, cells, False)
+    more = _compare(rest, _tokens_of(signed, rest), like, cells, False)
     links = staged(stars.unionByName(more).filter("linked").select("leader", "member"), "links")
     roots = components(links)
     degree = _ends(links).groupBy("node").agg(F.count("*").alias("n_links"))
