@@ -123,7 +123,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     held = toxicity.held_out(F.col("doc_id"), 5, 0)
-    model = toxicity.fit(docs.filter(~held).join(labels, "doc_id"))
+    model = toxicity.fit(toxicity.with_labels(docs.filter(~held), labels.filter(~held)))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -101,6 +101,18 @@ def _train(y: np.ndarray, plain: np.ndarray, bag: np.ndarray, entry: np.ndarray,
     return theta[:-1], float(theta[-1])
 
 
+def with_labels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
+    """Documents with their label, about ``sample`` of them at most, chosen by a hash of the key among all labels.
+
+    The chosen labels are bounded by the sample, so they go to the documents and no text is moved.
+    """
+    known = labels.filter(F.col(f"`{label}`").isNotNull()).select(key, label)
+    total = known.count()
+    if total > sample:
+        known = known.filter(F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+    return docs.join(F.broadcast(known), key)
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """A model from rows with a text and a 0/1 label; rows with a null label are left out, null texts are empty.
 
