@@ -5,9 +5,10 @@ start). In a leaf, each place has a dominant token if one holds most of the leaf
 variable fields. Lines that agree with the leaf's template in most places belong to it, any other line stays a
 template of its own. A template that recurs in many documents is dropped from all of them.
 
-Copies of a whole document repeat its lines too, but always between the same neighbours. So a template must
-recur in many different contexts (leaves of the line before and after), and in many compared to its documents:
-boilerplate does, copied text does not, and is left to the near-duplicate stage.
+Copies of a whole document repeat its lines too. So a template must also recur in many documents that are not
+copies of each other. A document is told by its own lines, those of no template that recurs, wherever they
+stand; if these are less than half of it, it is taken for a copy and told by one of its recurring templates, so
+that a family of near copies, which is left to the near-duplicate stage, counts about once.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from plumbline.llm.common import BLANKS, bound, staged, text_of
 DEPTH = 3
 #: share of a leaf's weight that makes a token dominant, and share of places where a line must agree with a template
 DOMINANT, AGREE = 0.5, 0.7
-#: documents and contexts in which a template recurs, and contexts per document, from which on it is dropped
-RECURRING, CONTEXTS = 10, 0.25
+#: documents, as they come and without copies, in which a template recurs that is dropped
+RECURRING = 10
+#: share of a document that its own lines have at least if it isn't taken for a copy
+OWN = 0.5
 
 _FIELD = "<*>"
 
@@ -37,28 +40,45 @@ def _leaf(line: Column, depth: int) -> Column:
 
 def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
     """Adds ``__lines``: every line of the text with its leaf."""
-    lines = F.transform(F.split(text_of(text), "\n"), lambda x: F.struct(x.alias("line"), _leaf(x, depth).alias("leaf")))
-    return docs.withColumn("__lines", lines)
+    return docs.withColumn("__lines", _with_leaves(F.split(text_of(text), "\n"), depth))
 
 
-def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, recurring: int = RECURRING, contexts: float = CONTEXTS) -> DataFrame:
-    """The masked lines to drop: ``leaf, masked, template, n_docs, n_contexts`` (one row per distinct masked line)."""
-    rows = _lines(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text", depth)
-    leaves = rows.select(F.explode(F.filter(F.transform("__lines", lambda x: x["leaf"]), lambda x: x.isNotNull())).alias("leaf"))
+def _with_leaves(lines: Column, depth: int) -> Column:
+    return F.transform(lines, lambda x: F.struct(x.alias("line"), _leaf(x, depth).alias("leaf")))
+
+
+def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, recurring: int = RECURRING) -> DataFrame:
+    """The masked lines to drop: ``leaf, masked, template, n_docs, n_contexts`` (one row per distinct masked line).
+
+    ``n_contexts`` are the documents of the template after copies are collapsed.
+    """
+    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    leaves = _lines(docs, "text", depth).select(F.explode(F.filter(F.transform("__lines", lambda x: x["leaf"]), lambda x: x.isNotNull())).alias("leaf"))
     # a template has no more lines than its leaf: most prose is out here, before any token is looked at
     alive = staged(leaves.groupBy("leaf").count().filter(F.col("count") >= recurring).select("leaf"), "leaves")
 
-    def placed(lines: Column) -> Column:
-        near = lambda k: F.when(k >= 0, F.get(lines, k)["leaf"])
-        return F.transform(
-            lines, lambda x, k: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), F.xxhash64(near(k - 1), near(k + 1)).alias("context"))
+    def sized(lines: Column) -> Column:
+        """Every line with the size of all lines and the combined leaves of all."""
+        whole = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["line"]))
+        every = F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.coalesce(x["leaf"], F.lit(0).cast("long"))))
+        return bound(
+            F.struct(whole.alias("whole"), every.alias("every")),
+            lambda d: F.transform(
+                F.filter(lines, lambda x: x["leaf"].isNotNull()),
+                lambda x: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), d["whole"].alias("whole"), d["every"].alias("every")),
+            ),
         )
 
-    every = rows.select("doc_id", F.explode(bound(F.col("__lines"), placed)).alias("x")).select("doc_id", "x.*")
+    # a line counts once per text, so rows of equal id and text change nothing
+    distinct = _with_leaves(F.array_distinct(F.split(text_of("text"), "\n")), depth)
+    every = docs.select("doc_id", F.xxhash64(text_of("text")).alias("version"), F.explode(bound(distinct, sized)).alias("x")).select("doc_id", "version", "x.*")
     masked = F.regexp_replace(F.btrim("line", F.lit(BLANKS)), "[^ ]*[0-9][^ ]*", _FIELD)
-    lines = staged(every.join(alive, "leaf").select("doc_id", "leaf", masked.alias("masked"), "context").distinct(), "lines")
+    lines = every.join(alive, "leaf").select(
+        "doc_id", "version", "whole", "every", "leaf", masked.alias("masked"), F.xxhash64("line").alias("line"), F.octet_length("line").alias("size")
+    )
+    lines = staged(lines.distinct(), "lines")
 
-    weighed = lines.groupBy("leaf", "masked").agg(F.count_distinct("context").alias("weight"))
+    weighed = lines.groupBy("leaf", "masked").agg(F.count_distinct("version").alias("weight"))
     tokens = weighed.select("leaf", "weight", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     votes = tokens.groupBy("leaf", "place", "token").agg(F.sum("weight").alias("weight"))
     best = votes.groupBy("leaf", "place").agg(F.max(F.struct("weight", "token")).alias("best"), F.sum("weight").alias("all"))
@@ -73,17 +93,25 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     )
     part = agree >= AGREE * F.size(own)
     template = F.when(part, F.xxhash64("leaf", F.lit(_FIELD))).otherwise(F.xxhash64("leaf", F.lit(""), "masked"))
-    known = known.select("leaf", "masked", template.alias("template"))
+    known = staged(known.select("leaf", "masked", template.alias("template")), "known-templates")
     at = lines.join(known, ["leaf", "masked"])
     n_docs = at.select("template", "doc_id").distinct().groupBy("template").agg(F.count("*").alias("n_docs"))
-    n_contexts = at.select("template", "context").distinct().groupBy("template").agg(F.count("*").alias("n_contexts"))
-    counted = n_docs.join(n_contexts, "template").filter(
-        (F.col("n_docs") >= recurring) & (F.col("n_contexts") >= recurring) & (F.col("n_contexts") >= contexts * F.col("n_docs"))
+    found = staged(known.join(n_docs.filter(F.col("n_docs") >= recurring), "template"), "recurring-templates")
+
+    seen = lines.join(found, ["leaf", "masked"]).select("template", "version", "whole", "every", "leaf", "line", "size").distinct()
+    seen = staged(seen, "recurring-lines")
+    told = seen.groupBy("version", "whole", "every").agg(
+        F.sum("size").alias("size"), F.bit_xor("leaf").alias("leaves"), F.min(F.xxhash64("template")).alias("least")
     )
-    return known.join(counted, "template").select("leaf", "masked", "template", "n_docs", "n_contexts")
+    own = F.col("whole") - F.col("size") >= OWN * F.col("whole")
+    # taking the recurring leaves out of all leaves leaves the own ones
+    told = told.select("version", F.when(own, F.xxhash64(F.lit("own"), F.col("every").bitwiseXOR(F.col("leaves")))).otherwise(F.col("least")).alias("context"))
+    contexts = seen.select("template", "version").distinct().join(told, "version").select("template", "context").distinct()
+    n_contexts = contexts.groupBy("template").agg(F.count("*").alias("n_contexts")).filter(F.col("n_contexts") >= recurring)
+    return found.join(n_contexts, "template").select("leaf", "masked", "template", "n_docs", "n_contexts")
 
 
-def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, recurring: int = RECURRING, contexts: float = CONTEXTS) -> DataFrame:
+def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, recurring: int = RECURRING) -> DataFrame:
     """The documents without the lines of recurring templates; adds ``n_lines`` and ``n_dropped``.
 
     Lines are separated by line feeds and compared without blanks at their ends; lines without tokens stay. A text
@@ -91,7 +119,7 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dept
     null (no lines), rows of one id count as one document, a null id is an id like any other. Other columns stay,
     and columns named like the added ones are replaced.
     """
-    bad = staged(recurring_lines(docs, doc_id, text, depth, recurring, contexts).select("leaf", "masked"), "templates")
+    bad = staged(recurring_lines(docs, doc_id, text, depth, recurring).select("leaf", "masked"), "templates")
     rows = _lines(docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text")), "__text", depth)
     version = F.xxhash64("__text")
     every = rows.select("__id", version.alias("__version"), F.posexplode("__lines").alias("place", "x")).select("__id", "__version", "place", "x.*")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 
 from plumbline.llm import line_templates, quality_rules
-from tests.llm.helpers import ODD, documents, edited, empty_documents, odd_documents, prose, words
+from tests.llm.helpers import ODD, documents, edited, empty_documents, named, odd_documents, prose, words
 
 
 def measured(text):
@@ -86,6 +86,26 @@ def test_fields_in_the_middle_become_wildcards(spark):
     assert len(found) == 6 and len({r["template"] for r in found}) == 1 and found[0]["n_docs"] == 30
 
 
+def test_boilerplate_goes_between_blank_lines_in_footers_and_beside_copies(spark):
+    foot = ["Follow our newsroom on every channel", "Copyright 2024 by the valley press", "Terms of use and privacy notice"]
+    texts = ["\n\n".join([prose(1000 + k, 40, 5000), "Share this story with your friends", prose(2000 + k, 40, 5000)]) for k in range(15)]
+    texts += ["\n".join([prose(3000 + k, 60, 5000), *foot]) for k in range(15)]
+    beside = "Written for the evening paper of the town"
+    texts += [prose(4000 + k, 40, 5000) + "\n" + beside for k in range(12)]
+    texts += ["\n".join([beside, prose(5000, 40, 5000), prose(5001, 40, 5000)])] * 100
+    gone = {"Share this story with your friends", beside, *foot}
+    rows = {r["doc_id"]: r for r in line_templates.drop_lines(documents(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        assert rows[i]["text"] == "\n".join(x for x in text.split("\n") if x not in gone)
+
+
+def test_families_of_near_copies_keep_their_lines(spark):
+    body = [prose(j, 20, 5000) for j in range(10)]
+    texts = ["\n\n".join(f"new{named(k)} {x}" if j == k % 10 else x for j, x in enumerate(body)) for k in range(60)]
+    rows = line_templates.drop_lines(documents(spark, texts)).collect()
+    assert all(r["n_dropped"] == 0 for r in rows)
+
+
 def test_lines_of_odd_and_empty_tables(spark):
     docs = odd_documents(spark).selectExpr("*", "'x' as n_dropped", "'y' as leaf", "'z' as masked")
     rows = line_templates.drop_lines(docs).collect()
