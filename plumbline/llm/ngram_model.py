@@ -2,34 +2,38 @@
 
 Counts of single words and of word pairs are gathered over all training documents with Spark. A count is
 quantised on a logarithmic scale to a level, and the n-gram goes into a Bloom filter once for every level up to
-its own; probing level after level until one is missing gives the quantised count back. The filters are
-broadcast. Their size is bounded: if the corpus has more n-grams than fit, the rarest counts stay out, and the
-smoothing by single words and by add-one takes their place.
+its own; probing level after level until one is missing gives the quantised count back. All n-grams are in, so the
+filters grow with the corpus: that of the words, which grows with the vocabulary, is broadcast; that of the pairs
+stays in blocks by key, and the pairs of the documents travel to their blocks. Only who asks for ``most_bytes``
+gets small filters that are both broadcast and leave the rarest counts to the smoothing.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bitfilter import MOST_BYTES, BitFilter, build, mix
+from plumbline.llm.bitfilter import BitFilter, build, mix
 from plumbline.llm.common import slices, staged, text_of
 
 #: ratio of neighbouring count levels
 RATIO = 1.5
 #: bits of the filters per n-gram and level
 BITS = 10
-#: word pairs seen fewer times are left to the smoothing
-PAIR_SUPPORT = 2
 #: the most frequent words, whose exact counts are broadcast; all others are joined
 FREQUENT = 1 << 16
+#: about how many pairs are so common that their counts are broadcast, and fewest blocks of pairs
+COMMON, BLOCKS = 1 << 16, 64
 #: pairs that a task gathers before it hands them on; sorting them takes about 60 bytes each
 GATHERED = 1_000_000
 
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+#: bits of a pair that its block is not chosen by; in a block these tell it
+_LOW = np.uint64((1 << 40) - 1)
 _P, _Q = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -56,8 +60,20 @@ def _pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
     return mix(before * _P ^ mix(words + _Q))
 
 
-def _counts(train: DataFrame, blocks: int) -> DataFrame:
-    """``kind`` (1 words, 2 pairs), ``block``, and the sorted distinct ``keys`` with their ``counts`` as packed numbers."""
+def _block(pairs: np.ndarray, blocks: int) -> np.ndarray:
+    return (pairs >> np.uint64(40)) % np.uint64(blocks)
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(counts) / np.log(RATIO) + 1e-9).astype(np.int64) + 1
+
+
+def _counts(train: DataFrame, blocks: int, common: int | None) -> DataFrame:
+    """Rows ``kind, key, n, bits``: all words (1) and, without ``common``, all pairs (2) with their counts.
+
+    With ``common`` there are only the pairs (2) of at least that count, and for every block (3) the filter of all
+    its pairs, the number of the block as ``key``, and as ``n`` how much more the pairs occur than once.
+    """
 
     def gather(batches):
         import pyarrow as pa
@@ -65,7 +81,7 @@ def _counts(train: DataFrame, blocks: int) -> DataFrame:
         def packed(kind: int, held: list):
             keys, counts = _summed(held)
             held.clear()
-            block = (keys >> np.uint64(40)) % np.uint64(blocks)
+            block = _block(keys, blocks)
             order = np.argsort(block, kind="stable")
             keys, counts, block = keys[order], counts[order].astype("<u4"), block[order]
             cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() if len(keys) else []
@@ -98,14 +114,24 @@ def _counts(train: DataFrame, blocks: int) -> DataFrame:
         ]
         keys, counts = _summed(held)
         kind = table.column("kind")[0].as_py()
-        if kind == 2:
-            keys, counts = keys[counts >= PAIR_SUPPORT], counts[counts >= PAIR_SUPPORT]
+        kinds, more, bits = np.full(len(keys), kind), [], [None] * len(keys)
+        if kind == 2 and common is not None:
+            level = _levels(counts)
+            whole = BitFilter(1, -(-max(64, int(level.sum()) * BITS) // 64) * 64)
+            for q in range(int(level.max())):
+                whole.add(keys[level > q] & _LOW, q)
+            more = [(3, table.column("block")[0].as_py(), int(counts.sum()) - len(counts), whole.data.tobytes())]
+            keys, counts = keys[counts >= common], counts[counts >= common]
+            kinds, bits = np.full(len(keys), kind), [None] * len(keys)
         return pa.table(
-            {"kind": pa.array([kind] * len(keys), pa.int32()), "key": pa.array(keys.view(np.int64)), "n": pa.array(counts.astype(np.int64))}
-        )
+            {"kind": pa.array([*kinds.tolist(), *(m[0] for m in more)], pa.int32()),
+             "key": pa.array(np.r_[keys.view(np.int64), np.array([m[1] for m in more], dtype=np.int64)]),
+             "n": pa.array(np.r_[counts, np.array([m[2] for m in more], dtype=np.int64)].astype(np.int64)),
+             "bits": pa.array([*bits, *(m[3] for m in more)], pa.binary())}
+        )
 
     gathered = train.select("text").mapInArrow(gather, "kind int, block int, keys binary, counts binary")
-    return gathered.groupBy("kind", "block").applyInArrow(merge, "kind int, key long, n long")
+    return gathered.groupBy("kind", "block").applyInArrow(merge, "kind int, key long, n long, bits binary")
 
 
 def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
@@ -121,50 +147,168 @@ def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """The two filters with their smallest counts, the training totals, and the table of exact word counts."""
+    """The filters with their smallest counts, the training totals, and the table of exact word counts.
+
+    Without ``pairs``, the filter of the pairs is the table ``blocks`` and the levels of the commonest are ``common``.
+    """
 
     words: BitFilter
-    pairs: BitFilter
+    pairs: BitFilter | None
     least: tuple[int, int]
     tokens: int
     distinct: int
     docs: int
     weight: float
-    exact: DataFrame
+    exact: DataFrame | None
+    blocks: DataFrame | None = None
+    n_blocks: int = 0
+    common: tuple[np.ndarray, np.ndarray] | None = None
 
-    def count(self, keys: np.ndarray, kind: int) -> np.ndarray:
-        """Quantised counts, 0 for n-grams the filter lacks."""
-        level = (self.words if kind == 1 else self.pairs).levels(keys)
+    def counted(self, level: np.ndarray, kind: int) -> np.ndarray:
+        """Quantised counts of levels, 0 for level 0."""
         low = RATIO ** (level - 1.0)
         return np.where(level > 0, self.least[kind - 1] * (low * (1 + RATIO) / 2 + (low <= 1) * (1 - RATIO) / 2), 0.0)
 
+    def logs(self, pair: np.ndarray, single: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Smoothed log10 probabilities from counts; a context the filter lacks has at most a count below the least."""
+        paired = np.minimum(pair / np.maximum(context, max(self.least[0] - 1, 1)), 1)
+        return np.log10((1 - self.weight) * (single + 1) / (self.tokens + self.distinct + 1) + self.weight * paired)
 
-def train(docs: DataFrame, text: str = "text", most_bytes: int = MOST_BYTES) -> Model:
+
+def train(docs: DataFrame, text: str = "text", most_bytes: int | None = None) -> Model:
     """A model of all rows of ``docs``; null texts are empty. Without rows every token gets the add-one floor."""
     rows = docs.select(text_of(text).alias("text"))
     n_docs, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     # a block has the n-grams of about 16 MB of text, before equal ones are joined
-    table = staged(_counts(rows, max(8, size >> 24)), "ngram-counts")
-    level = F.floor(F.log(F.col("n") / F.when(F.col("kind") == 2, PAIR_SUPPORT).otherwise(1)) / F.log(F.lit(RATIO)) + 1e-9).cast("int")
-    by_level = table.groupBy("kind", level.alias("level")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()  # some dozen rows
+    blocks = max(BLOCKS, size >> 24)
+    # pairs with this count are at most a few times COMMON, as there are fewer tokens than bytes
+    least_common = max(2, size // (8 * COMMON)) if most_bytes is None else None
+    table = staged(_counts(rows, blocks, least_common), "ngram-counts")
+    level = F.floor(F.log("n") / F.log(F.lit(RATIO)) + 1e-9).cast("int")
+    by_level = table.filter("kind < 3").groupBy("kind", F.when(F.col("n") > 0, level).alias("level")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()  # some dozen rows
     tokens = sum(r["n"] for r in by_level if r["kind"] == 1)
     distinct = sum(r["k"] for r in by_level if r["kind"] == 1)
     filters, least = [], []
-    for kind, share in ((1, 0.5), (2, 0.5)):
+    for kind in (1, 2) if most_bytes is not None else (1,):
         own = {r["level"]: r["k"] for r in by_level if r["kind"] == kind}
         first = 0
-        while (inserts := sum(k * (q - first + 1) for q, k in own.items() if q >= first)) * BITS > most_bytes * share * 8:
+        most = (most_bytes if most_bytes is not None else 1 << 60) // 2
+        while (inserts := sum(k * (q - first + 1) for q, k in own.items() if q >= first)) * BITS > most * 8:
             first += 1
-        support = int(np.ceil((PAIR_SUPPORT if kind == 2 else 1) * RATIO**first - 1e-9))
+        support = int(np.ceil(RATIO**first - 1e-9))
         levels = F.floor(F.log(F.col("n") / support) / F.log(F.lit(RATIO)) + 1e-9).cast("int") + 1
         chosen = table.filter((F.col("kind") == kind) & (F.col("n") >= support))
-        filters.append(build(chosen, "key", BitFilter.sized(inserts, BITS, int(most_bytes * share)), levels))
+        filters.append(build(chosen, "key", BitFilter.sized(inserts, BITS, most), levels))
         least.append(support)
     # a pair that occurs is found among the other texts about as often as its count leaves one more
-    found = sum(r["n"] - r["k"] for r in by_level if r["kind"] == 2)
+    if most_bytes is None:
+        found = table.filter("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    else:
+        found = sum(r["n"] - r["k"] for r in by_level if r["kind"] == 2)
     weight = min(max(found / max(tokens, 1), 0.01), 0.95)
     exact = table.filter("kind = 1").select("key", F.col("n"))
-    return Model(filters[0], filters[1], (least[0], least[1]), tokens, distinct, n_docs, weight, exact)
+    if most_bytes is not None:
+        return Model(filters[0], filters[1], (least[0], least[1]), tokens, distinct, n_docs, weight, exact)
+    top = table.filter("kind = 2").select("key", "n").collect()
+    keys = np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    common = (keys[order], _levels(np.array([r["n"] for r in top], dtype=float))[order])
+    bits = table.filter("kind = 3").select(F.col("key").cast("int").alias("block"), "bits")
+    return Model(filters[0], None, (least[0], 1), tokens, distinct, n_docs, weight, exact, bits, blocks, common)
+
+
+_START_LEVEL = 255
+
+
+def _singles(m: Model, unique: np.ndarray, where: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The level of every token, and of the one before it (``_START_LEVEL`` at the start of a text)."""
+    single = m.words.levels(unique)[where]
+    context = np.r_[0, single[:-1]]
+    context[starts] = _START_LEVEL
+    return single, context
+
+
+def _contexts(m: Model, level: np.ndarray) -> np.ndarray:
+    return np.where(level == _START_LEVEL, float(m.docs), m.counted(np.where(level == _START_LEVEL, 0, level), 1))
+
+
+def _levels_here(m: Model, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs need not be asked for, and their levels."""
+    if m.pairs is not None:
+        return np.ones(len(pairs), dtype=bool), m.pairs.levels(pairs)
+    keys, levels = m.common
+    if not len(keys):
+        return np.zeros(len(pairs), dtype=bool), np.zeros(len(pairs), dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
+    here = keys[at] == pairs
+    return here, np.where(here, levels[at], 0)
+
+
+def _answers(rows: DataFrame, model: Model, sent, kind: str) -> DataFrame:
+    """``doc_id, version, main, score``: what the pairs that are not broadcast add to the scores, by document and block.
+
+    None of these pairs is common, so no block gets much more than its share.
+    """
+
+    def squeeze(data: bytes) -> bytes:
+        return zlib.compress(data, 1)
+
+    def ask(batches):
+        import pyarrow as pa
+
+        m = sent.value[0]
+        for whole in batches:
+            for batch in slices(whole):
+                words, sizes, before = _hashed(batch.column("text").to_pylist())
+                unique, where = np.unique(words, return_inverse=True)
+                single, context = _singles(m, unique, where, np.r_[0, np.cumsum(sizes)[:-1]])
+                pairs = _pairs(before, words)
+                left = np.flatnonzero(~_levels_here(m, pairs)[0])
+                block = _block(pairs[left], m.n_blocks)
+                order = np.argsort(block, kind="stable")
+                left, block = left[order], block[order]
+                doc = np.repeat(np.arange(batch.num_rows), sizes)[left]
+                cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(left) else np.zeros(0, np.int64)
+                spans = list(zip(cuts.tolist(), np.r_[cuts[1:], len(left)].tolist() if len(cuts) else [], strict=True))
+                at = [np.unique(doc[a:b], return_counts=True) for a, b in spans]  # documents come in order
+                ends = pa.array(np.r_[0, np.cumsum([len(d) for d, _ in at])].astype(np.int32))
+                docs = pa.array(np.concatenate([d for d, _ in at]) if at else np.zeros(0, np.int64))
+                packed = lambda x: pa.array([squeeze(x[a:b].astype("u1").tobytes()) for a, b in spans], pa.binary())
+                low = pairs[left].astype("<u8").view("u1").reshape(-1, 8)[:, :5]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block[cuts].astype(np.int32)),
+                     pa.ListArray.from_arrays(ends, batch.column("doc_id").take(docs)),
+                     pa.ListArray.from_arrays(ends, batch.column("version").take(docs)),
+                     pa.array([squeeze(n.astype("<u4").tobytes()) for _, n in at], pa.binary()),
+                     pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), packed(single[left]), packed(context[left])],
+                    names=["block", "docs", "versions", "counts", "keys", "single", "context"],
+                )
+
+    def answer(asked, filters):
+        import pyarrow as pa
+
+        m, ids, versions, sums = sent.value[0], [], [], []
+        data = np.frombuffer(filters.column("bits")[0].as_py(), dtype=np.uint8) if filters.num_rows else None
+        own = BitFilter(1, len(data) * 8, data) if data is not None else None
+        for batch in asked.to_batches():
+            for k in range(batch.num_rows):
+                low = np.frombuffer(batch.column("keys")[k].as_py(), dtype="u1").reshape(-1, 5)
+                keys = np.ascontiguousarray(np.pad(low, ((0, 0), (0, 3)))).view("<u8").ravel()
+                single, context, n = (np.frombuffer(zlib.decompress(batch.column(c)[k].as_py()), dtype=t).astype(np.int64) for c, t in (("single", "u1"), ("context", "u1"), ("counts", "<u4")))
+                level = own.levels(keys) if own else np.zeros(len(keys), dtype=np.int64)
+                logs = m.logs(m.counted(level, 2), m.counted(single, 1), _contexts(m, context))
+                ids.append(batch.column("docs")[k].values)
+                versions.append(batch.column("versions")[k].values)
+                sums.append(np.add.reduceat(logs, np.r_[0, np.cumsum(n)[:-1]]))
+        if not ids:
+            return pa.table({"doc_id": pa.array([], asked.schema.field("docs").type.value_type), "version": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return pa.table({"doc_id": pa.concat_arrays(ids), "version": pa.concat_arrays(versions), "score": pa.array(np.concatenate(sums))})
+
+    asks = rows.select("doc_id", "text", "version").mapInArrow(
+        ask, f"block int, docs array<{kind}>, versions array<long>, counts binary, keys binary, single binary, context binary"
+    )
+    answers = asks.groupBy("block").cogroup(model.blocks.groupBy("block")).applyInArrow(answer, f"doc_id {kind}, version long, score double")
+    return answers.select("doc_id", "version", F.lit(False).alias("main"), "score")
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,7 +324,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     keys = np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     keys, logs = keys[order], np.log10(np.array([r["n"] for r in top], dtype=float) + 1)[order]
-    slim = Model(model.words, model.pairs, model.least, model.tokens, model.distinct, model.docs, model.weight, None)
+    slim = replace(model, exact=None, blocks=None)
     sent = spark.sparkContext.broadcast((slim, keys, logs))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(text).alias("text"))
     rows = rows.withColumn("version", F.xxhash64("text"))
@@ -189,26 +333,23 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         import pyarrow as pa
 
         m, frequent, frequent_logs = sent.value
-        floor = m.tokens + m.distinct + 1
         for whole in batches:
             for batch in slices(whole):
                 rows_here = batch.num_rows
                 words, sizes, before = _hashed(batch.column("text").to_pylist())
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
                 unique, where = np.unique(words, return_inverse=True)
-                rough = m.count(unique, 1)
+                pairs = _pairs(before, words)
+                single, context = _singles(m, unique, where, starts)
+                here, level = _levels_here(m, pairs)
+                logs = np.where(here, m.logs(m.counted(level, 2), m.counted(single, 1), _contexts(m, context)), 0.0)
                 at = np.minimum(np.searchsorted(frequent, unique), max(len(frequent) - 1, 0))
                 is_top = frequent[at] == unique if len(frequent) else np.zeros(len(unique), dtype=bool)
                 exact = np.where(is_top, frequent_logs[at], 0.0) if len(frequent) else np.zeros(len(unique))
-                single = rough[where]
-                context = np.r_[0.0, single[:-1]]
-                context[starts] = m.docs
-                pair = m.count(_pairs(before, words), 2)
-                p = (1 - m.weight) * (single + 1) / floor + m.weight * np.minimum(pair / np.maximum(context, 1), 1)
                 doc = np.repeat(np.arange(rows_here), sizes)
                 rare = np.flatnonzero(~is_top[where])
                 main = [sizes, np.add.reduceat(is_top[where].astype(np.int64), starts), np.add.reduceat(exact[where], starts),
-                        np.add.reduceat(np.log10(p), starts)]
+                        np.add.reduceat(logs, starts)]
                 pick = np.r_[np.arange(rows_here), doc[rare]]
                 more = np.zeros(len(rare))
                 yield pa.RecordBatch.from_arrays(
@@ -230,6 +371,11 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     hit = ~F.col("main") & F.col("n").isNotNull()
     floor = float(np.log10(model.tokens + model.distinct + 1))
     times = F.sum(F.col("main").cast("long"))
+    columns = [F.col(c) for c in ("doc_id", "version", "main", "n_tokens", "n_known", "base", "score", "n")]
+    joined = joined.select(*columns)
+    if model.pairs is None:
+        asked = _answers(rows, model, sent, kind)
+        joined = joined.unionByName(asked, allowMissingColumns=True)
     whole = joined.groupBy("doc_id", "version").agg(
         times.alias("times"),
         F.max("n_tokens").alias("n_tokens"),

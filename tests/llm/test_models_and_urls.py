@@ -60,6 +60,38 @@ def test_a_small_filter_leaves_the_rarest_out(spark):
     assert all(math.isfinite(r["score"]) for r in ngram_model.score(docs, model).collect())
 
 
+@pytest.mark.parametrize("blocks", [1, 40])
+def test_every_pair_counts_however_rare_and_many(spark, monkeypatch, blocks):
+    monkeypatch.setattr(ngram_model, "BLOCKS", blocks)
+    texts = [prose(k, 200, 5000) for k in range(50)]
+    model = ngram_model.train(documents(spark, texts))
+    apart = [" ".join(t.split(" ")[::-1]) for t in texts]
+    rows = {r["doc_id"]: r["score"] for r in ngram_model.score(documents(spark, [*texts, *apart, *texts]), model).collect()}
+    own = [[*words(t.translate(UPPER)), None] for t in [*texts, *apart]]
+    single = Counter(w for t in own[:50] for w in t)
+    pairs = Counter(p for t in own[:50] for p in zip(["<s>", *t], t))
+    assert sum(pairs.values()) - len(pairs) < 0.05 * len(pairs)  # nearly all pairs are met once
+    weight = max((sum(pairs.values()) - len(pairs)) / model.tokens, 0.01)
+
+    def rough(n):
+        low = ngram_model.RATIO ** math.floor(math.log(n, ngram_model.RATIO) + 1e-9) if n else 0
+        return low * (1 + ngram_model.RATIO) / 2 + (0 < low <= 1) * (1 - ngram_model.RATIO) / 2
+
+    for k, t in enumerate(own):
+        want = 0.0
+        for a, b in zip(["<s>", *t], t):
+            context = 50 if a == "<s>" else rough(single[a])
+            want += math.log10((1 - weight) * (rough(single[b]) + 1) / (model.tokens + model.distinct + 1) + weight * min(rough(pairs[a, b]) / max(context, 1), 1))
+        assert rows[k] == pytest.approx(want, rel=0.03)  # filters say too much of a few
+    assert all(rows[k] == pytest.approx(rows[100 + k]) for k in range(50))
+
+
+def test_pairs_after_words_below_the_support_are_not_inflated():
+    model = ngram_model.Model(None, None, (50, 2), 1000, 100, 10, 0.9, None)
+    low = model.logs(np.array([2.0]), np.array([60.0]), np.array([0.0]))
+    assert low[0] < math.log10(0.2)
+
+
 def test_scores_of_odd_and_empty_tables(spark):
     docs = odd_documents(spark)
     model = ngram_model.train(docs)
