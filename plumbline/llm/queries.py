@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (
     decontaminate,
+    filter_audit,
     jaccard_join,
     line_templates,
     ngram_model,
@@ -19,6 +20,7 @@ from plumbline.llm import (
     token_counts,
     toxicity,
     url_templates,
+    va_clusters,
 )
 from plumbline.llm.common import table, text_of
 
@@ -155,3 +157,59 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_templates.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+#: every step's outcomes by mask on a table of 600 steps, then summed by part
+AUDIT_SQL = f"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+ (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+ + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+ + 16 * coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false)::INT AS mask
+ FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+c AS (SELECT part, good, toxic, mask, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f AS a, f AS b, f AS c, f AS d, f AS e
+ WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f),
+s AS (SELECT filter_order, step, bit, list_sum(list_transform(bits[: step - 1], lambda x: 1 << x)) AS earlier FROM
+ (SELECT filter_order, bits, unnest(range(1, 6)) AS step, unnest(bits) AS bit FROM (SELECT filter_order, list_transform(string_split(filter_order, ''), lambda x: ascii(x) - 65) AS bits FROM o) AS t) AS u),
+r AS (SELECT part, filter_order, step, bit, n, good, toxic, mask, (mask >> bit) & 1 = 1 AS fails, (mask & coalesce(earlier, 0)::INT) = 0 AS alive FROM c, s),
+t AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (alive AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (alive AND fails), 0) AS removed,
+ coalesce(sum(n) FILTER (NOT alive AND fails), 0) AS redundant, coalesce(sum(n) FILTER (mask = 1 << bit), 0) AS unique_fails,
+ coalesce(sum(n) FILTER (alive AND fails AND good), 0) AS good_lost, coalesce(sum(n) FILTER (alive AND fails AND toxic), 0) AS toxic_lost
+ FROM r GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+ good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM t"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+def _cluster_sql(rounds: int = 3) -> str:
+    """Rounds of assigning and moving, one after the other."""
+    out = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND list_count(list_filter(embedding, lambda x: isfinite(x))) = 64),
+x AS (SELECT vec_id, v, unnest(v) AS x, unnest(range(64)) AS i FROM v),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (SELECT sha256('1:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT 16) AS t)"""
+    for r in range(rounds + 1):
+        out += f""",
+d{r} AS (SELECT vec_id, arg_min(k, (d, k)) AS k, min(d) AS d FROM
+ (SELECT vec_id, k, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c{r}) AS t GROUP BY vec_id)"""
+        if r < rounds:
+            out += f""",
+c{r + 1} AS (SELECT c{r}.k, coalesce(n.c, c{r}.c) AS c FROM c{r} LEFT JOIN (SELECT k, list(m ORDER BY i) AS c FROM
+ (SELECT k, i, floor(sum(x) / count(*))::BIGINT AS m FROM x JOIN d{r} USING (vec_id) GROUP BY k, i) AS t GROUP BY k) AS n ON n.k = c{r}.k)"""
+    return out + f"""
+SELECT vec_id, d{rounds}.k::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY d{rounds}.k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM d{rounds} JOIN c{rounds} ON c{rounds}.k = d{rounds}.k"""
+
+
+@query("op13_centroid_clusters", _cluster_sql())
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    seeds = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
+    assigned, centroids = va_clusters.cluster(vectors, seeds, centroids=16, rounds=3, size=64, scale=64)
+    return va_clusters.summed(assigned.drop("compared"), centroids)
