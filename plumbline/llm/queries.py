@@ -12,6 +12,7 @@ from plumbline.llm import (
     decontaminate,
     filter_audit,
     jaccard_join,
+    language_id,
     line_templates,
     ngram_model,
     packing,
@@ -213,3 +214,11 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256)
     assigned, centroids = va_clusters.cluster(vectors, seeds, centroids=16, rounds=3, size=64, scale=64)
     return va_clusters.summed(assigned.drop("compared"), centroids)
+
+
+@query("op12_language_id")
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = toxicity.held_out(F.col("doc_id"), 3, 1)
+    judged = language_id.predict(docs.select("doc_id", "text"), language_id.fit(docs.filter(~held)))
+    return judged.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -77,7 +77,7 @@ class Cells:
 
         def paired(t: np.ndarray) -> np.ndarray:
             t = np.pad(t, ((0, len(t) % 2), (0, 0), (0, 0)))
-            return (t[0::2, None, :, :] + t[1::2, :, None, :]).reshape(len(t) // 2, -1, t.shape[2])
+            return (t[0::2, None, :, :] + t[1::2, :, None, :]).reshape(len(t) // 2, 1 << 2 * BITS, t.shape[2])
 
         return paired(least), paired(most)
 

@@ -89,7 +89,7 @@ def test_stages_take_an_empty_table(spark, tmp_path):
 def test_queries_are_registered():
     known = entry.queries()
     assert {n for n in known if n.startswith("op")} == set(QUERIES) and "pipeline" in known
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -99,7 +99,7 @@ def test_queries_equal_sql(spark, name):
     if not os.path.isdir(folder):
         pytest.skip("no test tables here")
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     found = con.execute(ORACLES[name])
     columns = [d[0] for d in found.description]
