@@ -24,8 +24,10 @@ from plumbline.llm.common import staged
 
 #: vectors that the borders of the cells are taken from, chosen by a hash of the id
 SAMPLE = 4096
-#: bits of a cell's number; two dimensions share a byte
-BITS = 4
+#: bits of a cell's number
+BITS = 6
+#: quartile ranges beyond the quartiles that cells reach at most, so that stray values don't make them wide
+REACH = 6
 #: vectors that are compared at once
 ROWS = 4096
 #: components at or beyond this make squared distances that a long may not hold
@@ -56,30 +58,32 @@ class Cells:
 
     @classmethod
     def of(cls, sample: np.ndarray) -> Cells:
-        """Cells that hold about equally many of the sample's vectors."""
-        at = len(sample) * np.arange(1, 1 << BITS) // (1 << BITS)
-        return cls(np.sort(sample, axis=0)[at].T, sample.min(axis=0), sample.max(axis=0))
+        """Equally wide cells over the sample's range: narrow where a centroid's distance changes most, at the edges."""
+        q1, q3 = np.percentile(sample, [25, 75], axis=0)
+        low = np.maximum(sample.min(axis=0), np.floor(q1 - REACH * (q3 - q1)).astype(np.int64))
+        high = np.minimum(sample.max(axis=0), np.ceil(q3 + REACH * (q3 - q1)).astype(np.int64))
+        at = np.arange(1, 1 << BITS)
+        return cls(low[:, None] - (-(high - low + 1)[:, None] * at >> BITS), low, high)
 
     def pack(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cells of every vector, two to a byte, and which vectors have any."""
+        """Packed cells of every vector, and which vectors have any."""
         cells = np.stack([np.searchsorted(b, v, side="right") for b, v in zip(self.borders, vectors.T, strict=True)], axis=1)
-        cells = np.pad(cells, ((0, 0), (0, cells.shape[1] % 2)))
         inside = ((vectors >= self.low) & (vectors <= self.high)).all(axis=1)
-        return (cells[:, 0::2] | cells[:, 1::2] << BITS).astype(np.uint8), inside
+        bits = (cells[:, :, None] >> np.arange(BITS)) & 1
+        return np.packbits(bits.reshape(len(cells), -1).astype(np.uint8), axis=1), inside
 
     def bounds(self, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and largest squared distance by byte, its value and centroid."""
+        """Least and largest squared distance by dimension, cell and centroid."""
         first = np.concatenate([self.low[:, None], self.borders], axis=1)[:, :, None]
         last = np.concatenate([self.borders - 1, self.high[:, None]], axis=1)[:, :, None]
         c = centroids.T[:, None, :]
-        least = np.maximum(np.maximum(first - c, c - last), 0) ** 2
-        most = np.maximum(np.abs(c - first), np.abs(c - last)) ** 2
+        return np.maximum(np.maximum(first - c, c - last), 0) ** 2, np.maximum(np.abs(c - first), np.abs(c - last)) ** 2
 
-        def paired(t: np.ndarray) -> np.ndarray:
-            t = np.pad(t, ((0, len(t) % 2), (0, 0), (0, 0)))
-            return (t[0::2, None, :, :] + t[1::2, :, None, :]).reshape(len(t) // 2, 1 << 2 * BITS, t.shape[2])
 
-        return paired(least), paired(most)
+def unpack(packed: np.ndarray, size: int) -> np.ndarray:
+    """The cells' numbers of packed rows."""
+    bits = np.unpackbits(packed, axis=1, count=size * BITS).reshape(len(packed), size, BITS)
+    return np.packbits(bits, axis=2, bitorder="little")[:, :, 0]
 
 
 @dataclass(frozen=True)
@@ -136,9 +140,9 @@ def _unpacked(batch, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     vectors = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype="<i4").reshape(-1, size).astype(np.int64)
     cells = batch.column("cells").to_pylist()
     inside = np.array([c is not None for c in cells], dtype=bool)
-    none = bytes(-(-size // 2))
-    codes = np.frombuffer(b"".join(none if c is None else c for c in cells), dtype=np.uint8).reshape(-1, len(none))
-    return vectors, codes, inside
+    none = bytes(-(-size * BITS // 8))
+    packed = np.frombuffer(b"".join(none if c is None else c for c in cells), dtype=np.uint8).reshape(-1, len(none))
+    return vectors, unpack(packed, size), inside
 
 
 def _moved(file: DataFrame, nearest: Nearest) -> np.ndarray:

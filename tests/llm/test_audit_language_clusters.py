@@ -132,7 +132,7 @@ def test_clusters_equal_a_plain_version(spark, tmp_path, monkeypatch, sample):
 
 
 def test_cells_settle_most_vectors(spark):
-    table = spark.createDataFrame(vectors(2000, 2, 0.1), "vec_id long, embedding array<float>")
+    table = spark.createDataFrame(vectors(2000, 2), "vec_id long, embedding array<float>")
     rows, _ = va_clusters.cluster(table, F.col("vec_id"), centroids=9, rounds=3, size=64, scale=64)
     assert rows.filter("compared = 0").count() > 1400 and rows.agg(F.max("compared")).first()[0] <= 9
 
@@ -141,7 +141,8 @@ def test_bounds_hold_every_distance():
     rng = np.random.default_rng(3)
     v = rng.integers(-40, 40, size=(500, 7))
     cells = va_clusters.Cells.of(v[:200])
-    codes, inside = cells.pack(v)
+    packed, inside = cells.pack(v)
+    codes = va_clusters.unpack(packed, 7)
     c = rng.integers(-60, 60, size=(5, 7))
     least, most = cells.bounds(c)
     low, high = (sum(t[j][codes[:, j]] for j in range(codes.shape[1])) for t in (least, most))
