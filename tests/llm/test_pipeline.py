@@ -1,4 +1,6 @@
 import os
+import re
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -27,20 +29,27 @@ def corpus():
 
 
 def votes(text):
+    """The vote of every rule in order, and whether the base fails; written out without the rules' own texts."""
+    text = text or ""
     n, chars, symbols, dup, repeat = measured(text)
-    w, upper = words(text), sum(c.isupper() for c in text or "")
-    marks = sum(1 for _ in __import__("re").finditer("[!?]{2,}", text or ""))
-    lines = [x for x in (text or "").split("\n") if words(x)]
-    names = dict(n_words=n, word_chars=chars, n_symbols=symbols, n_dup_lines=dup, n_repeat_words=repeat, n_lines=len(lines),
-                 n_upper=upper, n_marks=marks, n_distinct_words=len(set(w)))
-
-    def holds(rule):
-        for name, low, high in (("n_words", 50, 2000), ("word_chars", f"3 * {n}", f"10 * {n}")):
-            rule = rule.replace(f"{name} between {low} and {high}", f"({low} <= {name} <= {high})")
-        rule = rule.replace("word_chars between 3 * n_words and 10 * n_words", "(3 * n_words <= word_chars <= 10 * n_words)")
-    XX
-
-    return [-1 if holds(r.bad) else 1 if holds(r.good) else 0 for r in quality_rules.RULES], n < 50 or 100 * repeat > 50 * n
+    w, upper = words(text), sum(unicodedata.category(c) == "Lu" for c in text)
+    marks, lines = len(re.findall("[!?]{2,}", text)), sum(bool(words(x)) for x in text.split("\n"))
+    bad = {
+        "length": n < 50,
+        "symbols": symbols * 10 > n,
+        "repetition": repeat * 5 > n * 2 or (lines > 3 and dup * 10 > lines * 3) or (50 <= n <= 2000 and len(set(w)) * 6 < n),
+        "shouting": upper * 10 > chars * 3 or marks * 10 > n,
+        "word_length": chars < 2 * n or chars > 14 * n,
+    }
+    good = {
+        "length": n >= 100,
+        "symbols": symbols * 50 <= n,
+        "repetition": repeat * 5 <= n and dup * 10 <= lines,
+        "shouting": upper * 10 <= chars and marks * 100 <= n,
+        "word_length": 3 * n <= chars <= 10 * n,
+    }
+    own = [-1 if bad[r.name] else 1 if good[r.name] else 0 for r in quality_rules.RULES]
+    return own, n < 50 or 100 * repeat > 50 * n
 
 
 def plain_pipeline(texts, items):
