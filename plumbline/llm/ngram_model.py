@@ -4,8 +4,8 @@ Counts of single words and of word pairs are gathered over all training document
 quantised on a logarithmic scale to a level, and the n-gram goes into a Bloom filter once for every level up to
 its own; probing level after level until one is missing gives the quantised count back. All n-grams are in, so the
 filters grow with the corpus: that of the words, which grows with the vocabulary, is broadcast; that of the pairs
-stays in blocks by key, and the pairs of the documents travel to their blocks. Only who asks for ``most_bytes``
-gets small filters that are both broadcast and leave the rarest counts to the smoothing.
+stays in blocks by key, next to the exact counts of the words of the block. Texts are hashed once; what a text
+needs to know of its pairs and rarer words travels to their blocks in packed arrays, and sums come back.
 """
 
 from __future__ import annotations
@@ -17,24 +17,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bitfilter import BitFilter, build, mix
+from plumbline.llm.bitfilter import BitFilter, mix
 from plumbline.llm.common import slices, staged, text_of
 
 #: ratio of neighbouring count levels
 RATIO = 1.5
 #: bits of the filters per n-gram and level
 BITS = 10
-#: the most frequent words, whose exact counts are broadcast; all others are joined
-FREQUENT = 1 << 16
-#: about how many pairs are so common that their counts are broadcast, and fewest blocks of pairs
-COMMON, BLOCKS = 1 << 16, 64
-#: pairs that a task gathers before it hands them on; sorting them takes about 60 bytes each
+#: about how many words and pairs are so common that their counts are broadcast, and fewest blocks of the others
+FREQUENT, COMMON, BLOCKS = 1 << 16, 1 << 16, 64
+#: words or pairs that a task gathers before it hands them on; sorting them takes about 60 bytes each
 GATHERED = 1_000_000
 
 _START, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-#: bits of a pair that its block is not chosen by; in a block these tell it
+#: bits of a pair that tell it within its block
 _LOW = np.uint64((1 << 40) - 1)
 _P, _Q = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+WORDS, PAIRS = 1, 2
 
 
 def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,23 +55,65 @@ def _hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, sizes, before
 
 
-def _pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mix(before * _P ^ mix(words + _Q))
+def _pairs(before: np.ndarray, words: np.ndarray, blocks: int) -> np.ndarray:
+    """A number per pair: its block, then 40 bits that tell it there."""
+    whole = mix(before * _P ^ mix(words + _Q))
+    return (whole >> np.uint64(40)) % np.uint64(blocks) << np.uint64(40) | whole & _LOW
 
 
-def _block(pairs: np.ndarray, blocks: int) -> np.ndarray:
-    return (pairs >> np.uint64(40)) % np.uint64(blocks)
+def _block(kind: int, keys: np.ndarray, blocks: int) -> np.ndarray:
+    """The block of each word, which is also its block in a filter of so many blocks, or of each pair."""
+    return (keys >> np.uint64(33)) % np.uint64(blocks) if kind == WORDS else keys >> np.uint64(40)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log(counts) / np.log(RATIO) + 1e-9).astype(np.int64) + 1
 
 
-def _counts(train: DataFrame, blocks: int, common: int | None) -> DataFrame:
-    """Rows ``kind, key, n, bits``: all words (1) and, without ``common``, all pairs (2) with their counts.
+def _put_keys(kind: int, keys: np.ndarray) -> bytes:
+    """Words as eight bytes each, pairs as the five that their block doesn't tell."""
+    return keys.tobytes() if kind == WORDS else keys.astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()
 
-    With ``common`` there are only the pairs (2) of at least that count, and for every block (3) the filter of all
-    its pairs, the number of the block as ``key``, and as ``n`` how much more the pairs occur than once.
+
+def _get_keys(kind: int, data: bytes) -> np.ndarray:
+    if kind == WORDS:
+        return np.frombuffer(data, dtype="<u8")
+    return np.ascontiguousarray(np.pad(np.frombuffer(data, dtype="u1").reshape(-1, 5), ((0, 0), (0, 3)))).view("<u8").ravel()
+
+
+def _put_counts(counts: np.ndarray) -> bytes:
+    """A byte per count; those from 255 on follow in full."""
+    return np.minimum(counts, 255).astype("u1").tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def _get_counts(data: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(data[:n], dtype="u1").astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data[n:], dtype="<u8")
+    return counts
+
+
+def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
+    if not held:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys = np.concatenate([k for k, _ in held])
+    counts = np.concatenate([c for _, c in held]).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+
+
+def _spans(block: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal numbers in a sorted array."""
+    cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, np.int64)
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=False))
+
+
+def _counts(train: DataFrame, blocks: int, common: dict[int, int]) -> DataFrame:
+    """A row per kind and block: ``keys`` and ``counts`` of its words, or the ``bits`` of the filter of its pairs.
+
+    Beside them ``distinct`` n-grams, their ``total`` count, the ``inserts`` a filter of them takes, and as ``top``
+    those with at least the ``common`` count of their kind.
     """
 
     def gather(batches):
@@ -81,23 +122,21 @@ def _counts(train: DataFrame, blocks: int, common: int | None) -> DataFrame:
         def packed(kind: int, held: list):
             keys, counts = _summed(held)
             held.clear()
-            block = _block(keys, blocks)
+            block = _block(kind, keys, blocks)
             order = np.argsort(block, kind="stable")
-            keys, counts, block = keys[order], counts[order].astype("<u4"), block[order]
-            cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]).tolist() if len(keys) else []
-            ends = [*cuts[1:], len(keys)][: len(cuts)]
+            keys, counts, block = keys[order], counts[order], block[order]
+            spans = _spans(block)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(cuts), pa.int32()), pa.array([int(block[c]) for c in cuts], pa.int32()),
-                 pa.array([keys[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                 pa.array([counts[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())],
+                [pa.array([kind] * len(spans), pa.int32()), pa.array([int(block[a]) for a, _ in spans], pa.int32()),
+                 pa.array([_put_keys(kind, keys[a:b]) for a, b in spans], pa.binary()), pa.array([_put_counts(counts[a:b]) for a, b in spans], pa.binary())],
                 names=["kind", "block", "keys", "counts"],
             )
 
-        held: dict[int, list] = {1: [], 2: []}
+        held: dict[int, list] = {WORDS: [], PAIRS: []}
         for whole in batches:
             for batch in slices(whole):
                 words, _, before = _hashed(batch.column("text").to_pylist())
-                for kind, keys in ((1, words), (2, _pairs(before, words))):
+                for kind, keys in ((WORDS, words), (PAIRS, _pairs(before, words, blocks))):
                     unique, n = np.unique(keys, return_counts=True)
                     held[kind].append((unique, n.astype(np.uint32)))
                     if sum(len(k) for k, _ in held[kind]) > GATHERED:
@@ -108,280 +147,237 @@ def _counts(train: DataFrame, blocks: int, common: int | None) -> DataFrame:
     def merge(table):
         import pyarrow as pa
 
-        held = [
-            (np.frombuffer(k, dtype="<u8"), np.frombuffer(c, dtype="<u4"))
-            for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True)
-        ]
+        kind, block, held = table.column("kind")[0].as_py(), table.column("block")[0].as_py(), []
+        for k, c in zip(table.column("keys"), table.column("counts"), strict=True):
+            keys = _get_keys(kind, k.as_py())
+            held.append((keys, _get_counts(c.as_py(), len(keys))))
         keys, counts = _summed(held)
-        kind = table.column("kind")[0].as_py()
-        kinds, more, bits = np.full(len(keys), kind), [], [None] * len(keys)
-        if kind == 2 and common is not None:
-            level = _levels(counts)
+        level, top = _levels(counts), counts >= common[kind]
+        bits = None
+        if kind == PAIRS:
             whole = BitFilter(1, -(-max(64, int(level.sum()) * BITS) // 64) * 64)
             for q in range(int(level.max())):
-                whole.add(keys[level > q] & _LOW, q)
-            more = [(3, table.column("block")[0].as_py(), int(counts.sum()) - len(counts), whole.data.tobytes())]
-            keys, counts = keys[counts >= common], counts[counts >= common]
-            kinds, bits = np.full(len(keys), kind), [None] * len(keys)
+                whole.add(keys[level > q], q)
+            bits = whole.data.tobytes()
+        best = (keys[top] | np.uint64(block << 40 if kind == PAIRS else 0)).astype(np.uint64).view(np.int64)
         return pa.table(
-            {"kind": pa.array([*kinds.tolist(), *(m[0] for m in more)], pa.int32()),
-             "key": pa.array(np.r_[keys.view(np.int64), np.array([m[1] for m in more], dtype=np.int64)]),
-             "n": pa.array(np.r_[counts, np.array([m[2] for m in more], dtype=np.int64)].astype(np.int64)),
-             "bits": pa.array([*bits, *(m[3] for m in more)], pa.binary())}
+            {"kind": pa.array([kind], pa.int32()), "block": pa.array([block], pa.int32()), "bits": pa.array([bits], pa.binary()),
+             "keys": pa.array([keys.tobytes() if kind == WORDS else None], pa.binary()), "counts": pa.array([_put_counts(counts) if kind == WORDS else None], pa.binary()),
+             "distinct": [len(keys)], "total": [int(counts.sum())], "inserts": [int(level.sum())],
+             "top": pa.array([best.tolist()], pa.list_(pa.int64())), "top_counts": pa.array([counts[top].tolist()], pa.list_(pa.int64()))}
         )
 
     gathered = train.select("text").mapInArrow(gather, "kind int, block int, keys binary, counts binary")
-    return gathered.groupBy("kind", "block").applyInArrow(merge, "kind int, key long, n long, bits binary")
-
-
-def _summed(held: list) -> tuple[np.ndarray, np.ndarray]:
-    if not held:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    keys = np.concatenate([k for k, _ in held])
-    counts = np.concatenate([c for _, c in held]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
+    columns = "kind int, block int, bits binary, keys binary, counts binary, distinct long, total long, inserts long, top array<long>, top_counts array<long>"
+    return gathered.groupBy("kind", "block").applyInArrow(merge, columns)
 
 
 @dataclass(frozen=True)
 class Model:
-    """The filters with their smallest counts, the training totals, and the table of exact word counts.
+    """The training totals, the words' filter, the commonest words and pairs, and the table ``blocks`` of the rest."""
 
-    Without ``pairs``, the filter of the pairs is the table ``blocks`` and the levels of the commonest are ``common``.
-    """
-
-    words: BitFilter
-    pairs: BitFilter | None
-    least: tuple[int, int]
+    words: BitFilter | None
     tokens: int
     distinct: int
     docs: int
     weight: float
-    exact: DataFrame | None
-    blocks: DataFrame | None = None
-    n_blocks: int = 0
+    n_blocks: int = 1
+    frequent: tuple[np.ndarray, np.ndarray] | None = None
     common: tuple[np.ndarray, np.ndarray] | None = None
+    blocks: DataFrame | None = None
 
-    def counted(self, level: np.ndarray, kind: int) -> np.ndarray:
+    def counted(self, level: np.ndarray) -> np.ndarray:
         """Quantised counts of levels, 0 for level 0."""
         low = RATIO ** (level - 1.0)
-        return np.where(level > 0, self.least[kind - 1] * (low * (1 + RATIO) / 2 + (low <= 1) * (1 - RATIO) / 2), 0.0)
+        return np.where(level > 0, low * (1 + RATIO) / 2 + (low <= 1) * (1 - RATIO) / 2, 0.0)
 
     def logs(self, pair: np.ndarray, single: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Smoothed log10 probabilities from counts; a context the filter lacks has at most a count below the least."""
-        paired = np.minimum(pair / np.maximum(context, max(self.least[0] - 1, 1)), 1)
+        """Smoothed log10 probabilities from counts; a context that never occurred counts as one that did once."""
+        paired = np.minimum(pair / np.maximum(context, 1), 1)
         return np.log10((1 - self.weight) * (single + 1) / (self.tokens + self.distinct + 1) + self.weight * paired)
 
 
-def train(docs: DataFrame, text: str = "text", most_bytes: int | None = None) -> Model:
+def _word_filter(words: DataFrame, blocks: int, inserts: int) -> BitFilter:
+    """The filter of all words: tasks set the bits of their blocks, which have as many bits as the fullest needs."""
+    block_bits = -(-max(64, inserts * BITS) // 64) * 64
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for block, k, c in zip(*(batch.column(n) for n in ("block", "keys", "counts")), strict=True):
+                keys = _get_keys(WORDS, k.as_py())
+                level, whole = _levels(_get_counts(c.as_py(), len(keys))), BitFilter(1, block_bits)
+                for q in range(int(level.max())):
+                    whole.add(keys[level > q], q)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int32()), pa.array([whole.data.tobytes()], pa.binary())], names=["block", "bits"])
+
+    out = BitFilter(blocks, block_bits)
+    for row in words.select("block", "keys", "counts").mapInArrow(run, "block int, bits binary").toLocalIterator():
+        start = row["block"] * block_bits // 8
+        out.data[start : start + block_bits // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def train(docs: DataFrame, text: str = "text") -> Model:
     """A model of all rows of ``docs``; null texts are empty. Without rows every token gets the add-one floor."""
     rows = docs.select(text_of(text).alias("text"))
     n_docs, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
     # a block has the n-grams of about 16 MB of text, before equal ones are joined
     blocks = max(BLOCKS, size >> 24)
-    # pairs with this count are at most a few times COMMON, as there are fewer tokens than bytes
-    least_common = max(2, size // (8 * COMMON)) if most_bytes is None else None
-    table = staged(_counts(rows, blocks, least_common), "ngram-counts")
-    level = F.floor(F.log("n") / F.log(F.lit(RATIO)) + 1e-9).cast("int")
-    by_level = table.filter("kind < 3").groupBy("kind", F.when(F.col("n") > 0, level).alias("level")).agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect()  # some dozen rows
-    tokens = sum(r["n"] for r in by_level if r["kind"] == 1)
-    distinct = sum(r["k"] for r in by_level if r["kind"] == 1)
-    filters, least = [], []
-    for kind in (1, 2) if most_bytes is not None else (1,):
-        own = {r["level"]: r["k"] for r in by_level if r["kind"] == kind}
-        first = 0
-        most = (most_bytes if most_bytes is not None else 1 << 60) // 2
-        while (inserts := sum(k * (q - first + 1) for q, k in own.items() if q >= first)) * BITS > most * 8:
-            first += 1
-        support = int(np.ceil(RATIO**first - 1e-9))
-        levels = F.floor(F.log(F.col("n") / support) / F.log(F.lit(RATIO)) + 1e-9).cast("int") + 1
-        chosen = table.filter((F.col("kind") == kind) & (F.col("n") >= support))
-        filters.append(build(chosen, "key", BitFilter.sized(inserts, BITS, most), levels))
-        least.append(support)
+    # n-grams with these counts are at most a few times as many as wanted, as there are fewer tokens than bytes
+    common = {WORDS: max(2, size // (8 * max(FREQUENT, 1))) if FREQUENT else 1 << 62, PAIRS: max(2, size // (8 * COMMON))}
+    table = staged(_counts(rows, blocks, common), "ngram-counts")
+    facts = table.groupBy("kind").agg(F.sum("distinct").alias("k"), F.sum("total").alias("n"), F.max("inserts").alias("most")).collect()
+    facts = {r["kind"]: r for r in facts}
+    tokens, distinct, most = (facts[WORDS]["n"], facts[WORDS]["k"], facts[WORDS]["most"]) if facts else (0, 0, 0)
     # a pair that occurs is found among the other texts about as often as its count leaves one more
-    if most_bytes is None:
-        found = table.filter("kind = 3").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    else:
-        found = sum(r["n"] - r["k"] for r in by_level if r["kind"] == 2)
+    found = facts[PAIRS]["n"] - facts[PAIRS]["k"] if facts else 0
     weight = min(max(found / max(tokens, 1), 0.01), 0.95)
-    exact = table.filter("kind = 1").select("key", F.col("n"))
-    if most_bytes is not None:
-        return Model(filters[0], filters[1], (least[0], least[1]), tokens, distinct, n_docs, weight, exact)
-    top = table.filter("kind = 2").select("key", "n").collect()
-    keys = np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    common = (keys[order], _levels(np.array([r["n"] for r in top], dtype=float))[order])
-    bits = table.filter("kind = 3").select(F.col("key").cast("int").alias("block"), "bits")
-    return Model(filters[0], None, (least[0], 1), tokens, distinct, n_docs, weight, exact, bits, blocks, common)
 
+    def tops(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        lists = table.filter((F.col("kind") == kind) & (F.size("top") > 0)).select("top", "top_counts").collect()
+        keys = np.array([k for r in lists for k in r["top"]], dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return keys[order], np.array([c for r in lists for c in r["top_counts"]], dtype=np.int64)[order]
 
-_START_LEVEL = 255
+    words = _word_filter(table.filter(F.col("kind") == WORDS), blocks, most)
+    return Model(words, tokens, distinct, n_docs, weight, blocks, tops(WORDS), tops(PAIRS), table.select("kind", "block", "bits", "keys", "counts"))
 
 
-def _singles(m: Model, unique: np.ndarray, where: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The level of every token, and of the one before it (``_START_LEVEL`` at the start of a text)."""
-    single = m.words.levels(unique)[where]
-    context = np.r_[0, single[:-1]]
-    context[starts] = _START_LEVEL
-    return single, context
+_START_LEVEL = 255
 
 
 def _contexts(m: Model, level: np.ndarray) -> np.ndarray:
-    return np.where(level == _START_LEVEL, float(m.docs), m.counted(np.where(level == _START_LEVEL, 0, level), 1))
-
+    return np.where(level == _START_LEVEL, float(m.docs), m.counted(np.where(level == _START_LEVEL, 0, level)))
 
-def _levels_here(m: Model, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs need not be asked for, and their levels."""
-    if m.pairs is not None:
-        return np.ones(len(pairs), dtype=bool), m.pairs.levels(pairs)
-    keys, levels = m.common
-    if not len(keys):
-        return np.zeros(len(pairs), dtype=bool), np.zeros(len(pairs), dtype=np.int64)
-    at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-    here = keys[at] == pairs
-    return here, np.where(here, levels[at], 0)
 
+def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys a sorted table has, and their counts."""
+    known, counts = table
+    if not len(known):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    here = known[at] == keys
+    return here, np.where(here, counts[at], 0)
 
-def _answers(rows: DataFrame, model: Model, sent, kind: str) -> DataFrame:
-    """``doc_id, version, main, score``: what the pairs that are not broadcast add to the scores, by document and block.
-
-    None of these pairs is common, so no block gets much more than its share.
-    """
-
-    def squeeze(data: bytes) -> bytes:
-        return zlib.compress(data, 1)
-
-    def ask(batches):
-        import pyarrow as pa
-
-        m = sent.value[0]
-        for whole in batches:
-            for batch in slices(whole):
-                words, sizes, before = _hashed(batch.column("text").to_pylist())
-                unique, where = np.unique(words, return_inverse=True)
-                single, context = _singles(m, unique, where, np.r_[0, np.cumsum(sizes)[:-1]])
-                pairs = _pairs(before, words)
-                left = np.flatnonzero(~_levels_here(m, pairs)[0])
-                block = _block(pairs[left], m.n_blocks)
-                order = np.argsort(block, kind="stable")
-                left, block = left[order], block[order]
-                doc = np.repeat(np.arange(batch.num_rows), sizes)[left]
-                cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(left) else np.zeros(0, np.int64)
-                spans = list(zip(cuts.tolist(), np.r_[cuts[1:], len(left)].tolist() if len(cuts) else [], strict=True))
-                at = [np.unique(doc[a:b], return_counts=True) for a, b in spans]  # documents come in order
-                ends = pa.array(np.r_[0, np.cumsum([len(d) for d, _ in at])].astype(np.int32))
-                docs = pa.array(np.concatenate([d for d, _ in at]) if at else np.zeros(0, np.int64))
-                packed = lambda x: pa.array([squeeze(x[a:b].astype("u1").tobytes()) for a, b in spans], pa.binary())
-                low = pairs[left].astype("<u8").view("u1").reshape(-1, 8)[:, :5]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block[cuts].astype(np.int32)),
-                     pa.ListArray.from_arrays(ends, batch.column("doc_id").take(docs)),
-                     pa.ListArray.from_arrays(ends, batch.column("version").take(docs)),
-                     pa.array([squeeze(n.astype("<u4").tobytes()) for _, n in at], pa.binary()),
-                     pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), packed(single[left]), packed(context[left])],
-                    names=["block", "docs", "versions", "counts", "keys", "single", "context"],
-                )
 
-    def answer(asked, filters):
-        import pyarrow as pa
+def _squeezed(numbers: np.ndarray, kind: str) -> bytes:
+    return zlib.compress(numbers.astype(kind).tobytes(), 1)
 
-        m, ids, versions, sums = sent.value[0], [], [], []
-        data = np.frombuffer(filters.column("bits")[0].as_py(), dtype=np.uint8) if filters.num_rows else None
-        own = BitFilter(1, len(data) * 8, data) if data is not None else None
-        for batch in asked.to_batches():
-            for k in range(batch.num_rows):
-                low = np.frombuffer(batch.column("keys")[k].as_py(), dtype="u1").reshape(-1, 5)
-                keys = np.ascontiguousarray(np.pad(low, ((0, 0), (0, 3)))).view("<u8").ravel()
-                single, context, n = (np.frombuffer(zlib.decompress(batch.column(c)[k].as_py()), dtype=t).astype(np.int64) for c, t in (("single", "u1"), ("context", "u1"), ("counts", "<u4")))
-                level = own.levels(keys) if own else np.zeros(len(keys), dtype=np.int64)
-                logs = m.logs(m.counted(level, 2), m.counted(single, 1), _contexts(m, context))
-                ids.append(batch.column("docs")[k].values)
-                versions.append(batch.column("versions")[k].values)
-                sums.append(np.add.reduceat(logs, np.r_[0, np.cumsum(n)[:-1]]))
-        if not ids:
-            return pa.table({"doc_id": pa.array([], asked.schema.field("docs").type.value_type), "version": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return pa.table({"doc_id": pa.concat_arrays(ids), "version": pa.concat_arrays(versions), "score": pa.array(np.concatenate(sums))})
 
-    asks = rows.select("doc_id", "text", "version").mapInArrow(
-        ask, f"block int, docs array<{kind}>, versions array<long>, counts binary, keys binary, single binary, context binary"
-    )
-    answers = asks.groupBy("block").cogroup(model.blocks.groupBy("block")).applyInArrow(answer, f"doc_id {kind}, version long, score double")
-    return answers.select("doc_id", "version", F.lit(False).alias("main"), "score")
+def _opened(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=kind).astype(np.int64)
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_tokens, n_known, train_tokens, base_score, score``.
 
     ``score`` is the sum of the smoothed log10 probabilities; ``base_score`` and ``n_known`` use exact word counts.
-    Those of the ``FREQUENT`` commonest words are broadcast, all other words are joined with the count table, where
-    no word can hold more than one in ``FREQUENT`` of the training tokens. Null texts are empty and have their end
-    token only; rows that repeat in id and text are scored once and returned as often as they came.
+    Those of about ``FREQUENT`` commonest words and ``COMMON`` commonest pairs are broadcast; all others are asked
+    for in their block, and as none of these is common, no block gets much more than its share. Null texts are empty
+    and have their end token only; rows that repeat in id and text are returned as often as they came.
     """
     spark = docs.sparkSession
-    top = model.exact.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()
-    keys = np.array([r["key"] for r in top], dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys, logs = keys[order], np.log10(np.array([r["n"] for r in top], dtype=float) + 1)[order]
-    slim = replace(model, exact=None, blocks=None)
-    sent = spark.sparkContext.broadcast((slim, keys, logs))
+    sent = spark.sparkContext.broadcast(replace(model, blocks=None))
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_of(text).alias("text"))
     rows = rows.withColumn("version", F.xxhash64("text"))
+    kind = dict(rows.dtypes)["doc_id"]
+    own = {"n_tokens": "long", "n_known": "long", "base": "double", "score": "double"}
 
-    def run(batches):
+    def ask(batches):
+        """Rows ``kind, block, docs, versions`` with, for kind 0, the documents' own sums, else what is asked for."""
         import pyarrow as pa
 
-        m, frequent, frequent_logs = sent.value
+        m = sent.value
         for whole in batches:
             for batch in slices(whole):
-                rows_here = batch.num_rows
                 words, sizes, before = _hashed(batch.column("text").to_pylist())
                 starts = np.r_[0, np.cumsum(sizes)[:-1]]
                 unique, where = np.unique(words, return_inverse=True)
-                pairs = _pairs(before, words)
-                single, context = _singles(m, unique, where, starts)
-                here, level = _levels_here(m, pairs)
-                logs = np.where(here, m.logs(m.counted(level, 2), m.counted(single, 1), _contexts(m, context)), 0.0)
-                at = np.minimum(np.searchsorted(frequent, unique), max(len(frequent) - 1, 0))
-                is_top = frequent[at] == unique if len(frequent) else np.zeros(len(unique), dtype=bool)
-                exact = np.where(is_top, frequent_logs[at], 0.0) if len(frequent) else np.zeros(len(unique))
-                doc = np.repeat(np.arange(rows_here), sizes)
-                rare = np.flatnonzero(~is_top[where])
-                main = [sizes, np.add.reduceat(is_top[where].astype(np.int64), starts), np.add.reduceat(exact[where], starts),
-                        np.add.reduceat(logs, starts)]
-                pick = np.r_[np.arange(rows_here), doc[rare]]
-                more = np.zeros(len(rare))
+                single = m.words.levels(unique)[where]
+                context = np.r_[0, single[:-1]]
+                context[starts] = _START_LEVEL
+                pairs = _pairs(before, words, m.n_blocks)
+                paired, pair = _found(m.common, pairs)
+                logs = np.zeros(len(words))
+                at = np.flatnonzero(paired)
+                logs[at] = m.logs(m.counted(_levels(pair[at])), m.counted(single[at]), _contexts(m, context[at]))
+                top, n = (x[where] for x in _found(m.frequent, unique))
+                sums = [sizes, np.add.reduceat(top.astype(np.int64), starts), np.add.reduceat(np.log10(n + 1), starts), np.add.reduceat(logs, starts)]
+                doc = np.repeat(np.arange(batch.num_rows), sizes)
+                main = int(batch.column("version")[0].as_py()) % m.n_blocks
+                parts = [(0, main, np.arange(batch.num_rows), [*(pa.array([x.tolist()], pa.list_(t)) for x, t in zip(sums, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), *[None] * 4])]
+                for what, keys, left in ((WORDS, words, np.flatnonzero(~top)), (PAIRS, pairs, np.flatnonzero(~paired))):
+                    block = _block(what, keys[left], m.n_blocks)
+                    order = np.argsort(block, kind="stable")
+                    left, block = left[order], block[order]
+                    for a, b in _spans(block):
+                        mine = left[a:b]
+                        docs, times = np.unique(doc[mine], return_counts=True)  # positions come in the documents' order
+                        levels = [_squeezed(x[mine], "u1") for x in (single, context)] if what == PAIRS else [None, None]
+                        parts.append((what, int(block[a]), docs, [None] * 4 + [_squeezed(times, "<u4"), _put_keys(what, keys[mine]), *levels]))
+                ends = pa.array(np.r_[0, np.cumsum([len(p[2]) for p in parts])].astype(np.int32))
+                docs = pa.array(np.concatenate([p[2] for p in parts]))
+                lists = [pa.concat_arrays([pa.nulls(1, pa.list_(t)) if p[3][i] is None else p[3][i] for p in parts]) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(pick)), batch.column("version").take(pa.array(pick)),
-                     pa.array(np.r_[np.zeros(rows_here, np.int64), words[rare].view(np.int64)]),
-                     pa.array(np.r_[np.ones(rows_here, bool), np.zeros(len(rare), bool)])]
-                    + [pa.array(np.r_[c, more].astype(t)) for c, t in zip(main, (np.int64, np.int64, float, float), strict=True)],
-                    names=["doc_id", "version", "key", "main", "n_tokens", "n_known", "base", "score"],
+                    [pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.int32()),
+                     pa.ListArray.from_arrays(ends, batch.column("doc_id").take(docs)), pa.ListArray.from_arrays(ends, batch.column("version").take(docs)),
+                     *lists, *(pa.array([p[3][i] for p in parts], pa.binary()) for i in range(4, 8))],
+                    names=["kind", "block", "docs", "versions", *own, "times", "keys", "single", "context"],
                 )
 
-    kind = dict(rows.dtypes)["doc_id"]
-    parts = rows.select("doc_id", "text", "version").mapInArrow(
-        run, f"doc_id {kind}, version long, key long, main boolean, n_tokens long, n_known long, base double, score double"
+    def answer(asked, held):
+        import pyarrow as pa
+
+        m, known, pairs = sent.value, None, None
+        for k in range(held.num_rows):
+            if held.column("kind")[k].as_py() == WORDS:
+                keys = _get_keys(WORDS, held.column("keys")[k].as_py())
+                known = keys, _get_counts(held.column("counts")[k].as_py(), len(keys))
+            else:
+                data = np.frombuffer(held.column("bits")[k].as_py(), dtype=np.uint8)
+                pairs = BitFilter(1, len(data) * 8, data)
+        known = known or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        out: dict[str, list] = {c: [] for c in ("doc_id", "version", "main", *own)}
+        for batch in asked.to_batches():
+            cell = {c: batch.column(c) for c in batch.schema.names}
+            for k in range(batch.num_rows):
+                what, n = cell["kind"][k].as_py(), len(cell["docs"][k].values)
+                out["doc_id"].append(cell["docs"][k].values)
+                out["version"].append(cell["versions"][k].values)
+                out["main"].append(pa.array(np.full(n, what == 0)))
+                if what == 0:
+                    for c in own:
+                        out[c].append(cell[c][k].values)
+                    continue
+                keys, times = _get_keys(what, cell["keys"][k].as_py()), _opened(cell["times"][k].as_py(), "<u4")
+                at, none = np.r_[0, np.cumsum(times)[:-1]], np.zeros(n)
+                if what == WORDS:
+                    here, c = _found(known, keys)
+                    sums = np.add.reduceat(here.astype(np.int64), at), np.add.reduceat(np.log10(c + 1), at), none
+                else:
+                    single, context = (_opened(cell[c][k].as_py(), "u1") for c in ("single", "context"))
+                    level = pairs.levels(keys) if pairs else np.zeros(len(keys), dtype=np.int64)
+                    sums = none.astype(np.int64), none, np.add.reduceat(m.logs(m.counted(level), m.counted(single), _contexts(m, context)), at)
+                for c, x in zip(own, (none.astype(np.int64), *sums), strict=True):
+                    out[c].append(pa.array(x))
+        kinds = {"doc_id": asked.schema.field("docs").type.value_type, "version": pa.int64(), "main": pa.bool_()}
+        kinds |= {c: pa.int64() if t == "long" else pa.float64() for c, t in own.items()}
+        return pa.table({c: pa.concat_arrays(x) if x else pa.array([], kinds[c]) for c, x in out.items()})
+
+    lists = ", ".join(f"{c} array<{t}>" for c, t in own.items())
+    asks = rows.select("doc_id", "text", "version").mapInArrow(
+        ask, f"kind int, block int, docs array<{kind}>, versions array<long>, {lists}, times binary, keys binary, single binary, context binary"
     )
-    # a document's own row must not pile up under one key
-    parts = parts.withColumn("key", F.when(F.col("main"), F.col("version")).otherwise(F.col("key")))
-    known = model.exact.select(F.col("key").alias("known_key"), "n")
-    joined = parts.join(known, F.col("key") == F.col("known_key"), "left")
-    hit = ~F.col("main") & F.col("n").isNotNull()
+    sums = ", ".join(f"{c} {t}" for c, t in own.items())
+    answers = asks.groupBy("block").cogroup(model.blocks.groupBy("block")).applyInArrow(answer, f"doc_id {kind}, version long, main boolean, {sums}")
     floor = float(np.log10(model.tokens + model.distinct + 1))
     times = F.sum(F.col("main").cast("long"))
-    columns = [F.col(c) for c in ("doc_id", "version", "main", "n_tokens", "n_known", "base", "score", "n")]
-    joined = joined.select(*columns)
-    if model.pairs is None:
-        asked = _answers(rows, model, sent, kind)
-        joined = joined.unionByName(asked, allowMissingColumns=True)
-    whole = joined.groupBy("doc_id", "version").agg(
+    whole = answers.groupBy("doc_id", "version").agg(
         times.alias("times"),
-        F.max("n_tokens").alias("n_tokens"),
-        ((F.sum("n_known") + F.sum(hit.cast("long"))) / times).cast("long").alias("n_known"),
-        ((F.sum("base") + F.sum(F.when(hit, F.log10(F.col("n") + 1)).otherwise(0.0))) / times).alias("base"),
-        (F.sum("score") / times).alias("score"),
+        *[(F.sum(c) / times).cast("long").alias(c) for c in ("n_tokens", "n_known")],
+        *[(F.sum(c) / times).alias(c) for c in ("base", "score")],
     )
     whole = whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return whole.select(
