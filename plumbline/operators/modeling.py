@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
@@ -12,13 +12,13 @@ import pyspark
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions.exprs import field_type, free_name, is_temporal, number, numeric_columns, q
+from plumbline.functions.exprs import field_type, free_name, is_temporal, number, numeric_columns, q, text_columns
 from plumbline.functions.ranges import quantiles
 from plumbline.functions.wide import distinct_counts, level_counts, union_all
 from plumbline.operators import metrics as mx
@@ -270,12 +270,32 @@ def fit_model(train: DataFrame, target: str, features: Sequence[str], model: str
             fitted = make_regressor(model, rows, spread, seed, **params).fit(ready)
     finally:
         ready.unpersist()
-    return PipelineModel([*stages, fitted]), feature_names(stages, numeric, categorical)
+    return PipelineModel([*stages, _slim(fitted)]), feature_names(stages, numeric, categorical)
 
 
-def apply_model(pipe: PipelineModel, df: DataFrame, problem: str, classes: Sequence[str]) -> DataFrame:
-    """Input columns plus ``__pred`` (class text or number) and ``__proba`` (array, null where the model gives none)."""
+def _slim(fitted):
+    """The model without its training summary, which keeps the training rows' plan and the session.
+
+    A session that has observed any table cannot be sent to tasks, and the model would try to take it along.
+    """
+    if getattr(fitted, "hasSummary", False):
+        fitted._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return fitted
+
+
+def apply_model(pipe: PipelineModel, df: DataFrame, problem: str, classes: Sequence[str], observed: Observation | None = None) -> DataFrame:
+    """Input columns plus ``__pred`` (class text or number) and ``__proba`` (array, null where the model gives none).
+
+    An action on the result leaves in ``observed`` the number of ``rows`` and, as ``unseen_i``, how many of them have
+    a level in the i-th categorical feature that the model's encoder doesn't know.
+    """
     out = pipe.transform(df)
+    if observed is not None:
+        # the indexer gives levels it doesn't know the number after its last one
+        indexers = [s for s in pipe.stages if isinstance(s, StringIndexerModel)]
+        levels = [(c, len(known)) for s in indexers for c, known in zip(s.getOutputCols(), s.labelsArray)]
+        unseen = [F.count_if(F.col(c) >= n).alias(f"unseen_{i}") for i, (c, n) in enumerate(levels)]
+        out = out.observe(observed, F.count(F.lit(1)).alias("rows"), *unseen)
     if problem == "Classification":
         names = F.array(*[F.lit(c) for c in classes])
         pred = F.element_at(names, F.col("prediction").cast("int") + 1)
@@ -541,23 +561,57 @@ def list_models(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def score(trained: TrainedModel, df: DataFrame, threshold: float | None = None) -> DataFrame:
+#: how the message of a row begins whose features cannot be scored
+BAD_CELLS = "features that cannot be scored"
+
+
+def _check_cells(df: DataFrame, numeric: Sequence[str], features: Sequence[str]) -> None:
+    """An error that names every feature with text in place of a number, or with infinite cells; reads the table."""
+    bad = non_finite_columns(require_numeric(df, numeric), features)
+    if bad:
+        raise ValueError(f"features hold infinite values: {', '.join(bad)}; clean or clip them first")
+
+
+def _guarded(df: DataFrame, numeric: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """The same rows; the first one that ``_check_cells`` would name fails the running job."""
+    texts = text_columns(df)
+    bad = []
+    for c in features:
+        if c not in texts and c not in numeric_columns(df):
+            continue
+        value = q(c).try_cast("double")
+        wrong = F.abs(value) == float("inf")
+        if c in numeric and c in texts:
+            wrong = wrong | (q(c).isNotNull() & value.isNull())
+        bad.append(F.when(wrong, F.lit(c)))
+    if not bad:
+        return df
+    names = F.concat_ws(", ", *bad)
+    return df.filter(F.when(names == "", True).otherwise(F.raise_error(F.concat(F.lit(f"{BAD_CELLS}: "), names)).cast("boolean")))
+
+
+def score(trained: TrainedModel, df: DataFrame, threshold: float | None = None, observed: Observation | None = None) -> DataFrame:
     """The table plus ``prediction`` (a free name is taken if that is in use) and ``probability`` of the
-    positive class of two-class models."""
+    positive class of two-class models.
+
+    Cells that cannot be scored are an error. They are searched for before, by passes over the table; with
+    ``observed`` the scoring pass itself fails at the first of them, and leaves there what ``apply_model`` counts.
+    """
     contract = trained.contract
     features = contract["features"]
     absent = [c for c in features if c not in df.columns]
     if absent:
         raise ValueError(f"the table lacks features of the model: {', '.join(absent)}")
     dates = [c for c in contract["numeric_features"] if is_temporal(field_type(df, c))]
-    checked = require_numeric(df, [c for c in contract["numeric_features"] if c not in dates])
-    bad = non_finite_columns(checked, [c for c in features if c not in dates])
-    if bad:
-        raise ValueError(f"features hold infinite values: {', '.join(bad)}; clean or clip them first")
+    checked = [c for c in contract["numeric_features"] if c not in dates], [c for c in features if c not in dates]
+    if observed is None:
+        _check_cells(df, *checked)
+    else:
+        df = _guarded(df, *checked)
     classes, positive = contract["classes"], contract["positive_class"]
     # original cells are put back after scoring, so parsed features do not change the input's types
     packed = df.select(F.struct(*[q(c) for c in df.columns]).alias("__row"), *[_checked(df, c, dates, contract) for c in features])
-    out = apply_model(trained.pipe, packed, contract["problem"], classes)
+    out = apply_model(trained.pipe, packed, contract["problem"], classes, observed)
     name = free_name("prediction", df.columns)
     if contract["problem"] == "Classification" and positive is not None:
         cut = contract["threshold"] if threshold is None else threshold
@@ -568,6 +622,36 @@ def score(trained: TrainedModel, df: DataFrame, threshold: float | None = None)
     return out.select("__row.*", F.col("__pred").alias(name))
 
 
+@dataclass(frozen=True)
+class ScoringReport:
+    """Rows scored, and ``(column, level, rows)`` of the levels among them that training did not hold."""
+
+    rows: int
+    unseen: DataFrame
+
+
+def write_scored(trained: TrainedModel, df: DataFrame, write: Callable[[DataFrame], None], threshold: float | None = None) -> ScoringReport:
+    """Score and ``write`` in one pass over the table, which also counts its rows and the unknown levels.
+
+    Only where that pass met unknown levels are their columns read again to name them; only where it failed at a
+    cell that cannot be scored is the table searched for all columns that hold such cells, as ``score`` does before.
+    """
+    seen, contract = Observation(), trained.contract
+    scored = score(trained, df, threshold, seen)
+    try:
+        write(scored)
+    except Exception as error:
+        if BAD_CELLS in str(error):
+            dates = [c for c in contract["numeric_features"] if is_temporal(field_type(df, c))]
+            _check_cells(df, [c for c in contract["numeric_features"] if c not in dates], [c for c in contract["features"] if c not in dates])
+        raise
+    facts = seen.get
+    columns = [c for i, c in enumerate(contract["categorical_features"]) if facts.get(f"unseen_{i}")]
+    none = df.sparkSession.createDataFrame([], "column string, level string, rows long")
+    unseen = unseen_level_rows(trained.levels, df, columns) if columns and trained.levels is not None else none
+    return ScoringReport(facts["rows"], unseen.select("column", "level", "rows"))
+
+
 def _checked(df: DataFrame, column: str, dates: Sequence[str], contract: dict) -> Column:
     if column in contract["numeric_features"] and column not in dates and isinstance(field_type(df, column), T.StringType):
         return q(column).try_cast("double").alias(column)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import argparse
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.modeling import category_drift_from_contract, load_model, score
+from plumbline.operators.modeling import load_model, write_scored
 from plumbline.session import build_session
 from plumbline.sources.readers import load_table
 from plumbline.sources.tables import write_csv, write_parquet
 
+#: unknown levels that are printed, the most frequent ones
+SHOWN = 50
+
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
@@ -22,15 +26,19 @@ def main(argv: list[str] | None = None) -> None:
     spark = build_session(app="plumbline-score")
     model = load_model(spark, args.model)
     table = load_table(spark, args.input)
-    for row in category_drift_from_contract(model, table).collect():
-        print(f"unseen levels in {row['column']}: {row['unseen_levels']} ({row['unseen_rows']} rows)")
-    scored = score(model, table, args.threshold)
-    if "probability" in scored.columns and "probability" not in table.columns:
-        scored = scored.withColumn("probability", F.round("probability", 4))
-    if args.output.rstrip("/").endswith(".parquet"):
-        write_parquet(scored, args.output)
-    else:
-        write_csv(scored, args.output)
+
+    def write(scored: DataFrame) -> None:
+        if "probability" in scored.columns and "probability" not in table.columns:
+            scored = scored.withColumn("probability", F.round("probability", 4))
+        if args.output.rstrip("/").endswith(".parquet"):
+            write_parquet(scored, args.output)
+        else:
+            write_csv(scored, args.output)
+
+    report = write_scored(model, table, write, args.threshold)
+    print(f"{report.rows} rows scored")
+    for row in report.unseen.orderBy(F.desc("rows"), "column", "level").limit(SHOWN).collect():
+        print(f"level of {row['column']} that training did not hold: {row['level']} ({row['rows']} rows)")
 
 
 if __name__ == "__main__":

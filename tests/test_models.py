@@ -190,3 +190,48 @@ def test_tree_classifiers_with_three_classes(spark, table, name):
     trained = ml.train_model(three, "k", ["f1", "f2"], name, "Classification", ["id"], validate=False, **params)
     assert trained.scores["accuracy"] > 0.6 and trained.contract["positive_class"] is None
     assert ml.score(trained, three).filter("prediction IN ('low', 'mid', 'high')").count() == 120
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_scoring_reads_the_table_once(spark, tmp_path, capsys):
+    n = 120
+    raw = [(i, float(i), "abc"[i % 3], i * 2.0 + (i % 3)) for i in range(n)]
+    table = spark.createDataFrame(raw, "id long, x double, c string, y double")
+    trained = ml.train_model(table, "y", ["x", "c"], "Linear Regression", "Regression", ["id"], validate=False)
+    spark.createDataFrame([*raw, (n, 1.0, "new", 0.0), (n + 1, 2.0, "new", 0.0), (n + 2, None, None, 0.0)], table.schema).write.parquet(f"{tmp_path}/in.parquet")
+    more = spark.read.parquet(f"{tmp_path}/in.parquet")
+    jobs, written = [], []
+
+    def write(scored):
+        jobs.append(_scans(scored))
+        scored.write.parquet(f"{tmp_path}/out.parquet")
+        written.append(scored.columns)
+
+    spark.sparkContext.setJobGroup("scoring", "")
+    report = ml.write_scored(trained, more, write)
+    ids = spark.sparkContext.statusTracker().getJobIdsForGroup("scoring")
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs == [1] and len(ids) == 1 and written == [[*more.columns, "prediction"]]
+    assert report.rows == n + 3 and rows(report.unseen) == [("c", "new", 2)]
+    out = spark.read.parquet(f"{tmp_path}/out.parquet")
+    assert rows(out) == rows(ml.score(trained, more))
+    seen = ml.write_scored(trained, table, lambda d: d.write.format("noop").mode("overwrite").save())
+    assert seen.rows == n and seen.unseen.count() == 0
+
+
+@pytest.mark.parametrize(
+    ("column", "message"),
+    [("if(id = 7, 'NaNa', cast(x as string))", "not a number: x"), ("if(id = 7, 1e400, x)", "infinite values: x"), ("if(id = 7, 'inf', cast(x as string))", "infinite values: x")],
+)
+def test_cells_that_cannot_be_scored_fail_the_pass(spark, tmp_path, column, message):
+    table = spark.createDataFrame([(i, float(i), i * 2.0) for i in range(40)], "id long, x double, y double")
+    trained = ml.train_model(table, "y", ["x"], "Linear Regression", "Regression", ["id"], validate=False)
+    bad = table.withColumn("x", F.expr(column.replace("1e400", "double('inf')")))
+    with pytest.raises(ValueError, match=message):
+        ml.write_scored(trained, bad, lambda d: d.write.parquet(f"{tmp_path}/out.parquet"))
+    with pytest.raises(ValueError, match=message):
+        ml.score(trained, bad)
+    assert not (tmp_path / "out.parquet" / "_SUCCESS").exists()
