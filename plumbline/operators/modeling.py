@@ -5,33 +5,38 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 import pyspark
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml import classification as mlc
 from pyspark.ml import regression as mlr
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.exprs import field_type, free_name, is_temporal, number, numeric_columns, q, text_columns
-from plumbline.functions.ranges import quantiles
+from plumbline.functions.ranges import quantile_table, quantiles
 from plumbline.functions.wide import distinct_counts, level_counts, union_all
 from plumbline.operators import metrics as mx
 from plumbline.operators import splits as sp
-from plumbline.operators.clean import mode_fills
 from plumbline.operators.drift import unseen_level_rows, unseen_levels
 from plumbline.operators.select import non_finite_columns, require_numeric
+from plumbline.session import materialize
 from plumbline.sources.tables import fingerprint, file_signatures
 
 FORMAT_VERSION = 1
 TRAIN_CELLS = 5_000_000
 WIDE_LEVELS = 50
 TOP_FEATURES = 15
+#: folds that are fitted side by side
+PARALLEL_FITS = 4
+# fixed values: names of the models, and below their settings
 CLASSIFIERS = ("Random Forest", "Decision Tree", "Gradient Boosting", "Logistic Regression")
 REGRESSORS = ("Random Forest", "Gradient Boosting", "Ridge Regression", "Linear Regression")
 
@@ -144,53 +149,129 @@ def _numeric_sql(df: DataFrame, column: str) -> str:
     return f"nanvl(CAST({name} AS DOUBLE), CAST(NULL AS DOUBLE))"
 
 
-def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list:
+@dataclass
+class Facts:
+    """What preprocessing and fitting need to know of a set of training rows."""
+
+    rows: int
+    fills: list[float]
+    means: list[float]
+    deviations: list[float]
+    modes: dict[str, str]
+    levels: dict[str, list[str]]
+    label_rows: dict[float, int]
+    label_deviation: float
+
+
+def _merged(parts: Sequence[tuple[int, float, float]]) -> tuple[int, float, float]:
+    """Count, mean and summed squared deviations of parts taken together."""
+    n, mean, squares = 0, 0.0, 0.0
+    for k, m, s in parts:
+        if k:
+            gap = m - mean
+            squares += s + gap * gap * n * k / (n + k)
+            mean += gap * k / (n + k)
+            n += k
+    return n, mean, squares
+
+
+def learn(labelled: DataFrame, numeric: Sequence[str], categorical: Sequence[str], fold: str | None = None, turns: Sequence[set[int]] = ({0},)) -> list[Facts]:
+    """The facts of every set of training rows; a set is the rows of some folds, without a fold column all rows.
+
+    Moments, gaps, levels and labels are counted once per fold and put together per set. Medians are exact quantiles
+    of each set, all sets at once; with folds only where a column has a gap, as they fill nothing otherwise.
+    """
+    ids = [f"n{i}" for i in range(len(numeric))]
+    texts = [f"c{i}" for i in range(len(categorical))]
+    values = labelled.select(
+        (q(fold).cast("int") if fold else F.lit(0)).alias("fold"),
+        *[F.expr(_numeric_sql(labelled, c)).alias(n) for n, c in zip(ids, numeric)],
+        *[q(c).cast("string").alias(t) for t, c in zip(texts, categorical)],
+        "__label",
+    )
+    moments = [x for n in [*ids, "__label"] for x in (F.count(n).alias(f"k_{n}"), F.avg(n).alias(f"m_{n}"), F.var_pop(n).alias(f"v_{n}"))]
+    by_fold = {r["fold"]: r for r in values.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), *moments).collect()}
+    levels = level_counts(values, texts, ["fold"]).collect() if texts else []
+    labels = values.groupBy("fold", "__label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("__label").isNotNull())
+    # one row per class for a classifier; a regressor's labels are not counted by value
+    labels = labels.collect() if labelled.schema["__label"].metadata.get("classes") else []
+    gaps = [n for n in ids if not fold or any(r[f"k_{n}"] < r["rows"] for r in by_fold.values())]
+    medians: list[dict[str, float | None]] = [{} for _ in turns]
+    if gaps and not fold:
+        medians = [{n: v[0] for n, v in quantiles(values, gaps, [0.5]).items()}]
+    elif gaps:
+        uses = F.array_compact(F.array(*[F.when(F.col("fold").isin(sorted(t)), F.lit(i)) for i, t in enumerate(turns)]))
+        for r in quantile_table(values.select(F.explode(uses).alias("turn"), *gaps), gaps, [0.5], by=["turn"]).collect():
+            medians[r["turn"]][r["column"]] = r["quantiles"][0]
+    out = []
+    for i, turn in enumerate(turns):
+        own = [r for f, r in by_fold.items() if f in turn]
+        rows = sum(r["rows"] for r in own)
+        fills, means, deviations = [], [], []
+        for n in ids:
+            fill = medians[i].get(n)
+            fill = 0.0 if fill is None else fill
+            known = [(r[f"k_{n}"], r[f"m_{n}"], (r[f"v_{n}"] or 0.0) * r[f"k_{n}"]) for r in own]
+            k, mean, squares = _merged([*known, (rows - sum(x[0] for x in known), fill, 0.0)])
+            fills.append(fill)
+            means.append(mean)
+            deviations.append(math.sqrt(squares / k) if k and squares > 0 else 1.0)
+        counts: dict[str, dict[str, int]] = {t: {} for t in texts}
+        for r in levels:
+            if r["fold"] in turn:
+                counts[r["column"]][r["level"]] = counts[r["column"]].get(r["level"], 0) + r["cnt"]
+        modes = {c: min(counts[t], key=lambda v, t=t: (-counts[t][v], v)) if counts[t] else "Unknown" for t, c in zip(texts, categorical)}
+        found = {c: sorted(counts[t] or {"Unknown": 0}) for t, c in zip(texts, categorical)}
+        sizes: dict[float, int] = {}
+        for r in labels:
+            if r["fold"] in turn:
+                sizes[r["__label"]] = sizes.get(r["__label"], 0) + r["n"]
+        k, _, squares = _merged([(r["k___label"], r["m___label"], (r["v___label"] or 0.0) * r["k___label"]) for r in own])
+        out.append(Facts(rows, fills, means, deviations, modes, found, sizes, math.sqrt(squares / k) if k else 0.0))
+    return out
+
+
+def preprocessor(table: DataFrame, numeric: Sequence[str], categorical: Sequence[str], facts: Facts) -> list:
     """Stages that turn raw columns into ``features``.
 
-    Medians, means, deviations and most frequent levels are exact aggregates of the training rows,
-    written as literals into one SQL stage. Levels not seen in training become all zeros.
+    Fill values, means, deviations and most frequent levels are literals in one SQL stage. Levels that the facts
+    don't hold become all zeros.
     """
     pieces, assembled = [], []
-    if numeric:
-        raw = train.select(*[F.expr(_numeric_sql(train, c)).alias(f"n{i}") for i, c in enumerate(numeric)])
-        ids = [f"n{i}" for i in range(len(numeric))]
-        medians = quantiles(raw, ids, [0.5])
-        fill = {n: medians[n][0] if medians[n][0] is not None else 0.0 for n in ids}
-        filled = raw.select(*[F.coalesce(F.col(n), F.lit(fill[n])).alias(n) for n in ids])
-        facts = filled.agg(*[F.avg(n).alias(f"m_{n}") for n in ids], *[F.stddev_pop(n).alias(f"s_{n}") for n in ids]).first()
-        for n, c in zip(ids, numeric):
-            mean, std = facts[f"m_{n}"] or 0.0, facts[f"s_{n}"] or 1.0
-            name = f"__num_{len(assembled)}"
-            pieces.append(f"(COALESCE({_numeric_sql(train, c)}, {fill[n]!r}D) - ({mean!r}D)) / {std!r}D AS {name}")
-            assembled.append(name)
-    modes = mode_fills(train, categorical)
+    for c, fill, mean, deviation in zip(numeric, facts.fills, facts.means, facts.deviations):
+        name = f"__num_{len(assembled)}"
+        pieces.append(f"(COALESCE({_numeric_sql(table, c)}, {fill!r}D) - ({mean!r}D)) / {deviation!r}D AS {name}")
+        assembled.append(name)
     indexed = []
     for i, c in enumerate(categorical):
         name = "`" + c.replace("`", "``") + "`"
-        pieces.append(f"COALESCE(CAST({name} AS STRING), {_quoted(modes.get(c, 'Unknown'))}) AS __cat_{i}")
+        pieces.append(f"COALESCE(CAST({name} AS STRING), {_quoted(facts.modes[c])}) AS __cat_{i}")
         indexed.append(f"__cat_{i}")
     stages = [SQLTransformer(statement=f"SELECT *, {', '.join(pieces)} FROM __THIS__")]
     if indexed:
         ids = [f"__idx_{i}" for i in range(len(indexed))]
         hot = [f"__hot_{i}" for i in range(len(indexed))]
-        indexer = StringIndexer(inputCols=indexed, outputCols=ids, handleInvalid="keep", stringOrderType="alphabetAsc")
-        ready = stages[0].transform(train)
-        model = indexer.fit(ready)
-        # "keep" adds a slot for unseen levels at the end, and dropping the last slot makes it all zeros
-        encoder = OneHotEncoder(inputCols=ids, outputCols=hot, dropLast=True).fit(model.transform(ready))
-        stages += [model, encoder]
+        stages += [StringIndexerModel.from_labels(facts.levels[c], t, i, handleInvalid="keep") for c, t, i in zip(categorical, indexed, ids)]
+        # "keep" adds a slot for unseen levels at the end, and dropping the last slot makes it all zeros; the sizes
+        # are known from the indexer, so no row is read
+        encoder = OneHotEncoder(inputCols=ids, outputCols=hot, dropLast=True)
+        stages.append(encoder.fit(PipelineModel(stages).transform(table)))
         assembled += hot
     stages.append(VectorAssembler(inputCols=assembled, outputCol="features"))
     return stages
 
 
+def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list:
+    """The stages of ``preprocessor``, with the facts of all rows of ``train``."""
+    facts = learn(train.withColumn("__label", F.lit(None).cast("double")), numeric, categorical)[0]
+    return preprocessor(train, numeric, categorical, facts)
+
+
 def feature_names(stages: Sequence, numeric: Sequence[str], categorical: Sequence[str]) -> list[tuple[str, str]]:
     """``(feature, source column)`` in the order of the feature vector."""
     names = [(c, c) for c in numeric]
-    if categorical:
-        for c, levels in zip(categorical, stages[1].labelsArray):
-            names += [(f"{c}_{v}", c) for v in levels]
-    return names
+    indexers = [s for s in stages if isinstance(s, StringIndexerModel)]
+    return names + [(f"{c}_{v}", c) for c, indexer in zip(categorical, indexers) for v in indexer.labels]
 
 
 # ---- estimators ----------------------------------------------------------------------------------
@@ -238,41 +319,39 @@ def _with_label(df: DataFrame, target: str, problem: str, classes: Sequence[str]
     if problem == "Regression":
         return df.withColumn("__label", q(target).cast("string").try_cast("double"))
     index = F.array_position(F.array(*[F.lit(c) for c in classes]), class_label(df, target)) - 1
-    return df.withColumn("__label", index.cast("double"))
+    return df.withColumn("__label", index.cast("double").alias("__label", metadata={"classes": len(classes)}))
 
 
-def _weighted(df: DataFrame, classes: int) -> DataFrame:
-    """Balanced class weights: rows / (classes x rows of the class)."""
-    sizes = {r["__label"]: r["n"] for r in df.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rows = sum(sizes.values())
-    table = F.create_map(*[v for k, n in sizes.items() for v in (F.lit(k), F.lit(rows / (len(sizes) * n)))])
-    return df.withColumn("__weight", table[F.col("__label")])
-
-
-def fit_model(train: DataFrame, target: str, features: Sequence[str], model: str, problem: str, classes: Sequence[str] = (), seed: int = 42, **params):
-    """``(fitted stages, source names)``: preprocessing and model fitted on ``train`` only."""
-    numeric, categorical = split_features(train, features)
-    labelled = _with_label(train.filter(q(target).isNotNull()), target, problem, classes)
-    stages = fit_preprocessor(labelled, numeric, categorical)
-    ready = PipelineModel(stages).transform(labelled)
+def _fit(rows: DataFrame, facts: Facts, features: Sequence[str], model: str, problem: str, classes: Sequence[str], seed: int, **params):
+    """``(fitted stages, source names)`` from labelled rows and their facts."""
+    numeric, categorical = split_features(rows, features)
+    stages = preprocessor(rows, numeric, categorical, facts)
+    ready = PipelineModel(stages).transform(rows)
     if problem == "Classification":
-        ready = _weighted(ready, len(classes)).select("features", "__label", "__weight")
+        # balanced class weights: rows / (classes x rows of the class)
+        known = sum(facts.label_rows.values())
+        weights = [F.when(F.col("__label") == k, known / (len(facts.label_rows) * n)) for k, n in facts.label_rows.items()]
+        ready = ready.select("features", "__label", F.coalesce(*weights).alias("__weight"))
+        estimator = make_classifier(model, len(classes), facts.rows, seed, **params)
     else:
         ready = ready.select("features", "__label")
+        estimator = make_regressor(model, facts.rows, facts.label_deviation or 1.0, seed, **params)
     # iterative fits read the rows many times; lost blocks are rebuilt from the plan
     ready = ready.persist()
     try:
-        rows = ready.count()
-        if problem == "Classification":
-            fitted = make_classifier(model, len(classes), rows, seed, **params).fit(ready)
-        else:
-            spread = ready.agg(F.stddev_pop("__label")).first()[0] or 1.0
-            fitted = make_regressor(model, rows, spread, seed, **params).fit(ready)
+        fitted = estimator.fit(ready)
     finally:
         ready.unpersist()
     return PipelineModel([*stages, _slim(fitted)]), feature_names(stages, numeric, categorical)
 
 
+def fit_model(train: DataFrame, target: str, features: Sequence[str], model: str, problem: str, classes: Sequence[str] = (), seed: int = 42, **params):
+    """``(fitted stages, source names)``: preprocessing and model fitted on ``train`` only."""
+    labelled = _with_label(train.filter(q(target).isNotNull()), target, problem, classes)
+    facts = learn(labelled, *split_features(labelled, features))[0]
+    return _fit(labelled, facts, features, model, problem, classes, seed, **params)
+
+
 def _slim(fitted):
     """The model without its training summary, which keeps the training rows' plan and the session.
 
@@ -293,7 +372,7 @@ def apply_model(pipe: PipelineModel, df: DataFrame, problem: str, classes: Seque
     if observed is not None:
         # the indexer gives levels it doesn't know the number after its last one
         indexers = [s for s in pipe.stages if isinstance(s, StringIndexerModel)]
-        levels = [(c, len(known)) for s in indexers for c, known in zip(s.getOutputCols(), s.labelsArray)]
+        levels = [(s.getOutputCol(), len(s.labels)) for s in indexers]
         unseen = [F.count_if(F.col(c) >= n).alias(f"unseen_{i}") for i, (c, n) in enumerate(levels)]
         out = out.observe(observed, F.count(F.lit(1)).alias("rows"), *unseen)
     if problem == "Classification":
@@ -333,28 +412,41 @@ def cross_validate(
     chronological: bool = False,
     stratify: bool = False,
     seed: int = 42,
+    parallel: int = PARALLEL_FITS,
     **params,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-fold metrics and the out-of-fold predictions; every fold refits preprocessing and model.
+    """Per-fold metrics and the out-of-fold predictions; every fold has preprocessing and model of its own.
 
-    ``train`` holds the fold numbers' source columns only; the hold-out rows are never seen.
+    ``train`` holds the fold numbers' source columns only; the hold-out rows are never seen. The rows are numbered
+    and kept once for all folds, what preprocessing learns of each fold's training rows is counted for all folds
+    together, and up to ``parallel`` fits run side by side. Predictions are written before the kept rows go.
     """
     if chronological:
         split = sp.add_time_folds(train, folds, key)
-        turns = [(i, F.col("fold") < i) for i in range(1, folds + 1)]
+        turns = [(i, set(range(i))) for i in range(1, folds + 1)]
     else:
         split = sp.add_folds(train, folds, key, seed, target if stratify else None)
-        turns = [(i, F.col("fold") != i) for i in range(folds)]
-    split = split.persist()
-    scored, rows = [], []
-    for i, fit_rows in turns:
-        pipe, _ = fit_model(split.filter(fit_rows).drop("fold"), target, features, model, problem, classes, seed, **params)
-        valid = apply_model(pipe, split.filter(F.col("fold") == i).drop("fold"), problem, classes)
-        label = class_label(split, target) if problem == "Classification" else q(target).cast("double")
-        valid = valid.select(*[q(k) for k in key], label.alias("label"), F.col("__pred").alias("prediction"), *([F.col("__proba").alias("proba")] if problem == "Classification" else []))
-        scored.append(valid.withColumn("fold", F.lit(i)))
-        measure = mx.classification_metrics(valid) if problem == "Classification" else mx.regression_metrics(valid)
-        rows.append(measure.withColumn("fold", F.lit(i)))
+        turns = [(i, set(range(folds)) - {i}) for i in range(folds)]
+    labelled = _with_label(split.filter(q(target).isNotNull()), target, problem, classes)
+    label = class_label(split, target) if problem == "Classification" else q(target).cast("double")
+    labelled = labelled.persist()
+
+    def one(turn: tuple[int, set[int]], facts: Facts) -> DataFrame:
+        i, learned = turn
+        pipe, _ = _fit(labelled.filter(F.col("fold").isin(sorted(learned))), facts, features, model, problem, classes, seed, **params)
+        valid = apply_model(pipe, labelled.filter(F.col("fold") == i), problem, classes)
+        proba = [F.col("__proba").alias("proba")] if problem == "Classification" else []
+        return materialize(valid.select(*[q(k) for k in key], label.alias("label"), F.col("__pred").alias("prediction"), *proba, F.lit(i).alias("fold")))
+
+    try:
+        facts = learn(labelled, *split_features(split, features), "fold", [t for _, t in turns])
+        run = inheritable_thread_target(train.sparkSession)(one)
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel, folds))) as pool:
+            scored = list(pool.map(run, turns, facts))
+    finally:
+        labelled.unpersist()
+    measure = mx.classification_metrics if problem == "Classification" else mx.regression_metrics
+    rows = [measure(valid).withColumn("fold", F.lit(i)) for (i, _), valid in zip(turns, scored)]
     return union_all(rows), union_all(scored)
 
 

@@ -320,7 +320,7 @@ def _(t):
 
 @query("m8_random_forest_scores")
 def _(t):
-    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Random Forest", "Classification", ["doc_id"], validate=False)
+    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Random Forest", "Classification", ["doc_id"])
     return _metric_rows(t, trained.scores)
 
 
@@ -332,7 +332,7 @@ def _(t):
 
 @query("m8_gradient_boosting_scores")
 def _(t):
-    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Gradient Boosting", "Classification", ["doc_id"], validate=False)
+    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Gradient Boosting", "Classification", ["doc_id"])
     return _metric_rows(t, trained.scores)
 
 
@@ -346,13 +346,13 @@ def _(t):
 
 @query("m9_random_forest_scores")
 def _(t):
-    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Random Forest", "Regression", ["o_orderkey"], validate=False)
+    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Random Forest", "Regression", ["o_orderkey"])
     return _metric_rows(t, trained.scores)
 
 
 @query("m9_gradient_boosting_scores")
 def _(t):
-    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Gradient Boosting", "Regression", ["o_orderkey"], validate=False)
+    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Gradient Boosting", "Regression", ["o_orderkey"])
     return _metric_rows(t, trained.scores)
 
 
@@ -366,6 +366,21 @@ def _(t):
     return ml.apply_model(pipe, t.orders, "Regression", []).select("o_orderkey", F.col("__pred").alias("prediction"))
 
 
+# the same line per fold: fitted on the other folds of the training rows, judged on its own
+_LINE_FOLDS = f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY {hash_sql(42, 'o_orderkey')}, {hash_sql(43, 'o_orderkey')}) - 1 AS p, ceil(count(*) OVER () * 0.2) AS cut FROM orders),
+r AS (SELECT o_custkey AS x, o_totalprice AS y, row_number() OVER (ORDER BY p) - 1 AS pos, count(*) OVER () AS n FROM s WHERE p >= cut),
+f AS (SELECT x, y, list_sum(list_transform(range(1, 5), lambda i: (pos >= (n * i) // 5)::INT)) AS fold FROM r),
+k AS (SELECT unnest(range(5)) AS fold),
+w AS (SELECT k.fold, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM k JOIN f ON f.fold <> k.fold GROUP BY 1),
+e AS (SELECT fold, count(*) AS n, avg(abs(y - a * x - b)) AS mae, avg(pow(y - a * x - b, 2)) AS mse, var_pop(y) AS v FROM f JOIN w USING (fold) GROUP BY 1)
+;;SELECT fold, n AS "rows", 1 - mse / v AS r2, mae, mse, sqrt(mse) AS rmse FROM e"""
+
+
+@query("m15_line_per_fold", sql(_LINE_FOLDS, "r2 mae mse rmse", 'fold "rows"', digits=2), digits=2)
+def _(t):
+    return ml.train_model(t.orders, "o_totalprice", ["o_custkey"], "Linear Regression", "Regression", ["o_orderkey"]).folds
+
+
 @query("m15_cross_validation")
 def _(t):
     trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Linear Regression", "Regression", ["o_orderkey"])
@@ -379,7 +394,7 @@ def _(t):
 
 @query("m19_feature_importance")
 def _(t):
-    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Random Forest", "Classification", ["doc_id"], validate=False)
+    trained = ml.train_model(_documents(t), "quality", _FEATURES, "Random Forest", "Classification", ["doc_id"])
     return ml.grouped_importances(trained.importances)
 
 
