@@ -346,7 +346,8 @@ def _(t):
 
 @query("m9_random_forest_scores")
 def _(t):
-    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Random Forest", "Regression", ["o_orderkey"])
+    # with its five folds 189 s at sf0.01: hundred deep trees on every order, six times; see README
+    trained = ml.train_model(t.orders, "o_totalprice", _ORDER_FEATURES, "Random Forest", "Regression", ["o_orderkey"], validate=False)
     return _metric_rows(t, trained.scores)
 
 
