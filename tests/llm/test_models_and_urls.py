@@ -190,8 +190,85 @@ def test_impure_templates_are_rejected(spark):
     assert by_page[0] == "/news/<*>" and by_page[1] == "/casino/<*>.html" and by_page[2] == "/*"
 
 
+def shares(spark, known):
+    return {(r["host"], "/".join(r["segments"])): (r["template"], r["bad_share"]) for r in url_templates.templates(examples(spark, known)).collect()}
+
+
 def test_similar_branches_merge(spark):
     known = [("h.io", f"/{lang}/{k}", int(k % 5 == 0)) for lang in ("en", "de", "fr") for k in range(100)]
-    known += [("h.io", f"/spam/{k}", 1) for k in range(100)]
-    tree = {r["s0"]: (r["template"], r["bad_share"]) for r in url_templates.templates(examples(spark, known)).collect()}
-    assert tree["spam"][1] > 0.9 and all(tree[x][1] < 0.3 for x in ("en", "de", "fr"))
+    known += [("h.io", f"/{name}/{k}", 1) for name in ("spam", "scam") for k in range(100)]
+    tree = shares(spark, known)
+    assert all(tree["h.io", f"{x}/<*>"][1] < 0.3 for x in ("en", "de", "fr"))
+    # both are worse than their parent, and alike
+    assert tree["h.io", "spam/<*>"] == tree["h.io", "scam/<*>"] and tree["h.io", "spam/<*>"][0] == "/(+)/<*>" and tree["h.io", "spam/<*>"][1] > 0.95
+
+
+def test_deep_paths_are_told_apart(spark):
+    known = [("h.io", f"/x/y/z/{kind}/more/{k}", int(kind == "bad")) for kind in ("bad", "good") for k in range(200)]
+    urls = [f"http://h.io/x/y/z/{kind}/more/{k}" for kind in ("bad", "good") for k in range(3)] + ["http://h.io" + "/deep" * 12]
+    rows = url_templates.judge_urls(pages(spark, urls), examples(spark, [*known, ("h.io", "/deep" * 12, None), ("h.io", "/deep" * 11, 0)])).collect()
+    assert [r["verdict"] for r in sorted(rows, key=lambda r: r["page_id"])] == ["block"] * 3 + ["allow"] * 4
+
+
+def plain_tree(known):
+    """Host and shaped path to template, for paths of words and numbers only."""
+    table = {}
+    for host, path, bad in known:
+        key = host or "", tuple("<*>" if x.isdigit() else x for x in (path or "").split("/") if x)
+        n = table.setdefault(key, [0, 0, 0])
+        n[0] += 1
+        n[1] += bad is not None
+        n[2] += bad or 0
+
+    def differs(own, whole):
+        share = (whole[2] + 1) / (whole[1] + 2)
+        return abs(own[2] - share * own[1]) > url_templates.DEVIATIONS * math.sqrt(share * (1 - share) * own[1])
+
+    total = lambda keys: [sum(table[k][i] for k in keys) for i in range(3)]
+    out = {}
+
+    def grow(keys, level, template):
+        deeper = {}
+        for k in keys:
+            if len(k[1]) > level:
+                deeper.setdefault(k[1][level], []).append(k)
+            else:
+                out[k] = template
+        below = [k for own in deeper.values() for k in own]
+        whole = total(below)
+        if below and (len(below) == 1 or not whole[1]):
+            for k in below:
+                out[k] = template + "/" + ("/".join(k[1][level:]) if len(below) == 1 else "<**>")
+            return
+        sums = {s: total(own) for s, own in deeper.items()}
+        alone = {
+            s for s, own in sums.items()
+            if not s.startswith("<*") and not (len(sums) > url_templates.CHILDREN and own[0] * len(sums) <= whole[0]) and differs(own, whole)
+        }
+        worse = {s: own[2] * whole[1] > whole[2] * own[1] for s, own in sums.items()}
+        branches = {}
+        for s, own in deeper.items():
+            kin = [x for x in alone if worse[x] == worse[s]]
+            name = s if s.startswith("<*") or s in alone else "*"
+            if s in alone and len(kin) > 1 and not differs(sums[s], total([k for x in kin for k in deeper[x]])):
+                name = "(+)" if worse[s] else "(-)"
+            branches.setdefault(name, []).extend(own)
+        for name, own in branches.items():
+            grow(own, level + 1, f"{template}/{name}")
+
+    for host in {k[0] for k in table}:
+        grow([k for k in table if k[0] == host], 0, "")
+    return out
+
+
+def test_tree_equals_a_plain_version(spark):
+    rng, known = random.Random(11), []
+    for _ in range(3000):
+        host, deep = rng.choice(["a.io", "b.io"]), rng.randrange(0, 6)
+        path = [rng.choice(["en", "de", "shop", "spam", "blog", *(f"t{k}" for k in range(30) if level == 1)]) if rng.random() < 0.8 else str(rng.randrange(99)) for level in range(deep)]
+        chance = 0.9 if "spam" in path[:3] else 0.6 if "shop" in path[:2] else 0.1
+        known.append((host, "/" + "/".join(path), None if rng.random() < 0.4 else int(rng.random() < chance)))
+    known += [(None, None, None), ("c.io", "/en/1", None), ("c.io", "/en/x/y", None)]
+    tree = shares(spark, known)
+    want = {(h, "/".join(p)): t for (h, p), t in plain_tree(known).items()}
+    assert {k: t for k, (t, _) in tree.items()} == want and len(set(want.values())) > 30
