@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -246,29 +246,61 @@ def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
     Identical rows are counted first. Each column's ranks come from its distinct values by running
     totals over value ranges and go back to the rows by a join in which heavy values are spread out.
-    Pairs with missing cells are ranked again on their own complete rows.
+    A pair with missing cells is ranked on its own complete rows. Columns that miss the same rows are
+    ranked together, so columns with ``g`` patterns of gaps take ``g`` runs, and one more for each two
+    patterns, however many the columns are.
     """
     columns = list(columns or numeric_columns(df))
-    gaps = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(number(df, c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    rows = gaps["rows"]
-    whole = [c for i, c in enumerate(columns) if gaps[f"n{i}"] == rows]
-    frames = []
-    if len(whole) > 1:
-        frames.append(_spearman_complete(df, whole, rows))
-    for a, b in combinations(columns, 2):
-        if a in whole and b in whole:
-            continue
-        both = df.select(number(df, a).alias(a), number(df, b).alias(b)).dropna()
-        frames.append(_spearman_complete(both, [a, b], rows))
+    rows, groups = _gap_patterns(df, columns)
+    whole = next((g for g in groups if not g[0]), (0, []))[1]
+    gapped = [cols for missing, cols in groups if missing]
+    runs = [(whole, list(combinations(whole, 2)))]
+    for own in gapped:
+        runs.append(([*whole, *own], [*combinations(own, 2), *product(whole, own)]))
+    for one, other in combinations(gapped, 2):
+        runs.append(([*one, *other], list(product(one, other))))
     place = {c: i for i, c in enumerate(columns)}
+    frames = []
+    for used, pairs in runs:
+        if pairs:
+            values = df.select(*[number(df, c).alias(c) for c in used])
+            complete = values if used is whole else values.dropna()
+            frames.append(_spearman_complete(complete, used, rows, [tuple(sorted(p, key=place.__getitem__)) for p in pairs]))
     index = F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(i))])
     out = union_all(frames)
     return out.select("feature_a", "feature_b", index[F.col("feature_a")].alias("i"), index[F.col("feature_b")].alias("j"), "n", "r")
 
 
-def _spearman_complete(df: DataFrame, columns: Sequence[str], rows: int) -> DataFrame:
-    """Spearman of columns without gaps."""
+def _gap_patterns(df: DataFrame, columns: Sequence[str]) -> tuple[int, list[tuple[int, list[str]]]]:
+    """Row count, and the columns in groups that miss exactly the same rows, each with how many these are.
+
+    Equal sums over the 64-bit hashes of the rows that a column misses stand for equal rows; equal rows
+    miss the same columns, so repeats don't matter. One aggregate for all columns.
+    """
+    ids = [f"x{i}" for i in range(len(columns))]
+    wide = df.select(*[number(df, c).alias(x) for c, x in zip(columns, ids)])
+    wide = wide.withColumn("mark", F.xxhash64(*ids, *[F.col(x).isNull() for x in ids]))
+    entries = [
+        e
+        for x in ids
+        for e in (
+            F.count_if(F.col(x).isNull()).alias(f"n_{x}"),
+            F.sum(F.when(F.col(x).isNull(), F.col("mark").cast("decimal(20)"))).alias(f"s_{x}"),
+            F.bit_xor(F.when(F.col(x).isNull(), F.xxhash64("mark", F.lit(1)))).alias(f"b_{x}"),
+        )
+    ]
+    facts = wide.agg(F.count(F.lit(1)).alias("rows"), *entries).first()
+    groups: dict[tuple, list[str]] = {}
+    for c, x in zip(columns, ids):
+        groups.setdefault((facts[f"n_{x}"], facts[f"s_{x}"], facts[f"b_{x}"]), []).append(c)
+    return facts["rows"], [(key[0], own) for key, own in groups.items()]
+
+
+def _spearman_complete(df: DataFrame, columns: Sequence[str], rows: int, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Spearman of the wanted pairs of columns without gaps."""
     ids = [f"x{i}" for i in range(len(columns))]
+    name = dict(zip(columns, ids))
+    wanted = [(name[a], name[b]) for a, b in pairs]
     kinds = df.select(*[number(df, c).alias(x) for c, x in zip(columns, ids)]).groupBy(*ids).agg(F.count(F.lit(1)).alias("__w"))
     ranked = kinds
     small = rows <= task_rows(df)
@@ -286,11 +318,10 @@ def _spearman_complete(df: DataFrame, columns: Sequence[str], rows: int) -> Data
     stats = ranked.agg(
         n.alias("n"),
         *[F.sum(F.col("__w") * F.col(f"r_{x}")).alias(f"s_{x}") for x in ids],
-        *[F.sum(F.col("__w") * F.col(f"r_{a}") * F.col(f"r_{b}")).alias(f"p_{a}_{b}") for a in ids for b in ids if a <= b],
+        *[F.sum(F.col("__w") * F.col(f"r_{a}") * F.col(f"r_{b}")).alias(f"p_{a}_{b}") for a, b in dict.fromkeys([*((x, x) for x in ids), *wanted])],
     )
     rows_out = []
-    for (i, a), (j, b) in combinations(enumerate(columns), 2):
-        xa, xb = ids[i], ids[j]
+    for (a, b), (xa, xb) in zip(pairs, wanted):
         cov = F.col(f"p_{xa}_{xb}") - F.col(f"s_{xa}") * F.col(f"s_{xb}") / F.col("n")
         va = F.col(f"p_{xa}_{xa}") - F.col(f"s_{xa}") * F.col(f"s_{xa}") / F.col("n")
         vb = F.col(f"p_{xb}_{xb}") - F.col(f"s_{xb}") * F.col(f"s_{xb}") / F.col("n")

@@ -157,6 +157,21 @@ def _(t):
     return st.spearman_pairs(t.dirty_customer())
 
 
+_HOLED = [("l_extendedprice", "l_linenumber < 5"), ("l_discount", "l_linenumber < 5"), ("l_tax", "l_linenumber < 5"), ("l_suppkey", "l_linenumber < 5"),
+          ("l_orderkey", "l_quantity >= 11"), ("l_partkey", "l_quantity >= 11"), ("l_linenumber", "l_quantity >= 11"), ("price_2", "l_quantity >= 11"),
+          ("tax_2", "l_tax > 0"), ("net", "l_tax > 0"), ("l_quantity", "true")]
+_HOLED_NAMES = {"price_2": "l_extendedprice", "tax_2": "l_tax", "net": "l_extendedprice * (1 - l_discount)"}
+_HOLED_SQL = ", ".join(f"CASE WHEN {when} THEN CAST({_HOLED_NAMES.get(c, c)} AS DOUBLE) END AS {c}" for c, when in _HOLED)
+
+
+@query(
+    "t6_spearman_many_gaps",
+    sql(_spearman_sql("holed", tuple(c for c, _ in _HOLED), f"WITH holed AS (SELECT {_HOLED_SQL} FROM lineitem);;"), "r", "i j n"),
+)
+def _(t):
+    return st.spearman_pairs(t.lineitem.selectExpr(*_HOLED_SQL.split(", ")))
+
+
 @query(
     "t7_strongest_pairs",
     sql(
