@@ -88,6 +88,17 @@ def value_of(df: DataFrame, name: str) -> Column:
     return q(name)
 
 
+def orderable(df: DataFrame, name: str) -> Column:
+    """The cell as a value that sorts like it and survives the way to the driver and back: times are microseconds.
+
+    Nested cells sort by their JSON text.
+    """
+    kind = field_type(df, name)
+    if is_temporal(kind):
+        return F.unix_micros(q(name).cast("timestamp"))
+    return value_of(df, name) if name in nested_columns(df) else q(name)
+
+
 def _ordered_maps(col: Column, kind: T.DataType) -> Column:
     """Rebuild a nested value with the keys of every map in it sorted."""
     if isinstance(kind, T.MapType):

@@ -5,8 +5,9 @@ Two building blocks serve every operator that needs order:
 * *cells* - a column is cut into cells of similar size. Totals per cell show which cells hold the
   wanted ranks, and only rows of those cells are shuffled and sorted. Where the cuts lie is estimated
   from a sample; the answer is exact whatever the estimate.
-* *ranges* - rows are range partitioned on the full sort key (so one hot value spreads out), written
-  to the shared folder once, and worked on range by range with carried totals.
+* *ranges* - rows get the number of the piece of the full sort key they fall into (so one hot value
+  spreads out), and are worked on range by range with carried totals. Pieces are told by cut keys from a
+  sample, compared as typed values, so a row's piece never changes and nothing has to be stored.
 
 Inputs that one task can order by itself (``plumbline.task.rows``, default one million rows, compared
 with a real count) take the plain single-window plan.
@@ -22,12 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from plumbline.functions.exprs import any_of, number, q
+from plumbline.functions.exprs import any_of, nested_columns, number, orderable, q
+from plumbline.functions.wide import spread_lookup
 from plumbline.session import materialize
 
 TASK_ROWS = "plumbline.task.rows"
 CELL_ROWS = "plumbline.cell.rows"
-MAX_RANGES = 50_000
+MAX_RANGES = 20_000
+# sampled keys for each piece of a sort order
+KEYS_PER_PIECE = 50
 MAX_CELLS = 20_000
 SMALL_ROWS = 20_000
 # rows of a few numbers each that may be sent to every task
@@ -320,6 +324,52 @@ def quantiles(
     return out
 
 
+def _key(df: DataFrame, order: Sequence[str]) -> Column:
+    return F.struct(*[orderable(df, c).alias(f"s{i}") for i, c in enumerate(order)])
+
+
+def _key_literal(df: DataFrame, order: Sequence[str], values: Sequence) -> Column:
+    kinds = df.select(_key(df, order).alias("k")).schema["k"].dataType
+    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(values, kinds, strict=True)])
+
+
+def splitters(df: DataFrame, order: Sequence[str], parts: int, rows: int) -> list[tuple]:
+    """At most ``parts - 1`` distinct keys, ascending, that cut the sort order into similar pieces.
+
+    They come from a seeded sample of bounded size and only decide where pieces begin.
+    """
+    keys = df.select(_key(df, order).alias("k"))
+    share = KEYS_PER_PIECE * parts / max(1, rows)
+    few = keys.sample(fraction=share, seed=11) if share < 1.0 else keys
+    tile = F.ntile(parts).over(Window.orderBy("k"))
+    firsts = few.select("k", tile.alias("tile")).groupBy("tile").agg(F.min("k").alias("k")).filter("tile > 1")
+    found = [tuple(r["k"]) for r in firsts.select("k").distinct().orderBy("k").collect()]
+    return found or [tuple(r["k"]) for r in keys.limit(1).collect()]
+
+
+def piece_of(df: DataFrame, order: Sequence[str], cuts: Sequence[tuple]) -> Column:
+    """The piece of the sort order a row falls into: ``2 i`` between cuts, ``2 i - 1`` for the ``i``-th cut itself.
+
+    A binary search in a constant array, so a thousand cuts cost ten comparisons a row.
+    """
+    if not cuts:
+        return F.lit(0)
+    edges = F.array(*[_key_literal(df, order, c) for c in cuts])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+
+    def search(key):
+        def step(low, width):
+            return F.when(F.get(edges, low + width - 1) <= key, low + width).otherwise(low)
+
+        def number_of(low):
+            return low * 2 - F.coalesce((F.get(edges, low - 1) == key).cast("int"), F.lit(0))
+
+        return F.aggregate(steps, F.lit(0), step, number_of)
+
+    # bound to a variable, so that the key is made once a row
+    return F.get(F.transform(F.array(_key(df, order)), search), F.lit(0))
+
+
 def split_ranges(df: DataFrame, order: Sequence[str], rows: int) -> tuple[DataFrame, bool]:
     """Add ``__range``: consecutive pieces of the sort order, each fit for one task.
 
@@ -328,8 +378,9 @@ def split_ranges(df: DataFrame, order: Sequence[str], rows: int) -> tuple[DataFr
     parts = parts_for(df, rows)
     if parts == 1:
         return df.withColumn("__range", F.lit(0)), False
-    ranged = df.repartitionByRange(parts, *[q(c) for c in order]).withColumn("__range", F.spark_partition_id())
-    return materialize(ranged), True
+    if nested := [c for c in order if c in nested_columns(df)]:
+        raise ValueError(f"rows cannot be put in order by nested columns: {', '.join(nested)}")
+    return df.withColumn("__range", piece_of(df, order, splitters(df, order, parts, rows))), True
 
 
 def running_totals(
@@ -365,66 +416,81 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int
     return out.select(*[q(c) for c in df.columns], (F.col("__one_upto") - 1).alias(name))
 
 
-def first_k_by(df: DataFrame, group: str | None, order: Sequence[str], want: dict, have: dict) -> Column:
-    """A condition true for exactly the first ``want[g]`` rows of each group in the order of number columns.
+def cuts_by_group(df: DataFrame, group: str, order: Sequence[str], wanted: DataFrame, rows: int) -> DataFrame:
+    """``(group, label, cut)``: the key of the ``k``-th row of each group, for ``wanted`` of ``(group, label, k)``.
 
-    Found as cut values column by column, so the rows themselves are neither sorted nor shuffled. Later
-    order columns are only looked at where earlier ones leave ties.
+    Only group and order columns move, and the result has one row per wanted row with ``1 <= k <=`` the group's size,
+    so neither the number of groups nor a hot group matters. Raises where a cut has a tie on both its sides.
     """
-    by = [] if group is None else [group]
-    label = F.lit("all") if group is None else q(group).cast("string")
-    full = [g for g in have if want.get(g, 0) >= have[g]]
-    live = {g: want.get(g, 0) for g in have if 0 < want.get(g, 0) < have[g]}
-    result = F.coalesce(label.isin(full), F.lit(False)) if full else F.lit(False)
-    if not live:
-        return result
-    size = sum(have[g] for g in live)
-    same = F.coalesce(label.isin(list(live)), F.lit(False))
-    for name in order:
-        ties = df.filter(same)
-        need = F.create_map(*[v for g, k in live.items() for v in (F.lit(g), F.lit(k - 1).cast("long"))])
-
-        def rank(n, need=need):
-            return F.try_element_at(need, F.lit("all") if group is None else q(group).cast("string"))
-
-        found = order_statistics(ties, [name], [("cut", rank)], by, rows=size).collect()
-        cuts = {("all" if group is None else str(r[group])): float(r["value"]) for r in found}
-        cut = F.try_element_at(F.create_map(*[v for g, c in cuts.items() for v in (F.lit(g), F.lit(c))]), label)
-        x = number(df, name)
-        sums = ties.groupBy(label.alias("g")).agg(F.count_if(x < cut).alias("below"), F.count_if(x == cut).alias("equal")).collect()
-        result = result | (same & (x < cut))
-        left = {r["g"]: (live[r["g"]] - r["below"], r["equal"]) for r in sums}
-        done = [g for g, (k, n) in left.items() if k == n]
-        if done:
-            result = result | (same & label.isin(done) & (x == cut))
-        live = {g: k for g, (k, n) in left.items() if k < n}
-        if not live:
-            return F.coalesce(result, F.lit(False))
-        size = sum(left[g][1] for g in live)
-        same = same & label.isin(list(live)) & (x == cut)
-    raise ValueError("the order does not tell all rows apart; add a unique key column")
+    g, names = q(group).cast("string"), [f"__o{i}" for i in range(len(order))]
+    slim = df.select(g.alias("__g"), *[orderable(df, c).alias(n) for c, n in zip(order, names, strict=True)]).filter("__g IS NOT NULL")
+    placed = numbered(slim, ["__g"], names, rows)
+    cut = F.struct(*[q(n).alias(f"s{i}") for i, n in enumerate(names)]).alias("cut")
+    asked = wanted.select(F.col("group").alias("__g"), "label", F.col("k").cast("long").alias("k"))
+    edge = asked.select("__g", "label", "k", F.explode(F.array(F.col("k") - 1, F.col("k"))).alias("__pos"))
+    few = edge.count() <= BROADCAST_ROWS
+    met = placed.join(F.broadcast(edge) if few else edge, ["__g", "__pos"]).select("__g", "label", (F.col("__pos") < F.col("k")).alias("last"), cut)
+    both = met.groupBy("__g", "label").agg(F.max_by("cut", F.when(F.col("last"), 1)).alias("cut"), F.max_by("cut", F.when(~F.col("last"), 1)).alias("next"))
+    clear = F.assert_true(~F.coalesce(F.col("cut") == F.col("next"), F.lit(False)), F.lit("the order does not tell all rows apart; add a unique key column"))
+    return both.filter("cut IS NOT NULL").select(F.col("__g").alias("group"), "label", F.when(clear.isNull(), F.col("cut")).alias("cut"))
+
+
+def within_cuts(df: DataFrame, group: str, order: Sequence[str], cuts: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Rows with the cuts of their group, and a function from a label to "the row lies at or before that cut".
+
+    The rows only move where there are more groups than one broadcast may hold; heavy groups are spread then.
+    """
+    g = "__cut_group"
+    table = cuts.groupBy(F.col("group").alias(g)).agg(F.map_from_entries(F.collect_list(F.struct("label", "cut"))).alias("__cuts"))
+    table = materialize(table)
+    rows = df.withColumn(g, q(group).cast("string"))
+    if table.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(table), g, "left")
+    else:
+        few = rows.select(g).sample(fraction=min(1.0, SAMPLE_ROWS / max(1, df.count())), seed=19).groupBy(g).count()
+        heavy = [r[g] for r in few.filter(F.col("count") > SAMPLE_ROWS / 200).collect() if r[g] is not None]
+        joined = spread_lookup(rows, g, table, heavy, F.xxhash64(*[q(c) for c in order]))
+    key = _key(df, order)
+    return joined.drop(g), lambda label: F.coalesce(key <= F.try_element_at("__cuts", F.lit(label)), F.lit(False))
+
+
+def order_cuts(df: DataFrame, order: Sequence[str], ranks: Sequence[int], rows: int) -> dict[int, tuple[tuple, int]]:
+    """For each 0-based rank of the sort order: the key found there, and how many rows have it or a smaller one.
+
+    Keys are compared as typed values of any length, never turned into numbers. Pieces of the order are counted, and
+    only pieces with a wanted rank are cut again, until one task can order what is left.
+    """
+    if not ranks:
+        return {}
+    if rows <= task_rows(df):
+        counts = df.groupBy(_key(df, order).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+        spots = counts.withColumn("upto", upto).withColumn("rank", F.explode(F.array(*[F.lit(r).cast("long") for r in ranks])))
+        hits = spots.filter((F.col("rank") >= F.col("upto") - F.col("n")) & (F.col("rank") < F.col("upto"))).collect()
+        return {r["rank"]: (tuple(r["k"]), r["upto"]) for r in hits}
+    cuts = splitters(df, order, min(1000, max(2, cells_for(df, rows))), rows)
+    pieces = df.withColumn("__piece", piece_of(df, order, cuts))
+    sizes = sorted((r["__piece"], r["n"]) for r in pieces.groupBy("__piece").agg(F.count(F.lit(1)).alias("n")).collect())
+    found, before = {}, 0
+    for piece, n in sizes:
+        inside = [r for r in ranks if before <= r < before + n]
+        if piece % 2:
+            found.update({r: (cuts[piece // 2], before + n) for r in inside})
+        elif inside:
+            part = pieces.filter(F.col("__piece") == piece).drop("__piece")
+            deeper = order_cuts(part, order, [r - before for r in inside], n)
+            found.update({r + before: (key, upto + before) for r, (key, upto) in deeper.items()})
+        before += n
+    return found
 
 
 def first_ks(df: DataFrame, order: Sequence[str], wanted: Sequence[int], rows: int | None = None) -> list[Column]:
-    """For each ``k``: a condition true for exactly the first ``k`` rows of the table."""
+    """For each ``k``: a condition true for exactly the first ``k`` rows of the table, nulls first."""
     rows = df.count() if rows is None else rows
-    inner = sorted({k for k in wanted if 0 < k < rows})
-    done: dict[int, Column] = {}
-    if inner:
-        # all cuts on the leading column at once; only cuts that fall among ties look further
-        name = order[0]
-        ranks = [(str(k), lambda n, k=k: F.lit(k - 1)) for k in inner]
-        cuts = {int(r["label"]): float(r["value"]) for r in order_statistics(df, [name], ranks, rows=rows).collect()}
-        x = number(df, name)
-        upto = df.agg(*[F.count_if(x <= F.lit(cuts[k])).alias(str(k)) for k in inner]).first()
-        done = {k: F.coalesce(x <= F.lit(cuts[k]), F.lit(False)) for k in inner if upto[str(k)] == k}
-    out = []
-    for k in wanted:
-        if k <= 0 or k >= rows:
-            out.append(F.lit(k > 0))
-        else:
-            out.append(done[k] if k in done else first_k_by(df, None, order, {"all": k}, {"all": rows}))
-    return out
+    cuts = order_cuts(df, order, sorted({k - 1 for k in wanted if 0 < k < rows}), rows)
+    if any(upto != rank + 1 for rank, (_, upto) in cuts.items()):
+        raise ValueError("the order does not tell all rows apart; add a unique key column")
+    return [_key(df, order) <= _key_literal(df, order, cuts[k - 1][0]) if 0 < k < rows else F.lit(k > 0) for k in wanted]
 
 
 def first_k(df: DataFrame, order: Sequence[str], k: int, rows: int | None = None) -> Column:

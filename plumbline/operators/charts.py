@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from plumbline.functions.exprs import field_type, finite, is_temporal, nested_columns, number, q, text_columns, value_of
-from plumbline.functions.ranges import join_null_safe, numbered, quantile_table
+from plumbline.functions.ranges import BROADCAST_ROWS, join_null_safe, numbered, quantile_table
 from plumbline.functions.wide import union_all
 from plumbline.operators.select import as_time, date_like_columns
 from plumbline.operators.stats import full_matrix, pearson_pairs, widest_columns
@@ -189,42 +189,49 @@ def downsample(
 ) -> DataFrame:
     """Min-max envelope of a series: per bucket of equal row count its first, last, lowest and highest row.
 
-    ``key`` tells rows of equal ``x`` apart. Each hue gets its share of the points.
+    ``key`` tells rows of equal ``x`` apart; rows that also agree there come in the order of a hash of the row. Each
+    hue gets its share of the points. Only hue, order, level and two hashes of each row are sorted; the rows of the
+    chosen points (at most ``max_points``, or four a hue) are then picked where they are.
     """
     rows = df.count() if rows is None else rows
     if rows <= max_points:
         return df
-    base = df.withColumn("__t", time_order(df, x))
-    keys = [hue] if hue else []
     if hue:
-        base = base.filter(q(hue).isNotNull())
-        sizes = base.groupBy(q(hue)).agg(F.count(F.lit(1)).alias("__n"))
+        df = df.filter(q(hue).isNotNull())
+        sizes = df.groupBy(q(hue).alias("g")).agg(F.count(F.lit(1)).alias("n"))
         hues = sizes.count()
         if hues == 0:
-            return downsample(df, x, y, max_points, None, key, rows)
+            return downsample(df, x, y, max_points, None, key, 0)
         target = max(4, max_points // hues)
     else:
         sizes, hues, target = None, 1, max_points
-    placed = numbered(base, keys, ["__t", *key], rows)
+    cells = [q(f.name) for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    marks = {"__a": F.xxhash64(*cells), "__b": F.xxhash64(F.lit(1), *cells)}
+    level = F.coalesce(number(df, y), F.lit(0.0)).alias("level")
+    keys = [f"k{i}" for i in range(len(key))]
+    slim = df.select(
+        *([q(hue).alias("g")] if hue else []), time_order(df, x).alias("t"), *[q(c).alias(n) for c, n in zip(key, keys, strict=True)], level, *[m.alias(n) for n, m in marks.items()]
+    )
+    placed = numbered(slim, ["g"] if hue else [], ["t", *keys, *marks], rows)
     if hue:
-        small = F.broadcast(sizes) if hues <= 100_000 else sizes
-        placed = placed.join(small, hue)
+        placed = placed.join(F.broadcast(sizes) if hues <= 100_000 else sizes, "g")
     else:
-        placed = placed.withColumn("__n", F.lit(rows))
+        placed = placed.withColumn("n", F.lit(rows))
     buckets = max(1, target // 4)
-    pos, n = F.col("__pos"), F.col("__n")
-    whole = n <= target
-    bucket = F.when(whole, pos).otherwise(F.floor(((pos + 1) * buckets - 1) / n))
-    level = F.coalesce(number(placed, y), F.lit(0.0))
-    row = F.struct("__pos", *[q(c) for c in df.columns])
-    picked = placed.groupBy(*[q(k).alias(f"__g_{k}") for k in keys], bucket.alias("__b")).agg(
-        F.array_distinct(
-            F.array(
-                F.min_by(row, pos), F.max_by(row, pos), F.min_by(row, F.struct(level, pos)), F.max_by(row, F.struct(level, -pos))
-            )
-        ).alias("__rows")
+    pos, n = F.col("__pos"), F.col("n")
+    bucket = F.when(n <= target, pos).otherwise(F.floor(((pos + 1) * buckets - 1) / n))
+    row = F.struct("__pos", *marks)
+    ends = F.array(
+        F.min_by(row, pos), F.max_by(row, pos), F.min_by(row, F.struct("level", pos)), F.max_by(row, F.struct(F.col("level"), -pos))
     )
-    return picked.select(F.inline("__rows")).drop("__pos")
+    points = placed.groupBy(*(["g"] if hue else []), bucket.alias("bucket")).agg(F.array_distinct(ends).alias("rows"))
+    points = points.select(F.inline("rows")).groupBy(*marks).agg(F.count(F.lit(1)).alias("__copies"))
+    few = max(max_points, 4 * hues) <= BROADCAST_ROWS
+    met = df.withColumns(marks).join(F.broadcast(points) if few else points, list(marks))
+    # equal rows are interchangeable: as many of them as were chosen
+    whole = F.struct(*[q(c) for c in df.columns])
+    kept = met.groupBy(*marks).agg(F.first(whole).alias("row"), F.first("__copies").alias("copies"))
+    return kept.select(F.inline(F.array_repeat("row", F.col("copies").cast("int"))))
 
 
 def correlation_heatmap(df: DataFrame, most: int = HEATMAP_COLUMNS, columns: Sequence[str] | None = None) -> DataFrame:

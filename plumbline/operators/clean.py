@@ -11,6 +11,7 @@ from pyspark.sql import Window
 
 from plumbline.functions.exprs import (
     all_of,
+    any_of,
     datetime_columns,
     field_type,
     finite,
@@ -26,6 +27,8 @@ from plumbline.operators.profile import hygiene_index
 
 NUMERIC_STRATEGIES = ("mean", "median", "zero")
 CATEGORICAL_STRATEGIES = ("mode", "unknown")
+# found values that may be sent to every task
+CARRY_BYTES = 64 << 20
 DATETIME_STRATEGIES = ("ffill", "ffill_bfill", "none")
 
 
@@ -131,41 +134,75 @@ def forward_fill(
 ) -> DataFrame:
     """Carry the last value forward in row order (then the next one back with ``back``).
 
-    Large tables are worked on in ranges of the row order; only the last and first value of each range
-    travel between them, so neither a missing nor a hot ``within`` key puts everything on one task.
+    Only key, order and the filled columns are sorted, in ranges of the row order; the last and first value of each
+    range travel between them, so neither a missing nor a hot ``within`` key puts everything on one task. What was
+    found for rows with gaps then goes to these rows: sent to where they are if it is at most ``CARRY_BYTES``, else
+    joined with them; rows without gaps stay. Rows of equal key and order share what any of them knows, so the order
+    should tell rows apart.
     """
-    rows = df.count() if rows is None else rows
-    ranged, split = split_ranges(df, [*within, *order_by], rows)
-    keys = [q(k) for k in within]
-    inside = Window.partitionBy(*keys, "__range").orderBy(*[q(c) for c in order_by])
-    past = inside.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = inside.rowsBetween(0, Window.unboundedFollowing)
-    filled = ranged.withColumns({c: F.last(q(c), ignorenulls=True).over(past) for c in columns})
+    gap = any_of([q(c).isNull() for c in columns])
+    texts = [c for c in columns if isinstance(field_type(df, c), (T.StringType, T.BinaryType))]
+    keys = [q(k).alias(f"k{i}") for i, k in enumerate(within)]
+    order = [q(o).alias(f"o{i}") for i, o in enumerate(order_by)]
+    texts += [c for c in [*within, *order_by] if isinstance(field_type(df, c), (T.StringType, T.BinaryType))]
+    facts = df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(gap).alias("gaps"), *[F.max(F.octet_length(q(c))).alias(f"w{i}") for i, c in enumerate(texts)]
+    ).first()
+    if not facts["gaps"]:
+        return df
+    moved = df.select(*keys, *order, *[q(c).alias(f"v{i}") for i, c in enumerate(columns)])
+    names, sort, ids = [f"k{i}" for i in range(len(keys))], [f"o{i}" for i in range(len(order))], range(len(columns))
+    ranged, split = split_ranges(moved, [*names, *sort], facts["rows"] if rows is None else rows)
+    group = Window.partitionBy(*names, "__range")
+    # ranges of values, so that rows of equal order see each other; backwards is a second order, as a frame that
+    # ends with the group would be summed anew for every row
+    ahead = group.orderBy(*[F.col(o).asc() for o in sort]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = ranged.withColumns({f"p{i}": F.last(f"v{i}", ignorenulls=True).over(ahead) for i in ids})
+    sources = {i: [f"v{i}", f"p{i}"] for i in ids}
     if back:
-        later_values = {f"__next_{c}": F.first(q(c), ignorenulls=True).over(ahead) for c in columns}
-        filled = ranged.withColumns(later_values).withColumns({c: F.last(q(c), ignorenulls=True).over(past) for c in columns})
+        behind = group.orderBy(*[F.col(o).desc() for o in sort]).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        known = known.withColumns({f"n{i}": F.last(f"v{i}", ignorenulls=True).over(behind) for i in ids})
     if split:
         # at most one row per key and range
-        edge = ranged.groupBy(*keys, "__range").agg(
-            *[F.max_by(q(c), F.when(q(c).isNotNull(), F.struct(*[q(o) for o in order_by]))).alias(f"__last_{c}") for c in columns],
-            *[F.min_by(q(c), F.when(q(c).isNotNull(), F.struct(*[q(o) for o in order_by]))).alias(f"__first_{c}") for c in columns],
+        at = F.struct(*sort)
+        edge = ranged.groupBy(*names, "__range").agg(
+            *[F.max_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), at)).alias(f"last{i}") for i in ids],
+            *[F.min_by(f"v{i}", F.when(F.col(f"v{i}").isNotNull(), at)).alias(f"first{i}") for i in ids],
         )
-        over = Window.partitionBy(*keys).orderBy("__range")
-        earlier, later = over.rowsBetween(Window.unboundedPreceding, -1), over.rowsBetween(1, Window.unboundedFollowing)
+        over = Window.partitionBy(*names)
+        earlier = over.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        later = over.orderBy(F.col("__range").desc()).rowsBetween(Window.unboundedPreceding, -1)
         edge = edge.select(
-            *keys,
+            *names,
             "__range",
-            *[F.last(f"__last_{c}", ignorenulls=True).over(earlier).alias(f"__in_{c}") for c in columns],
-            *[F.first(f"__first_{c}", ignorenulls=True).over(later).alias(f"__out_{c}") for c in columns],
+            *[F.last(f"last{i}", ignorenulls=True).over(earlier).alias(f"in{i}") for i in ids],
+            *[F.last(f"first{i}", ignorenulls=True).over(later).alias(f"out{i}") for i in ids],
         )
-        joined = join_null_safe(filled, edge, [*within, "__range"])
-        pick = {
-            c: F.coalesce(q(c), q(f"__in_{c}"), *([q(f"__next_{c}"), q(f"__out_{c}")] if back else [])) for c in columns
-        }
-        return joined.select(*[pick[c].alias(c) if c in pick else q(c) for c in df.columns])
+        known = join_null_safe(known, edge, [*names, "__range"])
+        sources = {i: [*s, f"in{i}"] for i, s in sources.items()}
     if back:
-        filled = filled.withColumns({c: F.coalesce(q(c), q(f"__next_{c}")) for c in columns})
-    return filled.select(*[q(c) for c in df.columns])
+        sources = {i: [*s, f"n{i}", *([f"out{i}"] if split else [])] for i, s in sources.items()}
+    fills = {i: F.coalesce(*s) for i, s in sources.items()}
+    places = {c: n for n, c in [*zip(names, within, strict=True), *zip(sort, order_by, strict=True)]}
+    if set(df.columns) <= {*places, *columns}:
+        at = {**places, **{c: fills[i] for i, c in enumerate(columns)}}
+        return known.select(*[(F.col(at[c]) if isinstance(at[c], str) else at[c]).alias(c) for c in df.columns])
+    # one row per key and order with a gap
+    peers = group.orderBy(*sort)
+    gaps = any_of([F.col(f"v{i}").isNull() for i in ids])
+    known = known.withColumns(
+        {"gap": F.max(gaps).over(peers.rangeBetween(Window.currentRow, Window.currentRow)), "nth": F.row_number().over(peers) - F.rank().over(peers)}
+    )
+    found = known.filter(F.col("gap") & (F.col("nth") == 0)).select(*names, *sort, *[F.coalesce(*s[1:]).alias(f"f{i}") for i, s in sources.items()])
+    nested = any(isinstance(field_type(df, c), (T.ArrayType, T.MapType, T.StructType, T.VariantType)) for c in columns)
+    width = sum(facts[f"w{i}"] or 0 for i in range(len(texts))) + 16 * (len(within) + len(order_by) + len(columns))
+    few = not nested and facts["gaps"] * width <= CARRY_BYTES
+    found = found.withColumnsRenamed({**{n: f"__k_{n}" for n in [*names, *sort]}, **{f"f{i}": f"__f_{i}" for i in ids}})
+    on = all_of([q(c).eqNullSafe(F.col(f"__k_{n}")) for n, c in [*zip(names, within, strict=True), *zip(sort, order_by, strict=True)]])
+    filled = [F.coalesce(q(c), F.col(f"__f_{columns.index(c)}")).alias(c) if c in columns else q(c) for c in df.columns]
+    if few:
+        return df.join(F.broadcast(found), on, "left").select(*filled)
+    return df.filter(gap).join(found, on, "left").select(*filled).unionByName(df.filter(~gap))
 
 
 def complete_rows(df: DataFrame) -> DataFrame:

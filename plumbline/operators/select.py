@@ -15,6 +15,7 @@ from plumbline.functions.exprs import (
     nested_columns,
     number,
     numeric_columns,
+    orderable,
     other_columns,
     present,
     q,
@@ -82,39 +83,13 @@ def by_type(df: DataFrame, numeric: bool = True) -> DataFrame:
     return df.select(*[q(c) for c in (numeric_columns(df) if numeric else other_columns(df))])
 
 
-def halves(col: Column) -> list[Column]:
-    """A 64-bit whole number as two doubles that sort like it; one double is exact up to 2**53 only."""
-    return [F.shiftright(col, 26).cast("double"), F.pmod(col, F.lit(1 << 26)).cast("double")]
-
-
-def order_numbers(df: DataFrame, name: str) -> list[Column]:
-    """Doubles that sort, one after the other, exactly like the column: whole numbers, dates and text included."""
-    kind, col = field_type(df, name), q(name)
-    if isinstance(kind, T.LongType):
-        return halves(col)
-    if isinstance(kind, T.DecimalType) and kind.precision <= 18:
-        return halves((col * F.lit(10**kind.scale)).cast("decimal(38,0)").cast("long"))
-    if is_temporal(kind):
-        return halves(F.unix_micros(col.cast("timestamp")))
-    if isinstance(kind, T.StringType):
-        # six bytes at a time, in the order of the UTF-8 text; the length tells a text from one with zero bytes after it
-        data = F.encode(col, "UTF-8")
-        longest = df.agg(F.max(F.octet_length(col))).first()[0] or 0
-        parts = [F.conv(F.rpad(F.hex(F.substring(data, 1 + 6 * i, 6)), 12, "0"), 16, 10).cast("double") for i in range(-(-longest // 6))]
-        return [*parts, F.octet_length(col).cast("double")]
-    if isinstance(kind, T.BooleanType):
-        return [col.cast("double")]
-    return [number(df, name)]
-
-
 def with_order(df: DataFrame, key: Sequence[str], seed: int | None) -> tuple[DataFrame, list[str]]:
-    """Add number columns that order rows by a seeded hash of ``key`` (or, without a seed, by the key itself).
+    """Add columns that order rows by a seeded hash of ``key`` (or, without a seed, by the key's own typed values).
 
     Three independent hashes only tie for rows whose keys are equal.
     """
     if seed is None:
-        parts = [p for k in key for p in order_numbers(df, k)]
-        return df.withColumns({f"__h{i}": p for i, p in enumerate(parts)}), [f"__h{i}" for i in range(len(parts))]
+        return df.withColumns({f"__h{i}": orderable(df, k) for i, k in enumerate(key)}), [f"__h{i}" for i in range(len(key))]
     values = [value_of(df, k) for k in key]
     return df.withColumns({f"__h{i}": seeded_order(seed + i, *values) for i in range(3)}), ["__h0", "__h1", "__h2"]
 

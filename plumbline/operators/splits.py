@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.exprs import datetime_columns, q, total
-from plumbline.functions.ranges import first_k, first_k_by, first_ks, order_statistics
-from plumbline.operators.select import halves, with_order
+from plumbline.functions.ranges import cuts_by_group, first_k, first_ks, numbered, within_cuts
+from plumbline.operators.select import with_order
 
 PART = "is_test"
 MAX_CLASSES = 10_000
@@ -33,47 +33,58 @@ def class_counts(df: DataFrame, target: str) -> dict[str, int]:
     return {r["k"]: r["n"] for r in found}
 
 
-def stratified_sizes(counts: dict[str, int], fraction: float) -> dict[str, int]:
-    """Test rows per class adding up to ceil(rows x fraction): shares rounded down, the rest to the
-    largest remainders (ties in class order)."""
-    rows = sum(counts.values())
-    wanted = math.ceil(rows * fraction)
-    sizes = {k: n * wanted // rows for k, n in counts.items()}
-    rest = sorted(counts, key=lambda k: (-(counts[k] * wanted % rows), k))
-    for k in rest[: wanted - sum(sizes.values())]:
-        sizes[k] += 1
-    return sizes
+def class_table(df: DataFrame, target: str) -> DataFrame:
+    """``(class, n)``: rows per class, however many classes there are; rows without a class are left out."""
+    label = q(target).cast("string").alias("class")
+    return df.filter(q(target).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def stratification_problem(counts: dict[str, int], fraction: float) -> str | None:
-    """Why a stratified split is impossible, or None."""
-    rows = sum(counts.values())
+def stratified_sizes(counts: DataFrame, fraction: float) -> DataFrame:
+    """``(class, n, k)``: test rows per class adding up to ceil(rows x fraction). Shares are rounded down, the rest goes
+    to the largest remainders (ties in class order)."""
+    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("classes")).first()
+    rows, want = facts["rows"], math.ceil(facts["rows"] * fraction)
+    share = F.col("n").cast("decimal(19,0)") * F.lit(want).cast("decimal(19,0)")
+    floor = F.expr(f"(CAST(n AS DECIMAL(19,0)) * {want}) div {max(1, rows)}")
+    parts = counts.withColumn("base", floor)
+    parts = parts.withColumn("behind", (F.col("base").cast("decimal(19,0)") * F.lit(rows).cast("decimal(19,0)") - share).cast("decimal(38,0)"))
+    rest = want - (parts.agg(F.sum("base")).first()[0] or 0)
+    ranked = numbered(parts, [], ["behind", "class"], facts["classes"])
+    return ranked.select("class", "n", (F.col("base") + (F.col("__pos") < rest).cast("long")).alias("k"))
+
+
+def stratification_problem(counts: DataFrame, fraction: float) -> str | None:
+    """Why a stratified split of these ``(class, n)`` is impossible, or None."""
+    facts = counts.agg(F.sum("n").alias("rows"), F.min("n").alias("least"), F.count(F.lit(1)).alias("classes")).first()
+    rows, least, classes = facts["rows"] or 0, facts["least"] or 0, facts["classes"]
     test = math.ceil(rows * fraction)
-    if min(counts.values()) >= 2 and len(counts) <= min(test, rows - test):
+    if least >= 2 and classes <= min(test, rows - test):
         return None
-    return (
-        f"stratification skipped: smallest class {min(counts.values())} (needs 2), classes {len(counts)}, "
-        f"test rows {test}, train rows {rows - test}"
-    )
+    return f"stratification skipped: smallest class {least} (needs 2), classes {classes}, test rows {test}, train rows {rows - test}"
 
 
 def stratified_split(
     df: DataFrame, target: str, key: Sequence[str], fraction: float = 0.2, seed: int | None = 42
 ) -> tuple[DataFrame, str | None]:
-    """``random_split`` keeping class shares; falls back to the plain split with a warning."""
-    counts = class_counts(df, target)
+    """``random_split`` keeping class shares; falls back to the plain split with a warning.
+
+    Any number of classes: sizes and cut keys are tables, and rows without a class are training rows.
+    """
+    counts = class_table(df, target)
     problem = stratification_problem(counts, fraction)
     if problem:
         return random_split(df, key, fraction, seed), problem
     ordered, order = with_order(df, key, seed)
-    mark = first_k_by(ordered, target, order, stratified_sizes(counts, fraction), counts)
-    return ordered.withColumn(PART, mark).drop(*order), None
+    sizes = stratified_sizes(counts, fraction).select(F.col("class").alias("group"), F.lit(PART).alias("label"), "k")
+    cuts = cuts_by_group(ordered, target, order, sizes, df.count())
+    joined, before = within_cuts(ordered, target, order, cuts)
+    return joined.select(*[q(c) for c in df.columns if c != PART], before(PART).alias(PART)), None
 
 
 def _time_order(df: DataFrame, time: str, key: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Number columns in time order, ties by key; rows without a time come last."""
-    high, low = halves(F.unix_micros(q(time).cast("timestamp")))
-    ordered, rest = with_order(df.withColumns({"__t0": F.coalesce(high, F.lit(9e18)), "__t1": F.coalesce(low, F.lit(0.0))}), key, None)
+    """Columns in time order, ties by key; rows without a time come last."""
+    at = F.unix_micros(q(time).cast("timestamp"))
+    ordered, rest = with_order(df.withColumns({"__t0": at.isNull(), "__t1": at}), key, None)
     return ordered, ["__t0", "__t1", *rest]
 
 
@@ -104,24 +115,22 @@ def fold_count(rows: int, smallest_class: int | None = None, chronological: bool
 
 
 def add_folds(df: DataFrame, k: int, key: Sequence[str], seed: int | None = 42, stratify: str | None = None, name: str = "fold") -> DataFrame:
-    """Add a fold number 0..k-1; sizes differ by at most one (within each class when stratified)."""
+    """Add a fold number 0..k-1; sizes differ by at most one (within each class when stratified).
+
+    Folds are consecutive in seeded order of a unique key, or in the key's own order without a seed. Classes may be
+    many; rows without a class are in fold 0.
+    """
     ordered, order = with_order(df, key, seed)
-    first = order[0]
-    by = [stratify] if stratify else []
-    ranks = [(str(i), lambda n, i=i: F.floor(n * i / k)) for i in range(1, k)]
-    cuts = order_statistics(ordered, [first], ranks, by).collect()
     if not stratify:
-        found = {r["label"]: r["value"] for r in cuts}
-        fold = total([(q(first) >= F.lit(found[str(i)])).cast("int") for i in range(1, k) if str(i) in found])
+        rows = df.count()
+        marks = first_ks(ordered, order, [rows * i // k for i in range(1, k)], rows)
+        fold = total([(~m).cast("int") for m in marks])
         return ordered.withColumn(name, fold).drop(*order)
-    label = q(stratify).cast("string")
-    steps = []
-    for i in range(1, k):
-        table = {str(r[stratify]): r["value"] for r in cuts if r["label"] == str(i)}
-        if table:
-            edge = F.try_element_at(F.create_map(*[v for g, c in table.items() for v in (F.lit(g), F.lit(c))]), label)
-            steps.append(F.coalesce((q(first) >= edge).cast("int"), F.lit(0)))
-    return ordered.withColumn(name, total(steps)).drop(*order)
+    ends = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("label"), F.expr(f"n * {i} div {k}").alias("k")) for i in range(1, k)]))
+    wanted = class_table(df, stratify).select(F.col("class").alias("group"), ends.alias("e")).select("group", "e.label", "e.k")
+    joined, before = within_cuts(ordered, stratify, order, cuts_by_group(ordered, stratify, order, wanted, df.count()))
+    fold = F.when(q(stratify).isNull(), 0).otherwise(total([(~before(str(i))).cast("int") for i in range(1, k)]))
+    return joined.select(*[q(c) for c in df.columns if c != name], fold.alias(name))
 
 
 def add_time_folds(df: DataFrame, k: int, key: Sequence[str], time: str | None = None, name: str = "fold") -> DataFrame:

@@ -139,3 +139,19 @@ def _(t):
     facts = t.customer.select(F.when(F.col("c_custkey") % 2 == 0, one).otherwise(two).alias("facts"))
     found = cl.remove_duplicates(facts)
     return found.select(F.col("facts")["n"].cast("long").alias("c_nationkey"), F.col("facts")["s"].alias("c_mktsegment"))
+
+
+@query(
+    "c5_fill_beside_other_columns",
+    sql(
+        f"""SELECT event_id, user_id, event_type, value,
+ coalesce(last_value(seen IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING),
+          first_value(seen IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS seen
+ FROM ({_TS_GAPS}) JOIN (SELECT event_id, event_type, value FROM events) USING (event_id)""",
+        "value",
+        "event_id user_id",
+    ),
+)
+def _(t):
+    rows = _gappy(t).join(t.events.select("event_id", "event_type", "value"), "event_id")
+    return cl.forward_fill(rows, ["seen"], ["event_id"], ["user_id"], back=True)

@@ -467,3 +467,50 @@ def _(t):
 def _(t):
     o = t.orders.select((F.col("o_orderkey") + F.lit(1 << 60)).alias("k"), "o_orderdate")
     return sp.chronological_split(o, ["k"], 0.2).select("k", "is_test")
+
+
+@query(
+    "m4_stratified_split_many_classes",
+    sql(
+        """WITH d AS (SELECT o_orderkey, 'customer ' || o_custkey AS who FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)),
+c AS (SELECT who, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS total, ceil(sum(count(*)) OVER () * 0.2)::BIGINT AS want FROM d GROUP BY 1),
+f AS (SELECT *, (n * want) // total AS base, (n * want) % total AS rest FROM c),
+k AS (SELECT *, base + (row_number() OVER (ORDER BY rest DESC, who) <= want - sum(base) OVER ())::INT AS size FROM f)
+;;SELECT o_orderkey, d.who, row_number() OVER (PARTITION BY d.who ORDER BY o_orderkey) <= size AS is_test FROM d JOIN k ON d.who = k.who""",
+        "",
+        "o_orderkey",
+    ),
+)
+def _(t):
+    # a class per customer: sizes and cut keys stay tables
+    often = t.orders.groupBy("o_custkey").count().filter("count > 1").select("o_custkey")
+    d = t.orders.join(often, "o_custkey", "left_semi").select("o_orderkey", F.concat(F.lit("customer "), F.col("o_custkey").cast("string")).alias("who"))
+    return sp.stratified_split(d, "who", ["o_orderkey"], 0.2, None)[0]
+
+
+@query(
+    "m6_folds_of_many_classes",
+    sql(
+        """WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos,
+ count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+;;SELECT o_orderkey, o_custkey, list_sum(list_transform(range(1, 5), lambda i: (pos >= (n * i) // 5)::INT)) AS fold FROM r""",
+        "",
+        "o_orderkey o_custkey fold",
+    ),
+)
+def _(t):
+    return sp.add_folds(t.orders.select("o_orderkey", "o_custkey"), 5, ["o_orderkey"], None, stratify="o_custkey")
+
+
+@query(
+    "m5_chronological_long_key",
+    sql(
+        """WITH o AS (SELECT o_orderkey, repeat('order of a customer, ', 200) || o_orderpriority || o_orderkey AS k, o_orderdate FROM orders)
+;;SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, k) > count(*) OVER () - ceil(count(*) OVER () * 0.2) AS is_test FROM o""",
+        "",
+        "o_orderkey",
+    ),
+)
+def _(t):
+    key = F.concat(F.repeat(F.lit("order of a customer, "), 200), *[F.col(c).cast("string") for c in ("o_orderpriority", "o_orderkey")])
+    return sp.chronological_split(t.orders.select("o_orderkey", key.alias("k"), "o_orderdate"), ["k"], 0.2).select("o_orderkey", "is_test")

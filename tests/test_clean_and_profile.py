@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,12 +65,45 @@ def test_fit_on_another_table(spark):
     assert (got["num"], got["cat"]) == (15.0, "z")
 
 
+def test_forward_fill_moves_only_what_it_orders_by(spark, split_small, tmp_path):
+    df = spark.range(500).selectExpr("id", "if(id % 9 = 0, id, null) as v", "repeat('x', 50) as wide", "if(id = 3, double('nan'), id / 2) as o")
+    df.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    folder = spark.sparkContext.getCheckpointDir()
+    before = sum(len(f) for _, _, f in os.walk(folder.removeprefix("file:")))
+    filled = cl.forward_fill(df, ["v"], ["id"], back=True)
+    moved = [line for line in filled._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in line or "Exchange" in line]
+    assert moved and not any("wide" in line for line in moved)
+    assert "wide" not in "".join(x for x in filled._jdf.queryExecution().executedPlan().toString().split("\n") if "Sort " in x or "Exchange " in x)
+    assert sum(len(f) for _, _, f in os.walk(folder.removeprefix("file:"))) == before
+    assert {r["id"]: r["v"] for r in filled.collect()} == {i: i // 9 * 9 for i in range(500)}
+    # nothing missing: the table itself
+    assert cl.forward_fill(df, ["id"], ["o"]) is df
+
+
+def test_forward_fill_of_ties_nulls_and_empty_tables(spark, split_small):
+    rows = [(None, None, None, 0), (None, 5, None, 1), (1, None, None, 2), (1, 6, None, 3), (2, None, 7, 4), (2, None, None, 5), (2, None, None, 6)]
+    df = spark.createDataFrame(rows, "o int, v int, w int, id int")
+    got = {r["id"]: (r["v"], r["w"]) for r in cl.forward_fill(df, ["v", "w"], ["o"], back=True).collect()}
+    assert got == {0: (5, 7), 1: (5, 7), 2: (6, 7), 3: (6, 7), 4: (6, 7), 5: (6, 7), 6: (6, 7)}
+    assert cl.forward_fill(df.limit(0), ["v"], ["o"]).count() == 0
+    assert cl.forward_fill(df.withColumn("v", F.lit(None).cast("int")), ["v"], ["o"]).filter("v IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize("carry", [64 << 20, 0])
+@pytest.mark.parametrize("extra", [False, True])
 @pytest.mark.parametrize("within", [[], ["k"]])
 @pytest.mark.parametrize("back", [False, True])
-def test_forward_fill_over_many_ranges(spark, split_small, within, back):
+def test_forward_fill_over_many_ranges(spark, split_small, monkeypatch, within, back, extra, carry):
+    monkeypatch.setattr(cl, "CARRY_BYTES", carry)
     data = [(i, "hot" if i % 3 else f"k{i % 5}", f"v{i}" if i % 40 == 13 else None) for i in range(600)]
     df = spark.createDataFrame(data, "id long, k string, v string").repartition(4)
-    got = {r["id"]: r["v"] for r in cl.forward_fill(df, ["v"], ["id"], within, back).collect()}
+    if extra:
+        df = df.withColumn("wide", F.map_from_arrays(F.array("id"), F.array("k")))
+    filled = cl.forward_fill(df, ["v"], ["id"], within, back)
+    assert filled.columns == df.columns
+    got = {r["id"]: r["v"] for r in filled.collect()}
+    assert filled.count() == len(data)
     last, want = {}, {}
     for i, k, v in data:
         key = k if within else None

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 import random
 
@@ -235,6 +236,16 @@ def test_envelope_when_all_times_are_equal(spark, split_small):
     assert got.count() <= 40 and got.agg(F.max("v"), F.min("v")).first() == (399.0, 0.0)
 
 
+def test_envelope_of_equal_rows_and_maps(spark, split_small):
+    same = spark.range(300).selectExpr("1 as t", "2.0D as v", "map('a', 1) as m")
+    got = ch.downsample(same, "t", "v", 40)
+    assert 1 <= got.count() <= 40 and got.columns == ["t", "v", "m"]
+    hues = spark.range(900).selectExpr("id as t", "double(id % 50) as v", "if(id % 3 = 0, 'hot', concat('h', id % 7)) as h", "repeat('x', 9) as wide")
+    found = ch.downsample(hues, "t", "v", 64, "h").groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("t").alias("n")).collect()
+    ends = hues.groupBy("h").agg(F.min("t"), F.max("t")).collect()
+    assert {(r["h"], r["a"], r["b"]) for r in found} == {tuple(r) for r in ends} and all(r["n"] <= 8 for r in found)
+
+
 def test_dates_as_text_sort_as_time(spark):
     df = spark.createDataFrame([("2023-12-01", 1), ("2023-01-01", 2), ("2023-06-01", 3)], "date string, val long")
     assert [r["y"] for r in ch.line_series(df, "date", "val").collect()] == [2, 3, 1]
@@ -334,15 +345,22 @@ def test_tables_without_numbers_or_columns(spark):
     assert pf.column_facts(bare).count() == 0 and pf.missing_columns(bare).count() == 0
 
 
-def test_keys_of_every_type_order_like_themselves(spark):
-    from pyspark.sql import functions as F
-
-    from plumbline.operators.select import order_numbers
-
-    values = ["", "a", "ab", "a\0", "abcdefg", "abcdefgh", "é", "日本", "z" * 30]
-    df = spark.createDataFrame([(v,) for v in values], "k string")
-    assert [r["k"] for r in df.orderBy(*order_numbers(df, "k")).collect()] == sorted(values, key=lambda v: v.encode())
-    big = spark.createDataFrame([(v,) for v in (-(2**62), -1, 0, 2**53, 2**53 + 1, 2**62 + 3, 2**62 + 2)], "k long")
-    assert [r["k"] for r in big.orderBy(*order_numbers(big, "k")).collect()] == sorted(r["k"] for r in big.collect())
-    money = big.select((F.col("k") % 1000 / 8).cast("decimal(12,3)").alias("k"))
-    assert [r["k"] for r in money.orderBy(*order_numbers(money, "k")).collect()] == sorted(r["k"] for r in money.collect())
+def test_keys_of_every_type_order_like_themselves(spark, split_small):
+    from decimal import Decimal
+
+    from plumbline.functions.ranges import first_k
+    from plumbline.operators.select import with_order
+
+    texts = ["", "a", "ab", "a\0", "abcdefg", "é", "日本", *["z" * 20_000 + f"{i:03d}" for i in range(70)]]
+    whole = [-(2**62), -1, 0, *[2**53 + i for i in range(70)], 2**62 + 2, 2**62 + 3]
+    money = [Decimal(10**37 + i) for i in range(80)]
+    days = [dt.date(1950, 1, 1) + dt.timedelta(days=i) for i in range(80)]
+    floats = [float("-inf"), -1.5, *[i / 7 for i in range(70)], float("inf")]
+    for kind, values in (("string", texts), ("long", whole), ("decimal(38,0)", money), ("date", days), ("double", floats)):
+        ordered = sorted(values, key=lambda v: v.encode()) if kind == "string" else sorted(values)
+        df = spark.createDataFrame([(v,) for v in [None, *values]], f"k {kind}").repartition(3)
+        keyed, order = with_order(df, ["k"], None)
+        assert len(order) == 1
+        for k in (1, 2, 40, len(values)):
+            got = [r["k"] for r in keyed.filter(first_k(keyed, order, k)).collect()]
+            assert set(got) == {None, *ordered[: k - 1]} and len(got) == k, (kind, k)
