@@ -177,11 +177,41 @@ def json_records(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def sql_extract(spark: SparkSession, query: str, url: str | None = None, **options) -> DataFrame:
-    """Rows of a query: over a JDBC source when ``url`` is given, otherwise over registered views."""
+def extract_options(query: str, column: str, bounds: tuple, partitions: int) -> dict[str, str]:
+    """JDBC options that read a query in ``partitions`` connections, each a range of ``column``.
+
+    ``bounds`` only place the ranges: rows outside, and rows without a value, are read too. A column without values
+    or with one value leaves a single connection.
+    """
+    low, high = bounds
+    if low is None or low == high or partitions <= 1:
+        return {"dbtable": f"({query}) extract_rows"}
+    return {
+        "dbtable": f"({query}) extract_rows",
+        "partitionColumn": column,
+        "lowerBound": str(low),
+        "upperBound": str(high),
+        "numPartitions": str(partitions),
+    }
+
+
+def sql_extract(
+    spark: SparkSession, query: str, url: str | None = None, split_by: str | None = None, partitions: int = 16, **options
+) -> DataFrame:
+    """Rows of a query: over a JDBC source when ``url`` is given, otherwise over registered views.
+
+    ``split_by`` names a number, date or time column of the query; one aggregate query finds its bounds, and the rows
+    then come over ``partitions`` connections at once. Without it a single connection reads everything.
+    """
+    query = query.strip().rstrip(";")
     if url is None:
         return spark.sql(query)
-    return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+    source = spark.read.format("jdbc").option("url", url).options(**options)
+    if split_by is None:
+        return source.option("query", query).load()
+    ends = source.option("query", f"SELECT min({split_by}) AS low, max({split_by}) AS high FROM ({query}) extract_bounds").load().first()
+    split = spark.read.format("jdbc").option("url", url).options(**options)
+    return split.options(**extract_options(query, split_by, (ends[0], ends[1]), partitions)).load()
 
 
 def list_tables(spark: SparkSession, url: str | None = None, catalog_query: str | None = None) -> DataFrame:

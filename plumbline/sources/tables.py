@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from plumbline.functions.wide import distinct_counts, union_all
 # Bounds a single-machine user would check a table against (all optional here).
 GUARD_LIMITS = {"rows": 1_000_000, "columns": 200, "cells": 20_000_000, "high_cardinality_cells": 5_000_000}
 HIGH_CARDINALITY_SHARE = 0.7
+# bytes of a file that one task hashes at a time
+SIGNATURE_BLOCK = 64 << 20
 
 # Text that a spreadsheet would run as a formula, and text that is just a number.
 FORMULA_TRIGGER = r"^[\t\r]|^\s*[=+\-@]"
@@ -55,15 +59,67 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return sums.select("rows", F.lit(len(df.columns)).cast("long").alias("columns"), F.sha2(text, 256).alias("fingerprint"))
 
 
-def file_signatures(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, name, size, sha256, copies)``: files with the same content share a hash."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    signed = files.select(
-        "path",
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("size"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+def _open_range(path: str):
+    """A seekable file of any filesystem that Arrow knows, from the path as Spark writes it."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_file(path)
+    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_file(inner)
+
+
+def _block_hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = []
+        for path, size, start, length in zip(batch["path"], batch["size"], batch["start"], batch["length"], strict=True):
+            digest, left = hashlib.sha256(), int(length)
+            with _open_range(path) as source:
+                source.seek(int(start))
+                while left:
+                    data = source.read(min(left, 4 << 20))
+                    if not data:
+                        raise OSError(f"{path} is shorter than its {size} listed bytes")
+                    digest.update(data)
+                    left -= len(data)
+            found.append(digest.hexdigest())
+        yield batch[["path", "size", "piece"]].assign(hash=found)
+
+
+def block_hashes(files: DataFrame, block: int = SIGNATURE_BLOCK) -> DataFrame:
+    """``(path, size, piece, hash)`` for files given as ``(path, size)``: the hash of every range of ``block`` bytes.
+
+    Tasks read ranges, not files, a few MB at a time; an empty file is one empty range.
+    """
+    if block < 1:
+        raise ValueError("a block needs at least one byte")
+    count = F.greatest(F.ceil(F.col("size") / F.lit(block)), F.lit(1)).cast("long")
+    total_blocks = files.agg(F.sum(count)).first()[0] or 0
+    pieces = files.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("piece"))
+    start = F.col("piece") * F.lit(block).cast("long")
+    ranges = pieces.select("*", start.alias("start"), F.least(F.col("size") - start, F.lit(block).cast("long")).alias("length"))
+    # a stated number of parts: the rows are tiny, but each stands for a block
+    spread = ranges.repartition(int(max(1, min(total_blocks, 20_000))), "path", "piece")
+    return spread.mapInPandas(_block_hashes, "path string, size long, piece long, hash string")
+
+
+def file_signatures(spark: SparkSession, path: str, block: int = SIGNATURE_BLOCK) -> DataFrame:
+    """``(path, name, size, sha256, copies)``: files with the same content share a hash.
+
+    Files may be of any size, as no task and no cell holds a whole one. ``sha256`` is the plain hash of a file of at
+    most ``block`` bytes, and the hash of the blocks' hashes in hexadecimal, one after the other, of a larger one.
+    Empty files have no signature: Spark lists no file without content.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    hashes = F.array_sort(F.collect_list(F.struct("piece", "hash")))
+    ordered = block_hashes(listed.select("path", F.col("length").alias("size")), block).groupBy("path", "size").agg(hashes.alias("h"))
+    joined = F.array_join(F.transform("h", lambda h: h["hash"]), "")
+    content = F.when(F.size("h") == 1, joined).otherwise(F.sha2(joined, 256))
+    signed = ordered.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "size", content.alias("sha256"))
     copies = signed.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"))
     return signed.join(copies, "sha256").select("path", "name", "size", "sha256", "copies")
 

@@ -225,3 +225,52 @@ def test_html_files(spark, tmp_path):
 def test_json_files_of_every_shape(spark, tmp_path, text, want):
     (tmp_path / "d.json").write_text(text)
     assert rows(readers.load_table(spark, str(tmp_path / "d.json"))) == want
+
+
+def test_signatures_of_files_of_many_blocks(spark, tmp_path):
+    import hashlib
+    import random
+
+    r = random.Random(3)
+    long = r.randbytes(10_000)
+    files = {"a.bin": long, "b b%20.bin": long, "changed.bin": long[:-1] + b"?", "short": b"x", "short2": b"x", "even": long[:2048]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "empty").write_bytes(b"")
+
+    def plain(data):
+        if len(data) <= 1024:
+            return hashlib.sha256(data).hexdigest()
+        parts = [hashlib.sha256(data[i : i + 1024]).hexdigest() for i in range(0, len(data), 1024)]
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    got = tables.file_signatures(spark, str(tmp_path), block=1024)
+    found = {r["name"]: (r["size"], r["sha256"], r["copies"]) for r in got.collect()}
+    signs = [plain(d) for d in files.values()]
+    assert found == {n: (len(d), plain(d), signs.count(plain(d))) for n, d in files.items()}
+    whole = {r["name"]: r["sha256"] for r in tables.file_signatures(spark, str(tmp_path)).collect()}
+    assert whole == {n: hashlib.sha256(d).hexdigest() for n, d in files.items()}
+    listed = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path", "length as size")
+    blocks = tables.block_hashes(listed, 1024)
+    assert blocks.rdd.getNumPartitions() == sum(max(1, -(-len(d) // 1024)) for d in files.values())
+    assert tables.block_hashes(listed.limit(0), 1024).count() == 0
+    empty = spark.createDataFrame([(str(tmp_path / "empty"), 0)], "path string, size long")
+    assert [tuple(r) for r in tables.block_hashes(empty).select("piece", "hash").collect()] == [(0, hashlib.sha256().hexdigest())]
+    with pytest.raises(ValueError, match="at least one byte"):
+        tables.block_hashes(listed, 0)
+
+
+def test_extract_in_ranges_of_a_column():
+    got = readers.extract_options("select * from t", "id", (1, 900), 8)
+    assert got == {"dbtable": "(select * from t) extract_rows", "partitionColumn": "id", "lowerBound": "1", "upperBound": "900", "numPartitions": "8"}
+    for bounds, parts in (((None, None), 8), ((4, 4), 8), ((1, 9), 1)):
+        assert readers.extract_options("select 1", "id", bounds, parts) == {"dbtable": "(select 1) extract_rows"}
+    import datetime as dt
+
+    timed = readers.extract_options("select 1", "at", (dt.datetime(2024, 1, 1), dt.datetime(2024, 3, 1, 12, 30)), 4)
+    assert (timed["lowerBound"], timed["upperBound"]) == ("2024-01-01 00:00:00", "2024-03-01 12:30:00")
+
+
+def test_extract_over_views_ignores_the_split(spark):
+    spark.range(10).createOrReplaceTempView("ten_rows")
+    assert readers.sql_extract(spark, "SELECT id FROM ten_rows WHERE id > 3;", split_by="id").count() == 6
