@@ -36,6 +36,7 @@ MAX_CELLS = 20_000
 SMALL_ROWS = 20_000
 # rows of a few numbers each that may be sent to every task
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 SAMPLE_ROWS = 120_000
 BRACKET = 0.006
 
@@ -416,6 +417,13 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int
     return out.select(*[q(c) for c in df.columns], (F.col("__one_upto") - 1).alias(name))
 
 
+def _fits_broadcast(table: DataFrame) -> bool:
+    """Whether a table is small enough, by counted rows and bytes of its cells as text, to be sent to every task."""
+    width = F.octet_length(F.concat_ws("", *[q(c).cast("string") for c in table.columns]))
+    facts = table.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()
+    return facts["n"] <= BROADCAST_ROWS and facts["bytes"] <= BROADCAST_BYTES
+
+
 def cuts_by_group(df: DataFrame, group: str, order: Sequence[str], wanted: DataFrame, rows: int) -> DataFrame:
     """``(group, label, cut)``: the key of the ``k``-th row of each group, for ``wanted`` of ``(group, label, k)``.
 
@@ -428,7 +436,7 @@ def cuts_by_group(df: DataFrame, group: str, order: Sequence[str], wanted: DataF
     cut = F.struct(*[q(n).alias(f"s{i}") for i, n in enumerate(names)]).alias("cut")
     asked = wanted.select(F.col("group").alias("__g"), "label", F.col("k").cast("long").alias("k"))
     edge = asked.select("__g", "label", "k", F.explode(F.array(F.col("k") - 1, F.col("k"))).alias("__pos"))
-    few = edge.count() <= BROADCAST_ROWS
+    few = _fits_broadcast(edge)
     met = placed.join(F.broadcast(edge) if few else edge, ["__g", "__pos"]).select("__g", "label", (F.col("__pos") < F.col("k")).alias("last"), cut)
     both = met.groupBy("__g", "label").agg(F.max_by("cut", F.when(F.col("last"), 1)).alias("cut"), F.max_by("cut", F.when(~F.col("last"), 1)).alias("next"))
     clear = F.assert_true(~F.coalesce(F.col("cut") == F.col("next"), F.lit(False)), F.lit("the order does not tell all rows apart; add a unique key column"))
@@ -444,7 +452,7 @@ def within_cuts(df: DataFrame, group: str, order: Sequence[str], cuts: DataFrame
     table = cuts.groupBy(F.col("group").alias(g)).agg(F.map_from_entries(F.collect_list(F.struct("label", "cut"))).alias("__cuts"))
     table = materialize(table)
     rows = df.withColumn(g, q(group).cast("string"))
-    if table.count() <= BROADCAST_ROWS:
+    if _fits_broadcast(table):
         joined = rows.join(F.broadcast(table), g, "left")
     else:
         few = rows.select(g).sample(fraction=min(1.0, SAMPLE_ROWS / max(1, df.count())), seed=19).groupBy(g).count()
