@@ -2,15 +2,17 @@
 
 Only the counts of pieces by length (at most ``capacity`` numbers) reach the driver. There the linear program
 "use as few patterns as cover all lengths" is solved by multiplicative weights: every length has a price that
-falls as it gets covered, a knapsack dynamic program finds the pattern worth most at these prices, and that
-pattern is used for a step. The fractional solution is rounded down, and the few lengths left are filled best
-fit. Each pattern owns a run of sequence numbers, so a piece finds its place from its length and its rank among
+falls as it gets covered, a knapsack dynamic program finds the patterns worth most at these prices, and each is
+used for a step. Steps are rounded to whole uses as they are taken, down but to at least one, so that the prices
+see the rounded solution; the last half per cent of the tokens is filled best fit, more where that saves sequences.
+Each pattern owns a run of sequence numbers, so a piece finds its place from its length and its rank among
 the pieces of that length; ranks are counted in salted groups, so a frequent length is no single task.
 """
 
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,8 +25,11 @@ from pyspark.sql import types as T
 from plumbline.llm.common import staged, text_of
 
 CAPACITY = 2048
-#: steps of the multiplicative weights, and the share of a length that one step may cover
-ROUNDS, STEP = 1200, 0.5
+#: parts of the tokens between two pricings, the share of a length that one step may cover, and how much less than the
+#: dearest pattern another one of the round may be worth; how steeply prices fall with the covered share
+ROUNDS, STEP, NEAR, FALL = 200, 0.5, 0.003, 1.0
+#: how many beginnings of the program's steps are completed best fit
+PREFIXES = 8
 #: pieces of one length and salt that one task ranks, about
 RANK_ROWS = 20_000
 
@@ -124,57 +129,91 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return rows.mapInArrow(cut, schema)
 
 
-def _dearest(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack: the pattern of these lengths within the capacity whose summed worth is largest."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if e := ends[room]:
-            gain = best[room - lengths[:e]] + worth[:e]
-            k = int(gain.argmax())
-            if gain[k] > best[room] + 1e-12:
-                best[room], last[room] = gain[k], lengths[k]
-    pattern, room = {}, capacity
-    while room > 0:
-        if last[room]:
-            pattern[int(last[room])] = pattern.get(int(last[room]), 0) + 1
-            room -= int(last[room])
-        else:
-            room -= 1
-    return pattern
+def _worths(price: np.ndarray) -> np.ndarray:
+    """Knapsack: the largest summed price of a pattern for every room up to the capacity (``price[n]``: of length n)."""
+    best = np.zeros(len(price))
+    for room in range(1, len(price)):
+        best[room] = max(best[room - 1], (best[:room] + price[room:0:-1]).max())
+    return best
+
+
+def _dearest(first: int, best: np.ndarray, price: np.ndarray, stock: np.ndarray) -> tuple[dict[int, int], float]:
+    """The dearest pattern that holds ``first`` and no more of any length than there is; equal ones by longer lengths."""
+    pattern, worth, room = {first: 1}, price[first], len(price) - 1 - first
+    own = price.copy()
+    own[stock < 1] = -np.inf
+    own[first] = price[first] if stock[first] > 1 else -np.inf
+    while room:
+        gain = best[:room] + own[room:0:-1]
+        rest = int(gain.argmax())
+        if gain[rest] == -np.inf:
+            break
+        n = room - rest
+        pattern[n] = pattern.get(n, 0) + 1
+        worth += own[n]
+        if pattern[n] == stock[n]:
+            own[n] = -np.inf
+        room = rest
+    return pattern, worth
+
+
+def program(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
+    """The linear program by multiplicative weights, in whole steps: patterns with how often each is used.
+
+    A round prices every length at the share of a sequence that it takes times ``exp(-FALL * covered share)``, solves one
+    knapsack, and takes steps of the dearest pattern of each length while these are worth nearly as much as the dearest
+    of all, until a part ``1 / rounds`` of all tokens is covered. The last part is left over.
+    """
+    size = np.arange(capacity + 1, dtype=np.int64)
+    stock = np.zeros(capacity + 1, dtype=np.int64)
+    for n, c in counts.items():
+        stock[n] = c
+    total, plan = stock.copy(), []
+    part = max(1, int((size * total).sum()) // rounds)
+    near = NEAR
+    while (left := int((size * stock).sum())) > part:
+        open_ = np.flatnonzero(stock)
+        price = np.full(capacity + 1, -np.inf)
+        price[open_] = open_ / capacity * np.exp(-FALL * (1 - stock[open_] / total[open_]))
+        best = _worths(price)
+        done = 0
+        own = price[open_] + best[capacity - open_]
+        for n in open_[np.lexsort((-open_, -own))].tolist():
+            if done >= part:
+                break
+            if not stock[n]:
+                continue
+            pattern, worth = _dearest(n, best, price, stock)
+            if done and worth < (1 - near) * best[capacity]:
+                continue
+            times = max(1, int(STEP * min(stock[m] / a for m, a in pattern.items())))
+            plan.append((pattern, times))
+            for m, a in pattern.items():
+                stock[m] -= times * a
+                done += m * times * a
+        # a round that met few patterns of that worth is content with less the next time
+        near = NEAR if done >= part else 2 * near
+    return plan
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Patterns (length to number) with how often each is used; together they hold exactly the given counts."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    plan: list[tuple[dict[int, int], int]] = []
-    if full := left.pop(capacity, 0):
-        plan.append(({capacity: 1}, full))
-    lengths = np.array(sorted(left), dtype=np.int64)
-    total = np.array([left[n] for n in lengths.tolist()], dtype=float)
-    index = {n: k for k, n in enumerate(lengths.tolist())}
-    covered, uses = np.zeros(len(lengths)), {}
-    for _ in range(rounds if len(lengths) else 0):
-        open_ = covered < 1
-        if not open_.any():
-            break
-        # prices start at the share of a sequence that a length takes, and fall as it gets covered
-        worth = lengths / capacity * np.exp(-2 * covered)
-        pattern = _dearest(worth[open_], lengths[open_], capacity)
-        at = np.array([index[n] for n in pattern])
-        per = np.array(list(pattern.values()), dtype=float) / total[at]
-        step = min(STEP / per.max(), ((1 - covered[at]) / per).max())
-        covered[at] += step * per
-        key = tuple(sorted(pattern.items()))
-        uses[key] = uses.get(key, 0.0) + step
-    for key, x in sorted(uses.items(), key=lambda u: -u[1]):
-        times = min(int(x + 1e-9), *(left[n] // a for n, a in key))
-        if times:
-            plan.append((dict(key), times))
-            for n, a in key:
-                left[n] -= times * a
-    return plan + _best_fit({n: c for n, c in left.items() if c}, capacity)
+    """Patterns (length to number) with how often each is used; together they hold exactly the given counts.
+
+    The program's steps are taken up to none, one, two eighths of its tokens and so on to all, and the rest is filled
+    best fit; the plan with fewest sequences is returned, of equal ones the one with most steps of the program. So
+    there are never more sequences than best fit alone needs.
+    """
+    counts = {n: c for n, c in counts.items() if c > 0}
+    steps = program(counts, capacity, rounds)
+    tokens = np.cumsum([times * sum(n * a for n, a in pattern.items()) for pattern, times in steps])
+    plans = []
+    for eighth in range(PREFIXES, -1, -1):
+        taken = steps[: int(np.searchsorted(tokens, eighth / PREFIXES * tokens[-1])) + (eighth > 0)] if steps else []
+        left = Counter(counts)
+        for pattern, times in taken:
+            left.subtract({n: a * times for n, a in pattern.items()})
+        plans.append(taken + _best_fit(left, capacity))
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

@@ -92,6 +92,20 @@ def test_plans_hold_exactly_the_counts(counts):
     assert sum(t for _, t in plan) <= max(bound + 1, counts.get(2048, 0))
 
 
+@pytest.mark.parametrize("shape", ["lognormal", "thirds"])
+def test_the_program_places_the_pieces(shape):
+    rng = np.random.default_rng(1)
+    drawn = np.clip(rng.lognormal(6, 0.8, 60_000), 1, 2048) if shape == "lognormal" else rng.integers(400, 1100, 30_000)
+    counts = Counter(drawn.astype(int).tolist())
+    program = packing.program(counts)
+    placed = sum(a * times for pattern, times in program for a in pattern.values())
+    assert placed >= 0.95 * len(drawn)
+    needed, plain = (sum(t for _, t in plan) for plan in (packing.solve(counts), packing._best_fit(counts, 2048)))
+    assert -(-int(sum(n * c for n, c in counts.items())) // 2048) <= needed <= plain
+    if shape == "thirds":  # best fit starts with the longest, which leaves no room for a third piece
+        assert needed < 0.97 * plain
+
+
 def test_ranks_of_a_hot_length_are_dealt(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANK_ROWS", 10)
     pieces = spark.range(500).selectExpr("id as doc_id", "0 as piece", "0L as start", "cast(if(id % 3 = 0, id % 90 + 1, 600) as long) as length")
