@@ -14,6 +14,7 @@ from plumbline.functions.exprs import any_of, q, text_columns
 from plumbline.sources.delimited import classify_text_tables, detect_delimiter, read_lines
 from plumbline.sources.markup import extract_html_tables, read_xml
 from plumbline.sources.names import flatten, normalize_columns, serialize_nested, unique_names
+from plumbline.sources.records import quoted_records
 
 # File endings and the reader each one takes.
 FORMATS = {
@@ -83,7 +84,8 @@ def read_delimited(
     """Delimited text with a header line. Give a schema to skip inference on large inputs.
 
     Files of a folder whose header lines differ are read apart and joined by column name. Line breaks inside
-    quotes belong to the cell; where a line ends inside quotes, files are read whole, a task each.
+    quotes belong to the cell; UTF-8 files with such cells are read block by block (``quoted_records``), other
+    encodings, files with lone carriage returns and calls with reader options of their own a file a task.
     """
     encoding = encoding or choose_encoding(spark, path)
     lines = read_lines(spark, path)
@@ -92,13 +94,18 @@ def read_delimited(
         if len(found) > 1:
             raise ValueError(f"the files under {path!r} use different separators: {sorted(found)}; read them one by one")
         sep = found.pop() if found else ","
+    by_blocks = False
     if "multiLine" not in options:
+        own_options = bool(options)
         open_quote = F.col("line").rlike(r'(?:^|\Q' + sep + r'\E)"(?:[^"]|"")*$')
         options["multiLine"] = not lines.filter(open_quote).isEmpty()
+        if options["multiLine"] and not own_options and encoding.upper() == "UTF-8" and len(sep) == 1:
+            by_blocks = spark.read.option("lineSep", "\n").text(path).filter(F.col("value").rlike("\r[^\r]")).isEmpty()
     first = lines.filter("block = 0").groupBy("file").agg(F.min_by("line", "line_id").alias("head"))
     heads = first.groupBy("head").agg(F.count(F.lit(1)).alias("files")).orderBy("head").limit(2).collect()
     if len(heads) < 2:
-        return _read_alike(spark, path, sep, encoding, schema, options)
+        read = _read_records if by_blocks else _read_alike
+        return read(spark, path, sep, encoding, schema, options)
     groups = first.groupBy("head").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("head").collect()
     frames = [_read_alike(spark, [unquote(f) for f in g["files"]], sep, encoding, schema, options) for g in groups]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -124,6 +131,25 @@ def _read_alike(spark: SparkSession, path, sep: str, encoding: str, schema, opti
     return df.toDF(*unique_names(names))
 
 
+def _read_records(spark: SparkSession, path, sep: str, encoding: str, schema, options: dict) -> DataFrame:
+    """Files with one header and line breaks in cells, read block by block; types are found from the records."""
+    settings = {"sep": sep, "quote": '"', "escape": '"'}
+    records = quoted_records(spark, path, sep)
+    names = spark.read.options(encoding=encoding, multiLine=True, **settings).csv(path).limit(1).collect()
+    names = unique_names([(v or "").lstrip("\ufeff") for v in names[0]])
+    start = records.groupBy("file").agg(F.min(F.struct("block", "line_id")).alias("start"))
+    rows = records.join(start, "file").filter(F.struct("block", "line_id") != F.col("start")).select("record")
+    if schema is None:
+        texts = rows.select(F.regexp_replace("record", r"[\r\n]+", " ")).rdd.map(lambda r: r[0])
+        found = [f.dataType for f in spark.read.options(inferSchema=True, **settings).csv(texts).schema]
+        kinds = [found[i] if i < len(found) else T.StringType() for i in range(len(names))]
+    else:
+        kinds = [f.dataType for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)]
+    fields = ", ".join(f"c{i} {kind.simpleString()}" for i, kind in enumerate(kinds))
+    parsed = rows.select(F.from_csv("record", fields, settings).alias("r"))
+    return parsed.select("r.*").toDF(*names)
+
+
 def read_text_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Text files that are tables; prose and other text is refused with the reason."""
     if "sep" in options:

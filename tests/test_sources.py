@@ -1,7 +1,11 @@
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.sources import markup, names, readers, tables
+from plumbline.sources import markup, names, readers, records, tables
 from plumbline.sources.delimited import classify_text_tables, detect_delimiter, read_lines
 from tests.conftest import rows
 
@@ -181,6 +185,30 @@ def test_line_breaks_in_quoted_cells(spark, tmp_path):
     assert sorted((r["i"], r["t"] or "") for r in got.collect()) == list(enumerate(texts))
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_over_many_blocks(spark, tmp_path, end):
+    rng = random.Random(5)
+    parts = ["a", "b", ",", '"', "\n", "\n\n", " z", 'x"y']
+    table = [[i, *("".join(rng.choices(parts, k=900 if i % 89 == k else rng.choice([1, 4, 9]))) for k in range(2))] for i in range(400)]
+    text = io.StringIO()
+    csv.writer(text, lineterminator="\n").writerows([["n", "one", "two"], *table, [400, "," * 60_000 + '"' * 60_000, "end"]])
+    path = tmp_path / "broken.csv"
+    path.write_bytes(text.getvalue().replace("\n", end).encode())
+    want = list(csv.reader(io.StringIO(path.read_bytes().decode(), newline="")))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = records.quoted_records(spark, str(path), ",").orderBy("block", "line_id").collect()
+        loaded = readers.load_table(spark, str(path))
+        got = {r["n"]: [r["one"] or "", r["two"] or ""] for r in loaded.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({r["block"] for r in found}) > 5
+    assert [next(csv.reader(io.StringIO(r["record"], newline=""))) for r in found] == want
+    assert loaded.columns == ["n", "one", "two"] and len(got) == loaded.count() == len(want) - 1
+    assert got == {int(n): cells for n, *cells in want[1:]}
+
+
 def test_files_with_other_headers_join_by_name(spark, tmp_path):
     folder = tmp_path / "many.csv"
     folder.mkdir()
