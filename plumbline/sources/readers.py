@@ -14,7 +14,7 @@ from plumbline.functions.exprs import any_of, q, text_columns
 from plumbline.sources.delimited import classify_text_tables, detect_delimiter, read_lines
 from plumbline.sources.markup import extract_html_tables, read_xml
 from plumbline.sources.names import flatten, normalize_columns, serialize_nested, unique_names
-from plumbline.sources.records import quoted_records
+from plumbline.sources.records import first_places, quoted_records
 
 # File endings and the reader each one takes.
 FORMATS = {
@@ -137,8 +137,7 @@ def _read_records(spark: SparkSession, path, sep: str, encoding: str, schema, op
     records = quoted_records(spark, path, sep)
     names = spark.read.options(encoding=encoding, multiLine=True, **settings).csv(path).limit(1).collect()
     names = unique_names([(v or "").lstrip("\ufeff") for v in names[0]])
-    start = records.groupBy("file").agg(F.min(F.struct("block", "line_id")).alias("start"))
-    rows = records.join(start, "file").filter(F.struct("block", "line_id") != F.col("start")).select("record")
+    rows = records.join(first_places(spark, path), "file").filter(F.struct("block", "line_id") != F.col("start")).select("record")
     if schema is None:
         texts = rows.select(F.regexp_replace("record", r"[\r\n]+", " ")).rdd.map(lambda r: r[0])
         found = [f.dataType for f in spark.read.options(inferSchema=True, **settings).csv(texts).schema]

@@ -18,6 +18,18 @@ def _ends_open(line: Column, sep: str) -> Column:
     return F.regexp_replace(single, cell + '[^"]*+"', "$1x").rlike(cell)
 
 
+def _numbered_lines(spark: SparkSession, path) -> DataFrame:
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.option("lineSep", "\n").text(path)
+    return raw.select(*place, F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
+
+
+def first_places(spark: SparkSession, path) -> DataFrame:
+    """``(file, start)``: where the first record of every file lies, which is its first line that is not blank."""
+    filled = _numbered_lines(spark, path).filter(F.trim(F.regexp_replace("line", "\r$", "")) != "")
+    return filled.groupBy("file").agg(F.min(F.struct("block", "line_id")).alias("start"))
+
+
 def quoted_records(spark: SparkSession, path, sep: str) -> DataFrame:
     """``(file, block, line_id, record)`` for every record of UTF-8 text; a record has the place of its first line.
 
@@ -26,9 +38,7 @@ def quoted_records(spark: SparkSession, path, sep: str) -> DataFrame:
     records stay where they are; only pieces of broken records meet, a group a record. Blank records are left out, an
     empty file has no rows, and an unclosed quote takes in the rest of its file, as in any reader.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = raw.select(*place, F.monotonically_increasing_id().alias("line_id"), F.col("value").alias("line"))
+    lines = _numbered_lines(spark, path)
     bare = F.regexp_replace("line", "\r$", "")
     after_out = _ends_open(bare, sep).cast("int")
     after_in = _ends_open(F.concat(F.lit('"'), bare), sep).cast("int")
