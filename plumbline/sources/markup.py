@@ -116,6 +116,16 @@ def _xml_value(df: DataFrame, col: Column, kind: T.DataType, name: str, depth: i
         yield col, name
 
 
+# pages of plain tags, quoted or bare attributes and text without references, whose tags a pattern finds as the parser does
+_BLANK = r"[\t\n\r\f ]"
+_ATTRIBUTE = rf"""{_BLANK}++[a-zA-Z][a-zA-Z0-9-]*+=(?:"[^"<>&]*+"|'[^'<>&]*+'|[a-zA-Z0-9_%#.;:-]++)"""
+_PLAIN = re.compile(rf"[^<&]*+(?:<(?:/[a-zA-Z][a-zA-Z0-9]*+|[a-zA-Z][a-zA-Z0-9]*+(?:{_ATTRIBUTE})*+){_BLANK}*+>[^<&]*+)*+")
+# what follows these is not read as tags
+_RAW = re.compile(r"(?i)<(?:script|style|textarea|title|xmp|iframe|noembed|noframes|noscript|plaintext)")
+_TAG = re.compile(r"<(/?)([a-zA-Z0-9]+)([^>]*)>([^<]*)")
+_PAIR = re.compile(r"""([a-zA-Z0-9-]+)=(?:"([^"]*)"|'([^']*)'|([^\t\n\r\f ]+))""")
+
+
 class _Marks(HTMLParser):
     """Writes a page down as one mark per table event (T t: table, R r: row, D d: cell) with what each cell holds."""
 
@@ -125,10 +135,26 @@ class _Marks(HTMLParser):
         super().__init__()
         self.marks, self.cells, self.rowspan = [], [], False
 
+    def read(self, html: str) -> None:
+        """``feed``, several times faster for plain pages."""
+        if not _PLAIN.fullmatch(html) or _RAW.search(html):
+            self.feed(html)
+            return
+        for end, tag, attributes, data in _TAG.findall(html):
+            if end:
+                self.handle_endtag(tag.lower())
+            else:
+                self.handle_starttag(tag.lower(), [(k.lower(), a or b or c) for k, a, b, c in _PAIR.findall(attributes)] if attributes else [])
+            if data:
+                self.handle_data(data)
+
     def handle_starttag(self, tag, attrs):
         code = self.CODES.get(tag)
         if code:
             self.marks.append(code)
+            if not attrs:
+                self.cells.append([1, ""])
+                return
             wide, tall = ([int(v) for k, v in attrs if k == name and v and v.strip().isdecimal()] or [1] for name in ("colspan", "rowspan"))
             self.cells.append([min(max(wide[-1], 1), 100), ""])
             self.rowspan |= code == "D" and tall[-1] > 1
@@ -153,7 +179,7 @@ def largest_table(html: str | None) -> tuple[str, list[list[str]]]:
     The table with most rows is taken, then with the widest first row, then the first one; a table has two rows.
     """
     page = _Marks()
-    page.feed(html or "")
+    page.read(html or "")
     if page.rowspan:
         return "rowspan", []
     marks = "".join(page.marks)
@@ -170,9 +196,11 @@ def largest_table(html: str | None) -> tuple[str, list[list[str]]]:
         return "no table", []
     head, *body = max(tables, key=lambda t: (len(t), len(t[0])))
     width = max(map(len, (head, *body)))
-    names = pd.Series([*head, *(f"column_{i}" for i in range(len(head), width))])
-    again = names.groupby(names).cumcount() + 1
-    header = names.where(again == 1, names + "_" + again.astype(str)).tolist()
+    seen: dict[str, int] = {}
+    header = []
+    for name in (*head, *(f"column_{i}" for i in range(len(head), width))):
+        seen[name] = seen.get(name, 0) + 1
+        header.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
     return "ok", [header, *(row + [""] * (width - len(row)) for row in body)]
 
 

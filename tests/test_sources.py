@@ -121,6 +121,31 @@ def test_html_tables(html, status, table):
     assert markup.largest_table(html) == (status, table)
 
 
+def test_plain_pages_are_read_by_a_pattern_as_by_the_parser(monkeypatch):
+    r = random.Random(7)
+    cells = ["<td>", "<td colspan=2>", "<TD class='x y' rowspan=1>", '<th\tcolspan=" 3 ">', "<td colspan=2 colspan=0>"]
+    odd = ["&amp;", "<br/>", "<!-- <td> -->", "a < b", "<td colspan>", "<script>", "</td x>", "<td\xa0>"]
+    plain = ["<table>", "</table>", "<tr>", "</tr>", "</td>", "</th >", "<b>", "x", " é\n", "1 > 2", *cells]
+    pages = ["".join(r.choices(plain + odd * (i % 2), k=r.randrange(40))) for i in range(2000)]
+    pages += ["<table><tr>" + "".join(r.choices(cells, k=3)) + "x</td></tr><tr><td>y</td></tr></table>" for _ in range(50)]
+
+    def closed(page):
+        return page.rowspan, page.marks, [c for c, m in zip(page.cells, zip(page.marks, [*page.marks[1:], ""])) if m == ("D", "d")]
+
+    for page in pages:
+        ours, parser = markup._Marks(), markup._Marks()
+        ours.read(page)
+        parser.feed(page)
+        assert closed(ours) == closed(parser), page
+
+    def slow(*_):
+        raise AssertionError("a plain page needs neither the parser nor pandas")
+
+    monkeypatch.setattr(markup._Marks, "feed", slow)
+    monkeypatch.setattr(markup.pd, "Series", slow)
+    assert markup.largest_table("<table><tr><th>h</th><th>h</th></tr><tr><td colspan=2>x</td></tr></table>") == ("ok", [["h", "h_2"], ["x", ""]])
+
+
 def test_merge_keeps_data_columns(spark):
     a = spark.createDataFrame([("oak", 31)], "tree string, height long")
     b = spark.createDataFrame([("elm", 4)], "tree string, rings long")
