@@ -11,10 +11,14 @@ ALTERNATIVES = (";", "\t", "|")
 TEXT_SEPARATORS = (",", ";", "\t", "|")
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, block, line_id, line)`` for every line; ids rise within a file block."""
+def read_lines(spark: SparkSession, path: str, by_folder: bool = False) -> DataFrame:
+    """``(file, block, line_id, line)`` for every line; ids rise within a file block.
+
+    With ``by_folder`` the files of a folder are parts of one text, and ``file`` is the folder's path.
+    """
+    file = F.col("_metadata.file_path")
     return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        (F.regexp_replace(file, "/[^/]*$", "") if by_folder else file).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_id"),
         F.col("value").alias("line"),
@@ -71,13 +75,11 @@ def classify_text_tables(lines: DataFrame) -> DataFrame:
     )
     chosen = chosen.select("file", "lines", F.col("best.sep").alias("sep"), F.col("best.most").alias("columns"))
 
-    # a column whose filled cells are all in the header line is empty; per file that is a few numbers
-    header = (
-        lines.filter(F.trim("line") != "")
-        .groupBy("file")
-        .agg(F.min_by("line", F.struct("block", "line_id")).alias("header"))
-    )
-    joined = lines.filter(F.trim("line") != "").join(chosen.filter(F.col("sep").isNotNull()), "file")
+    # a column whose filled cells are all in the header line is empty; per file that is a few numbers. The separators
+    # go to the lines, a row a file (the driver lists the files anyway): lines would meet by file, each in one task
+    separated = chosen.filter(F.col("sep").isNotNull()).select("file", "sep")
+    joined = lines.filter(F.trim("line") != "").join(F.broadcast(separated), "file")
+    header = joined.groupBy("file").agg(F.min_by("line", F.struct("block", "line_id")).alias("header"))
     bare = F.regexp_replace("line", '"[^"]*"', "x")
     cells = joined.select("file", F.posexplode(F.split(bare, F.concat(F.lit("\\Q"), F.col("sep"), F.lit("\\E")), -1)))
     filled = cells.groupBy("file", "pos").agg(F.count_if(F.trim("col") != "").alias("filled"))

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.plans import QUERIES, ingesting
 from plumbline.sources import markup, names, readers, records, tables
 from plumbline.sources.delimited import classify_text_tables, detect_delimiter, read_lines
 from tests.conftest import rows
@@ -56,6 +57,34 @@ def test_separators_and_text_tables(spark, tmp_path):
     assert seps["a.txt"] == ("|", 3) and seps["e.txt"] == (",", 2) and seps["c.txt"] == (";", 2)
 
 
+def test_the_files_of_a_folder_are_judged_as_one_text(spark, tmp_path):
+    spark.createDataFrame([(f"{i};{i % 3}" if i < 40 else f"line {i}",) for i in range(41)], "value string").repartition(8).write.text(str(tmp_path / "mixed"))
+    spark.createDataFrame([(f"{i};{i % 3}",) for i in range(40)], "value string").repartition(8).write.text(str(tmp_path / "table"))
+    judged = classify_text_tables(read_lines(spark, f"{tmp_path}/*", by_folder=True)).collect()
+    assert {(r["file"].split("/")[-1], r["is_table"], r["sep"], r["lines"]) for r in judged} == {("mixed", False, None, 41), ("table", True, ";", 40)}
+
+
+def test_lines_of_a_text_never_meet_in_one_task(spark, tmp_path):
+    spark.range(100).select(F.concat_ws(";", "id", "id").alias("value")).write.text(f"{tmp_path}/t")
+    judged = classify_text_tables(read_lines(spark, f"{tmp_path}/t", by_folder=True))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert judged.first()["lines"] == 100
+    assert "strategy=broadcast" in plan
+
+
+def test_texts_to_classify_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(i, f"text {i}\nsecond") for i in range(40)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, f"c{i}") for i in range(5)], "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(ingesting, "_out", lambda t, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        found = rows(QUERIES["s4_classify_text_tables"](spark, str(tmp_path)))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == [("customer", True, ";", 5), ("texts", False, None, 80)]
+    assert len(list((tmp_path / "texts" / "texts").glob("part-*"))) > 1
+
+
 @pytest.mark.parametrize(
     "text,want",
     [
