@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from plumbline.functions.exprs import any_of, number, numeric_columns, other_columns, q
-from plumbline.functions.ranges import join_null_safe, quantile_table, quantiles, running_totals, task_rows
+from plumbline.functions.ranges import BROADCAST_ROWS, join_null_safe, quantile_table, quantiles, running_totals, task_rows
 from plumbline.functions.wide import column_table, level_counts, spread_lookup, top_of, union_all
+from plumbline.session import stored
 
 
 # more numeric columns than this are correlated through matrix products per batch
@@ -244,8 +245,8 @@ def rank_table(df: DataFrame, column: str, rows: int, weight: str = "__w") -> Da
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rank correlation of every pair, ``(feature_a, feature_b, i, j, n, r)``; ties share the average rank.
 
-    Identical rows are counted first. Each column's ranks come from its distinct values by running
-    totals over value ranges and go back to the rows by a join in which heavy values are spread out.
+    Each column's ranks come from its distinct values by running totals over value ranges, are kept, and go back to
+    the rows: few values are sent to where the rows are, many by a join in which heavy values are spread out.
     A pair with missing cells is ranked on its own complete rows. Columns that miss the same rows are
     ranked together, so columns with ``g`` patterns of gaps take ``g`` runs, and one more for each two
     patterns, however many the columns are.
@@ -301,15 +302,24 @@ def _spearman_complete(df: DataFrame, columns: Sequence[str], rows: int, pairs:
     ids = [f"x{i}" for i in range(len(columns))]
     name = dict(zip(columns, ids))
     wanted = [(name[a], name[b]) for a, b in pairs]
-    kinds = df.select(*[number(df, c).alias(x) for c, x in zip(columns, ids)]).groupBy(*ids).agg(F.count(F.lit(1)).alias("__w"))
-    ranked = kinds
+    values = df.select(*[number(df, c).alias(x) for c, x in zip(columns, ids)])
     small = rows <= task_rows(df)
-    for x in ids:
-        table = rank_table(kinds, x, rows)
-        heavy: list[float] = []
-        if not small:
+    if small:
+        ranked = kinds = values.groupBy(*ids).agg(F.count(F.lit(1)).alias("__w"))
+        tables = [(x, rank_table(kinds, x, rows), []) for x in ids]
+    else:
+        # counting values moves only these; counting whole rows would move the table once more a column
+        ranked = kinds = values.withColumn("__w", F.lit(1).cast("long"))
+        tables = []
+        for x in ids:
+            table = stored(rank_table(kinds, x, rows))
             # fewer than 200 values can each hold more than a two-hundredth of the rows
             heavy = [r["value"] for r in table.filter(F.col("cnt") > rows / 200).select("value").collect()]
+            if table.count() <= BROADCAST_ROWS:
+                ranked = ranked.join(F.broadcast(table.select(F.col("value").alias(x), F.col("rank").alias(f"r_{x}"))), x, "left")
+            else:
+                tables.append((x, table, heavy))
+    for x, table, heavy in tables:
         table = table.select(F.col("value").alias(x), F.col("rank").alias(f"r_{x}"))
         rest = F.xxhash64(*[F.col(o) for o in ids if o != x])
         ranked = spread_lookup(ranked, x, table, heavy, rest)

@@ -94,6 +94,23 @@ def test_spearman_with_ties_and_gaps(spark, split_small):
         assert p["r"] == pytest.approx(want) and p["n"] == len(both)
 
 
+def test_ranks_of_few_values_go_to_the_rows(spark, split_small, monkeypatch):
+    df = spark.range(400).select((F.col("id") % 7).alias("a"), (F.col("id") * 7919 % 400).alias("b"), (F.col("id") % 5 * (F.col("id") % 3)).alias("c"))
+
+    def moved(pairs):
+        return pairs._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+
+    few = st.spearman_pairs(df)
+    assert moved(few) == 3
+    want = rows(few)
+    monkeypatch.setattr(st, "BROADCAST_ROWS", 50)
+    some = st.spearman_pairs(df)
+    assert moved(some) == 2 and [r[:5] for r in rows(some)] == [r[:5] for r in want]
+    assert [r[5] for r in rows(some)] == pytest.approx([r[5] for r in want])
+    spark.conf.set("plumbline.task.rows", "1000")
+    assert [r[5] for r in rows(st.spearman_pairs(df))] == pytest.approx([r[5] for r in want])
+
+
 def test_both_ways_to_correlate_agree(spark, monkeypatch):
     r = random.Random(8)
     data = [tuple([None if r.random() < 0.2 else 1e6 + r.gauss(0, 1) for _ in range(4)] + [7.3]) for _ in range(200)]
