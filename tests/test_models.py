@@ -324,3 +324,56 @@ def test_forests_and_boosting_validate_on_folds(spark, problem):
         folds = trained.folds.collect()
         assert sorted(f["fold"] for f in folds) == list(range(5)) and sum(f["rows"] for f in folds) == trained.scores["train_rows"]
         assert trained.scores["cv_accuracy_mean" if problem == "Classification" else "cv_r2_mean"] > 0.5, name
+
+
+@pytest.mark.parametrize("problem", ["Classification", "Regression"])
+def test_trees_fitted_on_cells_equal_those_fitted_on_rows(spark, monkeypatch, problem):
+    r = random.Random(11)
+    raw = [(i, float(r.randrange(20)), float(r.random() < 0.02), r.choice("uvw")) for i in range(3000)]
+    raw = [(i, x, z, c, x * (1 + (c == "u")) + 30 * z + r.gauss(0, 3)) for i, x, z, c in raw]
+    table = spark.createDataFrame(raw, "id long, x double, z double, c string, y double")
+    if problem == "Classification":
+        table = table.withColumn("y", (F.col("y") > 15).cast("string"))
+    table = table.cache()
+
+    def fitted(model, **params):
+        classes = ["false", "true"] if problem == "Classification" else []
+        pipe, names = ml.fit_model(table, "y", ["x", "z", "c"], model, problem, classes, **params)
+        scored = ml.apply_model(pipe, table, problem, classes)
+        return [row["__pred"] for row in scored.orderBy("id").collect()], names, pipe
+
+    small = {"maxIter": 4, "maxDepth": 3}
+    plain, names, _ = fitted("Gradient Boosting", **small)
+    # so many rows draw apart from a sample's bins only by chance
+    forest, _, _ = fitted("Random Forest", **QUICK)
+    monkeypatch.setattr(ml, "CELL_ROWS", 10)
+    fits = []
+    cells = ml._cells
+    monkeypatch.setattr(ml, "_cells", lambda *a: fits.append(cells(*a)) or fits[-1])
+    found, names_2, pipe = fitted("Gradient Boosting", **small)
+    assert names == names_2
+    # at most 20 x 2 x 3 cells, by class twice as many, and no row is lost
+    assert fits[0].count() <= (240 if problem == "Classification" else 120) and fits[0].agg(F.sum("__weight")).first()[0] == pytest.approx(3000)
+    drawn, _, _ = fitted("Random Forest", **QUICK)
+    if problem == "Classification":
+        assert found == plain
+        assert sum(a == b for a, b in zip(drawn, forest)) > 2850
+        alone, _, _ = fitted("Decision Tree", maxDepth=4)
+        assert len(set(alone)) == 2
+    else:
+        assert found == pytest.approx(plain)
+        assert sum((a - b) ** 2 for a, b in zip(drawn, forest)) / 3000 < 4
+
+
+def test_bins_of_numbers(spark):
+    df = spark.range(4000).select(F.col("id").cast("double").alias("a"), F.greatest(F.lit(0.0), F.col("id") - 3800.0).alias("b"), (F.col("id") < 3).cast("double").alias("c"), F.lit(5.0).alias("d"))
+    a, b, c, d = ml.bin_edges(df, ["a", "b", "c", "d"], 32)
+    assert len(a) == 31 and all(abs(e - 125 * i) < 15 for i, e in enumerate(a, 1))
+    # a heavy value takes one bin, a rare one has its own
+    assert 0 < b[0] < 1 and len(b) == 31 and c == [0.5] and d == []
+
+
+def test_split_rows_are_read_from_their_own_copy(spark, tmp_path):
+    spark.range(200).select("id", (F.col("id") % 17).cast("double").alias("x"), (F.col("id") * 2.0).alias("y")).write.parquet(f"{tmp_path}/source.parquet")
+    trained = ml.train_model(spark.read.parquet(f"{tmp_path}/source.parquet"), "y", ["x"], "Linear Regression", "Regression", ["id"], validate=False)
+    assert trained.test.count() == 40 and not any("source.parquet" in f for f in trained.test.inputFiles())
