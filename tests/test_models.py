@@ -365,6 +365,21 @@ def test_trees_fitted_on_cells_equal_those_fitted_on_rows(spark, monkeypatch, pr
         assert sum((a - b) ** 2 for a, b in zip(drawn, forest)) / 3000 < 4
 
 
+def test_cells_of_a_forest_are_dealt_to_all_cores(spark, monkeypatch):
+    r = random.Random(3)
+    raw = [(i, r.random(), r.random(), r.random()) for i in range(3500)]
+    table = spark.createDataFrame(raw, "id long, x double, z double, y double")
+    monkeypatch.setattr(ml, "CELL_ROWS", 10)
+    fits = []
+    cells = ml._cells
+    monkeypatch.setattr(ml, "_cells", lambda *a: fits.append(cells(*a)) or fits[-1])
+    ml.fit_model(table, "y", ["x", "z"], "Random Forest", "Regression", **QUICK)
+    found = fits[0].rdd.glom().map(len).collect()
+    # a task per thousand cells, all alike, and not one for all
+    assert len(found) == -(-sum(found) // 1000) > 2 and max(found) - min(found) < 20
+    assert fits[0].agg(F.sum("__weight")).first()[0] == pytest.approx(3500)
+
+
 def test_bins_of_numbers(spark):
     df = spark.range(4000).select(F.col("id").cast("double").alias("a"), F.greatest(F.lit(0.0), F.col("id") - 3800.0).alias("b"), (F.col("id") < 3).cast("double").alias("c"), F.lit(5.0).alias("d"))
     a, b, c, d = ml.bin_edges(df, ["a", "b", "c", "d"], 32)
