@@ -33,12 +33,13 @@ def _widths(lines: DataFrame, seps) -> DataFrame:
             F.struct(
                 F.lit(s).alias("sep"),
                 F.lit(i).alias("priority"),
-                (F.length(bare) - F.length(F.replace(bare, F.lit(s), F.lit(""))) + 1).alias("fields"),
+                (F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(s), F.lit(""))) + 1).alias("fields"),
             )
             for i, s in enumerate(seps)
         ]
     )
-    used = lines.filter(F.trim("line") != "").select("file", F.inline(tries))
+    # as a column of its own the quoted spans are taken out once, not at every use
+    used = lines.filter(F.trim("line") != "").select("file", bare.alias("bare")).select("file", F.inline(tries))
     return used.groupBy("file", "sep", "priority").agg(
         F.min("fields").alias("least"), F.max("fields").alias("most"), F.count(F.lit(1)).alias("lines")
     )

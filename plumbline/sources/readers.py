@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.exprs import any_of, q, text_columns
+from plumbline.session import scratch_path, stored
 from plumbline.sources.delimited import classify_text_tables, detect_delimiter, read_lines
 from plumbline.sources.markup import extract_html_tables, read_xml
 from plumbline.sources.names import flatten, normalize_columns, serialize_nested, unique_names
@@ -97,7 +98,7 @@ def read_delimited(
     by_blocks = False
     if "multiLine" not in options:
         own_options = bool(options)
-        open_quote = F.col("line").rlike(r'(?:^|\Q' + sep + r'\E)"(?:[^"]|"")*$')
+        open_quote = F.contains("line", F.lit('"')) & F.col("line").rlike(r'(?:^|\Q' + sep + r'\E)"(?:[^"]|"")*$')
         options["multiLine"] = not lines.filter(open_quote).isEmpty()
         if options["multiLine"] and not own_options and encoding.upper() == "UTF-8" and len(sep) == 1:
             by_blocks = spark.read.option("lineSep", "\n").text(path).filter(F.col("value").rlike("\r[^\r]")).isEmpty()
@@ -137,10 +138,13 @@ def _read_records(spark: SparkSession, path, sep: str, encoding: str, schema, op
     records = quoted_records(spark, path, sep)
     names = spark.read.options(encoding=encoding, multiLine=True, **settings).csv(path).limit(1).collect()
     names = unique_names([(v or "").lstrip("\ufeff") for v in names[0]])
-    rows = records.join(first_places(spark, path), "file").filter(F.struct("block", "line_id") != F.col("start")).select("record")
+    rows = records.join(F.broadcast(first_places(spark, path)), "file").filter(F.struct("block", "line_id") != F.col("start")).select("record")
     if schema is None:
-        texts = rows.select(F.regexp_replace("record", r"[\r\n]+", " ")).rdd.map(lambda r: r[0])
-        found = [f.dataType for f in spark.read.options(inferSchema=True, **settings).csv(texts).schema]
+        rows = stored(rows)
+        # a record a line, so that the reader itself finds the types in its tasks
+        flat = scratch_path(spark, "flat")
+        rows.select(F.regexp_replace("record", r"[\r\n]+", " ")).write.text(flat)
+        found = [f.dataType for f in spark.read.options(inferSchema=True, **settings).csv(flat).schema]
         kinds = [found[i] if i < len(found) else T.StringType() for i in range(len(names))]
     else:
         kinds = [f.dataType for f in (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)]

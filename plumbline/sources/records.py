@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.session import stored
+
 _PLACE = ["file", "block"]
 
 
@@ -40,8 +42,10 @@ def quoted_records(spark: SparkSession, path, sep: str) -> DataFrame:
     """
     lines = _numbered_lines(spark, path)
     bare = F.regexp_replace("line", "\r$", "")
-    after_out = _ends_open(bare, sep).cast("int")
-    after_in = _ends_open(F.concat(F.lit('"'), bare), sep).cast("int")
+    # a line without quotes keeps the state
+    quoted = F.contains("line", F.lit('"'))
+    after_out = F.when(quoted, _ends_open(bare, sep).cast("int")).otherwise(0)
+    after_in = F.when(quoted, _ends_open(F.concat(F.lit('"'), bare), sep).cast("int")).otherwise(1)
     lines = lines.withColumn("out", after_out).withColumn("in", after_in)
 
     # a line sets the state (both ends alike), keeps it or turns it; the state is the last one set and the turns since
@@ -51,8 +55,17 @@ def quoted_records(spark: SparkSession, path, sep: str) -> DataFrame:
     setting = F.when(F.col("out") == F.col("in"), F.struct(F.col("out").alias("state"), "turns"))
     known = turns.withColumn("set", F.last(setting, True).over(before))
     known = known.withColumn("turned", F.coalesce(F.lag("turns").over(ordered), F.lit(0)))
-
-    blocks = turns.groupBy(*_PLACE).agg(
+    # for either state that the block may start in: whether a line starts inside, and the last line that doesn't
+    for starts in (0, 1):
+        state = F.coalesce(F.col("set.state") + F.col("turned") - F.col("set.turns"), F.lit(starts) + F.col("turned")) % 2
+        known = known.withColumn(f"inside_{starts}", state == 1)
+    for starts in (0, 1):
+        first = F.when(~F.col(f"inside_{starts}"), F.col("line_id"))
+        known = known.withColumn(f"head_{starts}", F.last(first, True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    # used four times below, each of which would scan, move and sort all lines again
+    known = stored(known.drop("set", "turned"))
+
+    blocks = known.groupBy(*_PLACE).agg(
         F.max_by(setting, F.when(setting.isNotNull(), F.col("line_id"))).alias("set"), F.max("turns").alias("turns")
     )
     # over blocks the same: how a block ends if it starts outside is a fixed state or a number of turns
@@ -63,13 +76,13 @@ def quoted_records(spark: SparkSession, path, sep: str) -> DataFrame:
     blocks = blocks.withColumn("prior", F.last(F.when(F.col("set").isNotNull(), fixed), True).over(earlier))
     sum_before = F.coalesce(F.lag("sum").over(in_file), F.lit(0))
     starts = F.coalesce(F.col("prior.state"), F.lit(0)) + sum_before - F.coalesce(F.col("prior.sum"), F.lit(0))
-    blocks = blocks.select(*_PLACE, (starts % 2).alias("starts"))
+    blocks = blocks.select(*_PLACE, (starts % 2 == 1).alias("starts"))
 
-    known = known.join(blocks, _PLACE)
-    state = F.coalesce(F.col("set.state") + F.col("turned") - F.col("set.turns"), F.col("starts") + F.col("turned")) % 2
-    known = known.withColumn("inside", state == 1)
+    # a row a block, of which the driver lists as many: they go to the lines, which stay where they are
+    known = known.join(F.broadcast(blocks), _PLACE)
+    known = known.withColumn("inside", F.when(F.col("starts"), F.col("inside_1")).otherwise(F.col("inside_0")))
+    known = known.withColumn("head", F.when(F.col("starts"), F.col("head_1")).otherwise(F.col("head_0")))
     first = F.when(~F.col("inside"), F.col("line_id"))
-    known = known.withColumn("head", F.last(first, True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     whole = known.filter("not inside and out = 0").select(*_PLACE, "line_id", bare.alias("record"))
 
     # a piece without a head in its block belongs to the last head of an earlier block
@@ -78,7 +91,7 @@ def quoted_records(spark: SparkSession, path, sep: str) -> DataFrame:
     owner = F.last(F.when(F.col("last").isNotNull(), F.struct("block", "last")), True).over(earlier)
     heads = heads.select(*_PLACE, owner.alias("owner"))
     own = F.when(F.col("head").isNotNull(), F.struct("block", F.col("head").alias("last"))).otherwise(F.col("owner"))
-    pieces = pieces.join(heads, _PLACE).select("file", own.alias("own"), F.struct("block", "line_id", "line").alias("piece"))
+    pieces = pieces.join(F.broadcast(heads), _PLACE).select("file", own.alias("own"), F.struct("block", "line_id", "line").alias("piece"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["line"]), "\n")
     broken = pieces.groupBy("file", "own").agg(F.regexp_replace(joined, "\r$", "").alias("record"))
     broken = broken.select("file", F.col("own.block").alias("block"), F.col("own.last").alias("line_id"), "record")

@@ -263,6 +263,17 @@ def test_quoted_line_breaks_over_many_blocks(spark, tmp_path, end):
     assert got == {int(n): cells for n, *cells in want[1:]}
 
 
+def test_lines_of_broken_records_are_scanned_once(spark, tmp_path):
+    path = tmp_path / "once.csv"
+    path.write_text('n,t\n1,"a\nb"\n2,c\n')
+    found = records.quoted_records(spark, str(path), ",")
+    # neither the chained lines nor the table go back to the file
+    assert all(f.endswith(".parquet") for f in found.inputFiles()) and found.count() == 3
+    loaded = readers.load_table(spark, str(path))
+    assert all(f.endswith(".parquet") for f in loaded.inputFiles())
+    assert sorted(map(tuple, loaded.collect())) == [(1, "a\nb"), (2, "c")]
+
+
 def test_files_with_other_headers_join_by_name(spark, tmp_path):
     folder = tmp_path / "many.csv"
     folder.mkdir()
