@@ -20,6 +20,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -477,7 +478,22 @@ def keep_one(docs: DataFrame, like: Likeness = Likeness(), doc_id: str = "doc_id
     Rows that repeat an id and a set count as copies, and one of them stays.
     """
     found = classes(docs, like, doc_id, text, sift=True)
-    stay = found.filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, docs[f"`{doc_id}`"].eqNullSafe(stay["__id"]), "left_semi")
+    stays = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = found.groupBy(F.col("doc_id").alias("__id")).agg(F.max(stays).alias("stays")).filter("not stays").select("__id")
+    kept = _without(docs, staged(gone, "gone"), doc_id)
     again = found.filter("n_shingles > 0").groupBy("doc_id", "set_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates([doc_id, text]) if again else kept
+
+
+def _without(docs: DataFrame, gone: DataFrame, doc_id: str) -> DataFrame:
+    """The rows whose id is not in ``gone`` (``__id``); only rows that a filter of these ids holds are moved to compare."""
+    keys = gone.select(F.xxhash64("__id").alias("key"))
+    sent = docs.sparkSession.sparkContext.broadcast(build(keys, "key", BitFilter.sized(gone.count())))
+
+    @F.pandas_udf("boolean")
+    def held(keys: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.holds(keys.to_numpy().view(np.uint64)))
+
+    may_go = held(F.xxhash64(F.col(f"`{doc_id}`")))
+    compared = docs.filter(may_go)
+    return docs.filter(~may_go).unionByName(compared.join(gone, compared[f"`{doc_id}`"].eqNullSafe(gone["__id"]), "left_anti"))

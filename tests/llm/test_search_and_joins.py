@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard_join, substring_dedup
 from plumbline.llm.bitfilter import BitFilter, build
@@ -117,6 +118,19 @@ def test_one_of_a_group_stays(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [10, 13, 14, 15, 16]
 
 
+def test_only_rows_that_may_go_are_moved(spark, capsys):
+    texts = [prose(k, 60, 900) for k in range(300)]
+    docs = documents(spark, [*texts, texts[7], texts[250], None], 10)
+    kept = jaccard_join.keep_one(docs.unionByName(docs.filter("doc_id = 12").withColumn("doc_id", F.lit(None).cast("long"))))
+    ids = [r["doc_id"] for r in kept.collect()]
+    # the null id goes with its copy of document 12
+    assert sorted(ids) == [*range(10, 310), 312]
+    capsys.readouterr()
+    kept.explain()
+    plan = capsys.readouterr().out
+    assert "Union" in plan and "LeftAnti" in plan and "held(" in plan
+
+
 def test_join_of_odd_and_empty_tables(spark):
     rows = jaccard_join.classes(odd_documents(spark)).collect()
     assert len(rows) == 3 * len(ODD)
