@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from itertools import combinations, product
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from plumbline.functions.exprs import any_of, number, numeric_columns, other_columns, q
-from plumbline.functions.ranges import BROADCAST_ROWS, join_null_safe, quantile_table, quantiles, running_totals, task_rows
-from plumbline.functions.wide import column_table, level_counts, spread_lookup, top_of, union_all
-from plumbline.session import stored
+from plumbline.functions.ranges import BROADCAST_ROWS, join_null_safe, quantile_table, quantiles
+from plumbline.functions.ranks import gap_patterns, rank_products
+from plumbline.functions.wide import column_table, level_counts, top_of, union_all
 
 
 # more numeric columns than this are correlated through matrix products per batch
@@ -235,115 +235,32 @@ def full_matrix(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
     return union_all([upper, lower, names])
 
 
-def rank_table(df: DataFrame, column: str, rows: int, weight: str = "__w") -> DataFrame:
-    """``(value, cnt, rank)``: average rank of every distinct value of a column with row weights."""
-    counts = df.filter(q(column).isNotNull()).groupBy(q(column).alias("value")).agg(F.sum(weight).alias("cnt"))
-    upto = running_totals(counts, [], ["value"], ["cnt"], rows)
-    return upto.select("value", "cnt", (F.col("cnt_upto") - F.col("cnt") + (F.col("cnt") + 1) / 2).alias("rank"))
-
-
 def spearman_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rank correlation of every pair, ``(feature_a, feature_b, i, j, n, r)``; ties share the average rank.
 
-    Each column's ranks come from its distinct values by running totals over value ranges, are kept, and go back to
-    the rows: few values are sent to where the rows are, many by a join in which heavy values are spread out.
-    A pair with missing cells is ranked on its own complete rows. Columns that miss the same rows are
-    ranked together, so columns with ``g`` patterns of gaps take ``g`` runs, and one more for each two
-    patterns, however many the columns are.
+    A pair with missing cells is ranked on its own complete rows. Columns that miss the same rows form a pattern, and a
+    column is ranked for all patterns at once, so the rows are sorted once a column, however many patterns there are.
+    Values of a column with few are sent to where the rows are; of many values, only cells move (``rank_products``).
     """
     columns = list(columns or numeric_columns(df))
-    rows, groups = _gap_patterns(df, columns)
-    whole = next((g for g in groups if not g[0]), (0, []))[1]
-    gapped = [cols for missing, cols in groups if missing]
-    runs = [(whole, list(combinations(whole, 2)))]
-    for own in gapped:
-        runs.append(([*whole, *own], [*combinations(own, 2), *product(whole, own)]))
-    for one, other in combinations(gapped, 2):
-        runs.append(([*one, *other], list(product(one, other))))
-    place = {c: i for i, c in enumerate(columns)}
-    frames = []
-    for used, pairs in runs:
-        if pairs:
-            values = df.select(*[number(df, c).alias(c) for c in used])
-            complete = values if used is whole else values.dropna()
-            frames.append(_spearman_complete(complete, used, rows, [tuple(sorted(p, key=place.__getitem__)) for p in pairs]))
-    index = F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(i))])
-    out = union_all(frames)
-    return out.select("feature_a", "feature_b", index[F.col("feature_a")].alias("i"), index[F.col("feature_b")].alias("j"), "n", "r")
-
-
-def _gap_patterns(df: DataFrame, columns: Sequence[str]) -> tuple[int, list[tuple[int, list[str]]]]:
-    """Row count, and the columns in groups that miss exactly the same rows, each with how many these are.
-
-    Equal sums over the 64-bit hashes of the rows that a column misses stand for equal rows; equal rows
-    miss the same columns, so repeats don't matter. One aggregate for all columns.
-    """
-    ids = [f"x{i}" for i in range(len(columns))]
-    wide = df.select(*[number(df, c).alias(x) for c, x in zip(columns, ids)])
-    wide = wide.withColumn("mark", F.xxhash64(*ids, *[F.col(x).isNull() for x in ids]))
-    entries = [
-        e
-        for x in ids
-        for e in (
-            F.count_if(F.col(x).isNull()).alias(f"n_{x}"),
-            F.sum(F.when(F.col(x).isNull(), F.col("mark").cast("decimal(20)"))).alias(f"s_{x}"),
-            F.bit_xor(F.when(F.col(x).isNull(), F.xxhash64("mark", F.lit(1)))).alias(f"b_{x}"),
-        )
-    ]
-    facts = wide.agg(F.count(F.lit(1)).alias("rows"), *entries).first()
-    groups: dict[tuple, list[str]] = {}
-    for c, x in zip(columns, ids):
-        groups.setdefault((facts[f"n_{x}"], facts[f"s_{x}"], facts[f"b_{x}"]), []).append(c)
-    return facts["rows"], [(key[0], own) for key, own in groups.items()]
-
-
-def _spearman_complete(df: DataFrame, columns: Sequence[str], rows: int, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Spearman of the wanted pairs of columns without gaps."""
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, i int, j int, n long, r double")
     ids = [f"x{i}" for i in range(len(columns))]
-    name = dict(zip(columns, ids))
-    wanted = [(name[a], name[b]) for a, b in pairs]
     values = df.select(*[number(df, c).alias(x) for c, x in zip(columns, ids)])
-    small = rows <= task_rows(df)
-    if small:
-        ranked = kinds = values.groupBy(*ids).agg(F.count(F.lit(1)).alias("__w"))
-        tables = [(x, rank_table(kinds, x, rows), []) for x in ids]
-    else:
-        # counting values moves only these; counting whole rows would move the table once more a column
-        ranked = kinds = values.withColumn("__w", F.lit(1).cast("long"))
-        tables = []
-        for x in ids:
-            table = stored(rank_table(kinds, x, rows))
-            # fewer than 200 values can each hold more than a two-hundredth of the rows
-            heavy = [r["value"] for r in table.filter(F.col("cnt") > rows / 200).select("value").collect()]
-            if table.count() <= BROADCAST_ROWS:
-                ranked = ranked.join(F.broadcast(table.select(F.col("value").alias(x), F.col("rank").alias(f"r_{x}"))), x, "left")
-            else:
-                tables.append((x, table, heavy))
-    for x, table, heavy in tables:
-        table = table.select(F.col("value").alias(x), F.col("rank").alias(f"r_{x}"))
-        rest = F.xxhash64(*[F.col(o) for o in ids if o != x])
-        ranked = spread_lookup(ranked, x, table, heavy, rest)
-    # ranks average (n + 1) / 2 exactly, so plain weighted products of centred ranks are enough
-    n = F.sum("__w")
-    stats = ranked.agg(
-        n.alias("n"),
-        *[F.sum(F.col("__w") * F.col(f"r_{x}")).alias(f"s_{x}") for x in ids],
-        *[F.sum(F.col("__w") * F.col(f"r_{a}") * F.col(f"r_{b}")).alias(f"p_{a}_{b}") for a, b in dict.fromkeys([*((x, x) for x in ids), *wanted])],
+    rows, pattern = gap_patterns(values, ids)
+    distinct = values.agg(*[F.approx_count_distinct(x).alias(x) for x in ids]).first()
+    # a value has one rank for its own rows and one for each pattern
+    few = [i for i, x in enumerate(ids) if distinct[x] * (max(pattern) + 2) <= BROADCAST_ROWS]
+    sums = rank_products(values, ids, pattern, list(combinations(range(len(ids)), 2)), few, rows)
+    names = F.array(*[F.lit(c) for c in columns])
+    return sums.filter("n > 0").select(
+        F.element_at(names, F.col("i") + 1).alias("feature_a"),
+        F.element_at(names, F.col("j") + 1).alias("feature_b"),
+        "i",
+        "j",
+        "n",
+        _bounded_r(F.col("ab"), F.sqrt("aa"), F.sqrt("bb")).alias("r"),
     )
-    rows_out = []
-    for (a, b), (xa, xb) in zip(pairs, wanted):
-        cov = F.col(f"p_{xa}_{xb}") - F.col(f"s_{xa}") * F.col(f"s_{xb}") / F.col("n")
-        va = F.col(f"p_{xa}_{xa}") - F.col(f"s_{xa}") * F.col(f"s_{xa}") / F.col("n")
-        vb = F.col(f"p_{xb}_{xb}") - F.col(f"s_{xb}") * F.col(f"s_{xb}") / F.col("n")
-        rows_out.append(
-            F.struct(
-                F.lit(a).alias("feature_a"),
-                F.lit(b).alias("feature_b"),
-                F.col("n").alias("n"),
-                _bounded_r(cov, F.sqrt(va), F.sqrt(vb)).alias("r"),
-            )
-        )
-    return stats.filter("n > 0").select(F.inline(F.array(*rows_out)))
 
 
 def strongest_pairs(pairs: DataFrame, k: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
+from plumbline.functions import ranks as ranks_module
 from plumbline.operators import charts as ch
 from plumbline.operators import drift as dr
 from plumbline.operators import features as fe
@@ -111,6 +112,64 @@ def test_ranks_of_few_values_go_to_the_rows(spark, split_small, monkeypatch):
     assert [r[5] for r in rows(st.spearman_pairs(df))] == pytest.approx([r[5] for r in want])
 
 
+def test_ranks_of_gapped_columns_move_cells_once(spark, split_small, monkeypatch):
+    """Three patterns of gaps, many and few values, a value on a third of the rows, infinities, zeros of both signs."""
+    r = random.Random(5)
+
+    def row(k):
+        hot = 3.5 if k % 3 == 0 else r.gauss(0, 2)
+        a = [r.choice([float("inf"), float("-inf"), 0.0, -0.0]) if k % 11 == 0 else r.gauss(0, 1), hot, float(r.randint(0, 3))]
+        b, c = [r.random(), float(r.randint(0, 900)), float(k % 2)], [hot + r.gauss(0, 1), float("nan")]
+        whole = [a[0] * 2 if k % 11 else 1.0, float(r.randint(0, 5)), 7.0]
+        return tuple([*(a if k % 5 else [None] * 3), *(b if k % 4 else [None] * 3), c[0] if k % 7 else float("nan"), c[1], *whole])
+
+    data = [row(k) for k in range(700)]
+    data += data[:60]
+    names = ["a1", "a2", "a3", "b1", "b2", "b3", "c1", "none", "w1", "w2", "w3"]
+    df = spark.createDataFrame(data, ", ".join(f"{n} double" for n in names)).repartition(3)
+    columns = {n: [None if v is None or math.isnan(v) else v for v in x] for n, x in zip(names, zip(*data))}
+
+    def ranks(xs):
+        xs = np.array(xs)
+        return np.array([(xs < x).sum() + ((xs == x).sum() + 1) / 2 for x in xs])
+
+    monkeypatch.setattr(st, "BROADCAST_ROWS", 40)
+    # blocks of a few dozen rows, so that a piece has cells of many blocks
+    monkeypatch.setattr(ranks_module, "BLOCK_CELLS", 500)
+    got = st.spearman_pairs(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # rows are joined with few values only: of many values the cells move, to be ranked and back, for all patterns at once
+    assert plan.count("Join ") == plan.count("strategy=broadcast") and plan.count("RepartitionByExpression") == 2
+    found = {(p["feature_a"], p["feature_b"]): p for p in got.collect()}
+    assert len(found) == 45 and not any("none" in k for k in found)
+    for (a, b), p in found.items():
+        both = [(x, y) for x, y in zip(columns[a], columns[b]) if x is not None and y is not None]
+        x, y = (ranks(v) for v in zip(*both))
+        assert p["n"] == len(both) and (p["i"], p["j"]) == (names.index(a), names.index(b)) and p["i"] < p["j"]
+        if "w3" in (a, b):
+            assert p["r"] is None
+        else:
+            assert p["r"] == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-12)
+
+
+def test_columns_with_the_same_gaps_share_a_pattern(spark):
+    data = [(1.0, None, 1.0, float("nan"), None), (None, 2.0, None, 2.0, 1.0), (1.0, 2.0, 3.0, 4.0, 5.0)]
+    df = spark.createDataFrame(data * 2, "a double, b double, c double, d double, e double")
+    ids = df.columns
+    clean = df.select(*[F.nanvl(x, F.lit(None).cast("double")).alias(x) for x in ids])
+    assert ranks_module.gap_patterns(clean, ids) == (6, [0, 1, 0, 1, 1])
+    assert ranks_module.gap_patterns(clean.fillna(0.0, ["a"]), ids) == (6, [-1, 0, 1, 0, 0])
+    assert st.spearman_pairs(df, ["a"]).collect() == [] == st.spearman_pairs(df.limit(0)).collect()
+
+
+def test_rows_in_another_order_are_noticed(spark):
+    plan = ranks_module.layout([-1, -1], [(0, 1)])
+    places = [np.array([0, 2, 0], "uint16"), np.array([0, 1, 1], "int32")]
+    with pytest.raises(RuntimeError, match="another order"):
+        offsets = {0: {-1: np.zeros(3, int)}, 1: {-1: np.zeros(2, int)}}
+        ranks_module._sums(places, [], {(0, -1): np.array([1, 3], "uint32")}, offsets, plan)
+
+
 def test_both_ways_to_correlate_agree(spark, monkeypatch):
     r = random.Random(8)
     data = [tuple([None if r.random() < 0.2 else 1e6 + r.gauss(0, 1) for _ in range(4)] + [7.3]) for _ in range(200)]
